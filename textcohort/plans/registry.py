@@ -184,3 +184,186 @@ SELECT fold, round(auroc, 6) AS auroc, round(auprc, 6) AS auprc, round(pearson,
 def q_scored_report(spark, sf_dir):
     m = S.fold_metrics(scaled_scores(spark, sf_dir), ["fold"], "pred", "truth", digits=6)
     return S.fold_report(m).select("fold", r6("auroc"), r6("auprc"), r6("pearson"))
+
+
+# ----------------------------------------------------------------------------------------------
+# Cohort (documents + labels stand-in for the survey): English rows, codes 2/3 vs 6
+# ----------------------------------------------------------------------------------------------
+
+from textcohort.operators import cohort as C  # noqa: E402
+from textcohort.operators import split as SP  # noqa: E402
+
+FOLDS, SEED, NEG_CODE, POS_CODES, LANG = 10, 0, 6, (2, 3), "en"
+
+SQL_SURVEY = """
+survey AS (
+  SELECT d.doc_id AS id, d.lang AS unique_id, d.text AS comment,
+    CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 2.0 WHEN l.quality = 1 AND l.toxic = 1 THEN 3.0
+         WHEN l.quality = 0 AND l.toxic = 1 THEN 5.0 WHEN l.quality = 0 AND l.toxic = 0 THEN 6.0 END AS diagnosis
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+
+SQL_COHORT = SQL_SURVEY + """,
+cohort AS (
+  SELECT id, CAST(diagnosis AS INTEGER) AS code, CASE WHEN diagnosis = 6 THEN 0 ELSE 1 END AS label, comment AS text
+  FROM survey
+  WHERE contains(unique_id, 'en') AND diagnosis IN (2, 3, 6) AND comment IS NOT NULL
+    AND comment <> 'nan|nan|nan|nan')"""
+
+SQL_SPLIT = SQL_COHORT + """,
+fx AS (
+  SELECT CAST(f.range AS INTEGER) AS fold, c.id, c.label,
+         md5(CAST(f.range AS VARCHAR) || ':' || CAST(c.id AS VARCHAR)) AS h
+  FROM cohort c CROSS JOIN range(10) f),
+fx2 AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY h, id) AS rn,
+               count(*) OVER (PARTITION BY fold) AS n FROM fx),
+tv AS (SELECT fold, id, label, md5('0:' || CAST(id AS VARCHAR)) AS h FROM fx2
+       WHERE rn <= floor(CAST(0.8 AS DOUBLE) * n)),
+tv2 AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY h, id) AS rn,
+               count(*) OVER (PARTITION BY fold) AS n FROM tv),
+split AS (
+  SELECT fold, id, label, CASE WHEN rn <= floor(CAST(0.75 AS DOUBLE) * n) THEN 'train' ELSE 'vali' END AS split FROM tv2
+  UNION ALL
+  SELECT fold, id, label, 'test' AS split FROM fx2 WHERE rn > floor(CAST(0.8 AS DOUBLE) * n))"""
+
+SQL_OVERSAMPLE = SQL_SPLIT + """,
+tr AS (SELECT fold, id, label FROM split WHERE split = 'train'),
+cnt AS (SELECT fold, count(*) FILTER (WHERE label = 1) AS npos, count(*) FILTER (WHERE label = 0) AS nneg
+        FROM tr GROUP BY fold),
+c2 AS (SELECT fold, CASE WHEN nneg > npos THEN 1 ELSE 0 END AS minlab, abs(npos - nneg) AS diff,
+              least(npos, nneg) AS nmin FROM cnt),
+mino AS (SELECT tr.fold, tr.id, tr.label,
+           row_number() OVER (PARTITION BY tr.fold ORDER BY
+             md5('0:' || CAST(tr.fold AS VARCHAR) || ':' || CAST(tr.id AS VARCHAR)), tr.id) - 1 AS idx
+         FROM tr JOIN c2 ON tr.fold = c2.fold WHERE tr.label = c2.minlab),
+dj AS (SELECT fold, nmin, unnest(range(diff)) AS j FROM c2 WHERE diff > 0),
+draws AS (SELECT fold, j, CAST(('0x' || substr(md5('0:' || CAST(fold AS VARCHAR) || ':' || CAST(j AS VARCHAR)), 1, 8)) AS BIGINT) % nmin AS idx
+          FROM dj),
+balanced AS (
+  SELECT fold, id, label, CAST(0 AS BIGINT) AS copy FROM tr
+  UNION ALL
+  SELECT d.fold, m.id, m.label, d.j + 1 AS copy FROM draws d JOIN mino m ON d.fold = m.fold AND d.idx = m.idx)"""
+
+
+def survey(spark, sf_dir):
+    return T.survey_table(spark, sf_dir)
+
+
+def cohort_df(spark, sf_dir):
+    return C.build_cohort(survey(spark, sf_dir), lang_needle=LANG, pos_codes=POS_CODES, neg_code=NEG_CODE)
+
+
+def split_df(spark, sf_dir):
+    return SP.split_assign(cohort_df(spark, sf_dir), folds=FOLDS, seed=SEED)
+
+
+def balanced_df(spark, sf_dir):
+    return SP.oversample(split_df(spark, sf_dir), seed=SEED)
+
+
+@register("filter_substring", f"WITH {SQL_SURVEY} SELECT id, unique_id FROM survey WHERE contains(unique_id, 'en')")
+def q_filter_substring(spark, sf_dir):
+    return C.filter_substring(survey(spark, sf_dir), "unique_id", LANG).select("id", "unique_id")
+
+
+@register("cohort_project", f"WITH {SQL_SURVEY} SELECT diagnosis, comment, unique_id FROM survey WHERE contains(unique_id, 'en')")
+def q_cohort_project(spark, sf_dir):
+    return C.project(C.filter_substring(survey(spark, sf_dir), "unique_id", LANG),
+                     ["diagnosis", "comment", "unique_id"])
+
+
+@register("class_filter", f"WITH {SQL_SURVEY} SELECT id, diagnosis FROM survey WHERE contains(unique_id, 'en') AND diagnosis IN (2, 3, 6)")
+def q_class_filter(spark, sf_dir):
+    df = C.filter_substring(survey(spark, sf_dir), "unique_id", LANG)
+    return C.class_filter(df, "diagnosis", [*POS_CODES, NEG_CODE]).select("id", "diagnosis")
+
+
+@register("distinct_codes", f"WITH {SQL_SURVEY} SELECT DISTINCT diagnosis FROM survey WHERE contains(unique_id, 'en')")
+def q_distinct_codes(spark, sf_dir):
+    return C.distinct_values(C.filter_substring(survey(spark, sf_dir), "unique_id", LANG), "diagnosis")
+
+
+@register("class_counts", f"WITH {SQL_COHORT} SELECT code, count(*) AS n FROM cohort GROUP BY code")
+def q_class_counts(spark, sf_dir):
+    return C.class_counts(cohort_df(spark, sf_dir), "code")
+
+
+@register("binarise_label", f"WITH {SQL_COHORT} SELECT id, code, label FROM cohort")
+def q_binarise(spark, sf_dir):
+    return cohort_df(spark, sf_dir).select("id", "code", "label")
+
+
+@register("cohort", f"WITH {SQL_COHORT} SELECT id, code, label, text FROM cohort")
+def q_cohort(spark, sf_dir):
+    return cohort_df(spark, sf_dir)
+
+
+@register("filter_max_chars", f"WITH {SQL_COHORT} SELECT id, label, length(text) AS n_chars FROM cohort WHERE length(text) < 2000")
+def q_filter_max_chars(spark, sf_dir):
+    return C.filter_max_chars(cohort_df(spark, sf_dir), "text", 2000) \
+            .select("id", "label", F.length("text").alias("n_chars"))
+
+
+SQL_COMMENTS = """
+comments AS (
+  SELECT conv_id AS id, max(CASE WHEN turn = 4 THEN text END) AS comment1,
+         max(CASE WHEN turn = 5 THEN text END) AS comment2, max(CASE WHEN turn = 6 THEN text END) AS comment3,
+         max(CASE WHEN turn = 7 THEN text END) AS comment4
+  FROM conversations GROUP BY conv_id),
+merged AS (
+  SELECT id, coalesce(comment1, 'nan') || '|' || coalesce(comment2, 'nan') || '|' ||
+             coalesce(comment3, 'nan') || '|' || coalesce(comment4, 'nan') AS comment FROM comments)"""
+
+COMMENT_COLS = ["comment1", "comment2", "comment3", "comment4"]
+
+
+@register("merge_comments", f"WITH {SQL_COMMENTS} SELECT id, comment FROM merged")
+def q_merge_comments(spark, sf_dir):
+    return C.merge_comments(T.comments_table(spark, sf_dir), COMMENT_COLS).select("id", "comment")
+
+
+@register("drop_empty_comment", f"WITH {SQL_COMMENTS} SELECT id, comment FROM merged WHERE comment <> 'nan|nan|nan|nan'")
+def q_drop_empty(spark, sf_dir):
+    m = C.merge_comments(T.comments_table(spark, sf_dir), COMMENT_COLS)
+    return C.drop_empty_comment(m, "comment").select("id", "comment")
+
+
+@register("split_assign", f"WITH {SQL_SPLIT} SELECT fold, id, label, split FROM split")
+def q_split_assign(spark, sf_dir):
+    return split_df(spark, sf_dir)
+
+
+@register("split_sizes", f"WITH {SQL_SPLIT} SELECT fold, split, count(*) AS n FROM split GROUP BY fold, split")
+def q_split_sizes(spark, sf_dir):
+    return split_df(spark, sf_dir).groupBy("fold", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("split_gather", f"WITH {SQL_SPLIT} SELECT s.fold, s.id, c.label, c.text FROM split s JOIN cohort c ON s.id = c.id WHERE s.split = 'test'")
+def q_split_gather(spark, sf_dir):
+    return SP.split_gather(split_df(spark, sf_dir), cohort_df(spark, sf_dir), "test") \
+             .select("fold", "id", "label", "text")
+
+
+@register("split_complement", f"""WITH {SQL_SPLIT}
+SELECT f.range AS fold, c.id FROM cohort c CROSS JOIN range(10) f
+WHERE NOT EXISTS (SELECT 1 FROM split s WHERE s.split = 'test' AND s.fold = f.range AND s.id = c.id)""")
+def q_split_complement(spark, sf_dir):
+    return SP.split_complement(cohort_df(spark, sf_dir), split_df(spark, sf_dir), "test", FOLDS) \
+             .select(F.col("fold").cast("long").alias("fold"), "id")
+
+
+@register("seeded_shuffle", f"""WITH {SQL_COHORT}
+SELECT id, row_number() OVER (ORDER BY md5('3:' || CAST(id AS VARCHAR)), id) - 1 AS pos FROM cohort""")
+def q_seeded_shuffle(spark, sf_dir):
+    return SP.seeded_shuffle(cohort_df(spark, sf_dir).select("id"), seed=3, out="pos")
+
+
+@register("oversample", f"WITH {SQL_OVERSAMPLE} SELECT fold, id, label, copy FROM balanced")
+def q_oversample(spark, sf_dir):
+    return balanced_df(spark, sf_dir)
+
+
+@register("oversample_counts", f"""WITH {SQL_OVERSAMPLE}
+SELECT fold, count(*) FILTER (WHERE label = 1) AS n_pos, count(*) FILTER (WHERE label = 0) AS n_neg
+FROM balanced GROUP BY fold""")
+def q_oversample_counts(spark, sf_dir):
+    return SP.oversample_counts(balanced_df(spark, sf_dir))
