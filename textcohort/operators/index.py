@@ -13,8 +13,8 @@ whole fold to one task.  Three exact replacements:
 * ``ordered_index`` – 0-based position in an arbitrary order (scores with ties, ids).  Range
   partitioning on ``(group, order..., id)`` spreads even a single hot group or a heavy tie over
   many tasks; each partition is sorted, numbered, and offset by the counts of the partitions
-  before it.  The numbered rows are checkpointed first, so recomputation after a lost executor
-  cannot see different sampled range bounds.
+  before it.  The numbered rows are written to the shared checkpoint folder first, so
+  recomputation after a lost executor cannot see different sampled range bounds.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textcohort.session import ensure_checkpoint_dir
+from textcohort.sources.io import materialize
 
 
 def _bucket(hash_col: str, bucket_hex: int) -> Column:
@@ -107,7 +108,7 @@ def ordered_index(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
                   .sortWithinPartitions(*keys)
                   .withColumn("_pid", F.spark_partition_id())
                   .withColumn("_mid", F.monotonically_increasing_id()))
-    numbered = checkpoint(numbered)
+    numbered = materialize(numbered, "ordered-index")
     # one row per (partition, group) present in it: at most num_partitions + #groups rows
     stats = numbered.groupBy("_pid", *g).agg(F.count(F.lit(1)).alias("_cnt"),
                                              F.min("_mid").alias("_first"))

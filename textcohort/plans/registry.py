@@ -367,3 +367,115 @@ SELECT fold, count(*) FILTER (WHERE label = 1) AS n_pos, count(*) FILTER (WHERE
 FROM balanced GROUP BY fold""")
 def q_oversample_counts(spark, sf_dir):
     return SP.oversample_counts(balanced_df(spark, sf_dir))
+
+
+# ----------------------------------------------------------------------------------------------
+# Tokens, Naive Bayes fit / score, flagship fold report
+# ----------------------------------------------------------------------------------------------
+
+from textcohort.operators import model as M  # noqa: E402
+from textcohort.operators import text as TX  # noqa: E402
+from textcohort.plans import workflow as WF  # noqa: E402
+
+TOKEN_RE = r"'[\p{L}\p{N}]+|[^\s\p{L}\p{N}]'"
+
+SQL_TOKENS = f"""
+toks AS (SELECT id, regexp_extract_all(lower(coalesce(text, '')), {TOKEN_RE}) AS t FROM cohort),
+lens AS (SELECT id, CAST(len(t) AS INTEGER) AS n_tok FROM toks),
+occ AS (SELECT id, unnest(t) AS token FROM toks),
+tfs AS (SELECT o.id, o.token, count(*) AS tf, any_value(l.n_tok) AS n_tok FROM occ o JOIN lens l ON o.id = l.id
+        GROUP BY o.id, o.token)"""
+
+SQL_NB = SQL_OVERSAMPLE + "," + SQL_TOKENS + """,
+mult AS (SELECT fold, id, label, count(*) AS mult FROM balanced GROUP BY fold, id, label),
+pt AS (SELECT m.fold, t.token,
+         CAST(sum(CASE WHEN m.label = 1 THEN m.mult * t.tf ELSE 0 END) AS DOUBLE) AS c1,
+         CAST(sum(CASE WHEN m.label = 0 THEN m.mult * t.tf ELSE 0 END) AS DOUBLE) AS c0,
+         sum(m.mult * t.tf / CAST(t.n_tok AS DOUBLE)) AS sx
+       FROM mult m JOIN tfs t ON m.id = t.id GROUP BY m.fold, t.token),
+tot AS (SELECT fold, sum(c1) AS tot1, sum(c0) AS tot0, CAST(count(*) AS DOUBLE) AS vocab FROM pt GROUP BY fold),
+pri AS (SELECT fold, CAST(sum(CASE WHEN label = 1 THEN mult ELSE 0 END) AS BIGINT) AS n1,
+               CAST(sum(CASE WHEN label = 0 THEN mult ELSE 0 END) AS BIGINT) AS n0,
+               CAST(sum(mult) AS DOUBLE) AS m FROM mult GROUP BY fold),
+wt AS (SELECT pt.fold, pt.token, pt.c0, pt.c1,
+         ln((pt.c1 + 1.0) / (tot1 + 1.0 * vocab)) - ln((pt.c0 + 1.0) / (tot0 + 1.0 * vocab)) AS w, sx / pri.m AS mean_x
+       FROM pt JOIN tot ON pt.fold = tot.fold JOIN pri ON pt.fold = pri.fold),
+prio AS (SELECT pri.fold, n0, n1, CASE WHEN n1 > 0 AND n0 > 0 THEN ln(n1 / CAST(n0 AS DOUBLE)) ELSE CAST('NaN' AS DOUBLE) END AS prior,
+           coalesce(sh.mean_shift, 0.0) AS mean_shift
+         FROM pri LEFT JOIN (SELECT fold, sum(w * mean_x) AS mean_shift FROM wt GROUP BY fold) sh ON pri.fold = sh.fold)"""
+
+
+def sql_scored(which: str) -> str:
+    return f"""
+rows_{which} AS (SELECT fold, id, label FROM split WHERE split = '{which}'),
+contrib_{which} AS (SELECT r.fold, r.id, sum(wt.w * t.tf / CAST(t.n_tok AS DOUBLE)) AS s
+  FROM rows_{which} r JOIN tfs t ON r.id = t.id JOIN wt ON wt.fold = r.fold AND wt.token = t.token
+  GROUP BY r.fold, r.id),
+scored_{which} AS (SELECT r.fold, r.id, r.label, p.prior + coalesce(c.s, 0.0) AS logit,
+    1.0 / (1.0 + exp(-(p.prior + coalesce(c.s, 0.0)))) AS prob
+  FROM rows_{which} r JOIN lens l ON r.id = l.id
+  LEFT JOIN contrib_{which} c ON c.fold = r.fold AND c.id = r.id JOIN prio p ON p.fold = r.fold)"""
+
+
+SQL_PREDS = SQL_NB + "," + sql_scored("test") + """,
+pmm AS (SELECT fold, min(prob) AS lo, max(prob) AS hi FROM scored_test GROUP BY fold),
+preds AS (SELECT s.fold, s.id, s.label AS truth,
+    round(CASE WHEN hi <> lo THEN (prob - lo) / (hi - lo) ELSE CAST('NaN' AS DOUBLE) END, 9) AS pred
+  FROM scored_test s JOIN pmm ON s.fold = pmm.fold)"""
+
+
+def fitted(spark, sf_dir) -> WF.FittedFolds:
+    return WF.fit_folds(cohort_df(spark, sf_dir), folds=FOLDS, seed=SEED)
+
+
+@register("tokenise", f"""WITH {SQL_COHORT.replace("cohort AS (", "cohort_unused AS (")},
+cohort AS (SELECT doc_id AS id, text FROM documents), {SQL_TOKENS}
+SELECT id, unnest(range(len(t))) AS pos, unnest(t) AS token FROM toks""")
+def q_tokenise(spark, sf_dir):
+    docs = T.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return TX.token_positions(TX.doc_tokens(docs)).select("id", F.col("pos").cast("long").alias("pos"), "token")
+
+
+@register("token_counts", f"WITH {SQL_COHORT}, {SQL_TOKENS} SELECT id, token, tf, n_tok FROM tfs")
+def q_token_counts(spark, sf_dir):
+    return TX.token_counts(TX.doc_tokens(cohort_df(spark, sf_dir)))
+
+
+@register("nb_fit", f"WITH {SQL_NB} SELECT fold, token, c0, c1, round(w, 6) AS w, round(mean_x, 6) AS mean_x FROM wt")
+def q_nb_fit(spark, sf_dir):
+    w = fitted(spark, sf_dir).weights
+    return w.select("fold", "token", F.col("c0").cast("double").alias("c0"), F.col("c1").cast("double").alias("c1"),
+                    r6("w"), r6("mean_x"))
+
+
+@register("nb_prior", f"WITH {SQL_NB} SELECT fold, n0, n1, round(prior, 6) AS prior, round(mean_shift, 6) AS mean_shift FROM prio")
+def q_nb_prior(spark, sf_dir):
+    p = fitted(spark, sf_dir).priors
+    return p.select("fold", "n0", "n1", r6("prior"), r6("mean_shift"))
+
+
+@register("nb_score", f"WITH {SQL_NB}, {sql_scored('test')} SELECT fold, id, label, round(logit, 6) AS logit, round(prob, 6) AS prob FROM scored_test")
+def q_nb_score(spark, sf_dir):
+    return WF.score_split(fitted(spark, sf_dir), "test").select("fold", "id", "label", r6("logit"), r6("prob"))
+
+
+@register("argmax_pearson", f"""WITH {SQL_NB}, {sql_scored('vali')},
+am AS (SELECT fold, label, CASE WHEN prob > 1.0 - prob THEN 1 ELSE 0 END AS pred FROM scored_vali),
+{sql_pearson('am', 'fold', 'pred', 'label')}
+SELECT fold, round(pearson, 6) AS pearson FROM pear""")
+def q_argmax_pearson(spark, sf_dir):
+    return WF.validation_pearson(fitted(spark, sf_dir)).select("fold", r6("pearson"))
+
+
+@register("pred_truth_join", f"WITH {SQL_PREDS} SELECT fold, id, truth, round(pred, 6) AS pred FROM preds")
+def q_pred_truth(spark, sf_dir):
+    p = WF.scaled_predictions(fitted(spark, sf_dir))
+    return p.select("fold", "id", F.col("label").alias("truth"), r6("pred"))
+
+
+@register("fold_report", f"""WITH {SQL_PREDS}, {sql_hist('preds', 6)}, {sql_pearson('preds')},
+m AS (SELECT auc.fold, auroc, auprc, pearson FROM auc JOIN pear ON auc.fold = pear.fold), {sql_report('m')}
+SELECT fold, round(auroc, 6) AS auroc, round(auprc, 6) AS auprc, round(pearson, 6) AS pearson FROM report""")
+def q_fold_report(spark, sf_dir):
+    rep = WF.fold_report(cohort_df(spark, sf_dir), folds=FOLDS, seed=SEED, digits=6)
+    return rep.select("fold", r6("auroc"), r6("auprc"), r6("pearson"))

@@ -75,3 +75,21 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 
 def read_table_at(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def materialize(df: DataFrame, name: str, partition_by: Sequence[str] | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet under the session's shared checkpoint folder and read it back.
+
+    Used where a result is consumed by several later stages (split assignment, token counts,
+    model tables): it cuts the lineage (recovery after a lost executor restarts from the written
+    table, not from the raw text), keeps query plans small, and gives the optimizer real sizes.
+    """
+    from textcohort.session import scratch_path
+
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
+    return spark.read.parquet(path)
