@@ -479,3 +479,174 @@ SELECT fold, round(auroc, 6) AS auroc, round(auprc, 6) AS auprc, round(pearson,
 def q_fold_report(spark, sf_dir):
     rep = WF.fold_report(cohort_df(spark, sf_dir), folds=FOLDS, seed=SEED, digits=6)
     return rep.select("fold", r6("auroc"), r6("auprc"), r6("pearson"))
+
+
+# ----------------------------------------------------------------------------------------------
+# Attribution, consensus, ranked reports
+# ----------------------------------------------------------------------------------------------
+
+from textcohort.operators import attribution as AT  # noqa: E402
+from textcohort.operators import consensus as CS  # noqa: E402
+from textcohort.operators import report as RP  # noqa: E402
+from textcohort.plans.examples import EXAMPLE_FOLD, EXAMPLE_PICKS  # noqa: E402
+
+SQL_ATTR = SQL_NB + "," + sql_scored("test") + """,
+occp AS (SELECT id, unnest(range(len(t))) AS pos, unnest(t) AS token FROM toks),
+occr AS (SELECT r.fold, r.id, o.pos, o.token, l.n_tok FROM rows_test r JOIN occp o ON r.id = o.id JOIN lens l ON r.id = l.id),
+occw AS (SELECT occr.*, coalesce(wt.w, 0.0) AS w, coalesce(wt.mean_x, 0.0) AS mean_x
+         FROM occr LEFT JOIN wt ON wt.fold = occr.fold AND wt.token = occr.token),
+occt AS (SELECT *, count(*) OVER (PARTITION BY fold, id, token) AS tf FROM occw),
+attr_tok AS (SELECT fold, id, pos, token, w * (tf / CAST(n_tok AS DOUBLE) - mean_x) / tf AS phi,
+                    w * mean_x / tf AS wm FROM occt),
+attr_base AS (SELECT r.fold, r.id, CAST(-1 AS BIGINT) AS pos, '' AS token, coalesce(pr.s, 0.0) - p.mean_shift AS phi
+  FROM rows_test r LEFT JOIN (SELECT fold, id, sum(wm) AS s FROM attr_tok GROUP BY fold, id) pr
+    ON pr.fold = r.fold AND pr.id = r.id JOIN prio p ON p.fold = r.fold),
+attr AS (SELECT fold, id, pos, token, phi FROM attr_tok UNION ALL SELECT fold, id, pos, token, phi FROM attr_base),
+attr0 AS (SELECT fold, id, pos, token, -phi AS phi FROM attr),
+words AS (SELECT *, CASE WHEN lower(replace(token, ' ', '')) = 'i' THEN 'I' ELSE lower(replace(token, ' ', '')) END AS word
+          FROM attr0),
+cons AS (SELECT word, count(*) AS count, avg(phi) AS shap_avg FROM words GROUP BY word),
+n_ex AS (SELECT count(*) AS n FROM (SELECT DISTINCT fold, id FROM attr0)),
+top0 AS (SELECT word, count, shap_avg FROM cons WHERE count * 10 >= (SELECT n FROM n_ex)),
+top1 AS (SELECT *, row_number() OVER (ORDER BY word) AS rn, count(*) OVER () AS n FROM top0),
+top AS (SELECT word, count, shap_avg FROM top1 WHERE rn > 10 AND rn <= n - 3)"""
+
+
+class Attributed:
+    def __init__(self, spark, sf_dir):
+        from textcohort.sources.io import materialize
+        self.m = fitted(spark, sf_dir)
+        rows = self.m.split.filter(F.col("split") == "test").select("fold", "id", "label")
+        self.rows = rows
+        self.attr1 = materialize(AT.linear_attribution(rows, self.m.tokens, self.m.lengths, self.m.weights,
+                                                       self.m.priors, target_class=1), "attr1")
+        self.attr0 = self.attr1.withColumn("phi", -F.col("phi"))
+
+
+def attributed(spark, sf_dir) -> Attributed:
+    return Attributed(spark, sf_dir)
+
+
+def min_count_of(attr) -> int:
+    """10 % of the attributed examples (rounded up), i.e. ``count * 10 >= examples``."""
+    n = attr.select("fold", "id").distinct().count()
+    return -(-n // 10)
+
+
+@register("token_attribution", f"WITH {SQL_ATTR} SELECT fold, id, pos, token, round(phi, 6) AS phi FROM attr")
+def q_token_attribution(spark, sf_dir):
+    a = attributed(spark, sf_dir).attr1
+    return a.select("fold", "id", F.col("pos").cast("long").alias("pos"), "token", r6("phi"))
+
+
+@register("attribution_sum_check", f"""WITH {SQL_ATTR}
+SELECT a.fold, a.id, round(sum(a.phi) - (s.logit - p.prior - p.mean_shift), 6) AS residual
+FROM attr a JOIN scored_test s ON a.fold = s.fold AND a.id = s.id JOIN prio p ON p.fold = a.fold
+GROUP BY a.fold, a.id, s.logit, p.prior, p.mean_shift""")
+def q_attr_sum(spark, sf_dir):
+    at = attributed(spark, sf_dir)
+    scored = M.nb_score(at.rows, at.m.counts, at.m.lengths, at.m.weights, at.m.priors)
+    tot = at.attr1.groupBy("fold", "id").agg(F.sum("phi").alias("_s"))
+    j = tot.join(scored.select("fold", "id", "logit"), ["fold", "id"]).join(at.m.priors, "fold")
+    return j.select("fold", "id", F.round(F.col("_s") - (F.col("logit") - F.col("prior") - F.col("mean_shift")), 6)
+                    .alias("residual"))
+
+
+@register("token_occlusion", f"""WITH {SQL_ATTR},
+occl AS (SELECT o.fold, o.id, o.pos, o.token, s.logit, p.prior, CAST(o.n_tok AS DOUBLE) AS n, o.w
+         FROM occw o JOIN scored_test s ON o.fold = s.fold AND o.id = s.id JOIN prio p ON p.fold = o.fold)
+SELECT fold, id, pos, token, round(1.0 / (1.0 + exp(-logit)) - 1.0 / (1.0 + exp(-(CASE WHEN n > 1 THEN
+  prior + (n * (logit - prior) - w) / (n - 1) ELSE prior END))), 6) AS phi FROM occl""")
+def q_occlusion(spark, sf_dir):
+    m = fitted(spark, sf_dir)
+    rows = m.split.filter(F.col("split") == "test").select("fold", "id", "label")
+    scored = M.nb_score(rows, m.counts, m.lengths, m.weights, m.priors)
+    a = AT.occlusion_attribution(rows, m.tokens, m.lengths, m.weights, scored, m.priors)
+    return a.select("fold", "id", F.col("pos").cast("long").alias("pos"), "token", r6("phi"))
+
+
+@register("attribution_store", f"WITH {SQL_ATTR} SELECT fold, id, pos, token, round(phi, 6) AS phi FROM attr")
+def q_attr_store(spark, sf_dir):
+    from textcohort.session import scratch_path
+    from textcohort.sources.io import read_attributions, write_attributions
+    a = attributed(spark, sf_dir).attr1
+    path = write_attributions(a, scratch_path(spark, "attribution-store"))
+    back = read_attributions(spark, path)
+    return back.select(F.col("fold").cast("int").alias("fold"), "id", F.col("pos").cast("long").alias("pos"),
+                       "token", r6("phi"))
+
+
+@register("normalise_word", f"WITH {SQL_ATTR} SELECT DISTINCT token, word FROM words")
+def q_normalise_word(spark, sf_dir):
+    return CS.with_words(attributed(spark, sf_dir).attr0).select("token", "word").distinct()
+
+
+@register("word_count", f"WITH {SQL_ATTR} SELECT word, count(*) AS count FROM words GROUP BY word")
+def q_word_count(spark, sf_dir):
+    return CS.word_count(attributed(spark, sf_dir).attr0)
+
+
+@register("consensus", f"WITH {SQL_ATTR} SELECT word, count, round(shap_avg, 6) AS shap_avg FROM cons")
+def q_consensus(spark, sf_dir):
+    return CS.consensus(attributed(spark, sf_dir).attr0).select("word", "count", r6("shap_avg"))
+
+
+@register("consensus_raw", f"""WITH {SQL_ATTR}
+SELECT word, fold, id, string_agg(printf('%.2f', phi), '_' ORDER BY pos) AS raw FROM words GROUP BY word, fold, id""")
+def q_consensus_raw(spark, sf_dir):
+    return CS.consensus_raw(attributed(spark, sf_dir).attr0)
+
+
+@register("consensus_top", f"WITH {SQL_ATTR} SELECT word, count, round(shap_avg, 6) AS shap_avg FROM top")
+def q_consensus_top(spark, sf_dir):
+    a = attributed(spark, sf_dir).attr0
+    return CS.consensus_top(CS.consensus(a), min_count_of(a)).select("word", "count", r6("shap_avg"))
+
+
+@register("consensus_abs", f"WITH {SQL_ATTR} SELECT word, count, round(abs(shap_avg), 6) AS shap_avg FROM top")
+def q_consensus_abs(spark, sf_dir):
+    a = attributed(spark, sf_dir).attr0
+    return CS.consensus_abs(CS.consensus_top(CS.consensus(a), min_count_of(a))).select("word", "count", r6("shap_avg"))
+
+
+@register("consensus_letters", f"""WITH {SQL_ATTR}
+SELECT word, count, round(shap_avg, 6) AS shap_avg FROM top0 WHERE regexp_full_match(word, '\\p{{L}}+')""")
+def q_consensus_letters(spark, sf_dir):
+    a = attributed(spark, sf_dir).attr0
+    return CS.consensus_letters(CS.consensus(a), min_count_of(a)).select("word", "count", r6("shap_avg"))
+
+
+SQL_RANK_TEST = SQL_PREDS + """,
+rk AS (SELECT fold, id, truth AS label,
+  CASE WHEN count(*) OVER (PARTITION BY fold) > 1 THEN
+    (row_number() OVER (PARTITION BY fold ORDER BY pred, id) - 1) / CAST(count(*) OVER (PARTITION BY fold) - 1 AS DOUBLE)
+  ELSE CAST('NaN' AS DOUBLE) END AS rank FROM preds)"""
+
+
+def ranked_test(spark, sf_dir, m=None):
+    m = m or fitted(spark, sf_dir)
+    p = WF.scaled_predictions(m)
+    return S.rank_normalise(p, ["fold"], "pred", "id", out="rank").select("fold", "id", "label", "rank")
+
+
+@register("ranked_listing", f"""WITH {SQL_RANK_TEST},
+o AS (SELECT *, row_number() OVER (PARTITION BY fold, label ORDER BY
+        CASE WHEN label = 1 THEN -rank ELSE rank END, CASE WHEN label = 1 THEN -id ELSE id END) - 1 AS k FROM rk)
+SELECT fold, label, k, id, round(rank, 6) AS rank FROM o WHERE k < 5""")
+def q_ranked_listing(spark, sf_dir):
+    r = ranked_test(spark, sf_dir)
+    pos = RP.ranked_listing(r, 1, 5, descending=True)
+    neg = RP.ranked_listing(r, 0, 5, descending=False)
+    return pos.unionByName(neg).select("fold", "label", F.col("k").cast("long").alias("k"), "id", r6("rank"))
+
+
+@register("nth_by_rank", f"""WITH {SQL_RANK_TEST},
+o AS (SELECT *, row_number() OVER (PARTITION BY fold, label ORDER BY
+        CASE WHEN label = 1 THEN -rank ELSE rank END, CASE WHEN label = 1 THEN -id ELSE id END) - 1 AS k FROM rk)
+SELECT fold, label, k, id, round(rank, 6) AS rank FROM o
+WHERE (label = 1 AND k IN (6, 24)) OR (label = 0 AND k IN (0, 2, 9, 10))""")
+def q_nth_by_rank(spark, sf_dir):
+    r = ranked_test(spark, sf_dir)
+    pos = RP.nth_by_rank(r, 1, [6, 24], descending=True)
+    neg = RP.nth_by_rank(r, 0, [0, 2, 9, 10], descending=False)
+    return pos.unionByName(neg).select("fold", "label", F.col("k").cast("long").alias("k"), "id", r6("rank"))
