@@ -650,3 +650,98 @@ def q_nth_by_rank(spark, sf_dir):
     pos = RP.nth_by_rank(r, 1, [6, 24], descending=True)
     neg = RP.nth_by_rank(r, 0, [0, 2, 9, 10], descending=False)
     return pos.unionByName(neg).select("fold", "label", F.col("k").cast("long").alias("k"), "id", r6("rank"))
+
+
+# ----------------------------------------------------------------------------------------------
+# Example table, text helpers
+# ----------------------------------------------------------------------------------------------
+
+from textcohort.functions import text as FT  # noqa: E402
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def sql_clean(expr: str, rules, strip: str = "both") -> str:
+    for old, new in rules:
+        expr = f"replace({expr}, {_sql_str(old)}, {_sql_str(new)})"
+    if strip == "both":
+        expr = f"regexp_replace({expr}, '^\\s+|\\s+$', '', 'g')"
+    elif strip == "right":
+        expr = f"regexp_replace({expr}, '\\s+$', '', 'g')"
+    return expr
+
+
+def sql_example(fold: int, picks) -> str:
+    parts = []
+    for i, p in enumerate(picks):
+        stop = ", ".join(_sql_str(s) for s in p.stop)
+        text = sql_clean("c.text", p.rules, p.strip)
+        if p.trim_chars:
+            text = f"CASE WHEN length({text}) > {p.trim_chars} THEN substr({text}, 1, length({text}) - {p.trim_chars}) ELSE '' END"
+        vals = f"coalesce((SELECT list(round_even(a.phi, 3) + 0.0 ORDER BY a.pos) FROM attr a WHERE a.fold = o.fold AND a.id = o.id AND a.token NOT IN ({stop})), [])"
+        if p.trim_items:
+            vals = f"list_slice({vals}, 1, greatest(len({vals}) - {p.trim_items}, 0))"
+        parts.append(f"""SELECT o.label AS gt, round_even(o.rank, 3) AS pred, {text} AS text,
+  array_to_string(list_transform({vals}, lambda x: CAST(x AS VARCHAR)), ' ') AS shap, {i} AS pick
+FROM ko o JOIN cohort c ON c.id = o.id WHERE o.fold = {fold} AND o.label = {p.label} AND o.k = {p.k}""")
+    return "\nUNION ALL\n".join(parts)
+
+
+SQL_EXAMPLE_BASE = SQL_ATTR + "," + sql_scored("vali").replace("rows_vali", "rows_v2") + """,
+pmm AS (SELECT fold, min(prob) AS lo, max(prob) AS hi FROM scored_test GROUP BY fold),
+preds AS (SELECT s.fold, s.id, s.label AS truth,
+    round(CASE WHEN hi <> lo THEN (prob - lo) / (hi - lo) ELSE CAST('NaN' AS DOUBLE) END, 9) AS pred
+  FROM scored_test s JOIN pmm ON s.fold = pmm.fold),
+rk AS (SELECT fold, id, truth AS label,
+  CASE WHEN count(*) OVER (PARTITION BY fold) > 1 THEN
+    (row_number() OVER (PARTITION BY fold ORDER BY pred, id) - 1) / CAST(count(*) OVER (PARTITION BY fold) - 1 AS DOUBLE)
+  ELSE CAST('NaN' AS DOUBLE) END AS rank FROM preds),
+ko AS (SELECT *, row_number() OVER (PARTITION BY fold, label ORDER BY
+        CASE WHEN label = 1 THEN -rank ELSE rank END, CASE WHEN label = 1 THEN -id ELSE id END) - 1 AS k FROM rk)"""
+
+
+@register("example_report", f"WITH {SQL_EXAMPLE_BASE} {sql_example(EXAMPLE_FOLD, EXAMPLE_PICKS)}")
+def q_example_report(spark, sf_dir):
+    at = attributed(spark, sf_dir)
+    ranked = ranked_test(spark, sf_dir, at.m)
+    texts = at.m.cohort.select("id", "text")
+    return RP.example_report(ranked, texts, at.attr1, EXAMPLE_FOLD, EXAMPLE_PICKS)
+
+
+@register("clean_text", f"WITH {SQL_COHORT} SELECT id, {sql_clean('text', FT.CLEAN_RULES_BASE)} AS text FROM cohort")
+def q_clean_text(spark, sf_dir):
+    c = cohort_df(spark, sf_dir)
+    return c.select("id", FT.clean_text(F.col("text")).alias("text"))
+
+
+@register("word_token_check", f"""WITH {SQL_COHORT}, {SQL_TOKENS},
+cl AS (SELECT c.id, {sql_clean('c.text', FT.CLEAN_RULES_BASE)} AS text, l.n_tok FROM cohort c JOIN lens l ON c.id = l.id)
+SELECT id, CAST(len(string_split(text, ' ')) AS INTEGER) AS n_words, n_tok AS n_tokens,
+       len(string_split(text, ' ')) = n_tok AS consistent FROM cl""")
+def q_word_token_check(spark, sf_dir):
+    c = cohort_df(spark, sf_dir)
+    cl = c.select("id", FT.clean_text(F.col("text")).alias("text"))
+    toks = TX.doc_tokens(c)
+    j = cl.join(toks, "id")
+    return TX.word_token_check(j).select("id", "n_words", "n_tokens", "consistent")
+
+
+@register("trim_tail", f"""WITH {SQL_COHORT}, {SQL_TOKENS}
+SELECT c.id, CASE WHEN length(c.text) > 3 THEN substr(c.text, 1, length(c.text) - 3) ELSE '' END AS text,
+       CAST(greatest(len(t.t) - 1, 0) AS INTEGER) AS n_tokens
+FROM cohort c JOIN toks t ON c.id = t.id""")
+def q_trim_tail(spark, sf_dir):
+    c = cohort_df(spark, sf_dir)
+    toks = TX.doc_tokens(c)
+    return c.join(toks, "id").select("id", FT.trim_tail_chars(F.col("text"), 3).alias("text"),
+                                     F.size(FT.trim_tail_items(F.col("tokens"), 1)).alias("n_tokens"))
+
+
+@register("token_stoplist", f"""WITH {SQL_ATTR}
+SELECT fold, id, CAST(count(*) FILTER (WHERE token NOT IN ({", ".join(_sql_str(s) for s in RP.STOP_BASE)})) AS INTEGER) AS n_kept,
+       CAST(count(*) FILTER (WHERE token IN ({", ".join(_sql_str(s) for s in RP.STOP_BASE)})) AS INTEGER) AS n_dropped
+FROM attr GROUP BY fold, id""")
+def q_token_stoplist(spark, sf_dir):
+    return RP.stoplist_tokens(attributed(spark, sf_dir).attr1, RP.STOP_BASE)
