@@ -745,3 +745,106 @@ SELECT fold, id, CAST(count(*) FILTER (WHERE token NOT IN ({", ".join(_sql_str(s
 FROM attr GROUP BY fold, id""")
 def q_token_stoplist(spark, sf_dir):
     return RP.stoplist_tokens(attributed(spark, sf_dir).attr1, RP.STOP_BASE)
+
+
+# ----------------------------------------------------------------------------------------------
+# Sources / sinks, stores, pluggable scorer, Spark ML classifier, row index
+# ----------------------------------------------------------------------------------------------
+
+from textcohort.operators import index as IX  # noqa: E402
+from textcohort.operators import ml as ML  # noqa: E402
+from textcohort.operators import scorer as SC  # noqa: E402
+from textcohort.session import scratch_path  # noqa: E402
+from textcohort.sources import io as IO  # noqa: E402
+
+
+@register("tsv_roundtrip", f"WITH {SQL_COHORT} SELECT CAST(code AS DOUBLE) AS label, text AS comment, id FROM cohort")
+def q_tsv_roundtrip(spark, sf_dir):
+    c = cohort_df(spark, sf_dir).select(F.col("code").cast("double").alias("label"),
+                                        F.col("text").alias("comment"), "id")
+    path = IO.write_delimited(c, scratch_path(spark, "cohort-tsv"), sep="\t")
+    back = IO.read_delimited(spark, path, sep="\t", columns=["label", "comment", "id"],
+                             casts={"label": "double", "id": "long"})
+    return back
+
+
+@register("csv_roundtrip", f"WITH {SQL_ATTR} SELECT word, count, round(abs(shap_avg), 6) AS shap_avg FROM top")
+def q_csv_roundtrip(spark, sf_dir):
+    a = attributed(spark, sf_dir).attr0
+    tbl = CS.consensus_abs(CS.consensus_top(CS.consensus(a), min_count_of(a)))
+    path = IO.write_delimited(tbl, scratch_path(spark, "consensus-csv"), sep=",")
+    back = IO.read_delimited(spark, path, sep=",", columns=["word", "count", "shap_avg"],
+                             casts={"count": "long", "shap_avg": "double"})
+    return back.select("word", "count", r6("shap_avg"))
+
+
+@register("fold_report_text", f"""WITH {SQL_PREDS}, {sql_hist('preds', 6)}, {sql_pearson('preds')},
+m AS (SELECT auc.fold, auroc, auprc, pearson FROM auc JOIN pear ON auc.fold = pear.fold), {sql_report('m')}
+SELECT fold, printf('%.3f', auroc) AS auroc, printf('%.3f', auprc) AS auprc, printf('%.3f', pearson) AS pearson FROM report""")
+def q_fold_report_text(spark, sf_dir):
+    rep = WF.fold_report(cohort_df(spark, sf_dir), folds=FOLDS, seed=SEED, digits=6)
+    return S.format_report(rep)
+
+
+@register("pred_store", f"WITH {SQL_PREDS} SELECT fold, 0 AS seed, id, round(pred, 6) AS pred FROM preds")
+def q_pred_store(spark, sf_dir):
+    p = WF.scaled_predictions(fitted(spark, sf_dir)).select("fold", F.lit(SEED).alias("seed"), "id", "pred")
+    path = IO.write_predictions(p, scratch_path(spark, "pred-store"))
+    back = IO.read_predictions(spark, path)
+    return back.select(F.col("fold").cast("int").alias("fold"), F.col("seed").cast("int").alias("seed"), "id", r6("pred"))
+
+
+@register("model_roundtrip", f"WITH {SQL_NB}, {sql_scored('test')} SELECT fold, id, label, round(prob, 6) AS prob FROM scored_test")
+def q_model_roundtrip(spark, sf_dir):
+    m = fitted(spark, sf_dir)
+    wp = IO.write_table(m.weights, scratch_path(spark, "nb-model-weights"))
+    pp = IO.write_table(m.priors, scratch_path(spark, "nb-model-priors"))
+    w, p = IO.read_table_at(spark, wp), IO.read_table_at(spark, pp)
+    rows = m.split.filter(F.col("split") == "test").select("fold", "id", "label")
+    return M.nb_score(rows, m.counts, m.lengths, w, p).select("fold", "id", "label", r6("prob"))
+
+
+@register("score_map_in_pandas", f"WITH {SQL_NB}, {sql_scored('test')} SELECT fold, id, label, round(prob, 6) AS prob FROM scored_test")
+def q_score_map_in_pandas(spark, sf_dir):
+    m = fitted(spark, sf_dir)
+    wp = IO.write_table(m.weights, scratch_path(spark, "nb-model-weights"))
+    pp = IO.write_table(m.priors, scratch_path(spark, "nb-model-priors"))
+    rows = m.split.filter(F.col("split") == "test").select("fold", "id", "label")
+    scored = SC.score_with(SC.texts_for(rows, m.cohort), SC.nb_scorer_factory(wp, pp))
+    return scored.select("fold", "id", "label", r6("prob"))
+
+
+@register("row_index", f"WITH {SQL_COHORT} SELECT id, row_number() OVER (ORDER BY id) - 1 AS row_idx FROM cohort")
+def q_row_index(spark, sf_dir):
+    return IX.row_index(cohort_df(spark, sf_dir).select("id"), ["id"])
+
+
+def _lr_models(spark, sf_dir):
+    m = fitted(spark, sf_dir)
+    train = m.balanced.join(m.cohort.select("id", "text"), "id")
+    return m, ML.lr_fit(train, list(range(FOLDS)))
+
+
+@register("lr_score")
+def q_lr_score(spark, sf_dir):
+    m, models = _lr_models(spark, sf_dir)
+    rows = SC.texts_for(m.split.filter(F.col("split") == "test").select("fold", "id", "label"), m.cohort)
+    return ML.lr_score(models, rows)
+
+
+@register("lr_fold_report")
+def q_lr_report(spark, sf_dir):
+    m, models = _lr_models(spark, sf_dir)
+    rows = SC.texts_for(m.split.filter(F.col("split") == "test").select("fold", "id", "label"), m.cohort)
+    p = S.minmax_scale(ML.lr_score(models, rows), ["fold"], score="prob", out="pred")
+    met = S.fold_metrics(p.withColumnRenamed("label", "truth"), ["fold"], "pred", "truth", 6)
+    return S.fold_report(met)
+
+
+@register("model_roundtrip_lr")
+def q_lr_roundtrip(spark, sf_dir):
+    m, models = _lr_models(spark, sf_dir)
+    paths = ML.save_models(models, scratch_path(spark, "lr-models"))
+    loaded = ML.load_models(paths)
+    rows = SC.texts_for(m.split.filter(F.col("split") == "test").select("fold", "id", "label"), m.cohort)
+    return ML.lr_score(loaded, rows)
