@@ -44,22 +44,28 @@ def nb_fit(balanced: DataFrame, counts: DataFrame, alpha: float = 1.0, fold_col:
         F.sum(F.col("mult") * F.col("tf") / F.col("n_tok")).alias("_sx"))
     totals = per_token.groupBy(fold_col).agg(F.sum("c1").alias("_C1"), F.sum("c0").alias("_C0"),
                                              F.count(F.lit(1)).alias("_V"))
-    pri = mult.groupBy(fold_col).agg(
-        F.sum(F.when(F.col("label") == 1, F.col("mult")).otherwise(0)).alias("n1"),
-        F.sum(F.when(F.col("label") == 0, F.col("mult")).otherwise(0)).alias("n0"),
-        F.sum("mult").alias("_m"))
+    rows_per_fold = mult.groupBy(fold_col).agg(F.sum("mult").alias("_m"))
     a = F.lit(float(alpha))
-    # totals and pri hold one row per fold (folds are a parameter): bounded broadcasts
-    w = (per_token.join(F.broadcast(totals), fold_col).join(F.broadcast(pri.select(fold_col, "_m")), fold_col)
+    # totals and rows_per_fold hold one row per fold (folds are a parameter): bounded broadcasts
+    w = (per_token.join(F.broadcast(totals), fold_col).join(F.broadcast(rows_per_fold), fold_col)
          .withColumn("w", F.log((F.col("c1") + a) / (F.col("_C1") + a * F.col("_V")))
                      - F.log((F.col("c0") + a) / (F.col("_C0") + a * F.col("_V"))))
          .withColumn("mean_x", F.col("_sx") / F.col("_m"))
          .select(fold_col, "token", "c0", "c1", "w", "mean_x"))
-    shift = w.groupBy(fold_col).agg(F.sum(F.col("w") * F.col("mean_x")).alias("mean_shift"))
+    return w, nb_priors(balanced, w, fold_col)
+
+
+def nb_priors(balanced: DataFrame, weights: DataFrame, fold_col: str = "fold") -> DataFrame:
+    """``(fold, n0, n1, prior, mean_shift)`` from the train rows and a (written) weight table."""
+    mult = train_multiplicity(balanced, fold_col)
+    pri = mult.groupBy(fold_col).agg(
+        F.sum(F.when(F.col("label") == 1, F.col("mult")).otherwise(0)).alias("n1"),
+        F.sum(F.when(F.col("label") == 0, F.col("mult")).otherwise(0)).alias("n0"))
+    shift = weights.groupBy(fold_col).agg(F.sum(F.col("w") * F.col("mean_x")).alias("mean_shift"))
     prior = F.when((F.col("n1") > 0) & (F.col("n0") > 0), F.log(F.col("n1") / F.col("n0"))).otherwise(nan())
-    priors = pri.select(fold_col, "n0", "n1", prior.alias("prior")).join(shift, fold_col, "left") \
-                .withColumn("mean_shift", F.coalesce("mean_shift", F.lit(0.0)))
-    return w, priors
+    return (pri.select(fold_col, "n0", "n1", prior.alias("prior"))
+               .join(shift, fold_col, "left")
+               .withColumn("mean_shift", F.coalesce("mean_shift", F.lit(0.0))))
 
 
 def nb_score(rows: DataFrame, counts: DataFrame, lengths: DataFrame, weights: DataFrame,
@@ -87,4 +93,4 @@ def prior_logit(n1: float, n0: float) -> float:
     return math.log(n1 / n0) if n1 > 0 and n0 > 0 else float("nan")
 
 
-__all__ = ["train_multiplicity", "nb_fit", "nb_score", "class_probabilities", "safe_div", "prior_logit"]
+__all__ = ["train_multiplicity", "nb_fit", "nb_priors", "nb_score", "class_probabilities", "safe_div", "prior_logit"]

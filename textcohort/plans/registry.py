@@ -252,12 +252,19 @@ def cohort_df(spark, sf_dir):
     return C.build_cohort(survey(spark, sf_dir), lang_needle=LANG, pos_codes=POS_CODES, neg_code=NEG_CODE)
 
 
+def cohort_keys(spark, sf_dir):
+    """``(id, label)`` of the cohort, written once (the text filter is evaluated once)."""
+    from textcohort.sources.io import materialize
+    return materialize(cohort_df(spark, sf_dir).select("id", "label"), "cohort-keys")
+
+
 def split_df(spark, sf_dir):
-    return SP.split_assign(cohort_df(spark, sf_dir), folds=FOLDS, seed=SEED)
+    return SP.split_assign(cohort_keys(spark, sf_dir), folds=FOLDS, seed=SEED)
 
 
 def balanced_df(spark, sf_dir):
-    return SP.oversample(split_df(spark, sf_dir), seed=SEED)
+    from textcohort.sources.io import materialize
+    return SP.oversample(materialize(split_df(spark, sf_dir), "split"), seed=SEED)
 
 
 @register("filter_substring", f"WITH {SQL_SURVEY} SELECT id, unique_id FROM survey WHERE contains(unique_id, 'en')")

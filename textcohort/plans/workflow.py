@@ -15,36 +15,47 @@ from textcohort.operators import model as M
 from textcohort.operators import scoring as S
 from textcohort.operators import split as SP
 from textcohort.operators import text as TX
+from textcohort.functions.text import tokenise
 from textcohort.sources.io import materialize
 
 
 @dataclass
 class FittedFolds:
-    cohort: DataFrame
+    cohort: DataFrame      # (id, code, label, text) — raw text, read again only for reports
+    docs: DataFrame        # (id, code, label, n_tok, tokens) — written once
     split: DataFrame
     balanced: DataFrame
-    tokens: DataFrame
+    tokens: DataFrame      # (id, tokens) view of docs
     counts: DataFrame
-    lengths: DataFrame
+    lengths: DataFrame     # (id, n_tok) view of docs (two narrow columns)
     weights: DataFrame
     priors: DataFrame
 
 
+def tokenised_docs(cohort: DataFrame) -> DataFrame:
+    """The one pass over the raw text: ``(id, code, label, n_tok, tokens)``, written once."""
+    toks = cohort.select("id", "code", "label", tokenise(F.col("text")).alias("tokens"))
+    return materialize(toks.withColumn("n_tok", F.size("tokens"))
+                           .select("id", "code", "label", "n_tok", "tokens"), "cohort-tokens")
+
+
 def fit_folds(cohort: DataFrame, folds: int = 10, seed: int = 0, alpha: float = 1.0) -> FittedFolds:
     """Split, balance, tokenise and fit every fold.
 
-    The results that several later stages read (split assignment, token counts, model tables)
-    are written once to the shared checkpoint folder (``materialize``).
+    The raw text is scanned once (``tokenised_docs``); the split reads only ``(id, label)`` and
+    the model reads token counts.  Results that several later stages read (split assignment,
+    balanced rows, token counts, model tables) are written once to the shared checkpoint folder.
     """
-    split = materialize(SP.split_assign(cohort, folds=folds, seed=seed), "split")
+    docs = tokenised_docs(cohort)
+    split = materialize(SP.split_assign(docs.select("id", "label"), folds=folds, seed=seed), "split")
     balanced = materialize(SP.oversample(split, seed=seed), "balanced")
-    tokens = TX.doc_tokens(cohort)
+    tokens = docs.select("id", "tokens")
     counts = materialize(TX.token_counts(tokens), "token-counts")
-    lengths = materialize(TX.doc_lengths(tokens), "doc-lengths")
-    weights, priors = M.nb_fit(balanced, counts, alpha=alpha)
+    lengths = docs.select("id", "n_tok")
+    weights, _ = M.nb_fit(balanced, counts, alpha=alpha)
     weights = materialize(weights, "nb-weights")
-    priors = materialize(priors, "nb-priors")
-    return FittedFolds(cohort, split, balanced, tokens, counts, lengths, weights, priors)
+    priors = materialize(M.nb_priors(balanced, weights), "nb-priors")
+    return FittedFolds(cohort, docs, split, balanced, tokens, counts, lengths, weights, priors)
 
 
 def score_split(m: FittedFolds, which: str = "test") -> DataFrame:
