@@ -65,10 +65,13 @@ def score_split(m: FittedFolds, which: str = "test") -> DataFrame:
 
 
 def scaled_predictions(m: FittedFolds, which: str = "test", round_digits: int = 9) -> DataFrame:
-    """Per-fold min-max scaled class-1 probability ``pred`` (rounded so ties are engine-independent)."""
+    """Per-fold min-max scaled class-1 probability ``pred`` (rounded so ties are engine-independent).
+
+    Written once (the prediction store): AUROC, AUPRC, Pearson, ranks and reports all read it.
+    """
     scored = score_split(m, which)
     scaled = S.minmax_scale(scored, ["fold"], score="prob", out="pred")
-    return scaled.withColumn("pred", F.round("pred", round_digits))
+    return materialize(scaled.withColumn("pred", F.round("pred", round_digits)), f"pred-{which}")
 
 
 def fold_report(cohort: DataFrame, folds: int = 10, seed: int = 0, digits: int = 6,
@@ -80,7 +83,8 @@ def fold_report(cohort: DataFrame, folds: int = 10, seed: int = 0, digits: int =
         short = cohort.filter(F.length("text") < max_chars).select("id")
         preds = preds.join(short, "id", "left_semi")
     metrics = S.fold_metrics(preds.withColumnRenamed("label", "truth"), ["fold"], "pred", "truth", digits)
-    return S.fold_report(metrics)
+    # one row per fold, read by three report branches: write it rather than recompute it
+    return S.fold_report(materialize(metrics, "fold-metrics"))
 
 
 def validation_pearson(m: FittedFolds) -> DataFrame:
