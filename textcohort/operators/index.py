@@ -97,8 +97,9 @@ def ordered_index(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
                   num_partitions: int | None = None, count_out: str | None = None) -> DataFrame:
     """0-based position of each row inside its group in ``order_cols`` order (ascending).
 
-    ``order_cols`` must make the order total (end with a unique id).  Optionally also returns the
-    group size in ``count_out``.
+    ``order_cols`` must make the order total (end with a unique id).  ``group_cols`` are
+    low-cardinality (folds); the per-partition offset table is broadcast.  Optionally also
+    returns the group size in ``count_out``.
     """
     g = list(group_cols)
     spark = df.sparkSession
@@ -117,7 +118,9 @@ def ordered_index(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
     if count_out:
         stats = stats.withColumn(count_out, F.sum("_cnt").over(Window.partitionBy(*g)))
     stats = stats.drop("_cnt")
-    res = numbered.join(stats, ["_pid", *g])
+    # one row per (partition, group): at most num_partitions + #groups rows with groups = folds,
+    # a bound set by configuration, not by the data, so the broadcast is safe
+    res = numbered.join(F.broadcast(stats), ["_pid", *g])
     res = res.withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_first")).cast("long"))
     return res.drop("_pid", "_mid", "_first", "_off")
 

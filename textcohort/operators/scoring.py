@@ -11,7 +11,7 @@ the table size.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -150,11 +150,25 @@ def rank_normalise(df: DataFrame, group_cols: Sequence[str] = ("fold",), score:
     return r.withColumn(out, safe_div(F.col("_pos"), F.col("_n") - 1)).drop("_pos", "_n")
 
 
+MetricFn = Callable[[DataFrame, Sequence[str]], DataFrame]
+
+
+def combine_metrics(df: DataFrame, fns: Sequence[MetricFn], group_cols: Sequence[str] = ("fold",)) -> DataFrame:
+    """Evaluate metric callbacks (each ``(df, group_cols) -> (group..., metric...)``) and join
+    their per-group rows.  Each callback is an aggregation, so the joins are over one row per group."""
+    g = list(group_cols)
+    out = None
+    for fn in fns:
+        r = fn(df, g)
+        out = r if out is None else out.join(r, g, "full")
+    return out
+
+
 def fold_metrics(df: DataFrame, group_cols: Sequence[str] = ("fold",), score: str = "pred",
                  truth: str = "truth", digits: int = 6) -> DataFrame:
     """``(group, auroc, auprc, pearson)`` per fold."""
-    g = list(group_cols)
-    return auc_scores(df, g, score, truth, digits).join(pearson(df, g, score, truth), g, "full")
+    return combine_metrics(df, [lambda d, g: auc_scores(d, g, score, truth, digits),
+                                lambda d, g: pearson(d, g, score, truth)], group_cols)
 
 
 def _nan_aware(fn, c: str):

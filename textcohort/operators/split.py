@@ -55,6 +55,12 @@ def seeded_shuffle(df: DataFrame, seed: int, id_col: str = "id", out: str = "pos
     return hash_index(x, list(group_cols), "_h", id_col, out=out).drop("_h")
 
 
+def shuffle_rows(df: DataFrame, seed: int | None = None) -> DataFrame:
+    """Random row order (order only; the content is unchanged).  With a seed the order is
+    reproducible for a fixed input partitioning."""
+    return df.orderBy(F.rand(seed) if seed is not None else F.rand())
+
+
 DRAW_CHUNK = 1 << 16
 
 

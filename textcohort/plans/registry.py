@@ -789,8 +789,9 @@ def q_csv_roundtrip(spark, sf_dir):
 m AS (SELECT auc.fold, auroc, auprc, pearson FROM auc JOIN pear ON auc.fold = pear.fold), {sql_report('m')}
 SELECT fold, printf('%.3f', auroc) AS auroc, printf('%.3f', auprc) AS auprc, printf('%.3f', pearson) AS pearson FROM report""")
 def q_fold_report_text(spark, sf_dir):
-    rep = WF.fold_report(cohort_df(spark, sf_dir), folds=FOLDS, seed=SEED, digits=6)
-    return S.format_report(rep)
+    rep = S.format_report(WF.fold_report(cohort_df(spark, sf_dir), folds=FOLDS, seed=SEED, digits=6))
+    path = IO.write_report(rep, scratch_path(spark, "score-report"))
+    return IO.read_delimited(spark, path, sep="\t", columns=["fold", "auroc", "auprc", "pearson"])
 
 
 @register("pred_store", f"WITH {SQL_PREDS} SELECT fold, 0 AS seed, id, round(pred, 6) AS pred FROM preds")
@@ -855,3 +856,9 @@ def q_lr_roundtrip(spark, sf_dir):
     loaded = ML.load_models(paths)
     rows = SC.texts_for(m.split.filter(F.col("split") == "test").select("fold", "id", "label"), m.cohort)
     return ML.lr_score(loaded, rows)
+
+
+@register("train_shuffle")
+def q_train_shuffle(spark, sf_dir):
+    """Oversampled train rows in random order (order only: checked by rows)."""
+    return SP.shuffle_rows(balanced_df(spark, sf_dir))

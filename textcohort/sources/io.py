@@ -38,6 +38,12 @@ def write_delimited(df: DataFrame, path: str, sep: str = "\t", mode: str = "over
     return path
 
 
+def write_report(report: DataFrame, path: str, mode: str = "overwrite") -> str:
+    """Score report sink: one small TSV file with a header (the report has a row per fold)."""
+    report.coalesce(1).write.mode(mode).options(**_csv_options("\t")).csv(path)
+    return path
+
+
 def write_predictions(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """Prediction store: ``(fold, seed, id, pred)`` partitioned by fold and seed."""
     df.write.mode(mode).partitionBy("fold", "seed").parquet(path)
