@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from textcohort.functions.text import TOKEN_PATTERN
 
 
-def lr_pipeline(num_features: int = 1 << 18, reg: float = 0.01, max_iter: int = 50) -> Pipeline:
+def lr_pipeline(num_features: int = 1 << 18, reg: float = 0.01, max_iter: int = 20) -> Pipeline:
     tok = RegexTokenizer(inputCol="text", outputCol="tokens", pattern=TOKEN_PATTERN, gaps=False,
                          toLowercase=True)
     tf = HashingTF(inputCol="tokens", outputCol="features", numFeatures=num_features)
@@ -42,6 +42,15 @@ def lr_score(models: dict[int, PipelineModel], rows: DataFrame) -> DataFrame:
     return out
 
 
+def lr_summary(models: dict[int, PipelineModel]) -> list[tuple[int, float, int]]:
+    """``(fold, intercept, non-zero coefficients)`` per fitted fold (small driver-side metadata)."""
+    out = []
+    for f, m in models.items():
+        lr = m.stages[-1]
+        out.append((int(f), float(lr.intercept), int(lr.coefficients.numNonzeros())))
+    return out
+
+
 def save_models(models: dict[int, PipelineModel], base: str) -> dict[int, str]:
     paths = {}
     for f, m in models.items():

@@ -68,16 +68,19 @@ def nb_priors(balanced: DataFrame, weights: DataFrame, fold_col: str = "fold") -
                .withColumn("mean_shift", F.coalesce("mean_shift", F.lit(0.0))))
 
 
-def nb_score(rows: DataFrame, counts: DataFrame, lengths: DataFrame, weights: DataFrame,
+def nb_score(rows: DataFrame, counts: DataFrame, lengths: DataFrame | None, weights: DataFrame,
              priors: DataFrame, fold_col: str = "fold") -> DataFrame:
-    """Add ``logit`` and ``prob`` (class-1 probability) to ``rows`` keyed by ``(fold, id)``."""
+    """Add ``logit`` and ``prob`` (class-1 probability) to ``rows`` keyed by ``(fold, id)``.
+
+    A text without known tokens keeps the prior (left join).  ``lengths`` is unused (the token
+    counts carry ``n_tok``) and kept for signature compatibility.
+    """
     keys = rows.select(fold_col, "id")
     contrib = (keys.join(counts, "id")
                    .join(weights.select(fold_col, "token", "w"), [fold_col, "token"])
                    .groupBy(fold_col, "id")
                    .agg(F.sum(F.col("w") * F.col("tf") / F.col("n_tok")).alias("_s")))
-    out = (rows.join(lengths, "id")
-               .join(contrib, [fold_col, "id"], "left")
+    out = (rows.join(contrib, [fold_col, "id"], "left")
                .join(F.broadcast(priors.select(fold_col, "prior")), fold_col)
                .withColumn("logit", F.col("prior") + F.coalesce(F.col("_s"), F.lit(0.0)))
                .withColumn("prob", sigmoid(F.col("logit"))))

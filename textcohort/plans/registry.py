@@ -862,3 +862,29 @@ def q_lr_roundtrip(spark, sf_dir):
 def q_train_shuffle(spark, sf_dir):
     """Oversampled train rows in random order (order only: checked by rows)."""
     return SP.shuffle_rows(balanced_df(spark, sf_dir))
+
+
+@register("auprc", f"WITH {SQL_SCORED}, {sql_hist('scaled', 5)} SELECT fold, round(auprc, 6) AS auprc FROM auc")
+def q_auprc(spark, sf_dir):
+    return S.auc_scores(scaled_scores(spark, sf_dir), ["fold"], "pred", "truth", digits=5).select("fold", r6("auprc"))
+
+
+@register("attribution_union", f"""WITH {SQL_ATTR}
+SELECT fold, count(*) AS n_tokens, count(DISTINCT id) AS n_texts, round(sum(phi), 6) AS phi_sum FROM attr GROUP BY fold""")
+def q_attr_union(spark, sf_dir):
+    """Every fold's attributions written as its own store, then read back as one table."""
+    from textcohort.sources.io import read_attributions, write_attributions
+    a = attributed(spark, sf_dir).attr1
+    base = scratch_path(spark, "attribution-folds")
+    write_attributions(a, base)          # one directory per fold (fold=0 .. fold=9)
+    u = read_attributions(spark, base)   # one scan over all fold directories = the union
+    return u.groupBy(F.col("fold").cast("int").alias("fold")).agg(
+        F.count(F.lit(1)).alias("n_tokens"), F.countDistinct("id").alias("n_texts"),
+        F.round(F.sum("phi"), 6).alias("phi_sum"))
+
+
+@register("lr_fit")
+def q_lr_fit(spark, sf_dir):
+    """Per fold: intercept and number of non-zero weights of the fitted logistic regression."""
+    _, models = _lr_models(spark, sf_dir)
+    return spark.createDataFrame(ML.lr_summary(models), "fold int, intercept double, n_nonzero int")
