@@ -24,7 +24,7 @@ def test_probabilities_in_range(fitted):
 
 def test_attribution_sums_to_logit_shift(fitted):
     rows = fitted.split.filter(F.col("split") == "test").select("fold", "id", "label")
-    a = AT.linear_attribution(rows, fitted.tokens, fitted.lengths, fitted.weights, fitted.priors)
+    a = AT.linear_attribution(rows, fitted.tokens, fitted.counts, fitted.weights, fitted.priors)
     scored = M.nb_score(rows, fitted.counts, fitted.lengths, fitted.weights, fitted.priors)
     tot = a.groupBy("fold", "id").agg(F.sum("phi").alias("s"))
     j = tot.join(scored, ["fold", "id"]).join(fitted.priors, "fold")
@@ -34,8 +34,8 @@ def test_attribution_sums_to_logit_shift(fitted):
 
 def test_class0_is_negative_class1(fitted):
     rows = fitted.split.filter(F.col("split") == "test").select("fold", "id", "label")
-    a1 = AT.linear_attribution(rows, fitted.tokens, fitted.lengths, fitted.weights, fitted.priors, 1)
-    a0 = AT.linear_attribution(rows, fitted.tokens, fitted.lengths, fitted.weights, fitted.priors, 0)
+    a1 = AT.linear_attribution(rows, fitted.tokens, fitted.counts, fitted.weights, fitted.priors, 1)
+    a0 = AT.linear_attribution(rows, fitted.tokens, fitted.counts, fitted.weights, fitted.priors, 0)
     j = a1.join(a0.withColumnRenamed("phi", "phi0"), ["fold", "id", "pos", "token"])
     assert j.filter(F.abs(F.col("phi") + F.col("phi0")) > 1e-12).count() == 0
 

@@ -15,54 +15,65 @@ For a binary model the class-0 attribution is the negative of the class-1 attrib
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textcohort.functions.numeric import sigmoid
 from textcohort.operators.text import token_positions
 
 
-def _occurrences(rows: DataFrame, tokens: DataFrame, lengths: DataFrame, weights: DataFrame,
-                 fold_col: str) -> DataFrame:
-    occ = rows.select(fold_col, "id").join(token_positions(tokens), "id").join(lengths, "id")
-    # (fold, token) is hot for frequent words; AQE's skew-join split handles the large side
-    return occ.join(weights.select(fold_col, "token", "w", "mean_x"), [fold_col, "token"], "left") \
-              .withColumn("w", F.coalesce("w", F.lit(0.0))) \
-              .withColumn("mean_x", F.coalesce("mean_x", F.lit(0.0)))
+def _per_token(rows: DataFrame, counts: DataFrame, weights: DataFrame, fold_col: str) -> DataFrame:
+    """``(fold, id, token, tf, n_tok, w, mean_x)``: one row per distinct token of each text.
 
+    Weights are attached at this level, so a frequent word is one row per text on the
+    ``(fold, token)`` join, not one row per occurrence (AQE's skew split covers the rest).
+    """
+    pt = rows.select(fold_col, "id").join(counts, "id")
+    return pt.join(weights.select(fold_col, "token", "w", "mean_x"), [fold_col, "token"], "left") \
+             .withColumn("w", F.coalesce("w", F.lit(0.0))) \
+             .withColumn("mean_x", F.coalesce("mean_x", F.lit(0.0)))
 
-def linear_attribution(rows: DataFrame, tokens: DataFrame, lengths: DataFrame, weights: DataFrame,
+
+def _attach_to_occurrences(per_token: DataFrame, rows: DataFrame, tokens: DataFrame, value: str,
+                           fold_col: str) -> DataFrame:
+    """Spread a per-(text, token) value over the token's occurrences (join key includes the id)."""
+    occ = rows.select(fold_col, "id").join(token_positions(tokens), "id")
+    return occ.join(per_token.select(fold_col, "id", "token", value), [fold_col, "id", "token"]) \
+              .select(fold_col, "id", "pos", "token", F.col(value).alias("phi"))
+
+
+def linear_attribution(rows: DataFrame, tokens: DataFrame, counts: DataFrame, weights: DataFrame,
                        priors: DataFrame, target_class: int = 1, fold_col: str = "fold") -> DataFrame:
     """``(fold, id, pos, token, phi)`` for every token occurrence of the given ``(fold, id)`` rows."""
-    occ = _occurrences(rows, tokens, lengths, weights, fold_col)
-    tf = F.count(F.lit(1)).over(Window.partitionBy(fold_col, "id", "token"))
-    occ = occ.withColumn("_tf", tf)
-    occ = occ.withColumn("phi", F.col("w") * (F.col("_tf") / F.col("n_tok") - F.col("mean_x")) / F.col("_tf")) \
-             .withColumn("_wm", F.col("w") * F.col("mean_x") / F.col("_tf"))
-    present = occ.groupBy(fold_col, "id").agg(F.sum("_wm").alias("_present"))
+    pt = _per_token(rows, counts, weights, fold_col)
+    x = F.col("tf") / F.col("n_tok")
+    pt = pt.withColumn("_phi", F.col("w") * (x - F.col("mean_x")) / F.col("tf")) \
+           .withColumn("_wm", F.col("w") * F.col("mean_x"))
+    occ = _attach_to_occurrences(pt, rows, tokens, "_phi", fold_col)
+    present = pt.groupBy(fold_col, "id").agg(F.sum("_wm").alias("_present"))
     base = (rows.select(fold_col, "id")
                 .join(present, [fold_col, "id"], "left")
                 .join(F.broadcast(priors.select(fold_col, "mean_shift")), fold_col)
                 .select(fold_col, "id", F.lit(-1).alias("pos"), F.lit("").alias("token"),
                         (F.coalesce("_present", F.lit(0.0)) - F.col("mean_shift")).alias("phi")))
-    out = occ.select(fold_col, "id", "pos", "token", "phi").unionByName(base)
+    out = occ.unionByName(base)
     if target_class == 0:
         out = out.withColumn("phi", -F.col("phi"))
     return out
 
 
-def occlusion_attribution(rows: DataFrame, tokens: DataFrame, lengths: DataFrame, weights: DataFrame,
+def occlusion_attribution(rows: DataFrame, tokens: DataFrame, counts: DataFrame, weights: DataFrame,
                           scored: DataFrame, priors: DataFrame, target_class: int = 1,
                           fold_col: str = "fold") -> DataFrame:
     """``(fold, id, pos, token, phi)``: drop in class probability when one occurrence is removed."""
-    occ = _occurrences(rows, tokens, lengths, weights, fold_col)
+    pt = _per_token(rows, counts, weights, fold_col)
     s = scored.select(fold_col, "id", "logit").join(F.broadcast(priors.select(fold_col, "prior")), fold_col)
-    occ = occ.join(s, [fold_col, "id"])
+    pt = pt.join(s, [fold_col, "id"])
     n = F.col("n_tok").cast("double")
     loo = F.when(n > 1, F.col("prior") + (n * (F.col("logit") - F.col("prior")) - F.col("w")) / (n - 1)) \
            .otherwise(F.col("prior"))
-    phi = sigmoid(F.col("logit")) - sigmoid(loo)
-    out = occ.select(fold_col, "id", "pos", "token", phi.alias("phi"))
+    pt = pt.withColumn("_phi", sigmoid(F.col("logit")) - sigmoid(loo))
+    out = _attach_to_occurrences(pt, rows, tokens, "_phi", fold_col)
     if target_class == 0:
         out = out.withColumn("phi", -F.col("phi"))
     return out

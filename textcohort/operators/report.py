@@ -20,10 +20,12 @@ def ranked_listing(ranked: DataFrame, label: int, k: int, descending: bool,
                    fold_col: str = "fold") -> DataFrame:
     """Top ``k`` rows of one class in every fold (positives: highest rank first)."""
     w = Window.partitionBy(fold_col).orderBy(*_order(descending))
-    # filter on row_number <= k: Spark inserts a per-partition group limit before the shuffle
+    # a filter directly on row_number <= k lets Spark insert a per-partition group limit
+    # (WindowGroupLimit) before the shuffle: only k rows per fold and partition move
     return (ranked.filter(F.col("label") == label)
-                  .withColumn("k", F.row_number().over(w) - 1)
-                  .filter(F.col("k") < k))
+                  .withColumn("_rn", F.row_number().over(w))
+                  .filter(F.col("_rn") <= k)
+                  .withColumn("k", F.col("_rn") - 1).drop("_rn"))
 
 
 def nth_by_rank(ranked: DataFrame, label: int, ks: Sequence[int], descending: bool,

@@ -525,7 +525,7 @@ class Attributed:
         self.m = fitted(spark, sf_dir)
         rows = self.m.split.filter(F.col("split") == "test").select("fold", "id", "label")
         self.rows = rows
-        self.attr1 = materialize(AT.linear_attribution(rows, self.m.tokens, self.m.lengths, self.m.weights,
+        self.attr1 = materialize(AT.linear_attribution(rows, self.m.tokens, self.m.counts, self.m.weights,
                                                        self.m.priors, target_class=1), "attr1")
         self.attr0 = self.attr1.withColumn("phi", -F.col("phi"))
 
@@ -568,7 +568,7 @@ def q_occlusion(spark, sf_dir):
     m = fitted(spark, sf_dir)
     rows = m.split.filter(F.col("split") == "test").select("fold", "id", "label")
     scored = M.nb_score(rows, m.counts, m.lengths, m.weights, m.priors)
-    a = AT.occlusion_attribution(rows, m.tokens, m.lengths, m.weights, scored, m.priors)
+    a = AT.occlusion_attribution(rows, m.tokens, m.counts, m.weights, scored, m.priors)
     return a.select("fold", "id", F.col("pos").cast("long").alias("pos"), "token", r6("phi"))
 
 
