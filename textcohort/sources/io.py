@@ -83,13 +83,25 @@ def read_table_at(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def materialize(df: DataFrame, name: str, partition_by: Sequence[str] | None = None) -> DataFrame:
+def bucket_count(spark: SparkSession) -> int:
+    """Buckets for id-bucketed tables: the session's shuffle partition count (sized by the
+    cluster owner), so a bucketed side meets a shuffled side without re-partitioning."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def materialize(df: DataFrame, name: str, partition_by: Sequence[str] | None = None,
+                bucket_by: Sequence[str] | None = None) -> DataFrame:
     """Write ``df`` once as Parquet under the session's shared checkpoint folder and read it back.
 
     Used where a result is consumed by several later stages (split assignment, token counts,
     model tables): it cuts the lineage (recovery after a lost executor restarts from the written
     table, not from the raw text), keeps query plans small, and gives the optimizer real sizes.
+
+    ``bucket_by`` writes an external bucketed table (same bucket count for every table), so
+    later joins on that key read the big side in place and shuffle only the other side.
     """
+    import uuid
+
     from textcohort.session import scratch_path
 
     spark = df.sparkSession
@@ -97,5 +109,10 @@ def materialize(df: DataFrame, name: str, partition_by: Sequence[str] | None = N
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
+    if bucket_by:
+        table = f"tc_{name.replace('-', '_')}_{uuid.uuid4().hex[:12]}"
+        w.bucketBy(bucket_count(spark), *bucket_by).sortBy(*bucket_by) \
+         .option("path", path).format("parquet").saveAsTable(table)
+        return spark.table(table)
     w.parquet(path)
     return spark.read.parquet(path)
