@@ -60,9 +60,10 @@ hist AS (
   GROUP BY {group}, bin
   HAVING count(*) FILTER (WHERE truth > 0) > 0 OR count(*) FILTER (WHERE truth = 0) > 0),
 run AS (
-  SELECT *, sum(n_pos) OVER (PARTITION BY {group} ORDER BY bin ROWS UNBOUNDED PRECEDING) AS cp,
-            sum(n_neg) OVER (PARTITION BY {group} ORDER BY bin ROWS UNBOUNDED PRECEDING) AS cn,
-            sum(n_pos) OVER (PARTITION BY {group}) AS P, sum(n_neg) OVER (PARTITION BY {group}) AS N
+  SELECT *, CAST(sum(n_pos) OVER (PARTITION BY {group} ORDER BY bin ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cp,
+            CAST(sum(n_neg) OVER (PARTITION BY {group} ORDER BY bin ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cn,
+            CAST(sum(n_pos) OVER (PARTITION BY {group}) AS BIGINT) AS P,
+            CAST(sum(n_neg) OVER (PARTITION BY {group}) AS BIGINT) AS N
   FROM hist),
 auc AS (
   SELECT {group},
@@ -198,8 +199,8 @@ FOLDS, SEED, NEG_CODE, POS_CODES, LANG = 10, 0, 6, (2, 3), "en"
 SQL_SURVEY = """
 survey AS (
   SELECT d.doc_id AS id, d.lang AS unique_id, d.text AS comment,
-    CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 2.0 WHEN l.quality = 1 AND l.toxic = 1 THEN 3.0
-         WHEN l.quality = 0 AND l.toxic = 1 THEN 5.0 WHEN l.quality = 0 AND l.toxic = 0 THEN 6.0 END AS diagnosis
+    CAST(CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 2.0 WHEN l.quality = 1 AND l.toxic = 1 THEN 3.0
+         WHEN l.quality = 0 AND l.toxic = 1 THEN 5.0 WHEN l.quality = 0 AND l.toxic = 0 THEN 6.0 END AS DOUBLE) AS diagnosis
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 SQL_COHORT = SQL_SURVEY + """,
@@ -304,7 +305,7 @@ def q_cohort(spark, sf_dir):
     return cohort_df(spark, sf_dir)
 
 
-@register("filter_max_chars", f"WITH {SQL_COHORT} SELECT id, label, length(text) AS n_chars FROM cohort WHERE length(text) < 2000")
+@register("filter_max_chars", f"WITH {SQL_COHORT} SELECT id, label, CAST(length(text) AS INTEGER) AS n_chars FROM cohort WHERE length(text) < 2000")
 def q_filter_max_chars(spark, sf_dir):
     return C.filter_max_chars(cohort_df(spark, sf_dir), "text", 2000) \
             .select("id", "label", F.length("text").alias("n_chars"))

@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The workflow this package re-expresses is batch only: no watermark, window, state or late-data
+handling occurs in it, so there is no streaming operator to provide.  Every operator here is a
+DataFrame -> DataFrame function, so a caller that does need a stream can apply them per
+micro-batch (``writeStream.foreachBatch``); nothing in this package depends on that.
+"""
