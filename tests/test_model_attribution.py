@@ -44,3 +44,38 @@ def test_oversampled_balanced(fitted):
     c = fitted.balanced.groupBy("fold").agg(F.count_if(F.col("label") == 1).alias("p"),
                                             F.count_if(F.col("label") == 0).alias("n")).collect()
     assert c and all(r["p"] == r["n"] for r in c)
+
+
+def test_map_in_pandas_scorer_matches_join_scorer(spark, fitted):
+    from textcohort.operators import scorer as SC
+    from textcohort.session import scratch_path
+    from textcohort.sources import io as IO
+    wp = IO.write_table(fitted.weights, scratch_path(spark, "w"))
+    pp = IO.write_table(fitted.priors, scratch_path(spark, "p"))
+    rows = fitted.split.filter(F.col("split") == "test").select("fold", "id", "label")
+    a = SC.score_with(SC.texts_for(rows, fitted.cohort), SC.nb_scorer_factory(wp, pp))
+    b = WF.score_split(fitted, "test")
+    j = a.select("fold", "id", F.col("prob").alias("pa")).join(b.select("fold", "id", "prob"), ["fold", "id"])
+    assert j.count() == b.count()
+    assert j.filter(F.abs(F.col("pa") - F.col("prob")) > 1e-9).count() == 0
+
+
+def test_lr_invariants(spark, fitted):
+    from textcohort.operators import ml as ML
+    from textcohort.operators import scorer as SC
+    train = fitted.balanced.join(fitted.cohort.select("id", "text"), "id")
+    models = ML.lr_fit(train, [0, 1], max_iter=5)
+    rows = SC.texts_for(fitted.split.filter((F.col("split") == "test") & (F.col("fold") < 2))
+                        .select("fold", "id", "label"), fitted.cohort)
+    p = ML.lr_score(models, rows).collect()
+    assert len(p) == rows.count()
+    assert all(0.0 <= r["prob"] <= 1.0 for r in p)
+    assert len({(r["fold"], r["id"]) for r in p}) == len(p)
+
+
+def test_occlusion_sign_and_range(spark, fitted):
+    rows = fitted.split.filter(F.col("split") == "test").select("fold", "id", "label")
+    scored = M.nb_score(rows, fitted.counts, None, fitted.weights, fitted.priors)
+    a1 = AT.occlusion_attribution(rows, fitted.tokens, fitted.counts, fitted.weights, scored, fitted.priors, 1)
+    vals = [r["phi"] for r in a1.select("phi").collect()]
+    assert vals and all(-1.0 <= v <= 1.0 for v in vals)
