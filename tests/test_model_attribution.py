@@ -50,10 +50,11 @@ def test_map_in_pandas_scorer_matches_join_scorer(spark, fitted):
     from textcohort.operators import scorer as SC
     from textcohort.session import scratch_path
     from textcohort.sources import io as IO
-    wp = IO.write_table(fitted.weights, scratch_path(spark, "w"))
+    wp = scratch_path(spark, "w")
+    fitted.weights.write.partitionBy("fold").parquet(wp)
     pp = IO.write_table(fitted.priors, scratch_path(spark, "p"))
     rows = fitted.split.filter(F.col("split") == "test").select("fold", "id", "label")
-    a = SC.score_with(SC.texts_for(rows, fitted.cohort), SC.nb_scorer_factory(wp, pp))
+    a = SC.score_with(SC.texts_for(rows, fitted.cohort), SC.nb_scorer_factory(wp, pp), cluster_by=["fold", "id"])
     b = WF.score_split(fitted, "test")
     j = a.select("fold", "id", F.col("prob").alias("pa")).join(b.select("fold", "id", "prob"), ["fold", "id"])
     assert j.count() == b.count()

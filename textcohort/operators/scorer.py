@@ -17,9 +17,17 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 ScorerFactory = Callable[[], Callable[[pd.DataFrame], pd.Series]]
 
 
-def score_with(df: DataFrame, factory: ScorerFactory, out: str = "prob") -> DataFrame:
-    """Add column ``out`` computed by ``factory()(batch)`` for every Arrow batch of ``df``."""
+def score_with(df: DataFrame, factory: ScorerFactory, out: str = "prob",
+               cluster_by: list[str] | None = None) -> DataFrame:
+    """Add column ``out`` computed by ``factory()(batch)`` for every Arrow batch of ``df``.
+
+    ``cluster_by`` (e.g. ``["fold", "id"]``) range-partitions the rows first, so each task sees
+    one or two values of the leading column and a per-fold model is loaded into few tasks.
+    """
     schema = StructType(list(df.schema.fields) + [StructField(out, DoubleType())])
+    if cluster_by:
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartitionByRange(n, *cluster_by)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = factory()
@@ -37,8 +45,12 @@ def _local_path(uri: str) -> str:
 
 def nb_scorer_factory(weights_path: str, priors_path: str, text_col: str = "text",
                       fold_col: str = "fold") -> ScorerFactory:
-    """A scorer that reads the written Naive Bayes model tables (shared storage) once per task
-    and scores texts with the same tokeniser, weights and prior as the join-based scorer."""
+    """A scorer over the written Naive Bayes model tables (shared storage).
+
+    ``weights_path`` is partitioned by fold; a task loads a fold's weights the first time it
+    meets that fold (partition pruning reads only that fold), so with ``cluster_by`` a task holds
+    one or two folds' models.  Tokeniser, weights and prior equal the join-based scorer's.
+    """
 
     def factory():
         import math
@@ -48,18 +60,23 @@ def nb_scorer_factory(weights_path: str, priors_path: str, text_col: str = "text
         import regex
 
         pattern = regex.compile(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")
-        w = ds.dataset(_local_path(weights_path), format="parquet").to_table(
-            columns=[fold_col, "token", "w"]).to_pandas()
+        wds = ds.dataset(_local_path(weights_path), format="parquet", partitioning="hive")
         pri = ds.dataset(_local_path(priors_path), format="parquet").to_table(
             columns=[fold_col, "prior"]).to_pandas()
-        weights = {f: dict(zip(g["token"], g["w"])) for f, g in w.groupby(fold_col)}
         priors = dict(zip(pri[fold_col], pri["prior"]))
+        weights: dict = {}
+
+        def fold_weights(f):
+            if f not in weights:
+                t = wds.to_table(columns=["token", "w"], filter=ds.field(fold_col) == int(f)).to_pandas()
+                weights[f] = dict(zip(t["token"], t["w"]))
+            return weights[f]
 
         def score(batch: pd.DataFrame) -> pd.Series:
             out = np.empty(len(batch))
             for i, (f, text) in enumerate(zip(batch[fold_col], batch[text_col])):
                 toks = pattern.findall((text or "").lower())
-                wf = weights.get(f, {})
+                wf = fold_weights(f)
                 s = sum(wf.get(t, 0.0) for t in toks) / len(toks) if toks else 0.0
                 z = priors.get(f, float("nan")) + s
                 out[i] = 1.0 / (1.0 + math.exp(-z))

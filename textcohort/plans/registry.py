@@ -816,10 +816,12 @@ def q_model_roundtrip(spark, sf_dir):
 @register("score_map_in_pandas", f"WITH {SQL_NB}, {sql_scored('test')} SELECT fold, id, label, round(prob, 6) AS prob FROM scored_test")
 def q_score_map_in_pandas(spark, sf_dir):
     m = fitted(spark, sf_dir)
-    wp = IO.write_table(m.weights, scratch_path(spark, "nb-model-weights"))
+    wp = scratch_path(spark, "nb-model-weights")
+    m.weights.write.partitionBy("fold").parquet(wp)        # one directory per fold's model
     pp = IO.write_table(m.priors, scratch_path(spark, "nb-model-priors"))
     rows = m.split.filter(F.col("split") == "test").select("fold", "id", "label")
-    scored = SC.score_with(SC.texts_for(rows, m.cohort), SC.nb_scorer_factory(wp, pp))
+    scored = SC.score_with(SC.texts_for(rows, m.cohort), SC.nb_scorer_factory(wp, pp),
+                           cluster_by=["fold", "id"])
     return scored.select("fold", "id", "label", r6("prob"))
 
 
