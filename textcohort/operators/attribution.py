@@ -19,11 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textcohort.functions.numeric import sigmoid
-from textcohort.operators.text import token_positions
 
 
 def _per_token(rows: DataFrame, counts: DataFrame, weights: DataFrame, fold_col: str) -> DataFrame:
-    """``(fold, id, token, tf, n_tok, w, mean_x)``: one row per distinct token of each text.
+    """``(fold, id, token, tf, n_tok, positions, w, mean_x)``: one row per distinct token of each text.
 
     Weights are attached at this level, so a frequent word is one row per text on the
     ``(fold, token)`` join, not one row per occurrence (AQE's skew split covers the rest).
@@ -34,22 +33,24 @@ def _per_token(rows: DataFrame, counts: DataFrame, weights: DataFrame, fold_col:
              .withColumn("mean_x", F.coalesce("mean_x", F.lit(0.0)))
 
 
-def _attach_to_occurrences(per_token: DataFrame, rows: DataFrame, tokens: DataFrame, value: str,
-                           fold_col: str) -> DataFrame:
-    """Spread a per-(text, token) value over the token's occurrences (join key includes the id)."""
-    occ = rows.select(fold_col, "id").join(token_positions(tokens), "id")
-    return occ.join(per_token.select(fold_col, "id", "token", value), [fold_col, "id", "token"]) \
-              .select(fold_col, "id", "pos", "token", F.col(value).alias("phi"))
+def _attach_to_occurrences(per_token: DataFrame, value: str, fold_col: str) -> DataFrame:
+    """Spread a per-(text, token) value over the token's occurrences (a narrow explode)."""
+    return per_token.select(fold_col, "id", "token", F.explode("positions").alias("pos"),
+                            F.col(value).alias("phi")) \
+                    .select(fold_col, "id", "pos", "token", "phi")
 
 
-def linear_attribution(rows: DataFrame, tokens: DataFrame, counts: DataFrame, weights: DataFrame,
+def linear_attribution(rows: DataFrame, tokens: DataFrame | None, counts: DataFrame, weights: DataFrame,
                        priors: DataFrame, target_class: int = 1, fold_col: str = "fold") -> DataFrame:
-    """``(fold, id, pos, token, phi)`` for every token occurrence of the given ``(fold, id)`` rows."""
+    """``(fold, id, pos, token, phi)`` for every token occurrence of the given ``(fold, id)`` rows.
+
+    Occurrences come from the position lists of the token counts (``tokens`` is not read).
+    """
     pt = _per_token(rows, counts, weights, fold_col)
     x = F.col("tf") / F.col("n_tok")
     pt = pt.withColumn("_phi", F.col("w") * (x - F.col("mean_x")) / F.col("tf")) \
            .withColumn("_wm", F.col("w") * F.col("mean_x"))
-    occ = _attach_to_occurrences(pt, rows, tokens, "_phi", fold_col)
+    occ = _attach_to_occurrences(pt, "_phi", fold_col)
     present = pt.groupBy(fold_col, "id").agg(F.sum("_wm").alias("_present"))
     base = (rows.select(fold_col, "id")
                 .join(present, [fold_col, "id"], "left")
@@ -62,7 +63,7 @@ def linear_attribution(rows: DataFrame, tokens: DataFrame, counts: DataFrame, we
     return out
 
 
-def occlusion_attribution(rows: DataFrame, tokens: DataFrame, counts: DataFrame, weights: DataFrame,
+def occlusion_attribution(rows: DataFrame, tokens: DataFrame | None, counts: DataFrame, weights: DataFrame,
                           scored: DataFrame, priors: DataFrame, target_class: int = 1,
                           fold_col: str = "fold") -> DataFrame:
     """``(fold, id, pos, token, phi)``: drop in class probability when one occurrence is removed."""
@@ -73,7 +74,7 @@ def occlusion_attribution(rows: DataFrame, tokens: DataFrame, counts: DataFrame,
     loo = F.when(n > 1, F.col("prior") + (n * (F.col("logit") - F.col("prior")) - F.col("w")) / (n - 1)) \
            .otherwise(F.col("prior"))
     pt = pt.withColumn("_phi", sigmoid(F.col("logit")) - sigmoid(loo))
-    out = _attach_to_occurrences(pt, rows, tokens, "_phi", fold_col)
+    out = _attach_to_occurrences(pt, "_phi", fold_col)
     if target_class == 0:
         out = out.withColumn("phi", -F.col("phi"))
     return out

@@ -102,10 +102,10 @@ def ordered_index(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
     returns the group size in ``count_out``.
     """
     g = list(group_cols)
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*g, *order_cols]
-    numbered = (df.repartitionByRange(n, *keys)
+    # without an explicit count AQE may merge neighbouring ranges (order is kept)
+    ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
+    numbered = (ranged
                   .sortWithinPartitions(*keys)
                   .withColumn("_pid", F.spark_partition_id())
                   .withColumn("_mid", F.monotonically_increasing_id()))

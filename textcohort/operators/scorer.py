@@ -17,6 +17,16 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 ScorerFactory = Callable[[], Callable[[pd.DataFrame], pd.Series]]
 
 
+def _ship_by_value() -> None:
+    """Pickle this module's functions by value, so Python workers need no copy of the package
+    (the only code of this package that runs inside Python workers lives here)."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def score_with(df: DataFrame, factory: ScorerFactory, out: str = "prob",
                cluster_by: list[str] | None = None) -> DataFrame:
     """Add column ``out`` computed by ``factory()(batch)`` for every Arrow batch of ``df``.
@@ -24,6 +34,7 @@ def score_with(df: DataFrame, factory: ScorerFactory, out: str = "prob",
     ``cluster_by`` (e.g. ``["fold", "id"]``) range-partitions the rows first, so each task sees
     one or two values of the leading column and a per-fold model is loaded into few tasks.
     """
+    _ship_by_value()
     schema = StructType(list(df.schema.fields) + [StructField(out, DoubleType())])
     if cluster_by:
         n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

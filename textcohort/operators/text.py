@@ -19,13 +19,16 @@ def token_positions(tokens: DataFrame) -> DataFrame:
 
 
 def token_counts(tokens: DataFrame) -> DataFrame:
-    """``(id, token, tf, n_tok)``: term counts per text plus the text's token count.
+    """``(id, token, tf, n_tok, positions)``: term counts per text, the text's token count, and
+    the token's positions in the text (so occurrences never need the token arrays again).
 
     The explode is narrow, so the partial aggregate already combines each text's tokens before
-    the shuffle; a frequent word costs one row per text, not one per occurrence.
+    the shuffle; a frequent word costs one row per text, not one per occurrence, and its
+    position list is bounded by the length of that one text.
     """
-    occ = tokens.select("id", F.size("tokens").alias("n_tok"), F.explode("tokens").alias("token"))
-    return occ.groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("n_tok").alias("n_tok"))
+    occ = tokens.select("id", F.size("tokens").alias("n_tok"), F.posexplode("tokens").alias("pos", "token"))
+    return occ.groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("n_tok").alias("n_tok"),
+                                          F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
 def doc_lengths(tokens: DataFrame) -> DataFrame:

@@ -446,7 +446,7 @@ def q_tokenise(spark, sf_dir):
 
 @register("token_counts", f"WITH {SQL_COHORT}, {SQL_TOKENS} SELECT id, token, tf, n_tok FROM tfs")
 def q_token_counts(spark, sf_dir):
-    return TX.token_counts(TX.doc_tokens(cohort_df(spark, sf_dir)))
+    return TX.token_counts(TX.doc_tokens(cohort_df(spark, sf_dir))).select("id", "token", "tf", "n_tok")
 
 
 @register("nb_fit", f"WITH {SQL_NB} SELECT fold, token, c0, c1, round(w, 6) AS w, round(mean_x, 6) AS mean_x FROM wt")

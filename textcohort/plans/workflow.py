@@ -16,7 +16,7 @@ from textcohort.operators import scoring as S
 from textcohort.operators import split as SP
 from textcohort.operators import text as TX
 from textcohort.functions.text import tokenise
-from textcohort.sources.io import materialize
+from textcohort.sources.io import bucket_count, materialize
 
 
 @dataclass
@@ -36,7 +36,7 @@ def tokenised_docs(cohort: DataFrame) -> DataFrame:
     """The one pass over the raw text: ``(id, code, label, n_tok, tokens)``, written once."""
     toks = cohort.select("id", "code", "label", tokenise(F.col("text")).alias("tokens"))
     return materialize(toks.withColumn("n_tok", F.size("tokens"))
-                           .select("id", "code", "label", "n_tok", "tokens"), "cohort-tokens", bucket_by=["id"])
+                           .select("id", "code", "label", "n_tok", "tokens"), "cohort-tokens")
 
 
 def fit_folds(cohort: DataFrame, folds: int = 10, seed: int = 0, alpha: float = 1.0) -> FittedFolds:
@@ -47,11 +47,14 @@ def fit_folds(cohort: DataFrame, folds: int = 10, seed: int = 0, alpha: float =
     balanced rows, token counts, model tables) are written once to the shared checkpoint folder.
     """
     docs = tokenised_docs(cohort)
-    # id-bucketed tables: the joins on id between them do not shuffle the large sides
-    split = materialize(SP.split_assign(docs.select("id", "label"), folds=folds, seed=seed), "split", bucket_by=["id"])
-    balanced = materialize(SP.oversample(split, seed=seed), "balanced", bucket_by=["id"])
+    # id-bucketed tables: the joins on id between them do not shuffle the large sides.  The
+    # bucket count follows the number of texts (a Parquet metadata count of the written table).
+    nb = bucket_count(docs.sparkSession, docs.count())
+    split = materialize(SP.split_assign(docs.select("id", "label"), folds=folds, seed=seed), "split",
+                        bucket_by=["id"], buckets=nb)
+    balanced = materialize(SP.oversample(split, seed=seed), "balanced", bucket_by=["id"], buckets=nb)
     tokens = docs.select("id", "tokens")
-    counts = materialize(TX.token_counts(tokens), "token-counts", bucket_by=["id"])
+    counts = materialize(TX.token_counts(tokens), "token-counts", bucket_by=["id"], buckets=nb)
     lengths = docs.select("id", "n_tok")
     weights, _ = M.nb_fit(balanced, counts, alpha=alpha)
     weights = materialize(weights, "nb-weights")

@@ -83,14 +83,18 @@ def read_table_at(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def bucket_count(spark: SparkSession) -> int:
-    """Buckets for id-bucketed tables: the session's shuffle partition count (sized by the
-    cluster owner), so a bucketed side meets a shuffled side without re-partitioning."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def bucket_count(spark: SparkSession, rows: int | None = None, rows_per_bucket: int = 2000) -> int:
+    """Buckets for id-bucketed tables: about ``rows_per_bucket`` texts per bucket, at most the
+    session's shuffle partition count (the cluster owner's sizing), at least one.  Every table
+    of one run uses the same count, so bucketed sides join without re-partitioning."""
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if rows is None:
+        return cap
+    return max(1, min(cap, -(-rows // rows_per_bucket)))
 
 
 def materialize(df: DataFrame, name: str, partition_by: Sequence[str] | None = None,
-                bucket_by: Sequence[str] | None = None) -> DataFrame:
+                bucket_by: Sequence[str] | None = None, buckets: int | None = None) -> DataFrame:
     """Write ``df`` once as Parquet under the session's shared checkpoint folder and read it back.
 
     Used where a result is consumed by several later stages (split assignment, token counts,
@@ -110,8 +114,11 @@ def materialize(df: DataFrame, name: str, partition_by: Sequence[str] | None = N
     if partition_by:
         w = w.partitionBy(*partition_by)
     if bucket_by:
+        n = buckets or bucket_count(spark)
         table = f"tc_{name.replace('-', '_')}_{uuid.uuid4().hex[:12]}"
-        w.bucketBy(bucket_count(spark), *bucket_by).sortBy(*bucket_by) \
+        # hash-partition on the bucket key first (same hash as the buckets): one file per bucket
+        w = df.repartition(n, *bucket_by).write.mode("overwrite")
+        w.bucketBy(n, *bucket_by).sortBy(*bucket_by) \
          .option("path", path).format("parquet").saveAsTable(table)
         return spark.table(table)
     w.parquet(path)
