@@ -56,3 +56,36 @@ def test_tsv_special(spark):
     back = {r["id"]: r["comment"] for r in IO.read_delimited(spark, path, casts={"id": "long"}).collect()}
     assert back[1] == rows[0][1]
     assert back[2] is None
+
+
+def test_survey_from_csv(spark):
+    from textcohort.operators.cohort import build_cohort
+    from textcohort.sources.tables import SURVEY_CODE, SURVEY_COMMENTS, SURVEY_ID, survey_from_csv
+    cols = ["Other", SURVEY_CODE, *SURVEY_COMMENTS, SURVEY_ID]
+    rows = [("x", "2.0", "lost smell", None, None, 'ok, "really"\nyes', "English_1"),
+            ("x", "6.0", None, None, None, None, "English_2"),
+            ("x", "6.0", "fine", None, None, None, "English_3"),
+            ("x", "4.0", "n/a", None, None, None, "English_4"),
+            ("x", "3.0", "taste gone", None, None, None, "Spanish_5")]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in cols))
+    path = IO.write_delimited(df, scratch_path(spark, "survey-csv"), sep=",")
+    survey = survey_from_csv(spark, path)
+    got = {r["id"]: r["comment"] for r in survey.collect()}
+    assert got["English_1"] == 'lost smell|nan|nan|ok, "really"\nyes'
+    c = {r["id"]: (r["code"], r["label"]) for r in
+         build_cohort(survey, lang_needle="English", pos_codes=(2, 3), neg_code=6).collect()}
+    # English only, classes 2/3/6, all-missing comments dropped
+    assert c == {"English_1": (2, 1), "English_3": (6, 0)}
+
+
+def test_run_workflow_writes_outputs(spark):
+    from tests.conftest import SF_SMALL
+    from textcohort.plans import registry as R
+    from textcohort.plans.outputs import run_workflow
+    out = scratch_path(spark, "workflow-out")
+    paths = run_workflow(R.cohort_df(spark, SF_SMALL), out, folds=3)
+    score = IO.read_delimited(spark, paths["score"]).collect()
+    assert [r["fold"] for r in score][-2:] == ["avg", "median"] and len(score) == 5
+    assert IO.read_delimited(spark, paths["consensus"]).count() > 0
+    assert spark.read.parquet(paths["pred"]).count() == 3 * (
+        R.cohort_df(spark, SF_SMALL).count() - int(0.8 * R.cohort_df(spark, SF_SMALL).count()))

@@ -39,8 +39,14 @@ def write_delimited(df: DataFrame, path: str, sep: str = "\t", mode: str = "over
 
 
 def write_report(report: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """Score report sink: one small TSV file with a header (the report has a row per fold)."""
-    report.coalesce(1).write.mode(mode).options(**_csv_options("\t")).csv(path)
+    """Score report sink: one small TSV file with a header (the report has a row per fold),
+    rows in the order fold0..foldK, avg, median."""
+    from pyspark.sql import functions as F
+
+    kind = F.when(F.col("fold") == "avg", 1).when(F.col("fold") == "median", 2).otherwise(0)
+    num = F.regexp_extract(F.col("fold"), r"(\d+)$", 1)
+    ordered = report.orderBy(kind, F.when(num != "", num.cast("long")))
+    ordered.coalesce(1).write.mode(mode).options(**_csv_options("\t")).csv(path)
     return path
 
 

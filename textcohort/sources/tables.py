@@ -57,3 +57,31 @@ def scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("id"),
         F.col("l_extendedprice").cast("double").alias("score"),
         (F.col("l_discount") >= 0.05).cast("int").alias("truth"))
+
+
+# Column names of the survey export the workflow reads (code, four comments, id).
+SURVEY_CODE = "COVID_diagnosis"
+SURVEY_COMMENTS = [
+    "Comment_-_changes_in_smell",
+    "Comment_-_changes_in_taste",
+    "Comment_-_changes_in_chemesthesis",
+    "Comment_-_Anything_else_smell__taste__flavor",
+]
+SURVEY_ID = "UniqueID"
+SURVEY_LANGUAGE = "English"
+
+
+def survey_from_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The original survey export (CSV, header, quoted multi-line fields) in the cohort schema.
+
+    Reads every column as a string (no inference pass over the file), selects the six used
+    columns by name, casts the code, and merges the four comments (missing -> ``nan``).
+    Returns ``(id, unique_id, diagnosis, comment)``; ``id`` is the survey's own ``UniqueID``.
+    """
+    from textcohort.functions.text import merge_columns
+    from textcohort.sources.io import read_delimited
+
+    raw = read_delimited(spark, path, sep=",", columns=[SURVEY_CODE, *SURVEY_COMMENTS, SURVEY_ID])
+    return raw.select(F.col(SURVEY_ID).alias("id"), F.col(SURVEY_ID).alias("unique_id"),
+                      F.col(SURVEY_CODE).cast("double").alias("diagnosis"),
+                      merge_columns(SURVEY_COMMENTS).alias("comment"))
