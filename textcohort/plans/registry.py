@@ -891,3 +891,18 @@ def q_lr_fit(spark, sf_dir):
     """Per fold: intercept and number of non-zero weights of the fitted logistic regression."""
     _, models = _lr_models(spark, sf_dir)
     return spark.createDataFrame(ML.lr_summary(models), "fold int, intercept double, n_nonzero int")
+
+
+SQL_PREDS_SHORT = SQL_PREDS.replace(
+    "rows_test AS (SELECT fold, id, label FROM split WHERE split = 'test')",
+    "rows_test AS (SELECT s.fold, s.id, s.label FROM split s JOIN cohort c ON s.id = c.id "
+    "WHERE s.split = 'test' AND length(c.text) < 2000)")
+
+
+@register("fold_report_max_chars", f"""WITH {SQL_PREDS_SHORT}, {sql_hist('preds', 6)}, {sql_pearson('preds')},
+m AS (SELECT auc.fold, auroc, auprc, pearson FROM auc JOIN pear ON auc.fold = pear.fold), {sql_report('m')}
+SELECT fold, round(auroc, 6) AS auroc, round(auprc, 6) AS auprc, round(pearson, 6) AS pearson FROM report""")
+def q_fold_report_max_chars(spark, sf_dir):
+    """The score table over test texts shorter than 2000 characters (dropped before scaling)."""
+    rep = WF.fold_report(cohort_df(spark, sf_dir), folds=FOLDS, seed=SEED, digits=6, max_chars=2000)
+    return rep.select("fold", r6("auroc"), r6("auprc"), r6("pearson"))

@@ -62,18 +62,23 @@ def fit_folds(cohort: DataFrame, folds: int = 10, seed: int = 0, alpha: float =
     return FittedFolds(cohort, docs, split, balanced, tokens, counts, lengths, weights, priors)
 
 
-def score_split(m: FittedFolds, which: str = "test") -> DataFrame:
-    """``(fold, id, label, logit, prob)`` for one split of every fold."""
+def score_split(m: FittedFolds, which: str = "test", max_chars: int | None = None) -> DataFrame:
+    """``(fold, id, label, logit, prob)`` for one split of every fold (optionally only texts
+    shorter than ``max_chars`` characters)."""
     rows = m.split.filter(F.col("split") == which).select("fold", "id", "label")
+    if max_chars is not None:
+        short = m.cohort.filter(F.length("text") < max_chars).select("id")
+        rows = rows.join(short, "id", "left_semi")
     return M.nb_score(rows, m.counts, m.lengths, m.weights, m.priors).select("fold", "id", "label", "logit", "prob")
 
 
-def scaled_predictions(m: FittedFolds, which: str = "test", round_digits: int = 9) -> DataFrame:
+def scaled_predictions(m: FittedFolds, which: str = "test", round_digits: int = 9,
+                       max_chars: int | None = None) -> DataFrame:
     """Per-fold min-max scaled class-1 probability ``pred`` (rounded so ties are engine-independent).
 
     Written once (the prediction store): AUROC, AUPRC, Pearson, ranks and reports all read it.
     """
-    scored = score_split(m, which)
+    scored = score_split(m, which, max_chars)
     scaled = S.minmax_scale(scored, ["fold"], score="prob", out="pred")
     return materialize(scaled.withColumn("pred", F.round("pred", round_digits)), f"pred-{which}")
 
@@ -82,10 +87,8 @@ def fold_report(cohort: DataFrame, folds: int = 10, seed: int = 0, digits: int =
                 max_chars: int | None = None) -> DataFrame:
     """The score table: ``fold0..`` rows plus ``avg`` and ``median`` of AUROC, AUPRC, Pearson."""
     m = fit_folds(cohort, folds, seed)
-    preds = scaled_predictions(m)
-    if max_chars is not None:
-        short = cohort.filter(F.length("text") < max_chars).select("id")
-        preds = preds.join(short, "id", "left_semi")
+    # texts of max_chars or more are left out of scoring (before scaling), as in the original
+    preds = scaled_predictions(m, max_chars=max_chars)
     metrics = S.fold_metrics(preds.withColumnRenamed("label", "truth"), ["fold"], "pred", "truth", digits)
     # one row per fold, read by three report branches: write it rather than recompute it
     return S.fold_report(materialize(metrics, "fold-metrics"))
