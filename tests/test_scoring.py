@@ -158,3 +158,20 @@ def test_format_report(spark):
     m = spark.createDataFrame([(0, 0.6976, 0.5, 0.25)], "fold int, auroc double, auprc double, pearson double")
     rows = S.format_report(S.fold_report(m)).filter(F.col("fold") == "fold0").collect()
     assert rows[0]["auroc"] == "0.698"
+
+
+from hypothesis import given, settings, HealthCheck, strategies as st
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 20)), min_size=2, max_size=40))
+def test_auc_property_brute_force(spark, pairs):
+    y = np.array([p[0] for p in pairs])
+    s = np.array([p[1] / 20.0 for p in pairs])
+    roc, pr = _auc(spark, y, s, digits=2)
+    if y.min() == y.max():
+        assert math.isnan(roc) and math.isnan(pr)
+    else:
+        assert roc == pytest.approx(_brute_auc(y, s), abs=1e-12)
+        lroc, lpr = _loop_auc(y, s, 2)
+        assert pr == pytest.approx(lpr, abs=1e-12)

@@ -21,13 +21,16 @@ from textcohort.operators.index import ordered_index
 
 
 def minmax_scale(df: DataFrame, group_cols: Sequence[str] = ("fold",), score: str = "pred",
-                 out: str | None = None) -> DataFrame:
-    """Per-group ``(p - min) / (max - min)``; a constant group gives NaN (no ANSI error)."""
+                 out: str | None = None, few_groups: bool = True) -> DataFrame:
+    """Per-group ``(p - min) / (max - min)``; a constant group gives NaN (no ANSI error).
+
+    With ``few_groups`` (groups are folds: one row each) the statistics are broadcast and the
+    rows are never shuffled; with many groups the join is left to the planner and AQE.
+    """
     g = list(group_cols)
     out = out or score
     stats = df.groupBy(*g).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
-    # one row per fold: broadcast; the rows themselves are not shuffled
-    return (df.join(F.broadcast(stats), g)
+    return (df.join(F.broadcast(stats) if few_groups else stats, g)
               .withColumn(out, minmax_expr(F.col(score), F.col("_lo"), F.col("_hi")))
               .drop("_lo", "_hi"))
 
