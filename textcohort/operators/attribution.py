@@ -46,10 +46,14 @@ def linear_attribution(rows: DataFrame, tokens: DataFrame | None, counts: DataFr
 
     Occurrences come from the position lists of the token counts (``tokens`` is not read).
     """
+    from textcohort.sources.io import materialize
+
     pt = _per_token(rows, counts, weights, fold_col)
     x = F.col("tf") / F.col("n_tok")
     pt = pt.withColumn("_phi", F.col("w") * (x - F.col("mean_x")) / F.col("tf")) \
            .withColumn("_wm", F.col("w") * F.col("mean_x"))
+    # read twice (occurrence rows and base rows): written once so the weight join runs once
+    pt = materialize(pt.select(fold_col, "id", "token", "positions", "_phi", "_wm"), "attr-per-token")
     occ = _attach_to_occurrences(pt, "_phi", fold_col)
     present = pt.groupBy(fold_col, "id").agg(F.sum("_wm").alias("_present"))
     base = (rows.select(fold_col, "id")

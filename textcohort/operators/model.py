@@ -36,12 +36,16 @@ def nb_fit(balanced: DataFrame, counts: DataFrame, alpha: float = 1.0, fold_col:
     ``weights``: ``(fold, token, c0, c1, w, mean_x)``;
     ``priors``:  ``(fold, n0, n1, prior, mean_shift)`` with ``mean_shift = sum_t w_t mean_x_t``.
     """
+    from textcohort.sources.io import materialize
+
     mult = train_multiplicity(balanced, fold_col)
     j = mult.join(counts, "id")
     per_token = j.groupBy(fold_col, "token").agg(
         F.sum(F.when(F.col("label") == 1, F.col("mult") * F.col("tf")).otherwise(0)).alias("c1"),
         F.sum(F.when(F.col("label") == 0, F.col("mult") * F.col("tf")).otherwise(0)).alias("c0"),
         F.sum(F.col("mult") * F.col("tf") / F.col("n_tok")).alias("_sx"))
+    # read twice below (weights and per-fold totals): written once so the count join runs once
+    per_token = materialize(per_token, "nb-token-counts")
     totals = per_token.groupBy(fold_col).agg(F.sum("c1").alias("_C1"), F.sum("c0").alias("_C0"),
                                              F.count(F.lit(1)).alias("_V"))
     rows_per_fold = mult.groupBy(fold_col).agg(F.sum("mult").alias("_m"))

@@ -58,7 +58,7 @@ def fit_folds(cohort: DataFrame, folds: int = 10, seed: int = 0, alpha: float =
     lengths = docs.select("id", "n_tok")
     weights, _ = M.nb_fit(balanced, counts, alpha=alpha)
     weights = materialize(weights, "nb-weights")
-    priors = materialize(M.nb_priors(balanced, weights), "nb-priors")
+    priors = M.nb_priors(balanced, weights)    # one row per fold from two written tables
     return FittedFolds(cohort, docs, split, balanced, tokens, counts, lengths, weights, priors)
 
 
@@ -78,7 +78,8 @@ def scaled_predictions(m: FittedFolds, which: str = "test", round_digits: int =
 
     Written once (the prediction store): AUROC, AUPRC, Pearson, ranks and reports all read it.
     """
-    scored = score_split(m, which, max_chars)
+    # read twice by the scaling (per-fold min/max and the rows): written once, narrow
+    scored = materialize(score_split(m, which, max_chars), f"scored-{which}")
     scaled = S.minmax_scale(scored, ["fold"], score="prob", out="pred")
     return materialize(scaled.withColumn("pred", F.round("pred", round_digits)), f"pred-{which}")
 
