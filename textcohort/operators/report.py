@@ -50,41 +50,60 @@ class Pick:
     trim_items: int = 0
 
 
+def _not_in(stop_arr):
+    """Predicate for ``F.filter``: the element's token is not in ``stop_arr`` (one-argument lambda)."""
+    return lambda s: ~F.array_contains(stop_arr, s["token"])
+
+
+def _by_pick(pick_col: str, exprs: list):
+    """``CASE pick WHEN 0 THEN exprs[0] WHEN 1 THEN exprs[1] ... END``."""
+    out = None
+    for i, e in enumerate(exprs):
+        cond = F.col(pick_col) == i
+        out = F.when(cond, e) if out is None else out.when(cond, e)
+    return out
+
+
 def example_report(ranked: DataFrame, texts: DataFrame, attr: DataFrame, fold: int,
                    picks: Sequence[Pick], digits: int = 3, fold_col: str = "fold") -> DataFrame:
-    """``(gt, pred, text, shap)`` — one row per pick that exists in ``fold``.
+    """``(gt, pred, text, shap, pick)`` — one row per pick that exists in ``fold``.
 
     ``ranked``: ``(fold, id, label, rank)``; ``texts``: ``(id, text)``;
     ``attr``: ``(fold, id, pos, token, phi)`` for the class whose values are listed.
+    One pass: the ranked listing per class is computed once (group-limited to the deepest
+    pick), rows are tagged with their pick, and each pick's cleaning rules, stop list and
+    trims are chosen per row by ``CASE`` expressions.
     """
     ranked = ranked.filter(F.col(fold_col) == fold)
-    parts = []
-    for i, p in enumerate(picks):
-        row = nth_by_rank(ranked, p.label, [p.k], descending=(p.label == 1), fold_col=fold_col) \
-            .select(fold_col, "id", "label", "rank").withColumn("_pick", F.lit(i))
-        parts.append((p, row))
-    picked = None
-    for _, row in parts:
-        picked = row if picked is None else picked.unionByName(row)
+    cands = None
+    for label in sorted({p.label for p in picks}):
+        depth = max(p.k for p in picks if p.label == label) + 1
+        listing = ranked_listing(ranked, label, depth, descending=(label == 1), fold_col=fold_col)
+        cands = listing if cands is None else cands.unionByName(listing)
+    tags = F.array(*[F.when((F.col("label") == p.label) & (F.col("k") == p.k), F.lit(i))
+                     for i, p in enumerate(picks)])
+    picked = (cands.withColumn("_pick", F.explode(F.filter(tags, lambda x: x.isNotNull())))
+                   .select(fold_col, "id", "label", "rank", "_pick"))
     vals = (attr.join(picked.select(fold_col, "id").distinct(), [fold_col, "id"], "left_semi")
                 .groupBy(fold_col, "id")
                 .agg(F.array_sort(F.collect_list(F.struct("pos", "token", "phi"))).alias("_v")))
     base = picked.join(texts.select("id", "text"), "id").join(vals, [fold_col, "id"], "left")
-    out = None
-    for i, p in enumerate(picks):
-        one = base.filter(F.col("_pick") == i)
-        kept = F.filter("_v", lambda s: ~F.array_contains(
-            F.array(*[F.lit(x) for x in p.stop]) if p.stop else F.array().cast("array<string>"), s["token"]))
+    text_exprs, shap_exprs = [], []
+    for p in picks:
+        stop_arr = F.array(*[F.lit(x) for x in p.stop]) if p.stop else F.array().cast("array<string>")
+        kept = F.filter(F.coalesce("_v", F.array().cast("array<struct<pos:int,token:string,phi:double>>")),
+                        _not_in(stop_arr))
         values = F.transform(kept, lambda s: s["phi"])
         if p.trim_items:
             values = trim_tail_items(values, p.trim_items)
         text = clean_text(F.col("text"), p.rules, strip=p.strip)
         if p.trim_chars:
             text = trim_tail_chars(text, p.trim_chars)
-        one = one.select(F.col("label").alias("gt"), F.bround("rank", digits).alias("pred"),
-                         text.alias("text"), join_rounded(values, digits).alias("shap"), F.lit(i).alias("pick"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        text_exprs.append(text)
+        shap_exprs.append(join_rounded(values, digits))
+    return base.select(F.col("label").alias("gt"), F.bround("rank", digits).alias("pred"),
+                       _by_pick("_pick", text_exprs).alias("text"),
+                       _by_pick("_pick", shap_exprs).alias("shap"), F.col("_pick").alias("pick"))
 
 
 def stoplist_tokens(attr: DataFrame, stop: Sequence[str], fold_col: str = "fold") -> DataFrame:

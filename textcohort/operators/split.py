@@ -24,9 +24,13 @@ def split_assign(cohort: DataFrame, folds: int = 10, seed: int = 0, id_col: str
                  label_col: str = "label", test_ratio: float = 0.2,
                  train_ratio: float = 0.75) -> DataFrame:
     """``(fold, id, label, split)`` with ``split`` in ``train`` / ``vali`` / ``test``."""
+    from textcohort.sources.io import materialize
+
     base = cohort.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     x = with_folds(base, folds).withColumn("_h", md5_key("fold", "id"))
     x = hash_head(x, ["fold"], "_h", "id", ratio=1.0 - test_ratio, out="_tv")
+    # level 2 reads the level-1 result three times: write it once (narrow rows)
+    x = materialize(x.select("fold", "id", "label", "_tv"), "split-level1")
     test = x.filter(~F.col("_tv")).select("fold", "id", "label", F.lit("test").alias("split"))
     tv = x.filter(F.col("_tv")).select("fold", "id", "label").withColumn("_h", md5_key(F.lit(seed), "id"))
     tv = hash_head(tv, ["fold"], "_h", "id", ratio=train_ratio, out="_tr")
