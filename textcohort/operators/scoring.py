@@ -180,7 +180,13 @@ def _nan_aware(fn, c: str):
 
 def fold_report(metrics: DataFrame, fold_col: str = "fold",
                 cols: Sequence[str] = ("auroc", "auprc", "pearson")) -> DataFrame:
-    """Rows ``fold0..foldK`` plus ``avg`` and ``median`` (exact, interpolated; NaN propagates)."""
+    """Rows ``fold0..foldK`` plus ``avg`` and ``median`` (exact, interpolated; NaN propagates).
+
+    The metrics (one row per fold) are read by three branches, so they are written once first.
+    """
+    from textcohort.sources.io import materialize
+
+    metrics = materialize(metrics, "fold-metrics")
     per_fold = metrics.select(F.concat(F.lit("fold"), F.col(fold_col).cast("string")).alias("fold"),
                               *[F.col(c).cast("double").alias(c) for c in cols])
     avg = metrics.agg(*[F.avg(c).alias(c) for c in cols]).select(F.lit("avg").alias("fold"), *cols)

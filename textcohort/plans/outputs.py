@@ -42,7 +42,7 @@ def run_workflow(cohort: DataFrame, out_dir: str, *, neg_code: int = 6, folds: i
     paths["pred"] = IO.write_predictions(preds.select("fold", F.lit(seed).alias("seed"), "id", "pred"),
                                          f"{out}/pred")
     metrics = S.fold_metrics(preds.withColumnRenamed("label", "truth"), ["fold"], "pred", "truth", digits)
-    report = S.format_report(S.fold_report(IO.materialize(metrics, "fold-metrics")))
+    report = S.format_report(S.fold_report(metrics))
     paths["score"] = IO.write_report(report.select("fold", F.col("auroc").alias("auc"),
                                                    F.col("auprc").alias("auprc"),
                                                    F.col("pearson").alias("pear")), f"{out}/score.tsv")
