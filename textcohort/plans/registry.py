@@ -730,9 +730,7 @@ SELECT id, CAST(len(string_split(text, ' ')) AS INTEGER) AS n_words, n_tok AS n_
        len(string_split(text, ' ')) = n_tok AS consistent FROM cl""")
 def q_word_token_check(spark, sf_dir):
     c = cohort_df(spark, sf_dir)
-    cl = c.select("id", FT.clean_text(F.col("text")).alias("text"))
-    toks = TX.doc_tokens(c)
-    j = cl.join(toks, "id")
+    j = c.select("id", FT.clean_text(F.col("text")).alias("text"), FT.tokenise(F.col("text")).alias("tokens"))
     return TX.word_token_check(j).select("id", "n_words", "n_tokens", "consistent")
 
 
@@ -742,9 +740,8 @@ SELECT c.id, CASE WHEN length(c.text) > 3 THEN substr(c.text, 1, length(c.text)
 FROM cohort c JOIN toks t ON c.id = t.id""")
 def q_trim_tail(spark, sf_dir):
     c = cohort_df(spark, sf_dir)
-    toks = TX.doc_tokens(c)
-    return c.join(toks, "id").select("id", FT.trim_tail_chars(F.col("text"), 3).alias("text"),
-                                     F.size(FT.trim_tail_items(F.col("tokens"), 1)).alias("n_tokens"))
+    return c.select("id", FT.trim_tail_chars(F.col("text"), 3).alias("text"),
+                    F.size(FT.trim_tail_items(FT.tokenise(F.col("text")), 1)).alias("n_tokens"))
 
 
 @register("token_stoplist", f"""WITH {SQL_ATTR}
