@@ -17,12 +17,10 @@ key (AQE may still broadcast it after measuring it).
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textcohort.functions.numeric import nan, safe_div, sigmoid
+from textcohort.functions.numeric import nan, sigmoid
 
 
 def train_multiplicity(balanced: DataFrame, fold_col: str = "fold") -> DataFrame:
@@ -96,8 +94,4 @@ def class_probabilities(df: DataFrame, prob: str = "prob") -> DataFrame:
     return df.withColumn("p1", F.col(prob)).withColumn("p0", F.lit(1.0) - F.col(prob))
 
 
-def prior_logit(n1: float, n0: float) -> float:
-    return math.log(n1 / n0) if n1 > 0 and n0 > 0 else float("nan")
-
-
-__all__ = ["train_multiplicity", "nb_fit", "nb_priors", "nb_score", "class_probabilities", "safe_div", "prior_logit"]
+__all__ = ["train_multiplicity", "nb_fit", "nb_priors", "nb_score", "class_probabilities"]

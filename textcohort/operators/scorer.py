@@ -99,7 +99,8 @@ def nb_scorer_factory(weights_path: str, priors_path: str, text_col: str = "text
 
 
 def texts_for(rows: DataFrame, cohort: DataFrame, fold_col: str = "fold") -> DataFrame:
-    return rows.join(cohort.select("id", "text"), "id").select(fold_col, "id", "label", "text")
+    """``(fold, id, label, text)``: the rows to score with their raw text."""
+    return rows.join(cohort.select("id", "text"), "id").select(fold_col, "id", "label", F.col("text"))
 
 
-__all__ = ["score_with", "nb_scorer_factory", "texts_for", "F"]
+__all__ = ["score_with", "nb_scorer_factory", "texts_for"]
