@@ -89,3 +89,13 @@ def test_run_workflow_writes_outputs(spark):
     assert IO.read_delimited(spark, paths["consensus"]).count() > 0
     assert spark.read.parquet(paths["pred"]).count() == 3 * (
         R.cohort_df(spark, SF_SMALL).count() - int(0.8 * R.cohort_df(spark, SF_SMALL).count()))
+
+
+def test_prediction_store_prunes_partitions(spark):
+    df = spark.range(100).select((F.col("id") % 5).cast("int").alias("fold"), F.lit(0).alias("seed"),
+                                 F.col("id"), (F.col("id") / 100.0).alias("pred"))
+    path = IO.write_predictions(df, scratch_path(spark, "pred-prune"))
+    one = IO.read_predictions(spark, path, fold=3, seed=0)
+    assert sorted(r["id"] for r in one.collect()) == list(range(3, 100, 5))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(fold" in plan and "(fold#" in plan
