@@ -25,10 +25,22 @@ def lr_pipeline(num_features: int = 1 << 18, reg: float = 0.01, max_iter: int =
     return Pipeline(stages=[tok, tf, lr])
 
 
-def lr_fit(train: DataFrame, folds: list[int], **kw) -> dict[int, PipelineModel]:
-    """``train``: ``(fold, id, label, text)`` (oversampled rows included)."""
+def lr_fit(train: DataFrame, folds: list[int], parallelism: int = 4, **kw) -> dict[int, PipelineModel]:
+    """``train``: ``(fold, id, label, text)`` (oversampled rows included).
+
+    Each fold is one distributed fit; up to ``parallelism`` folds are submitted concurrently
+    from driver threads (the same idiom as Spark ML's ``CrossValidator(parallelism=...)``), so
+    the cluster runs several fits' jobs side by side.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
     data = train.withColumn("label", F.col("label").cast("double"))
-    return {f: lr_pipeline(**kw).fit(data.filter(F.col("fold") == f)) for f in folds}
+
+    def fit(f):
+        return f, lr_pipeline(**kw).fit(data.filter(F.col("fold") == f))
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(folds)))) as pool:
+        return dict(pool.map(fit, folds))
 
 
 def lr_score(models: dict[int, PipelineModel], rows: DataFrame) -> DataFrame:
