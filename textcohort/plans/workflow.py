@@ -15,47 +15,46 @@ from textcohort.operators import model as M
 from textcohort.operators import scoring as S
 from textcohort.operators import split as SP
 from textcohort.operators import text as TX
-from textcohort.functions.text import tokenise
 from textcohort.sources.io import bucket_count, materialize
 
 
 @dataclass
 class FittedFolds:
     cohort: DataFrame      # (id, code, label, text) — raw text, read again only for reports
-    docs: DataFrame        # (id, code, label, n_tok, tokens) — written once
+    docs: DataFrame        # (id, code, label) — written once
     split: DataFrame
     balanced: DataFrame
-    tokens: DataFrame      # (id, tokens) view of docs
-    counts: DataFrame
-    lengths: DataFrame     # (id, n_tok) view of docs (two narrow columns)
+    tokens: DataFrame      # (id, tokens) — lazy view (re-tokenises if read; the fit never reads it)
+    counts: DataFrame      # (id, token, tf, n_tok, positions) — written once, id-bucketed
+    lengths: DataFrame     # (id, n_tok) — lazy view
     weights: DataFrame
     priors: DataFrame
 
 
-def tokenised_docs(cohort: DataFrame) -> DataFrame:
-    """The one pass over the raw text: ``(id, code, label, n_tok, tokens)``, written once."""
-    toks = cohort.select("id", "code", "label", tokenise(F.col("text")).alias("tokens"))
-    return materialize(toks.withColumn("n_tok", F.size("tokens"))
-                           .select("id", "code", "label", "n_tok", "tokens"), "cohort-tokens")
+def cohort_keys(cohort: DataFrame) -> DataFrame:
+    """``(id, code, label)`` of the cohort, written once (the text filters are evaluated once)."""
+    return materialize(cohort.select("id", "code", "label"), "cohort-keys")
 
 
 def fit_folds(cohort: DataFrame, folds: int = 10, seed: int = 0, alpha: float = 1.0) -> FittedFolds:
     """Split, balance, tokenise and fit every fold.
 
-    The raw text is scanned once (``tokenised_docs``); the split reads only ``(id, label)`` and
-    the model reads token counts.  Results that several later stages read (split assignment,
-    balanced rows, token counts, model tables) are written once to the shared checkpoint folder.
+    The raw text is read twice: once for the narrow cohort keys and once to tokenise it into
+    the token-count table (with positions), which is all the model and the attribution read.
+    No corpus-sized copy of the tokens is written.  Results that several later stages read
+    (keys, split assignment, balanced rows, token counts, model tables) are written once to the
+    shared checkpoint folder.
     """
-    docs = tokenised_docs(cohort)
+    docs = cohort_keys(cohort)
     # id-bucketed tables: the joins on id between them do not shuffle the large sides.  The
-    # bucket count follows the number of texts (a Parquet metadata count of the written table).
+    # bucket count follows the number of texts (a Parquet metadata count of the written keys).
     nb = bucket_count(docs.sparkSession, docs.count())
+    tokens = TX.doc_tokens(cohort)
+    counts = materialize(TX.token_counts(tokens), "token-counts", bucket_by=["id"], buckets=nb)
     split = materialize(SP.split_assign(docs.select("id", "label"), folds=folds, seed=seed), "split",
                         bucket_by=["id"], buckets=nb)
     balanced = materialize(SP.oversample(split, seed=seed), "balanced", bucket_by=["id"], buckets=nb)
-    tokens = docs.select("id", "tokens")
-    counts = materialize(TX.token_counts(tokens), "token-counts", bucket_by=["id"], buckets=nb)
-    lengths = docs.select("id", "n_tok")
+    lengths = TX.doc_lengths(tokens)
     weights, _ = M.nb_fit(balanced, counts, alpha=alpha)
     weights = materialize(weights, "nb-weights")
     priors = M.nb_priors(balanced, weights)    # one row per fold from two written tables
