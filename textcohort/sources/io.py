@@ -89,8 +89,9 @@ def read_table_at(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def bucket_count(spark: SparkSession, rows: int | None = None, rows_per_bucket: int = 2000) -> int:
-    """Buckets for id-bucketed tables: about ``rows_per_bucket`` texts per bucket, at most the
+def bucket_count(spark: SparkSession, rows: int | None = None, rows_per_bucket: int = 256) -> int:
+    """Buckets for id-bucketed tables: about ``rows_per_bucket`` texts per bucket (each text
+    contributes its distinct tokens with their positions to the count table), at most the
     session's shuffle partition count (the cluster owner's sizing), at least one.  Every table
     of one run uses the same count, so bucketed sides join without re-partitioning."""
     cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
