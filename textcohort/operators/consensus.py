@@ -8,7 +8,7 @@ gives the word's whole ``_``-joined list, and no group larger than one text is e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textcohort.functions.text import normalise_word
@@ -40,16 +40,18 @@ def consensus_raw(attr: DataFrame, fmt: str = "%.2f", sep: str = "_", fold_col:
 def consensus_top(cons: DataFrame, min_count, skip_head: int = 10, skip_tail: int = 3) -> DataFrame:
     """Words with ``count >= min_count``, then rows ``[skip_head : -skip_tail]`` in word order.
 
-    ``min_count`` may be an int or a Column.  The window has no partition on purpose: after the
-    threshold at most ``total_occurrences / min_count`` words remain (with the default of 10 % of
-    the examples: 10 x the mean tokens per example), a bound that does not grow with the corpus.
+    ``min_count`` may be an int or a Column.  Positions in word order come from the distributed
+    exact index (range partitioning + per-partition offsets), so no step puts the word table in
+    one task; after the threshold the table is small anyway (at most
+    ``total_occurrences / min_count`` words).
     """
+    from textcohort.operators.index import ordered_index
+
     mc = min_count if not isinstance(min_count, (int, float)) else F.lit(min_count)
     top = cons.filter(F.col("count") >= mc)
-    w = Window.orderBy("word")
-    top = top.withColumn("_rn", F.row_number().over(w)) \
-             .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
-    return top.filter((F.col("_rn") > skip_head) & (F.col("_rn") <= F.col("_n") - skip_tail)).drop("_rn", "_n")
+    top = ordered_index(top, [], ["word"], out="_pos", count_out="_n")
+    keep = (F.col("_pos") >= skip_head) & (F.col("_pos") < F.col("_n") - skip_tail)
+    return top.filter(keep).drop("_pos", "_n")
 
 
 def consensus_letters(cons: DataFrame, min_count) -> DataFrame:
