@@ -44,7 +44,14 @@ def lr_fit(train: DataFrame, folds: list[int], parallelism: int = 4, **kw) -> di
 
 
 def lr_score(models: dict[int, PipelineModel], rows: DataFrame) -> DataFrame:
-    """``rows``: ``(fold, id, label, text)`` -> ``(fold, id, label, prob)``."""
+    """``rows``: ``(fold, id, label, text)`` -> ``(fold, id, label, prob)``.
+
+    The rows are written once partitioned by fold, so each fold's model reads only its own
+    partition (partition pruning) instead of re-reading every text once per fold.
+    """
+    from textcohort.sources.io import materialize
+
+    rows = materialize(rows, "lr-rows", partition_by=["fold"])
     out = None
     for f, m in models.items():
         p = m.transform(rows.filter(F.col("fold") == f).withColumn("label", F.col("label").cast("double")))
