@@ -99,3 +99,11 @@ def test_oversample_large_gap_chunks(spark):
     b = SP.oversample(spark.createDataFrame(rows, "fold int, id long, label int, split string"), seed=0)
     c = SP.oversample_counts(b).collect()[0]
     assert c["n_pos"] == c["n_neg"] == SP.DRAW_CHUNK + 10
+
+
+def test_multiplicity_hot_copies(spark):
+    # one minority row against many majority rows: every draw hits the same row
+    rows = [(0, i, 1, "train") for i in range(5000)] + [(0, -1, 0, "train")]
+    split = spark.createDataFrame(rows, "fold int, id long, label int, split string")
+    m = {r["id"]: r["mult"] for r in SP.oversample_multiplicity(split, seed=0).collect()}
+    assert m[-1] == 5000 and all(m[i] == 1 for i in range(5000))

@@ -41,11 +41,20 @@ def test_class0_is_negative_class1(fitted):
 
 
 def test_oversampled_balanced(fitted):
-    c = fitted.balanced.groupBy("fold").agg(F.count_if(F.col("label") == 1).alias("p"),
-                                            F.count_if(F.col("label") == 0).alias("n")).collect()
+    c = fitted.balanced.groupBy("fold").agg(F.sum(F.when(F.col("label") == 1, F.col("mult"))).alias("p"),
+                                            F.sum(F.when(F.col("label") == 0, F.col("mult"))).alias("n")).collect()
     assert c and all(r["p"] == r["n"] for r in c)
 
 
+def test_multiplicity_equals_explicit_copies(spark, fitted):
+    from textcohort.operators import split as SP
+    copies = M.train_multiplicity(SP.oversample(fitted.split, seed=0))
+    mult = SP.oversample_multiplicity(fitted.split, seed=0)
+    a = sorted(tuple(r) for r in copies.select("fold", "id", "label", "mult").collect())
+    b = sorted(tuple(r) for r in mult.select("fold", "id", "label", "mult").collect())
+    assert a == b
+
+
 def test_map_in_pandas_scorer_matches_join_scorer(spark, fitted):
     from textcohort.operators import scorer as SC
     from textcohort.session import scratch_path

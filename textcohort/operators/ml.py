@@ -17,16 +17,20 @@ from pyspark.sql import functions as F
 from textcohort.functions.text import TOKEN_PATTERN
 
 
-def lr_pipeline(num_features: int = 1 << 18, reg: float = 0.01, max_iter: int = 20) -> Pipeline:
+def lr_pipeline(num_features: int = 1 << 18, reg: float = 0.01, max_iter: int = 20,
+                weight_col: str | None = None) -> Pipeline:
     tok = RegexTokenizer(inputCol="text", outputCol="tokens", pattern=TOKEN_PATTERN, gaps=False,
                          toLowercase=True)
     tf = HashingTF(inputCol="tokens", outputCol="features", numFeatures=num_features)
     lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=reg, maxIter=max_iter)
+    if weight_col:
+        lr.setWeightCol(weight_col)
     return Pipeline(stages=[tok, tf, lr])
 
 
 def lr_fit(train: DataFrame, folds: list[int], parallelism: int = 4, **kw) -> dict[int, PipelineModel]:
-    """``train``: ``(fold, id, label, text)`` (oversampled rows included).
+    """``train``: ``(fold, id, label, text)`` with oversampled copies as rows, or with a ``mult``
+    column (copies as an instance weight — the same weighted likelihood).
 
     Each fold is one distributed fit; up to ``parallelism`` folds are submitted concurrently
     from driver threads (the same idiom as Spark ML's ``CrossValidator(parallelism=...)``), so
@@ -36,6 +40,10 @@ def lr_fit(train: DataFrame, folds: list[int], parallelism: int = 4, **kw) -> di
 
     data = train.withColumn("label", F.col("label").cast("double"))
 
+    if "mult" in data.columns:
+        data = data.withColumn("mult", F.col("mult").cast("double"))
+        kw = {**kw, "weight_col": "mult"}
+
     def fit(f):
         return f, lr_pipeline(**kw).fit(data.filter(F.col("fold") == f))
 

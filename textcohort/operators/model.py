@@ -24,7 +24,10 @@ from textcohort.functions.numeric import nan, sigmoid
 
 
 def train_multiplicity(balanced: DataFrame, fold_col: str = "fold") -> DataFrame:
-    """``(fold, id, label, mult)``: oversampled copies folded into a weight."""
+    """``(fold, id, label, mult)``: oversampled copies folded into a weight (a table that already
+    has ``mult`` — ``split.oversample_multiplicity`` — is used as it is)."""
+    if "mult" in balanced.columns:
+        return balanced.select(fold_col, "id", "label", "mult")
     return balanced.groupBy(fold_col, "id", "label").agg(F.count(F.lit(1)).alias("mult"))
 
 

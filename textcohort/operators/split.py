@@ -68,16 +68,8 @@ def shuffle_rows(df: DataFrame, seed: int | None = None) -> DataFrame:
 DRAW_CHUNK = 1 << 16
 
 
-def oversample(split: DataFrame, seed: int = 0, fold_col: str = "fold") -> DataFrame:
-    """Balance the train split of every fold by drawing minority rows with replacement.
-
-    Per fold the minority class (positives when negatives outnumber them, else negatives) gets
-    ``|pos - neg|`` extra rows.  Draw ``j`` picks minority row ``md5(seed:fold:j) mod n_min`` in
-    ``md5(seed:fold:id)`` order.  Draws are generated in chunks spread over tasks, then joined to
-    the indexed minority rows on ``(fold, idx)``.  Returns ``(fold, id, label, copy)``; ``copy``
-    is 0 for the original rows and ``j + 1`` for draw ``j``.  An empty minority with a nonzero
-    gap fails the job.
-    """
+def _oversample_parts(split: DataFrame, seed: int, fold_col: str):
+    """Train rows, indexed minority rows and the draws ``(fold, _j, _idx)`` of every fold."""
     tr = split.filter(F.col("split") == "train").select(fold_col, "id", "label")
     cnt = (tr.groupBy(fold_col)
              .agg(F.count_if(F.col("label") == 1).alias("_npos"),
@@ -88,7 +80,7 @@ def oversample(split: DataFrame, seed: int = 0, fold_col: str = "fold") -> DataF
               .withColumn("_nmin", F.when((F.col("_nmin") == 0) & (F.col("_diff") > 0),
                                           F.raise_error(F.lit("empty minority class in the train split")).cast("long"))
                                     .otherwise(F.col("_nmin"))))
-    # minority rows with an exact 0-based index in hash order
+    # minority rows with an exact 0-based index in hash order (one row per fold is broadcast)
     minority = tr.join(F.broadcast(cnt.select(fold_col, "_minlab")), fold_col) \
                  .filter(F.col("label") == F.col("_minlab")).drop("_minlab")
     minority = minority.withColumn("_h", md5_key(F.lit(seed), fold_col, "id"))
@@ -100,12 +92,44 @@ def oversample(split: DataFrame, seed: int = 0, fold_col: str = "fold") -> DataF
     lo = F.col("_chunk") * DRAW_CHUNK
     hi = F.least((F.col("_chunk") + 1) * DRAW_CHUNK, F.col("_diff")) - 1
     d = d.withColumn("_j", F.explode(F.sequence(lo, hi)))
-    d = d.select(fold_col, "_j", F.pmod(md5_int(F.lit(seed), fold_col, "_j"), F.col("_nmin")).alias("_idx"))
-    extra = d.join(minority, [fold_col, "_idx"]).select(fold_col, "id", "label", (F.col("_j") + 1).alias("copy"))
+    draws = d.select(fold_col, "_j", F.pmod(md5_int(F.lit(seed), fold_col, "_j"), F.col("_nmin")).alias("_idx"))
+    return tr, minority, draws
+
+
+def oversample(split: DataFrame, seed: int = 0, fold_col: str = "fold") -> DataFrame:
+    """Balance the train split of every fold by drawing minority rows with replacement.
+
+    Per fold the minority class (positives when negatives outnumber them, else negatives) gets
+    ``|pos - neg|`` extra rows.  Draw ``j`` picks minority row ``md5(seed:fold:j) mod n_min`` in
+    ``md5(seed:fold:id)`` order.  Draws are generated in chunks spread over tasks, then joined to
+    the indexed minority rows on ``(fold, idx)``.  Returns ``(fold, id, label, copy)``; ``copy``
+    is 0 for the original rows and ``j + 1`` for draw ``j``.  An empty minority with a nonzero
+    gap fails the job.  (A tiny minority makes ``idx`` hot here; AQE broadcasts the then small
+    minority side.  The model uses ``oversample_multiplicity``, which has no hot key at all.)
+    """
+    tr, minority, draws = _oversample_parts(split, seed, fold_col)
+    extra = draws.join(minority, [fold_col, "_idx"]).select(fold_col, "id", "label", (F.col("_j") + 1).alias("copy"))
     return tr.withColumn("copy", F.lit(0).cast("long")).unionByName(extra)
 
 
+def oversample_multiplicity(split: DataFrame, seed: int = 0, fold_col: str = "fold") -> DataFrame:
+    """``(fold, id, label, mult)``: every train row with its number of copies after oversampling.
+
+    Same draws as ``oversample``, but counted per ``(fold, idx)`` before the join (partial
+    aggregation: a minority row drawn a billion times is one row per task), so no copy is ever
+    materialised and no key or bucket holds the copies of one row.
+    """
+    tr, minority, draws = _oversample_parts(split, seed, fold_col)
+    per_idx = draws.groupBy(fold_col, "_idx").agg(F.count(F.lit(1)).alias("_k"))
+    extra = per_idx.join(minority, [fold_col, "_idx"]).select(fold_col, "id", "_k")
+    return (tr.join(extra, [fold_col, "id"], "left")
+              .select(fold_col, "id", "label", (F.lit(1) + F.coalesce(F.col("_k"), F.lit(0))).cast("long").alias("mult")))
+
+
 def oversample_counts(balanced: DataFrame, fold_col: str = "fold") -> DataFrame:
-    """Per fold: rows per class after oversampling (equal when the minority was non-empty)."""
-    return balanced.groupBy(fold_col).agg(F.count_if(F.col("label") == 1).alias("n_pos"),
-                                          F.count_if(F.col("label") == 0).alias("n_neg"))
+    """Per fold: rows per class after oversampling (equal when the minority was non-empty).
+    Accepts explicit copies or a multiplicity table (``mult``)."""
+    w = F.col("mult") if "mult" in balanced.columns else F.lit(1)
+    return balanced.groupBy(fold_col).agg(
+        F.sum(F.when(F.col("label") == 1, w).otherwise(0)).cast("long").alias("n_pos"),
+        F.sum(F.when(F.col("label") == 0, w).otherwise(0)).cast("long").alias("n_neg"))

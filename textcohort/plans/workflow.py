@@ -23,7 +23,7 @@ class FittedFolds:
     cohort: DataFrame      # (id, code, label, text) — raw text, read again only for reports
     docs: DataFrame        # (id, code, label) — written once
     split: DataFrame
-    balanced: DataFrame
+    balanced: DataFrame    # (fold, id, label, mult) — train rows with their oversampling copies
     tokens: DataFrame      # (id, tokens) — lazy view (re-tokenises if read; the fit never reads it)
     counts: DataFrame      # (id, token, tf, n_tok, positions) — written once, id-bucketed
     lengths: DataFrame     # (id, n_tok) — lazy view
@@ -53,7 +53,8 @@ def fit_folds(cohort: DataFrame, folds: int = 10, seed: int = 0, alpha: float =
     counts = materialize(TX.token_counts(tokens), "token-counts", bucket_by=["id"], buckets=nb)
     split = materialize(SP.split_assign(docs.select("id", "label"), folds=folds, seed=seed), "split",
                         bucket_by=["id"], buckets=nb)
-    balanced = materialize(SP.oversample(split, seed=seed), "balanced", bucket_by=["id"], buckets=nb)
+    # train rows with their oversampling multiplicity (no materialised copies, no hot keys)
+    balanced = materialize(SP.oversample_multiplicity(split, seed=seed), "train-mult", bucket_by=["id"], buckets=nb)
     lengths = TX.doc_lengths(tokens)
     weights, _ = M.nb_fit(balanced, counts, alpha=alpha)
     weights = materialize(weights, "nb-weights")
