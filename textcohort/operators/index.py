@@ -49,6 +49,10 @@ def md5_int(*parts, hex_digits: int = 8) -> Column:
 
 def hash_index(df: DataFrame, group_cols: Sequence[str], hash_col: str, id_col: str,
                out: str = "idx", bucket_hex: int = 4) -> DataFrame:
+    """Exact 0-based position of every row in ``(hash_col, id_col)`` order within its group.
+
+    ``hash_col`` is an md5 hex string (uniform), so the ``(group, bucket)`` windows are balanced.
+    """
     g = list(group_cols)
     x = df.withColumn("_b", _bucket(hash_col, bucket_hex))
     counts = x.groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
@@ -63,6 +67,8 @@ def hash_index(df: DataFrame, group_cols: Sequence[str], hash_col: str, id_col:
 
 def hash_head(df: DataFrame, group_cols: Sequence[str], hash_col: str, id_col: str,
               ratio: float, out: str = "head", bucket_hex: int = 4) -> DataFrame:
+    """Flag ``out`` = the row is among the first ``floor(ratio * n)`` of its group in
+    ``(hash_col, id_col)`` order.  ``group_cols`` are folds (the cut table is broadcast)."""
     g = list(group_cols)
     x = df.withColumn("_b", _bucket(hash_col, bucket_hex))
     counts = x.groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
