@@ -34,3 +34,26 @@ ORACLE["op6_content_sort_dedup"] = f"""
     SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
            doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
     FROM n WINDOW w AS (PARTITION BY norm)"""
+
+
+@query
+def op5_two_tier_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textcohort.llm.token_counts import token_counts
+
+    return token_counts(read_table(spark, sf_dir, "documents"), limit=2048)
+
+
+@query
+def op8_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textcohort.llm.packing import pack
+
+    pieces = pack(read_table(spark, sf_dir, "documents"), window=2048, end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op9_bit_packed_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textcohort.llm.token_files import read_token_files, write_token_files
+
+    shards = write_token_files(read_table(spark, sf_dir, "documents"), end_id=2)
+    return read_token_files(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
