@@ -57,3 +57,10 @@ def op9_bit_packed_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     shards = write_token_files(read_table(spark, sf_dir, "documents"), end_id=2)
     return read_token_files(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op3_simhash_anchor_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textcohort.llm.simhash import simhash_groups
+
+    return simhash_groups(read_table(spark, sf_dir, "documents"), words=3, max_bits=3, seed=42)
