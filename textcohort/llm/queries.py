@@ -64,3 +64,12 @@ def op3_simhash_anchor_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textcohort.llm.simhash import simhash_groups
 
     return simhash_groups(read_table(spark, sf_dir, "documents"), words=3, max_bits=3, seed=42)
+
+
+@query
+def op10_scanned_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textcohort.llm.byte_bpe import decode, encode
+
+    back = decode(encode(read_table(spark, sf_dir, "documents")))
+    return back.select("doc_id", "n_tokens", F.sha2("id_bytes", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
