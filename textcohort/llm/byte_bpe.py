@@ -34,6 +34,8 @@ from textcohort.llm.common import doc_texts, slices, text_array
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CACHE_ENTRIES = 300_000
 CODE_POINTS = 0x110000
+#: Longer slices are merged with a heap.
+SHORT_PIECE = 64
 
 # classes of code points
 OTHER, LETTER, NUMBER, SPACE, WHITE = range(5)
@@ -177,6 +179,8 @@ class Merger:
         if piece in ranks:
             return [ranks[piece]]
         n = len(piece)
+        if n <= SHORT_PIECE:
+            return self._merge_short(piece)
         after, before, end = list(range(1, n + 1)), list(range(-1, n)), list(range(1, n + 1))
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i:i + 2])) is not None]
         heapq.heapify(heap)
@@ -199,6 +203,20 @@ class Merger:
             i = after[i]
         return out
 
+    def _merge_short(self, piece: bytes) -> list[int]:
+        """The same for a short slice, with the ranks of all neighbouring pairs in a list."""
+        rank, none = self.ranks.get, len(self.bytes)
+        cuts = list(range(len(piece) + 1))
+        pairs = [rank(piece[i:i + 2], none) for i in range(len(piece) - 1)]
+        while pairs and (low := min(pairs)) != none:
+            i = pairs.index(low)
+            del pairs[i], cuts[i + 1]
+            if i < len(pairs):
+                pairs[i] = rank(piece[cuts[i]:cuts[i + 2]], none)
+            if i:
+                pairs[i - 1] = rank(piece[cuts[i - 1]:cuts[i + 1]], none)
+        return [self.ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def ids(self, piece: bytes) -> bytes:
         found = self.cache.get(piece)
         if found is None:
