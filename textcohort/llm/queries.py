@@ -73,3 +73,12 @@ def op10_scanned_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = decode(encode(read_table(spark, sf_dir, "documents")))
     return back.select("doc_id", "n_tokens", F.sha2("id_bytes", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op2_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textcohort.llm.warc import read_warc, write_warc
+
+    back = read_warc(write_warc(read_table(spark, sf_dir, "pages")), with_data=False)
+    return back.filter("last").select("page_id", F.col("bytes").alias("payload_bytes"), F.col("sha1").alias("payload_digest"),
+                                      "record_type", "refers_to")
