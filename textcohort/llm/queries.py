@@ -82,3 +82,12 @@ def op2_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = read_warc(write_warc(read_table(spark, sf_dir, "pages")), with_data=False)
     return back.filter("last").select("page_id", F.col("bytes").alias("payload_bytes"), F.col("sha1").alias("payload_digest"),
                                       "record_type", "refers_to")
+
+
+@query
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textcohort.llm.order_minhash import compare_edited
+
+    pairs = compare_edited(read_table(spark, sf_dir, "documents"))
+    return pairs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+                        "fingerprint", "edited_fingerprint", "near_edited", "near_next")
