@@ -91,3 +91,10 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = compare_edited(read_table(spark, sf_dir, "documents"))
     return pairs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
                         "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query
+def op1_toxicity_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textcohort.llm.toxicity import toxicity
+
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
