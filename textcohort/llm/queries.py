@@ -98,3 +98,13 @@ def op1_toxicity_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textcohort.llm.toxicity import toxicity
 
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textcohort.llm.pii import KINDS, count_of, personal_data, spans_text
+
+    found = personal_data(read_table(spark, sf_dir, "documents"))
+    counts = [count_of(k, F.col("base")).alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(F.encode(spans_text(F.col("base")), "UTF-8"), 256).alias("base_sha256"),
+                        spans_text(F.col("spans")).alias("spans"))
