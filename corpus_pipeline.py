@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textcohort.llm.common import materialize, read_table
+from textcohort.llm.common import importable, materialize, read_table
 from textcohort.llm.exact_dedup import drop_copies
 from textcohort.llm.packing import pack
 from textcohort.llm.pii import redact
@@ -58,6 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared checkpoint folder."""
+    importable(spark)
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))

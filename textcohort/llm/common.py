@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -10,13 +11,24 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textcohort.session import ensure_checkpoint_dir, scratch_path
+from textcohort.session import scratch_path
 from textcohort.sources.io import materialize
 from textcohort.sources.tables import read_table
 
-__all__ = ["ascii_lower", "doc_texts", "ensure_checkpoint_dir", "materialize", "read_table", "scratch_path",
+__all__ = ["ascii_lower", "doc_texts", "importable", "materialize", "read_table", "scratch_path",
            "slices", "split_long", "text_array", "partitions_for"]
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did, besides what their own path has
+    (a cluster has the package installed; a local session may run from another folder)."""
+    import textcohort
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(textcohort.__file__)))
+    paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_SPACE = re.compile(r"[ \t-\r]")
 
