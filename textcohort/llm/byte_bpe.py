@@ -153,7 +153,7 @@ def token_starts(points: np.ndarray, first: np.ndarray, classes: np.ndarray, blo
         totals[shift:] = flat[totals[:-shift].astype(np.intp) * size + totals[shift:]]
         shift *= 2
     entry = np.concatenate(([_FRESH], functions[totals[:-1], _FRESH])).astype(np.intp)
-    after = functions.reshape(-1)[grid.astype(np.intp) * 8 + entry]  # the state after each position
+    after = functions.reshape(-1)[grid * 8 + entry.astype(np.uint16)]  # the state after each position
     before = np.concatenate((entry[None, :].astype(np.uint8), after[:-1])).T.reshape(-1)[:len(sym)]
     return np.flatnonzero(starts[sym, before])
 
@@ -272,7 +272,7 @@ def merger(path: str) -> Merger:
 _LIST = pa.list_(pa.int32())
 
 
-def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 1 << 20) -> DataFrame:
     """``doc_id, ids, offsets``: each text's ids and the byte offset of each token."""
     path = vocabulary or default_vocabulary()
     # one byte for each code point: a table of fixed size
@@ -291,6 +291,33 @@ def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
     return doc_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, offsets array<int>")
 
 
+def round_trip(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 1 << 20) -> DataFrame:
+    """``decode(encode(docs))`` in one pass over the texts: a worker encodes a small batch and decodes it from
+    its ids and offsets before it takes the next, so the ids of a batch never wait in the JVM."""
+    path = vocabulary or default_vocabulary()
+    classes = docs.sparkSession.sparkContext.broadcast(code_point_classes().tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, own = np.frombuffer(classes.value, np.uint8), merger(path)
+        for batch in batches:
+            names, texts = batch.column("doc_id"), text_array(batch.column("text"))
+            for start, stop in slices(texts, batch_bytes):
+                ids, offsets, at = own.encode(texts.slice(start, stop - start), table)
+                yield _decoded(own, names.slice(start, stop - start), ids, offsets, at)
+
+    return doc_texts(docs, id_col, text_col).mapInArrow(run, _DECODED)
+
+
+_DECODED = "doc_id long, n_tokens long, id_bytes binary, decoded binary"
+
+
+def _decoded(own: Merger, names: pa.Array, ids: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """The decoded rows of texts whose ids lie between the offsets ``at``."""
+    runs = [slice(a, b) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([names, pa.array(np.diff(at), pa.int64()), pa.array([ids[r].astype("<u4").tobytes() for r in runs], pa.binary()),
+                                       pa.array([own.decode(ids[r], offsets[r]) for r in runs], pa.binary())], ["doc_id", "n_tokens", "id_bytes", "decoded"])
+
+
 def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``doc_id, n_tokens, id_bytes, decoded``: the ids as little-endian unsigned 32-bit integers and
     the bytes that they stand for."""
@@ -304,11 +331,8 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
             ids, offsets = (x.values.to_numpy(zero_copy_only=False) for x in lists)
             base = lists[1].offsets[0].as_py() - int(at[0])
             for k in range(0, batch.num_rows, 256):
-                rows = range(k, min(k + 256, batch.num_rows))
-                decoded = [own.decode(ids[at[i]:at[i + 1]], offsets[at[i] + base:at[i + 1] + base]) for i in rows]
-                packed = [ids[at[i]:at[i + 1]].astype("<u4").tobytes() for i in rows]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(k, len(rows)), pa.array([len(p) // 4 for p in packed], pa.int64()),
-                                                  pa.array(packed, pa.binary()), pa.array(decoded, pa.binary())],
-                                                 ["doc_id", "n_tokens", "id_bytes", "decoded"])
-
-    return encoded.select("doc_id", "ids", "offsets").mapInArrow(run, "doc_id long, n_tokens long, id_bytes binary, decoded binary")
+                cut = at[k:min(k + 256, batch.num_rows) + 1]
+                lo, hi = int(cut[0]), int(cut[-1])
+                yield _decoded(own, batch.column("doc_id").slice(k, len(cut) - 1), ids[lo:hi], offsets[lo + base:hi + base], cut - lo)
+
+    return encoded.select("doc_id", "ids", "offsets").mapInArrow(run, _DECODED)

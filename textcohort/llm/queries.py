@@ -75,9 +75,9 @@ def op3_simhash_anchor_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_scanned_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from textcohort.llm.byte_bpe import decode, encode
+    from textcohort.llm.byte_bpe import round_trip
 
-    back = decode(encode(read_table(spark, sf_dir, "documents")))
+    back = round_trip(read_table(spark, sf_dir, "documents"))
     return back.select("doc_id", "n_tokens", F.sha2("id_bytes", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
