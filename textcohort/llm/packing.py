@@ -5,8 +5,8 @@ first fills whole windows; what remains is placed best-fit (the open window with
 that holds it).  When none fits and no more windows may be open, the fullest window is topped up
 with the document's next ids, emitted full, and the rest is placed again.  At its end a partition
 merges its open windows with each other, cutting freely, so that at most one is not full.  These
-leftovers, one small descriptor for each partition, are finally merged best-fit across partitions
-in groups of ``merge_group`` partitions; only a number and an offset of their pieces change.
+leftovers, one window for each partition, are finally merged across partitions in the same way, in
+groups of ``MERGE_GROUP`` partitions, so that only a group's last sequence needs padding.
 
 The number of open windows bounds a task's memory; ids leave the task as soon as their window is
 emitted.  The pieces are written once to the shared checkpoint folder, because the merge needs the
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textcohort.llm.common import doc_texts, materialize
@@ -131,42 +131,32 @@ def packed_partitions(docs: DataFrame, window: int, open_windows: int, end_id: i
     return doc_texts(docs, id_col, text_col).mapInArrow(pack, PIECE)
 
 
-def _merged(window: int):
-    """Best-fit over the leftovers of a group of partitions: each joins an open sequence or starts one."""
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r["group"], -r["fill"], r["old"]) for b in batches for r in b.to_pylist())
-        old, new, base, rooms, at = [], [], [], [], None
-        for group, fill, seq in rows:
-            if group != at:
-                rooms, at = [], group
-            i = bisect_left(rooms, (-fill, -1))
-            room, target = rooms.pop(i) if i < len(rooms) else (window, seq)
-            old.append(seq)
-            new.append(target)
-            base.append(window - room)
-            if room + fill > 0:
-                insort(rooms, (room + fill, target))
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (old, new, base)], ["old", "new", "base"])
-
-    return merge
-
-
 def pack(docs: DataFrame, window: int = WINDOW, open_windows: int = OPEN_WINDOWS, end_id: int = 1,
          vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: ``doc_id, start, length, doc_tokens, sequence_id, offset, ids``.
 
     ``ids`` are the piece's ids as little-endian unsigned 32-bit integers; a sequence is its pieces
-    in order of ``offset``, and only the last sequence of a merge group may be far from full."""
+    in order of ``offset``, and only the last sequence of a merge group is not full."""
     pieces = materialize(packed_partitions(docs, window, open_windows, end_id, vocabulary or default_vocabulary(), id_col, text_col), "packing")
-    left = pieces.filter("leftover")
-    # one descriptor for each partition, dealt by groups of MERGE_GROUP partitions
-    fills = (left.groupBy(F.col("sequence_id").alias("old")).agg(F.sum("length").alias("fill"))
-             .withColumn("group", F.shiftright("old", 32).cast("long") / F.lit(MERGE_GROUP))
-             .withColumn("group", F.floor("group")))
-    places = fills.repartition("group").mapInArrow(_merged(window), "old long, new long, base long")
     keep = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
-    moved = left.join(places, F.col("sequence_id") == F.col("old")).select(
-        "doc_id", "start", "length", "doc_tokens", F.col("new").alias("sequence_id"),
-        (F.col("offset") + F.col("base")).alias("offset"), "ids")
-    return pieces.filter("NOT leftover").select(keep).unionByName(moved)
+    return pieces.filter("NOT leftover").select(keep).unionByName(merge_leftovers(pieces.filter("leftover"), window).select(keep))
+
+
+def merge_leftovers(left: DataFrame, window: int) -> DataFrame:
+    """The pieces of the partitions' leftover windows, laid end to end within each group of partitions and
+    cut at multiples of the window.  The order needs one row (a number and a fill) per partition."""
+    fills = (left.groupBy(F.col("sequence_id").alias("old")).agg(F.sum("length").alias("fill"))
+             .withColumn("group", F.floor(F.shiftright("old", 32) / MERGE_GROUP)))
+    group = Window.partitionBy("group")
+    before = group.orderBy("old").rowsBetween(Window.unboundedPreceding, -1)
+    # a partition numbers its own windows from 0, so the upper half of its numbers is free
+    fills = fills.select("old", F.coalesce(F.sum("fill").over(before), F.lit(0)).alias("base"),
+                         (F.shiftleft(F.shiftright(F.min("old").over(group), 32), 32) + F.lit(1 << 31)).alias("first"))
+    at = left.join(fills, F.col("sequence_id") == F.col("old")).withColumn("at", F.col("base") + F.col("offset"))
+    nth = F.explode(F.sequence(F.floor(F.col("at") / window), F.floor((F.col("at") + F.col("length") - 1) / window)))
+    cut = (at.withColumn("nth", nth).withColumn("from", F.greatest("at", F.col("nth") * window))
+           .withColumn("to", F.least(F.col("at") + F.col("length"), (F.col("nth") + 1) * window)))
+    skip = F.col("from") - F.col("at")
+    return cut.select("doc_id", (F.col("start") + skip).alias("start"), (F.col("to") - F.col("from")).alias("length"), "doc_tokens",
+                      (F.col("first") + F.col("nth")).alias("sequence_id"), (F.col("from") - F.col("nth") * window).alias("offset"),
+                      F.substring("ids", (skip * 4 + 1).cast("int"), ((F.col("to") - F.col("from")) * 4).cast("int")).alias("ids"))
