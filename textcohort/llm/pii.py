@@ -7,10 +7,10 @@
    other is an unseen instance.
 3. **Graph.**  Patterns and instances (by value) are the two sides of a graph.  In each round a pattern's
    confidence for a kind is the score of its instances over their number (plus one), and an
-   unseen instance's score is the noisy-or of its patterns' confidences.
-4. **Discovery.**  Unseen instances with a score of at least ``accept`` under patterns of at least
-   ``least_seeds`` seed instances and confidence ``accept``, and with a form that their kind can have,
-   become additional spans.  Base spans stay as they are.
+   unseen instance's score is the noisy-or of its patterns' confidences.  Only patterns of at least
+   ``least_seeds`` seed instances and confidence ``floor`` pass scores on.
+4. **Discovery.**  Unseen instances whose score reaches ``accept`` after the last round, and with a form
+   that their kind can have, become additional spans.  Base spans stay as they are.
 
 Base patterns are written so that a search is linear in the text: a run is entered at its start
 only (or where the last match ended, ``\\G``), and groups are possessive, which changes no match because
@@ -44,8 +44,9 @@ BASE = {
 }
 MENTION = r"(?<!\S)(?:[^\s0-9@]*+[0-9@]\S*+|\S+?[\[(]at[\])]\S++)"
 _BYTE = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
-#: Rounds of scoring, the confidence that accepts, the seed instances that a pattern needs at least.
-ROUNDS, ACCEPT, LEAST_SEEDS = 3, 0.8, 4
+#: Rounds of scoring, the confidence from which a pattern passes scores on, the score that accepts, the
+#: seed instances that a pattern needs at least.
+ROUNDS, FLOOR, ACCEPT, LEAST_SEEDS = 3, 0.6, 0.8, 4
 #: Code points of a gap in which the neighbouring words are looked for.
 CONTEXT = 64
 _BLOCK = 128
@@ -158,7 +159,7 @@ def _graph(mentions: DataFrame) -> DataFrame:
             .groupBy("pattern", "value").agg(F.min("kind").alias("kind")))
 
 
-def discovered(mentions: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT, least_seeds: int = LEAST_SEEDS) -> DataFrame:
+def discovered(mentions: DataFrame, rounds: int = ROUNDS, floor: float = FLOOR, accept: float = ACCEPT, least_seeds: int = LEAST_SEEDS) -> DataFrame:
     """``(value, kind)`` of the unseen instances that confident patterns find."""
     edges = materialize(_graph(mentions), "pattern-graph")
     names = [f"s{k}" for k in range(len(KINDS))]
@@ -173,8 +174,8 @@ def discovered(mentions: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT
                 F.when(F.col("kind").isNull(), F.coalesce(f"u{n}", F.lit(0.0))).otherwise(s).alias(n) for s, n in zip(seed, names, strict=True)])
         confidence = scored.groupBy("pattern").agg(*[(F.sum(n) / (F.count(F.lit(1)) + 1)).alias(n) for n in names],
                                                    *[F.sum((F.col("kind") == k).cast("int")).alias(f"n{k}") for k in range(len(KINDS))])
-        sure = confidence.filter(" OR ".join(f"({n} >= {accept} AND n{k} >= {least_seeds})" for k, n in enumerate(names)))
-        miss = [F.when((F.col(n) >= accept) & (F.col(f"n{k}") >= least_seeds), F.log(1 - F.least(n, F.lit(0.999)))).otherwise(0.0) for k, n in enumerate(names)]
+        sure = confidence.filter(" OR ".join(f"({n} >= {floor} AND n{k} >= {least_seeds})" for k, n in enumerate(names)))
+        miss = [F.when((F.col(n) >= floor) & (F.col(f"n{k}") >= least_seeds), F.log(1 - F.least(n, F.lit(0.999)))).otherwise(0.0) for k, n in enumerate(names)]
         # only the sure patterns meet the unseen instances
         found = unseen.join(sure.select("pattern", *[m.alias(n) for m, n in zip(miss, names, strict=True)]), "pattern").groupBy("value").agg(
             *[(1 - F.exp(F.sum(n))).alias(n) for n in names])
@@ -200,7 +201,7 @@ def count_of(kind: int, spans: Column) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, accept: float = ACCEPT,
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, floor: float = FLOOR, accept: float = ACCEPT,
                   least_seeds: int = LEAST_SEEDS) -> DataFrame:
     """``doc_id, text_hash, base, spans``: arrays of ``(kind, start, end)`` with the kind as its number in
     ``KINDS``, by kind and start; ``spans`` holds the base spans and the discovered ones."""
@@ -212,7 +213,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # from here on no text: what each row found, written once
     found = materialize(df.withColumn("marked", marked).select("doc_id", "text_hash", base.alias("base"), F.transform("marked", _trim).alias("mentions")), "mentions")
     rows = found.filter(F.size("mentions") > 0).select("doc_id", "text_hash", F.inline("mentions")).filter("value <> ''")
-    new = discovered(rows.select("value", "kind", "patterns"), rounds, accept, least_seeds)
+    new = discovered(rows.select("value", "kind", "patterns"), rounds, floor, accept, least_seeds)
     added = (rows.filter(F.col("kind").isNull()).select("doc_id", "text_hash", "value", "start", "end").join(new, "value")
              .groupBy(F.coalesce("doc_id", F.lit(-(2 ** 63))).alias("id"), "text_hash")
              .agg(F.collect_set(F.struct("kind", "start", "end")).alias("added")))

@@ -83,7 +83,7 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     shouted = sum(len(w) > 2 for w in tokens if w.isupper())
     mixed = [w for w in tokens if _SYMBOLS.search(w.rstrip("!?")) and _WORD.search(w)] if _SYMBOLS.search(text) else []
     spelled = _spelled(low, lens) if lens.count(1) >= 4 else []
-    restored = sum("".join(_WORD.findall(w.lower().translate(LEET))) in lexicon for w in mixed) + sum(w in lexicon for w in spelled)
+    restored = sum("".join(_WORD.findall(w.lower().translate(LEET))) in lexicon for w in mixed) + sum(bool({w, w[1:], w[:-1]} & lexicon.keys()) for w in spelled)
     restored += sum(_LETTERS.sub(r"\1", w) in lexicon or _LETTERS.sub(r"\1\1", w) in lexicon for w in repeated)
     exclaim, ask = text.count("!"), text.count("?")
     marks = exclaim + ask + sum(map(text.count, ".,;:"))
@@ -94,7 +94,8 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
 
 
 def _spelled(words: list[str], lens: list[int]) -> list[str]:
-    """Words spelled out letter by letter: runs of four or more one-letter words, joined."""
+    """Words spelled out letter by letter: runs of four or more one-letter words, joined (a run may begin or
+    end with a word of one letter that is none of them)."""
     out, run = [], []
     for w, n in zip([*words, ""], [*lens, 0], strict=True):
         if n == 1:
