@@ -107,3 +107,37 @@ def test_multiplicity_hot_copies(spark):
     split = spark.createDataFrame(rows, "fold int, id long, label int, split string")
     m = {r["id"]: r["mult"] for r in SP.oversample_multiplicity(split, seed=0).collect()}
     assert m[-1] == 5000 and all(m[i] == 1 for i in range(5000))
+
+
+def test_a_large_gap_is_drawn_in_many_partitions(spark):
+    gap = 3_000_000
+    counts = [(0, 1, "train", gap + 2), (0, 0, "train", 2)]
+    rows = spark.createDataFrame(counts, "fold int, label int, split string, n long")
+    split = rows.select("fold", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("id"), "label", "split")
+    split = split.withColumn("id", F.when(F.col("label") == 1, F.col("id")).otherwise(-F.col("id")))
+    _, _, draws = SP._oversample_parts(split, 0, "fold")
+    per = {r["p"]: r["n"] for r in draws.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    chunks = -(-gap // SP.DRAW_CHUNK)
+    assert sum(per.values()) == gap and len(per) >= 4
+    assert max(per.values()) <= 3 * SP.DRAW_CHUNK * -(-chunks // 8)
+
+
+def test_whole_class_listing(spark):
+    from textcohort.operators import report as RP
+    rows = [(f, i, i % 2, (i * 7 % 100) / 100) for f in range(2) for i in range(100)]
+    ranked = spark.createDataFrame(rows, "fold int, id long, label int, rank double").repartition(5)
+    for label, down in ((1, True), (0, False)):
+        got = sorted((r["fold"], r["k"], r["id"]) for r in RP.ranked_listing(ranked, label, down).collect())
+        want = [(f, k, r[1]) for f in range(2) for k, r in enumerate(sorted((r for r in rows if r[0] == f and r[2] == label),
+                                                                             key=lambda r: (r[3], r[1]), reverse=down))]
+        assert got == want
+
+
+def test_comments_table_keeps_every_turn(spark, tmp_path):
+    from textcohort.sources import tables as T
+    rows = [(1, t, "user", f"m{t}") for t in range(6)] + [(2, 0, "user", "a"), (2, 0, "user", "b"), (2, 9, "user", "z")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = T.comments_table(spark, str(tmp_path))
+    seen = [r[f"comment{i}"] for r in got.collect() for i in range(1, 5) if r[f"comment{i}"]]
+    assert sorted(seen) == sorted(r[3] for r in rows)
+    assert {(r["id"], r["block"]) for r in got.collect()} == {(c, b) for c in (1, 2) for b in range(3)}

@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,8 +26,8 @@ def test_probabilities_in_range(fitted):
 
 def test_attribution_sums_to_logit_shift(fitted):
     rows = fitted.split.filter(F.col("split") == "test").select("fold", "id", "label")
-    a = AT.linear_attribution(rows, fitted.tokens, fitted.counts, fitted.weights, fitted.priors)
-    scored = M.nb_score(rows, fitted.counts, fitted.lengths, fitted.weights, fitted.priors)
+    a = AT.linear_attribution(rows, fitted.counts, fitted.weights, fitted.priors)
+    scored = M.nb_score(rows, fitted.counts, fitted.weights, fitted.priors)
     tot = a.groupBy("fold", "id").agg(F.sum("phi").alias("s"))
     j = tot.join(scored, ["fold", "id"]).join(fitted.priors, "fold")
     res = j.select((F.col("s") - (F.col("logit") - F.col("prior") - F.col("mean_shift"))).alias("r")).collect()
@@ -34,8 +36,8 @@ def test_attribution_sums_to_logit_shift(fitted):
 
 def test_class0_is_negative_class1(fitted):
     rows = fitted.split.filter(F.col("split") == "test").select("fold", "id", "label")
-    a1 = AT.linear_attribution(rows, fitted.tokens, fitted.counts, fitted.weights, fitted.priors, 1)
-    a0 = AT.linear_attribution(rows, fitted.tokens, fitted.counts, fitted.weights, fitted.priors, 0)
+    a1 = AT.linear_attribution(rows, fitted.counts, fitted.weights, fitted.priors, 1)
+    a0 = AT.linear_attribution(rows, fitted.counts, fitted.weights, fitted.priors, 0)
     j = a1.join(a0.withColumnRenamed("phi", "phi0"), ["fold", "id", "pos", "token"])
     assert j.filter(F.abs(F.col("phi") + F.col("phi0")) > 1e-12).count() == 0
 
@@ -57,35 +59,41 @@ def test_multiplicity_equals_explicit_copies(spark, fitted):
 
 def test_map_in_pandas_scorer_matches_join_scorer(spark, fitted):
     from textcohort.operators import scorer as SC
-    from textcohort.session import scratch_path
-    from textcohort.sources import io as IO
-    wp = scratch_path(spark, "w")
-    fitted.weights.write.partitionBy("fold").parquet(wp)
-    pp = IO.write_table(fitted.priors, scratch_path(spark, "p"))
-    rows = fitted.split.filter(F.col("split") == "test").select("fold", "id", "label")
-    a = SC.score_with(SC.texts_for(rows, fitted.cohort), SC.nb_scorer_factory(wp, pp), cluster_by=["fold", "id"])
+    inputs = SC.nb_inputs(fitted.rows("test"), fitted.counts, fitted.weights, fitted.priors)
+    a = SC.score_with(inputs, SC.nb_scorer_factory())
     b = WF.score_split(fitted, "test")
     j = a.select("fold", "id", F.col("prob").alias("pa")).join(b.select("fold", "id", "prob"), ["fold", "id"])
     assert j.count() == b.count()
     assert j.filter(F.abs(F.col("pa") - F.col("prob")) > 1e-9).count() == 0
 
 
+def test_scorer_of_a_text_without_known_tokens(spark, fitted):
+    from textcohort.operators import scorer as SC
+    rows = spark.createDataFrame([(0, -5, 1)], "fold int, id long, label int")
+    inputs = SC.nb_inputs(rows, fitted.counts, fitted.weights, fitted.priors)
+    prior = fitted.priors.filter("fold = 0").collect()[0]["prior"]
+    got = SC.score_with(inputs, SC.nb_scorer_factory()).collect()
+    assert got[0]["prob"] == pytest.approx(1 / (1 + math.exp(-prior)))
+
+
 def test_lr_invariants(spark, fitted):
     from textcohort.operators import ml as ML
-    from textcohort.operators import scorer as SC
-    train = fitted.balanced.join(fitted.cohort.select("id", "text"), "id")
-    models = ML.lr_fit(train, [0, 1], max_iter=5)
-    rows = SC.texts_for(fitted.split.filter((F.col("split") == "test") & (F.col("fold") < 2))
-                        .select("fold", "id", "label"), fitted.cohort)
-    p = ML.lr_score(models, rows).collect()
-    assert len(p) == rows.count()
+    from textcohort.operators import text as TX
+    features = ML.hashed_features(TX.doc_tokens(fitted.cohort), num_features=1 << 10)
+    train = ML.fold_rows(fitted.balanced, features, "t-train")
+    test = ML.fold_rows(fitted.rows("test"), features, "t-test")
+    models = ML.lr_fit(train, [0, 1])
+    p = ML.lr_score(models, test).collect()
+    assert len(p) == test.filter("fold < 2").count()
     assert all(0.0 <= r["prob"] <= 1.0 for r in p)
     assert len({(r["fold"], r["id"]) for r in p}) == len(p)
+    assert all(done for _, done in ML.lr_summary(models))
+    assert all(r["residual"] < 1e-4 for r in ML.lr_residual(models, train).filter("fold < 2").collect())
 
 
 def test_occlusion_sign_and_range(spark, fitted):
     rows = fitted.split.filter(F.col("split") == "test").select("fold", "id", "label")
-    scored = M.nb_score(rows, fitted.counts, None, fitted.weights, fitted.priors)
-    a1 = AT.occlusion_attribution(rows, fitted.tokens, fitted.counts, fitted.weights, scored, fitted.priors, 1)
+    scored = M.nb_score(rows, fitted.counts, fitted.weights, fitted.priors)
+    a1 = AT.occlusion_attribution(rows, fitted.counts, fitted.weights, scored, fitted.priors, 1)
     vals = [r["phi"] for r in a1.select("phi").collect()]
     assert vals and all(-1.0 <= v <= 1.0 for v in vals)

@@ -7,11 +7,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
+from textcohort.operators import attribution as AT
+from textcohort.operators import consensus as CS
 from textcohort.operators import model as M
 from textcohort.operators import report as RP
 from textcohort.operators import scoring as S
+from textcohort.operators import text as TX
 from textcohort.plans import registry as R
 from textcohort.plans import workflow as WF
+from textcohort.sources import tables as T
 
 
 def plan_of(df) -> str:
@@ -25,7 +29,7 @@ def test_ranked_listing_limits_before_shuffle(spark):
     ranked = spark.range(1000).select((F.col("id") % 3).cast("int").alias("fold"), "id",
                                       (F.col("id") % 2).cast("int").alias("label"),
                                       (F.col("id") / 1000.0).alias("rank"))
-    p = plan_of(RP.ranked_listing(ranked, 1, 5, descending=True))
+    p = plan_of(RP.ranked_listing(ranked, 1, True, k=5))
     assert "WindowGroupLimit" in p and "Partial" in p
 
 
@@ -36,9 +40,12 @@ def test_histogram_aggregates_before_shuffle(spark):
     assert p.index("partial_count") > p.index("Exchange hashpartitioning(fold")  # partial agg below the exchange
 
 
-def test_minmax_statistics_are_broadcast(spark):
+def test_minmax_statistics_are_broadcast_when_measured(spark):
     df = spark.range(100).select((F.col("id") % 3).cast("int").alias("fold"), "id", (F.col("id") / 100.0).alias("pred"))
-    assert "BroadcastHashJoin" in plan_of(S.minmax_scale(df))
+    scaled = S.minmax_scale(df)
+    assert "ResolvedHint" not in plan_of(scaled)
+    scaled.collect()
+    assert "BroadcastHashJoin" in scaled._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.fixture(scope="module")
@@ -50,15 +57,59 @@ def test_nb_fit_joins_on_id_without_shuffle(spark, fitted_small):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
-        mult = M.train_multiplicity(fitted_small.balanced)
-        p = plan_of(mult.join(fitted_small.counts, "id").groupBy("fold", "token").agg(F.sum("tf")))
+        vectors = M.fold_vectors(fitted_small.balanced, [0, 1, 2])
+        p = plan_of(vectors.join(fitted_small.counts, "id").groupBy("token").agg(F.sum("tf")))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
-    # both sides are id-bucketed with the same count: the only shuffle is the (fold, token) aggregation
+    # both sides are id-bucketed with the same count: the only shuffle is the token aggregation
     assert "SortMergeJoin" in p
     assert "Exchange hashpartitioning(id" not in p
-    assert "Exchange hashpartitioning(fold" in p and "token" in p
+    assert p.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(token" in p
+
+
+def test_token_counts_shuffle_texts_once(spark):
+    docs = spark.range(100).select("id", F.lit("a b a").alias("text")).repartition(4, "id")
+    p = plan_of(TX.token_counts(TX.doc_tokens(docs)))
+    assert p.count("Exchange") == 1 and "Exchange hashpartitioning(id" in p
+
+
+def test_consensus_needs_no_occurrences(spark, fitted_small):
+    m = fitted_small
+    p = plan_of(AT.linear_token_values(m.rows("test"), m.counts, m.weights).groupBy("token").agg(F.sum("tf")))
+    assert "explode" not in p.lower()
+    got = {r["word"]: (r["count"], r["shap_avg"]) for r in CS.model_consensus(m.rows("test"), m.counts, m.weights, m.priors).collect()}
+    want = {r["word"]: (r["count"], r["shap_avg"]) for r in CS.consensus(AT.linear_attribution(m.rows("test"), m.counts, m.weights, m.priors, 0)).collect()}
+    assert set(got) == set(want)
+    assert all(got[w][0] == want[w][0] and got[w][1] == pytest.approx(want[w][1], abs=1e-9) for w in want)
+
+
+def test_scaled_report_scans_twice(spark):
+    scored = T.scored_table(spark, SF_SMALL)
+    assert plan_of(S.scaled_fold_metrics(scored, score="score")).count("FileScan") == 2
+
+
+def test_skewed_fold_token_join_is_split(spark):
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        # one token in every text: a third of the token rows
+        rows = spark.range(0, 60000, 1, 8).select(F.lit(0).alias("fold"), F.col("id"),
+                                                  F.when(F.col("id") % 3 == 0, "the").otherwise(F.concat(F.lit("w"), F.col("id"))).alias("token"))
+        weights = rows.select("fold", "token").distinct().withColumn("w", F.lit(1.0))
+        joined = rows.join(weights, ["fold", "token"], "left")
+        assert joined.filter("w = 1").count() == 60000
+        joined.write.format("noop").mode("overwrite").save()
+        df = joined.select("id", "w")
+        df.collect()
+        assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_filters_and_columns_reach_the_scan(spark, fitted_small):

@@ -43,34 +43,21 @@ def _brute_auc(y, p):
     return (gt + 0.5 * eq) / (len(pos) * len(neg))
 
 
-def _loop_auc(y, p, digits):
-    """Dense reference walk over every bin (the definition the sparse form must equal)."""
-    scale = 10 ** digits
-    b = np.floor(p * scale + 0.5).astype(int)
-    pos = np.bincount(b[y > 0], minlength=scale + 1)
-    neg = np.bincount(b[y == 0], minlength=scale + 1)
-    tp, fp, tn, fn = pos.sum(), neg.sum(), 0, 0
-    tpr, tnr, ppv = 1.0, 0.0, tp / (tp + fp)
-    roc = prc = 0.0
-    for npos, nneg in zip(pos, neg):
-        tp -= npos; fn += npos; fp -= nneg; tn += nneg
-        tpr_prev, tnr_prev, ppv_prev = tpr, tnr, ppv
-        tpr, tnr = tp / (tp + fn), tn / (tn + fp)
-        ppv = tp / (tp + fp) if tp + fp > 0 else ppv_prev
-        roc += (tpr_prev - tpr) * (tnr + tnr_prev) * 0.5
-        prc += (tpr_prev - tpr) * ppv_prev
-    return roc, prc
-
-
-def test_auc_matches_brute_force_and_dense_walk(spark):
+def _mean_precision(y, p):
+    """AUPRC by its meaning: the mean over positives of the precision among all rows that score at
+    least as high."""
+    return np.mean([(y[p >= t] == 1).mean() for t in p[y == 1]])
+
+
+def test_auc_matches_brute_force(spark):
     rng = np.random.default_rng(7)
     y = rng.integers(0, 2, 400)
     p = np.round(rng.random(400), 2)  # many ties
     roc, pr = _auc(spark, y, p, digits=2)
     assert roc == pytest.approx(_brute_auc(y, p), abs=1e-12)
-    lroc, lpr = _loop_auc(y, p, 2)
-    assert roc == pytest.approx(lroc, abs=1e-12)
-    assert pr == pytest.approx(lpr, abs=1e-12)
+    assert pr == pytest.approx(_mean_precision(y, p), abs=1e-12)
+    df = _scores(spark, y, p)
+    assert S.rank_sum_auc(df).collect()[0]["rank_sum"] == pytest.approx(roc, abs=1e-12)
 
 
 def test_auc_complement(spark):
@@ -90,6 +77,53 @@ def test_score_invalid(spark):
         S.score_validate(df, strict=True).collect()
 
 
+def _folds(spark, **bad):
+    """Three folds of ten rows; ``bad`` maps ``f<fold>`` to the score of the fold's first row."""
+    rows = [(f, i, i % 2, bad.get(f"f{f}", 0.05) if i == 0 else i / 10) for f in range(3) for i in range(10)]
+    return spark.createDataFrame(rows, "fold int, id long, truth int, pred double")
+
+
+@pytest.mark.parametrize("value", [float("nan"), 1.2, -0.4, None])
+def test_reports_stop_on_an_invalid_score(spark, value):
+    df = _folds(spark, f1=value)
+    for report in (lambda: S.auc_scores(df), lambda: S.fold_report(S.fold_metrics(df))):
+        with pytest.raises(Exception, match="invalid values"):
+            report().collect()
+
+
+@pytest.mark.parametrize("value", [float("nan"), 1.2, None])
+def test_report_mode_counts_and_keeps_the_fold(spark, value):
+    metrics = S.fold_metrics(_folds(spark, f1=value), on_invalid="nan")
+    rep = {r["fold"]: r for r in S.fold_report(metrics).collect()}
+    assert set(rep) == {"fold0", "fold1", "fold2", "avg", "median"}
+    assert rep["fold1"]["n_invalid"] == 1 and rep["fold0"]["n_invalid"] == 0 and rep["avg"]["n_invalid"] == 1
+    assert all(math.isnan(rep[f]["auroc"]) for f in ("fold1", "avg", "median"))
+    assert rep["fold0"]["auroc"] == pytest.approx(rep["fold2"]["auroc"]) and not math.isnan(rep["fold0"]["auprc"])
+
+
+def test_constant_fold_after_scaling(spark):
+    df = _folds(spark).withColumn("score", F.when(F.col("fold") == 2, 0.5).otherwise(F.col("pred"))).drop("pred")
+    with pytest.raises(Exception, match="invalid values"):
+        S.scaled_fold_metrics(df).collect()
+    got = {r["fold"]: r for r in S.scaled_fold_metrics(df, on_invalid="nan").collect()}
+    assert math.isnan(got[2]["auroc"]) and got[2]["n_invalid"] == 10 and not math.isnan(got[0]["auroc"])
+
+
+def test_scaled_metrics_equal_the_two_steps(spark):
+    df = _folds(spark).withColumn("score", F.col("pred") * 7 - 3).drop("pred")
+    one = {r["fold"]: r for r in S.scaled_fold_metrics(df).collect()}
+    two = {r["fold"]: r for r in S.fold_metrics(S.minmax_scale(df, score="score", out="pred")).collect()}
+    for f in range(3):
+        for c in ("auroc", "auprc", "pearson"):
+            assert one[f][c] == pytest.approx(two[f][c], abs=1e-12)
+
+
+def test_missing_metric_is_undefined_in_the_summary(spark):
+    m = spark.createDataFrame([(0, 1.0, 0.5, 0.1), (1, None, 0.5, 0.1)], "fold int, auroc double, auprc double, pearson double")
+    rep = {r["fold"]: r for r in S.fold_report(m).collect()}
+    assert all(math.isnan(rep[f]["auroc"]) for f in ("fold1", "avg", "median")) and rep["avg"]["auprc"] == 0.5
+
+
 def test_minmax_constant(spark):
     df = spark.createDataFrame([(0, 1, .3), (0, 2, .3)], "fold int, id long, pred double")
     vals = [r["pred"] for r in S.minmax_scale(df).collect()]
@@ -173,5 +207,4 @@ def test_auc_property_brute_force(spark, pairs):
         assert math.isnan(roc) and math.isnan(pr)
     else:
         assert roc == pytest.approx(_brute_auc(y, s), abs=1e-12)
-        lroc, lpr = _loop_auc(y, s, 2)
-        assert pr == pytest.approx(lpr, abs=1e-12)
+        assert pr == pytest.approx(_mean_precision(y, s), abs=1e-12)

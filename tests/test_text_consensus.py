@@ -58,6 +58,22 @@ def test_tsv_special(spark):
     assert back[2] is None
 
 
+@pytest.mark.parametrize("sep", [",", "\t"])
+def test_white_space_survives_the_round_trip(spark, sep):
+    rows = [(1, "  lead and trail  "), (2, "\tx\n "), (3, " "), (4, "a\r\nb")]
+    path = IO.write_delimited(spark.createDataFrame(rows, "id long, comment string"), scratch_path(spark, "blanks"), sep=sep)
+    back = IO.read_delimited(spark, path, sep=sep, casts={"id": "long"}).collect()
+    assert {r["id"]: r["comment"] for r in back}.items() >= dict(rows[:3]).items()
+
+
+def test_missing_spellings(spark):
+    rows = [("1", "NA"), ("NA", "n/a"), ("x", "nan"), ("2.5", "NULL"), (None, "kept")]
+    path = IO.write_delimited(spark.createDataFrame(rows, "code string, comment string"), scratch_path(spark, "na"), sep=",")
+    back = IO.read_delimited(spark, path, sep=",", casts={"code": "double"}, missing=IO.MISSING).collect()
+    assert sorted((str(r["code"]), str(r["comment"])) for r in back) == sorted(
+        [("1.0", "None"), ("None", "None"), ("None", "None"), ("2.5", "None"), ("None", "kept")])
+
+
 def test_survey_from_csv(spark):
     from textcohort.operators.cohort import build_cohort
     from textcohort.sources.tables import SURVEY_CODE, SURVEY_COMMENTS, SURVEY_ID, survey_from_csv
@@ -66,6 +82,8 @@ def test_survey_from_csv(spark):
             ("x", "6.0", None, None, None, None, "English_2"),
             ("x", "6.0", "fine", None, None, None, "English_3"),
             ("x", "4.0", "n/a", None, None, None, "English_4"),
+            ("x", "NA", "coded NA", None, None, None, "English_6"),
+            ("x", "6.0", "N/A", "nan", "NULL", "n/a", "English_7"),
             ("x", "3.0", "taste gone", None, None, None, "Spanish_5")]
     df = spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in cols))
     path = IO.write_delimited(df, scratch_path(spark, "survey-csv"), sep=",")
@@ -84,6 +102,9 @@ def test_run_workflow_writes_outputs(spark):
     from textcohort.plans.outputs import run_workflow
     out = scratch_path(spark, "workflow-out")
     paths = run_workflow(R.cohort_df(spark, SF_SMALL), out, folds=3)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tc_") and t.name in IO._BUCKETED]
+    with pytest.raises(ValueError, match="no example picks"):
+        run_workflow(R.cohort_df(spark, SF_SMALL), out, neg_code=9, folds=3)
     score = IO.read_delimited(spark, paths["score"]).collect()
     assert [r["fold"] for r in score][-2:] == ["avg", "median"] and len(score) == 5
     assert IO.read_delimited(spark, paths["consensus"]).count() > 0

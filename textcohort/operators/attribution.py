@@ -40,25 +40,31 @@ def _attach_to_occurrences(per_token: DataFrame, value: str, fold_col: str) -> D
                     .select(fold_col, "id", "pos", "token", "phi")
 
 
-def linear_attribution(rows: DataFrame, tokens: DataFrame | None, counts: DataFrame, weights: DataFrame,
-                       priors: DataFrame, target_class: int = 1, fold_col: str = "fold") -> DataFrame:
+def linear_token_values(rows: DataFrame, counts: DataFrame, weights: DataFrame, fold_col: str = "fold") -> DataFrame:
+    """``(fold, id, token, tf, positions, phi, wm)``: the value of each occurrence of a token in a text, and
+    the token's part of the text's base (``w * mean``).  One row per distinct token of a text."""
+    pt = _per_token(rows, counts, weights, fold_col)
+    x = F.col("tf") / F.col("n_tok")
+    return pt.select(fold_col, "id", "token", "tf", "positions",
+                     (F.col("w") * (x - F.col("mean_x")) / F.col("tf")).alias("phi"),
+                     (F.col("w") * F.col("mean_x")).alias("wm"))
+
+
+def linear_attribution(rows: DataFrame, counts: DataFrame, weights: DataFrame, priors: DataFrame,
+                       target_class: int = 1, fold_col: str = "fold") -> DataFrame:
     """``(fold, id, pos, token, phi)`` for every token occurrence of the given ``(fold, id)`` rows.
 
-    Occurrences come from the position lists of the token counts (``tokens`` is not read).
+    Occurrences come from the position lists of the token counts.
     """
     from textcohort.sources.io import materialize
 
-    pt = _per_token(rows, counts, weights, fold_col)
-    x = F.col("tf") / F.col("n_tok")
-    pt = pt.withColumn("_phi", F.col("w") * (x - F.col("mean_x")) / F.col("tf")) \
-           .withColumn("_wm", F.col("w") * F.col("mean_x"))
     # read twice (occurrence rows and base rows): written once so the weight join runs once
-    pt = materialize(pt.select(fold_col, "id", "token", "positions", "_phi", "_wm"), "attr-per-token")
-    occ = _attach_to_occurrences(pt, "_phi", fold_col)
-    present = pt.groupBy(fold_col, "id").agg(F.sum("_wm").alias("_present"))
+    pt = materialize(linear_token_values(rows, counts, weights, fold_col), "attr-per-token")
+    occ = _attach_to_occurrences(pt, "phi", fold_col)
+    present = pt.groupBy(fold_col, "id").agg(F.sum("wm").alias("_present"))
     base = (rows.select(fold_col, "id")
                 .join(present, [fold_col, "id"], "left")
-                .join(F.broadcast(priors.select(fold_col, "mean_shift")), fold_col)
+                .join(priors.select(fold_col, "mean_shift"), fold_col)
                 .select(fold_col, "id", F.lit(-1).alias("pos"), F.lit("").alias("token"),
                         (F.coalesce("_present", F.lit(0.0)) - F.col("mean_shift")).alias("phi")))
     out = occ.unionByName(base)
@@ -67,12 +73,12 @@ def linear_attribution(rows: DataFrame, tokens: DataFrame | None, counts: DataFr
     return out
 
 
-def occlusion_attribution(rows: DataFrame, tokens: DataFrame | None, counts: DataFrame, weights: DataFrame,
+def occlusion_attribution(rows: DataFrame, counts: DataFrame, weights: DataFrame,
                           scored: DataFrame, priors: DataFrame, target_class: int = 1,
                           fold_col: str = "fold") -> DataFrame:
     """``(fold, id, pos, token, phi)``: drop in class probability when one occurrence is removed."""
     pt = _per_token(rows, counts, weights, fold_col)
-    s = scored.select(fold_col, "id", "logit").join(F.broadcast(priors.select(fold_col, "prior")), fold_col)
+    s = scored.select(fold_col, "id", "logit").join(priors.select(fold_col, "prior"), fold_col)
     pt = pt.join(s, [fold_col, "id"])
     n = F.col("n_tok").cast("double")
     loo = F.when(n > 1, F.col("prior") + (n * (F.col("logit") - F.col("prior")) - F.col("w")) / (n - 1)) \

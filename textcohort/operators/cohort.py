@@ -19,11 +19,6 @@ def project(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*cols)
 
 
-def project_first(df: DataFrame, n: int) -> DataFrame:
-    """Columns by position: the first ``n``."""
-    return df.select(*df.columns[:n])
-
-
 def class_filter(df: DataFrame, col: str, codes: Sequence) -> DataFrame:
     """Keep rows whose code is one of ``codes``; null / NaN codes fail every equality."""
     return df.filter(F.col(col).isin(list(codes)))

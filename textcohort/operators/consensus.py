@@ -29,6 +29,35 @@ def consensus(attr: DataFrame) -> DataFrame:
                                                 F.avg("phi").alias("shap_avg"))
 
 
+def token_word_count(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """``word_count`` of the given ``(fold, id)`` rows from token counts alone: no model, no occurrence.
+    Every row also has its base entry, the empty word."""
+    words = rows.select("fold", "id").join(counts.select("id", "token", "tf"), "id")
+    base = rows.select(F.lit("").alias("token"), F.lit(1).cast("long").alias("tf"))
+    return with_words(words.select("token", "tf").unionByName(base)).groupBy("word").agg(F.sum("tf").alias("count"))
+
+
+def model_consensus(rows: DataFrame, counts: DataFrame, weights: DataFrame, priors: DataFrame, target_class: int = 0) -> DataFrame:
+    """``consensus`` of the linear model's attributions without an occurrence table.
+
+    Occurrences of a token in one text share their value, so a word needs the sums of ``tf`` and
+    ``tf * phi`` over ``(fold, id, token)``.  The empty word collects the rows' base values: its sum is
+    the sum of all ``w * mean`` less the folds' mean shifts, one number per fold and row."""
+    from textcohort.operators.attribution import linear_token_values
+    from textcohort.sources.io import materialize
+
+    values = linear_token_values(rows, counts, weights)
+    words = with_words(values).groupBy("word").agg(F.sum("tf").alias("n"), F.sum(F.col("tf") * F.col("phi")).alias("s"), F.sum("wm").alias("wm"))
+    # one row per word: read for the words and for the sum of w * mean
+    words = materialize(words, "word-sums")
+    shift = rows.groupBy("fold").agg(F.count(F.lit(1)).alias("k")).join(priors.select("fold", "mean_shift"), "fold")
+    shift = shift.agg(F.sum("k").alias("n"), F.sum(-F.col("k") * F.col("mean_shift")).alias("s"))
+    base = shift.unionByName(words.agg(F.lit(0).cast("long").alias("n"), F.sum("wm").alias("s"))).select(F.lit("").alias("word"), "n", "s")
+    sign = 1.0 if target_class == 1 else -1.0
+    summed = words.select("word", "n", "s").unionByName(base).groupBy("word").agg(F.sum("n").alias("count"), F.sum("s").alias("s"))
+    return summed.filter(F.col("count") > 0).select("word", "count", (F.lit(sign) * F.col("s") / F.col("count")).alias("shap_avg"))
+
+
 def consensus_raw(attr: DataFrame, fmt: str = "%.2f", sep: str = "_", fold_col: str = "fold") -> DataFrame:
     """``(word, fold, id, raw)``: the word's formatted values inside one text, in position order."""
     a = with_words(attr)

@@ -24,7 +24,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textcohort.session import ensure_checkpoint_dir
 from textcohort.sources.io import materialize
 
 
@@ -42,7 +41,7 @@ def md5_key(*parts) -> Column:
     return F.md5(F.concat(*cols))
 
 
-def md5_int(*parts, hex_digits: int = 8) -> Column:
+def md5_int(*parts, hex_digits: int = 15) -> Column:
     """Non-negative integer from the leading hex digits of ``md5_key`` (uniform draws)."""
     return F.conv(F.substring(md5_key(*parts), 1, hex_digits), 16, 10).cast("long")
 
@@ -93,12 +92,6 @@ def hash_head(df: DataFrame, group_cols: Sequence[str], hash_col: str, id_col: s
     return decided.unionByName(edge).drop("_b", "_cb", "_need")
 
 
-def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the session's shared checkpoint folder (never local)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
-
-
 def ordered_index(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, out: str = "idx",
                   num_partitions: int | None = None, count_out: str | None = None) -> DataFrame:
     """0-based position of each row inside its group in ``order_cols`` order (ascending).

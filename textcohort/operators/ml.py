@@ -1,84 +1,87 @@
-"""Spark ML alternative classifier: RegexTokenizer -> HashingTF -> LogisticRegression per fold.
+"""Spark ML alternative classifier: hashed token counts and one logistic regression per fold.
 
-Each fold's fit is one distributed Spark ML job over that fold's train rows; the loop is over
-the (parameter-sized) number of folds, never over data.  Predictions of every fold are unioned
-into one ``(fold, id, label, prob)`` table.
+A text's features are computed once, from its token counts, whatever the number of folds.  Each fold's
+fit is one distributed Spark ML job over that fold's train rows, stored under the fold's own partition;
+the loop is over the (parameter-sized) number of folds, never over data.
+
+``num_features`` hash slots: two tokens may share a slot, the more often the larger the vocabulary is
+against the slots, so the number should exceed the vocabulary several times.  ``max_iter`` bounds the
+optimiser; ``lr_summary`` reports whether a fit ended before the bound.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, RegexTokenizer
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textcohort.functions.text import TOKEN_PATTERN
+from textcohort.sources.io import materialize
+
+NUM_FEATURES, REG, MAX_ITER, TOL = 1 << 18, 0.01, 200, 1e-6
+
 
+def hashed_features(tokens: DataFrame, num_features: int = NUM_FEATURES) -> DataFrame:
+    """``(id, features)`` from ``(id, tokens)``: written once, read by every fold's fit and scoring."""
+    hashed = HashingTF(inputCol="tokens", outputCol="features", numFeatures=num_features).transform(tokens)
+    return materialize(hashed.select("id", "features"), "lr-features")
 
-def lr_pipeline(num_features: int = 1 << 18, reg: float = 0.01, max_iter: int = 20,
-                weight_col: str | None = None) -> Pipeline:
-    tok = RegexTokenizer(inputCol="text", outputCol="tokens", pattern=TOKEN_PATTERN, gaps=False,
-                         toLowercase=True)
-    tf = HashingTF(inputCol="tokens", outputCol="features", numFeatures=num_features)
-    lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=reg, maxIter=max_iter)
-    if weight_col:
-        lr.setWeightCol(weight_col)
-    return Pipeline(stages=[tok, tf, lr])
 
+def fold_rows(rows: DataFrame, features: DataFrame, name: str) -> DataFrame:
+    """``rows`` (``fold, id, label`` and more) with their features, stored by fold: a fold's job prunes to
+    its own partition."""
+    return materialize(rows.join(features, "id"), name, partition_by=["fold"])
 
-def lr_fit(train: DataFrame, folds: list[int], parallelism: int = 4, **kw) -> dict[int, PipelineModel]:
-    """``train``: ``(fold, id, label, text)`` with oversampled copies as rows, or with a ``mult``
+
+def lr_fit(train: DataFrame, folds: list[int], parallelism: int = 4, reg: float = REG, max_iter: int = MAX_ITER,
+           tol: float = TOL) -> dict[int, LogisticRegressionModel]:
+    """``train``: ``(fold, id, label, features)`` with oversampled copies as rows, or with a ``mult``
     column (copies as an instance weight — the same weighted likelihood).
 
-    Each fold is one distributed fit; up to ``parallelism`` folds are submitted concurrently
-    from driver threads (the same idiom as Spark ML's ``CrossValidator(parallelism=...)``), so
-    the cluster runs several fits' jobs side by side.
+    Up to ``parallelism`` folds are submitted concurrently from driver threads, so the cluster runs
+    several fits' jobs side by side.
     """
-    from concurrent.futures import ThreadPoolExecutor
-
     data = train.withColumn("label", F.col("label").cast("double"))
-
+    lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=reg, maxIter=max_iter, tol=tol)
     if "mult" in data.columns:
         data = data.withColumn("mult", F.col("mult").cast("double"))
-        kw = {**kw, "weight_col": "mult"}
+        lr.setWeightCol("mult")
 
     def fit(f):
-        return f, lr_pipeline(**kw).fit(data.filter(F.col("fold") == f))
+        return f, lr.fit(data.filter(F.col("fold") == f))
 
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(folds)))) as pool:
         return dict(pool.map(fit, folds))
 
 
-def lr_score(models: dict[int, PipelineModel], rows: DataFrame) -> DataFrame:
-    """``rows``: ``(fold, id, label, text)`` -> ``(fold, id, label, prob)``.
-
-    The rows are written once partitioned by fold, so each fold's model reads only its own
-    partition (partition pruning) instead of re-reading every text once per fold.
-    """
-    from textcohort.sources.io import materialize
-
-    rows = materialize(rows, "lr-rows", partition_by=["fold"])
+def lr_score(models: dict[int, LogisticRegressionModel], rows: DataFrame) -> DataFrame:
+    """``rows``: ``(fold, id, label, features)`` stored by fold -> ``(fold, id, label, prob)``."""
     out = None
     for f, m in models.items():
         p = m.transform(rows.filter(F.col("fold") == f).withColumn("label", F.col("label").cast("double")))
-        p = p.select("fold", "id", F.col("label").cast("int").alias("label"),
+        p = p.select(F.col("fold").cast("int").alias("fold"), "id", F.col("label").cast("int").alias("label"),
                      vector_to_array("probability")[1].alias("prob"))
         out = p if out is None else out.unionByName(p)
     return out
 
 
-def lr_summary(models: dict[int, PipelineModel]) -> list[tuple[int, float, int]]:
-    """``(fold, intercept, non-zero coefficients)`` per fitted fold (small driver-side metadata)."""
-    out = []
-    for f, m in models.items():
-        lr = m.stages[-1]
-        out.append((int(f), float(lr.intercept), int(lr.coefficients.numNonzeros())))
-    return out
+def lr_residual(models: dict[int, LogisticRegressionModel], train: DataFrame) -> DataFrame:
+    """``(fold, residual)``: the absolute weighted mean of ``prob - label`` over a fold's train rows.  The
+    intercept has no penalty, so this is its partial derivative and 0 at the optimum."""
+    scored = lr_score(models, train).select("fold", "id", "prob")
+    rows = train.select(F.col("fold").cast("int").alias("fold"), "id", "label", "mult").join(scored, ["fold", "id"])
+    return rows.groupBy("fold").agg(F.abs(F.sum(F.col("mult") * (F.col("prob") - F.col("label"))) / F.sum("mult")).alias("residual"))
+
+
+def lr_summary(models: dict[int, LogisticRegressionModel], max_iter: int = MAX_ITER) -> list[tuple[int, bool]]:
+    """``(fold, converged)``: whether the optimiser stopped by itself before its bound on iterations."""
+    return [(int(f), bool(m.summary.totalIterations < max_iter)) for f, m in models.items()]
 
 
-def save_models(models: dict[int, PipelineModel], base: str) -> dict[int, str]:
+def save_models(models: dict[int, LogisticRegressionModel], base: str) -> dict[int, str]:
     paths = {}
     for f, m in models.items():
         paths[f] = f"{base.rstrip('/')}/fold={f}"
@@ -86,5 +89,5 @@ def save_models(models: dict[int, PipelineModel], base: str) -> dict[int, str]:
     return paths
 
 
-def load_models(paths: dict[int, str]) -> dict[int, PipelineModel]:
-    return {f: PipelineModel.load(p) for f, p in paths.items()}
+def load_models(paths: dict[int, str]) -> dict[int, LogisticRegressionModel]:
+    return {f: LogisticRegressionModel.load(p) for f, p in paths.items()}

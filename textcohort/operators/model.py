@@ -31,28 +31,51 @@ def train_multiplicity(balanced: DataFrame, fold_col: str = "fold") -> DataFrame
     return balanced.groupBy(fold_col, "id", "label").agg(F.count(F.lit(1)).alias("mult"))
 
 
-def nb_fit(balanced: DataFrame, counts: DataFrame, alpha: float = 1.0, fold_col: str = "fold"):
+def fold_numbers(balanced: DataFrame, fold_col: str = "fold") -> list[int]:
+    """The folds of a split (a handful of numbers: a parameter of the run)."""
+    return sorted(r[0] for r in balanced.select(fold_col).distinct().collect())
+
+
+def fold_vectors(balanced: DataFrame, folds: list[int], fold_col: str = "fold") -> DataFrame:
+    """``(id, label, m0..mK)``: one row per train text with its multiplicity in every fold.  On a table
+    bucketed by id the grouping needs no shuffle."""
+    mult = train_multiplicity(balanced, fold_col)
+    return mult.groupBy("id").agg(F.max("label").alias("label"), *[
+        F.sum(F.when(F.col(fold_col) == f, F.col("mult")).otherwise(0)).alias(f"m{f}") for f in folds])
+
+
+def nb_fit(balanced: DataFrame, counts: DataFrame, alpha: float = 1.0, fold_col: str = "fold") -> tuple[DataFrame, DataFrame]:
     """Fit one model per fold.  Returns ``(weights, priors)``.
 
     ``weights``: ``(fold, token, c0, c1, w, mean_x)``;
     ``priors``:  ``(fold, n0, n1, prior, mean_shift)`` with ``mean_shift = sum_t w_t mean_x_t``.
+
+    A text's tokens meet one row with its multiplicities in all folds, so the tokens are joined and
+    aggregated once, not once per fold; the sums of a token are vectors over folds, and only those
+    small results are unfolded into ``(fold, token)`` rows.
     """
     from textcohort.sources.io import materialize
 
-    mult = train_multiplicity(balanced, fold_col)
-    j = mult.join(counts, "id")
-    per_token = j.groupBy(fold_col, "token").agg(
-        F.sum(F.when(F.col("label") == 1, F.col("mult") * F.col("tf")).otherwise(0)).alias("c1"),
-        F.sum(F.when(F.col("label") == 0, F.col("mult") * F.col("tf")).otherwise(0)).alias("c0"),
-        F.sum(F.col("mult") * F.col("tf") / F.col("n_tok")).alias("_sx"))
+    folds = fold_numbers(balanced, fold_col)
+    vectors = fold_vectors(balanced, folds, fold_col)
+    joined = vectors.join(counts.select("id", "token", "tf", "n_tok"), "id")
+    sums = []
+    for f in folds:
+        times = F.col(f"m{f}") * F.col("tf")
+        sums += [F.sum(F.when(F.col("label") == 1, times).otherwise(0)).alias(f"p{f}"),
+                 F.sum(F.when(F.col("label") == 0, times).otherwise(0)).alias(f"q{f}"),
+                 F.sum(times / F.col("n_tok")).alias(f"x{f}")]
+    per_fold = F.array(*[F.struct(F.lit(f).alias(fold_col), F.col(f"p{f}").alias("c1"), F.col(f"q{f}").alias("c0"),
+                                  F.col(f"x{f}").alias("_sx")) for f in folds])
+    per_token = joined.groupBy("token").agg(*sums).select("token", F.inline(per_fold)).filter("c0 + c1 > 0")
     # read twice below (weights and per-fold totals): written once so the count join runs once
     per_token = materialize(per_token, "nb-token-counts")
     totals = per_token.groupBy(fold_col).agg(F.sum("c1").alias("_C1"), F.sum("c0").alias("_C0"),
                                              F.count(F.lit(1)).alias("_V"))
-    rows_per_fold = mult.groupBy(fold_col).agg(F.sum("mult").alias("_m"))
+    rows_per_fold = train_multiplicity(balanced, fold_col).groupBy(fold_col).agg(F.sum("mult").alias("_m"))
     a = F.lit(float(alpha))
-    # totals and rows_per_fold hold one row per fold (folds are a parameter): bounded broadcasts
-    w = (per_token.join(F.broadcast(totals), fold_col).join(F.broadcast(rows_per_fold), fold_col)
+    # totals and rows_per_fold hold one row per fold, which AQE measures and broadcasts
+    w = (per_token.join(totals, fold_col).join(rows_per_fold, fold_col)
          .withColumn("w", F.log((F.col("c1") + a) / (F.col("_C1") + a * F.col("_V")))
                      - F.log((F.col("c0") + a) / (F.col("_C0") + a * F.col("_V"))))
          .withColumn("mean_x", F.col("_sx") / F.col("_m"))
@@ -73,12 +96,10 @@ def nb_priors(balanced: DataFrame, weights: DataFrame, fold_col: str = "fold") -
                .withColumn("mean_shift", F.coalesce("mean_shift", F.lit(0.0))))
 
 
-def nb_score(rows: DataFrame, counts: DataFrame, lengths: DataFrame | None, weights: DataFrame,
-             priors: DataFrame, fold_col: str = "fold") -> DataFrame:
+def nb_score(rows: DataFrame, counts: DataFrame, weights: DataFrame, priors: DataFrame, fold_col: str = "fold") -> DataFrame:
     """Add ``logit`` and ``prob`` (class-1 probability) to ``rows`` keyed by ``(fold, id)``.
 
-    A text without known tokens keeps the prior (left join).  ``lengths`` is unused (the token
-    counts carry ``n_tok``) and kept for signature compatibility.
+    A text without known tokens keeps the prior (left join).
     """
     keys = rows.select(fold_col, "id")
     contrib = (keys.join(counts, "id")
@@ -86,7 +107,7 @@ def nb_score(rows: DataFrame, counts: DataFrame, lengths: DataFrame | None, weig
                    .groupBy(fold_col, "id")
                    .agg(F.sum(F.col("w") * F.col("tf") / F.col("n_tok")).alias("_s")))
     out = (rows.join(contrib, [fold_col, "id"], "left")
-               .join(F.broadcast(priors.select(fold_col, "prior")), fold_col)
+               .join(priors.select(fold_col, "prior"), fold_col)
                .withColumn("logit", F.col("prior") + F.coalesce(F.col("_s"), F.lit(0.0)))
                .withColumn("prob", sigmoid(F.col("logit"))))
     return out.drop("_s", "prior")

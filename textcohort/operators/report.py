@@ -8,30 +8,37 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textcohort.functions.text import CLEAN_RULES_BASE, clean_text, drop_tokens, join_rounded, \
+from textcohort.functions.text import CLEAN_RULES_BASE, clean_text, join_rounded, \
     trim_tail_chars, trim_tail_items
+from textcohort.operators.index import ordered_index
 
 
 def _order(descending: bool):
     return [F.col("rank").desc(), F.col("id").desc()] if descending else [F.col("rank"), F.col("id")]
 
 
-def ranked_listing(ranked: DataFrame, label: int, k: int, descending: bool,
+def ranked_listing(ranked: DataFrame, label: int, descending: bool, k: int | None = None,
                    fold_col: str = "fold") -> DataFrame:
-    """Top ``k`` rows of one class in every fold (positives: highest rank first)."""
+    """All rows of one class in every fold with their 0-based place ``k`` (positives: highest rank first),
+    or the first ``k`` rows of it.
+
+    The whole listing takes its places from the distributed exact index, so a class of any size is
+    never ordered in one task."""
+    rows = ranked.filter(F.col("label") == label)
+    if k is None:
+        return ordered_index(rows, [fold_col], _order(descending), out="k")
     w = Window.partitionBy(fold_col).orderBy(*_order(descending))
     # a filter directly on row_number <= k lets Spark insert a per-partition group limit
     # (WindowGroupLimit) before the shuffle: only k rows per fold and partition move
-    return (ranked.filter(F.col("label") == label)
-                  .withColumn("_rn", F.row_number().over(w))
-                  .filter(F.col("_rn") <= k)
-                  .withColumn("k", F.col("_rn") - 1).drop("_rn"))
+    return (rows.withColumn("_rn", F.row_number().over(w))
+                .filter(F.col("_rn") <= k)
+                .withColumn("k", F.col("_rn") - 1).drop("_rn"))
 
 
 def nth_by_rank(ranked: DataFrame, label: int, ks: Sequence[int], descending: bool,
                 fold_col: str = "fold") -> DataFrame:
     """The ``k``-th (0-based) row of one class per fold, for each ``k`` in ``ks``."""
-    top = ranked_listing(ranked, label, max(ks) + 1, descending, fold_col)
+    top = ranked_listing(ranked, label, descending, max(ks) + 1, fold_col)
     return top.filter(F.col("k").isin(list(ks)))
 
 
@@ -64,26 +71,31 @@ def _by_pick(pick_col: str, exprs: list):
     return out
 
 
-def example_report(ranked: DataFrame, texts: DataFrame, attr: DataFrame, fold: int,
-                   picks: Sequence[Pick], digits: int = 3, fold_col: str = "fold") -> DataFrame:
-    """``(gt, pred, text, shap, pick)`` — one row per pick that exists in ``fold``.
+def example_picks(ranked: DataFrame, fold: int, picks: Sequence[Pick], fold_col: str = "fold") -> DataFrame:
+    """``(fold, id, label, rank, _pick)``: the picked rows of ``fold``, at most one per pick.
 
-    ``ranked``: ``(fold, id, label, rank)``; ``texts``: ``(id, text)``;
-    ``attr``: ``(fold, id, pos, token, phi)`` for the class whose values are listed.
-    One pass: the ranked listing per class is computed once (group-limited to the deepest
-    pick), rows are tagged with their pick, and each pick's cleaning rules, stop list and
-    trims are chosen per row by ``CASE`` expressions.
-    """
+    The ranked listing per class is computed once (group-limited to the deepest pick) and its rows
+    are tagged with their picks."""
     ranked = ranked.filter(F.col(fold_col) == fold)
     cands = None
     for label in sorted({p.label for p in picks}):
         depth = max(p.k for p in picks if p.label == label) + 1
-        listing = ranked_listing(ranked, label, depth, descending=(label == 1), fold_col=fold_col)
+        listing = ranked_listing(ranked, label, label == 1, depth, fold_col)
         cands = listing if cands is None else cands.unionByName(listing)
     tags = F.array(*[F.when((F.col("label") == p.label) & (F.col("k") == p.k), F.lit(i))
                      for i, p in enumerate(picks)])
-    picked = (cands.withColumn("_pick", F.explode(F.filter(tags, lambda x: x.isNotNull())))
-                   .select(fold_col, "id", "label", "rank", "_pick"))
+    return (cands.withColumn("_pick", F.explode(F.filter(tags, lambda x: x.isNotNull())))
+                 .select(fold_col, "id", "label", "rank", "_pick"))
+
+
+def example_report(picked: DataFrame, texts: DataFrame, attr: DataFrame, picks: Sequence[Pick], digits: int = 3,
+                   fold_col: str = "fold") -> DataFrame:
+    """``(gt, pred, text, shap, pick)`` — one row per picked row of ``example_picks``.
+
+    ``texts``: ``(id, text)``; ``attr``: ``(fold, id, pos, token, phi)`` of the picked rows (rows of others
+    are ignored) for the class whose values are listed.  Each pick's cleaning rules, stop list and
+    trims are chosen per row by ``CASE`` expressions.
+    """
     vals = (attr.join(picked.select(fold_col, "id").distinct(), [fold_col, "id"], "left_semi")
                 .groupBy(fold_col, "id")
                 .agg(F.array_sort(F.collect_list(F.struct("pos", "token", "phi"))).alias("_v")))
@@ -106,10 +118,13 @@ def example_report(ranked: DataFrame, texts: DataFrame, attr: DataFrame, fold: i
                        _by_pick("_pick", shap_exprs).alias("shap"), F.col("_pick").alias("pick"))
 
 
-def stoplist_tokens(attr: DataFrame, stop: Sequence[str], fold_col: str = "fold") -> DataFrame:
-    """Per text: tokens kept and dropped by a stop list (order of the kept ones is preserved)."""
-    g = attr.groupBy(fold_col, "id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_v"))
-    toks = F.transform("_v", lambda s: s["token"])
-    kept = drop_tokens(toks, stop)
-    return g.select(fold_col, "id", F.size(kept).alias("n_kept"),
-                    (F.size(toks) - F.size(kept)).alias("n_dropped"))
+def stoplist_tokens(rows: DataFrame, counts: DataFrame, stop: Sequence[str], fold_col: str = "fold") -> DataFrame:
+    """Per ``(fold, id)`` row: token occurrences kept and dropped by a stop list, the row's base entry (the
+    empty token) included.  Counted from the token counts; no model and no occurrence table."""
+    listed = F.col("token").isin(list(stop))
+    per_text = counts.groupBy("id").agg(F.sum(F.when(listed, 0).otherwise(F.col("tf"))).alias("_kept"),
+                                        F.sum(F.when(listed, F.col("tf")).otherwise(0)).alias("_dropped"))
+    base = int("" in stop)
+    return rows.select(fold_col, "id").join(per_text, "id", "left").select(
+        fold_col, "id", (F.coalesce("_kept", F.lit(0)) + (1 - base)).cast("int").alias("n_kept"),
+        (F.coalesce("_dropped", F.lit(0)) + base).cast("int").alias("n_dropped"))

@@ -27,18 +27,10 @@ def _ship_by_value() -> None:
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def score_with(df: DataFrame, factory: ScorerFactory, out: str = "prob",
-               cluster_by: list[str] | None = None) -> DataFrame:
-    """Add column ``out`` computed by ``factory()(batch)`` for every Arrow batch of ``df``.
-
-    ``cluster_by`` (e.g. ``["fold", "id"]``) range-partitions the rows first, so each task sees
-    one or two values of the leading column and a per-fold model is loaded into few tasks.
-    """
+def score_with(df: DataFrame, factory: ScorerFactory, out: str = "prob") -> DataFrame:
+    """Add column ``out`` computed by ``factory()(batch)`` for every Arrow batch of ``df``."""
     _ship_by_value()
     schema = StructType(list(df.schema.fields) + [StructField(out, DoubleType())])
-    if cluster_by:
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        df = df.repartitionByRange(n, *cluster_by)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = factory()
@@ -50,57 +42,38 @@ def score_with(df: DataFrame, factory: ScorerFactory, out: str = "prob",
     return df.mapInPandas(run, schema)
 
 
-def _local_path(uri: str) -> str:
-    return uri[len("file:"):] if uri.startswith("file:") else uri
-
+def nb_inputs(rows: DataFrame, counts: DataFrame, weights: DataFrame, priors: DataFrame, fold_col: str = "fold") -> DataFrame:
+    """``rows`` with what a linear scorer needs, joined by Spark: ``prior``, ``n_tok`` and the arrays ``tf`` and
+    ``w`` of the text's tokens that the fold's model knows.  An array is bounded by one text."""
+    known = (rows.select(fold_col, "id").join(counts.select("id", "token", "tf", "n_tok"), "id")
+                 .join(weights.select(fold_col, "token", "w"), [fold_col, "token"])
+                 .groupBy(fold_col, "id")
+                 .agg(F.first("n_tok").alias("n_tok"), F.collect_list(F.struct("tf", "w")).alias("_t")))
+    known = known.select(fold_col, "id", "n_tok", F.col("_t.tf").alias("tf"), F.col("_t.w").alias("w"))
+    return rows.join(known, [fold_col, "id"], "left").join(priors.select(fold_col, "prior"), fold_col)
 
-def nb_scorer_factory(weights_path: str, priors_path: str, text_col: str = "text",
-                      fold_col: str = "fold") -> ScorerFactory:
-    """A scorer over the written Naive Bayes model tables (shared storage).
 
-    ``weights_path`` is partitioned by fold; a task loads a fold's weights the first time it
-    meets that fold (partition pruning reads only that fold), so with ``cluster_by`` a task holds
-    one or two folds' models.  Tokeniser, weights and prior equal the join-based scorer's.
-    """
+def nb_scorer_factory() -> ScorerFactory:
+    """A scorer over the columns of ``nb_inputs``: one NumPy sum per batch, no file and no vocabulary in the
+    worker.  It equals the join-based scorer."""
 
     def factory():
-        import math
-
         import numpy as np
-        import pyarrow.dataset as ds
-        import regex
-
-        pattern = regex.compile(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")
-        wds = ds.dataset(_local_path(weights_path), format="parquet", partitioning="hive")
-        pri = ds.dataset(_local_path(priors_path), format="parquet").to_table(
-            columns=[fold_col, "prior"]).to_pandas()
-        priors = dict(zip(pri[fold_col], pri["prior"]))
-        weights: dict = {}
-
-        def fold_weights(f):
-            if f not in weights:
-                t = wds.to_table(columns=["token", "w"], filter=ds.field(fold_col) == int(f)).to_pandas()
-                weights[f] = dict(zip(t["token"], t["w"]))
-            return weights[f]
 
         def score(batch: pd.DataFrame) -> pd.Series:
-            out = np.empty(len(batch))
-            for i, (f, text) in enumerate(zip(batch[fold_col], batch[text_col])):
-                toks = pattern.findall((text or "").lower())
-                wf = fold_weights(f)
-                s = sum(wf.get(t, 0.0) for t in toks) / len(toks) if toks else 0.0
-                z = priors.get(f, float("nan")) + s
-                out[i] = 1.0 / (1.0 + math.exp(-z))
-            return pd.Series(out)
+            filled = batch["w"].notna().to_numpy()
+            lens = np.array([len(w) if ok else 0 for w, ok in zip(batch["w"], filled)], dtype=np.int64)
+            w = np.concatenate([*batch["w"][filled], np.zeros(0)]).astype(np.float64)
+            tf = np.concatenate([*batch["tf"][filled], np.zeros(0)]).astype(np.float64)
+            ends = np.concatenate(([0.0], np.cumsum(w * tf)))
+            at = np.concatenate(([0], np.cumsum(lens)))
+            n = batch["n_tok"].fillna(1).to_numpy(dtype=np.float64)
+            logit = batch["prior"].to_numpy(dtype=np.float64) + (ends[at[1:]] - ends[at[:-1]]) / n
+            return pd.Series(1.0 / (1.0 + np.exp(-logit)))
 
         return score
 
     return factory
 
 
-def texts_for(rows: DataFrame, cohort: DataFrame, fold_col: str = "fold") -> DataFrame:
-    """``(fold, id, label, text)``: the rows to score with their raw text."""
-    return rows.join(cohort.select("id", "text"), "id").select(fold_col, "id", "label", F.col("text"))
-
-
-__all__ = ["score_with", "nb_scorer_factory", "texts_for"]
+__all__ = ["score_with", "nb_inputs", "nb_scorer_factory"]

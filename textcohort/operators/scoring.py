@@ -21,16 +21,16 @@ from textcohort.operators.index import ordered_index
 
 
 def minmax_scale(df: DataFrame, group_cols: Sequence[str] = ("fold",), score: str = "pred",
-                 out: str | None = None, few_groups: bool = True) -> DataFrame:
+                 out: str | None = None) -> DataFrame:
     """Per-group ``(p - min) / (max - min)``; a constant group gives NaN (no ANSI error).
 
-    With ``few_groups`` (groups are folds: one row each) the statistics are broadcast and the
-    rows are never shuffled; with many groups the join is left to the planner and AQE.
+    The statistics have one row per group.  The join is left to the planner: AQE measures the
+    statistics and broadcasts them when they are small (folds), and shuffles for many groups.
     """
     g = list(group_cols)
     out = out or score
     stats = df.groupBy(*g).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
-    return (df.join(F.broadcast(stats) if few_groups else stats, g)
+    return (df.join(stats, g)
               .withColumn(out, minmax_expr(F.col(score), F.col("_lo"), F.col("_hi")))
               .drop("_lo", "_hi"))
 
@@ -59,15 +59,23 @@ def score_validate(df: DataFrame, group_cols: Sequence[str] = ("fold",), score:
 
 
 def score_histogram(df: DataFrame, group_cols: Sequence[str] = ("fold",), score: str = "pred",
-                    truth: str = "truth", digits: int = 3) -> DataFrame:
-    """Sparse per-class histogram ``(group, bin, n_pos, n_neg)`` of the valid scores."""
+                    truth: str = "truth", digits: int = 3, invalid_bin: bool = False) -> DataFrame:
+    """Sparse per-class histogram ``(group, bin, n_pos, n_neg)`` of the valid scores.
+
+    With ``invalid_bin`` the rows outside the range are kept under a null bin: there ``n_invalid``
+    counts them (0 elsewhere), and a group without any valid score still has a row."""
     g = list(group_cols)
-    valid = df.filter(~_invalid(score, digits))
-    return (valid.withColumn("bin", score_bin(F.col(score), digits))
-                 .groupBy(*g, "bin")
-                 .agg(F.count_if(F.col(truth) > 0).alias("n_pos"),
-                      F.count_if(F.col(truth) == 0).alias("n_neg"))
-                 .filter((F.col("n_pos") > 0) | (F.col("n_neg") > 0)))
+    bad = _invalid(score, digits)
+    counts = (df.withColumn("bin", F.when(~bad, score_bin(F.col(score), digits)))
+                .groupBy(*g, "bin")
+                .agg(F.count_if(F.col(truth) > 0).alias("n_pos"),
+                     F.count_if(F.col(truth) == 0).alias("n_neg"), F.count(F.lit(1)).alias("_n")))
+    valid = F.col("bin").isNotNull()
+    if not invalid_bin:
+        return counts.filter(valid & ((F.col("n_pos") > 0) | (F.col("n_neg") > 0))).drop("_n")
+    return counts.select(*g, "bin", F.when(valid, F.col("n_pos")).otherwise(0).alias("n_pos"),
+                         F.when(valid, F.col("n_neg")).otherwise(0).alias("n_neg"),
+                         F.when(valid, F.lit(0)).otherwise(F.col("_n")).cast("long").alias("n_invalid"))
 
 
 def _running(hist: DataFrame, g: list[str]) -> DataFrame:
@@ -89,16 +97,45 @@ def auc_from_histogram(hist: DataFrame, group_cols: Sequence[str] = ("fold",)) -
     fp_before = F.col("N") - F.col("cn") + F.col("n_neg")
     pr_term = F.when(F.col("n_pos") > 0, dtpr * safe_div(tp_before, tp_before + fp_before)) \
                .otherwise(F.lit(0.0))
+    counts_invalid = "n_invalid" in hist.columns
     agg = r.groupBy(*g).agg(F.sum(roc_term).alias("_roc"), F.sum(pr_term).alias("_pr"),
-                            F.max("P").alias("_P"), F.max("N").alias("_N"))
-    defined = (F.col("_P") > 0) & (F.col("_N") > 0)
+                            F.max("P").alias("_P"), F.max("N").alias("_N"),
+                            F.sum("n_invalid" if counts_invalid else F.lit(0)).alias("n_invalid"))
+    defined = (F.col("_P") > 0) & (F.col("_N") > 0) & (F.col("n_invalid") == 0)
     return agg.select(*g, F.when(defined, F.col("_roc")).otherwise(nan()).alias("auroc"),
-                      F.when(defined, F.col("_pr")).otherwise(nan()).alias("auprc"))
+                      F.when(defined, F.col("_pr")).otherwise(nan()).alias("auprc"),
+                      *(["n_invalid"] if counts_invalid else []))
+
+
+def _settled(metrics: DataFrame, on_invalid: str) -> DataFrame:
+    """Strict: fail the job in a group with invalid scores.  Report mode: keep ``n_invalid``."""
+    if on_invalid == "nan":
+        return metrics
+    if on_invalid != "raise":
+        raise ValueError(f"on_invalid is 'raise' or 'nan', not {on_invalid!r}")
+    checked = F.when(F.col("n_invalid") == 0, F.col("auroc")) \
+               .otherwise(F.raise_error(F.lit("invalid values in scores")).cast("double"))
+    return metrics.withColumn("auroc", checked).drop("n_invalid")
 
 
 def auc_scores(df: DataFrame, group_cols: Sequence[str] = ("fold",), score: str = "pred",
-               truth: str = "truth", digits: int = 3) -> DataFrame:
-    return auc_from_histogram(score_histogram(df, group_cols, score, truth, digits), group_cols)
+               truth: str = "truth", digits: int = 3, on_invalid: str = "raise") -> DataFrame:
+    """``(group, auroc, auprc)``, in report mode also ``n_invalid``."""
+    hist = score_histogram(df, group_cols, score, truth, digits, invalid_bin=True)
+    return _settled(auc_from_histogram(hist, group_cols), on_invalid)
+
+
+def rank_sum_auc(df: DataFrame, group_cols: Sequence[str] = ("fold",), score: str = "pred", truth: str = "truth",
+                 out: str = "rank_sum") -> DataFrame:
+    """AUROC per group as the share of (positive, negative) pairs in the right order, ties counting half:
+    the negatives below and at each distinct score, summed over its positives."""
+    g = list(group_cols)
+    per = df.groupBy(*g, score).agg(F.count_if(F.col(truth) > 0).alias("_p"), F.count_if(F.col(truth) == 0).alias("_n"))
+    below = Window.partitionBy(*g).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_below", F.coalesce(F.sum("_n").over(below), F.lit(0)))
+    agg = per.groupBy(*g).agg(F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2)).alias("_s"),
+                              F.sum("_p").alias("_P"), F.sum("_n").alias("_N"))
+    return agg.select(*g, safe_div(F.col("_s"), F.col("_P") * F.col("_N")).alias(out))
 
 
 def roc_curve(df: DataFrame, group_cols: Sequence[str] = ("fold",), score: str = "pred",
@@ -126,13 +163,8 @@ def pearson(df: DataFrame, group_cols: Sequence[str] = ("fold",), x: str = "pred
             y: str = "truth", out: str = "pearson") -> DataFrame:
     """Pearson r per group from stable central moments; NaN on zero variance (ANSI-safe)."""
     g = list(group_cols)
-    agg = df.groupBy(*g).agg(F.covar_pop(F.col(x).cast("double"), F.col(y).cast("double")).alias("_c"),
-                             F.var_pop(F.col(x).cast("double")).alias("_vx"),
-                             F.var_pop(F.col(y).cast("double")).alias("_vy"))
-    den = F.sqrt(F.col("_vx") * F.col("_vy"))
-    r = F.when(F.isnan("_vx") | F.isnan("_vy") | F.isnan("_c"), nan()) \
-         .when((F.col("_vx") > 0) & (F.col("_vy") > 0), F.col("_c") / den).otherwise(nan())
-    return agg.select(*g, r.alias(out))
+    agg = df.groupBy(*g).agg(*_moments(F.col(x), F.col(y)))
+    return agg.select(*g, _pearson_of().alias(out))
 
 
 def argmax_class(p0, p1):
@@ -167,31 +199,65 @@ def combine_metrics(df: DataFrame, fns: Sequence[MetricFn], group_cols: Sequence
     return out
 
 
+def _moments(x, y) -> list:
+    """Central moments for Pearson r, under the names that ``_pearson_of`` reads."""
+    x, y = x.cast("double"), y.cast("double")
+    return [F.covar_pop(x, y).alias("_c"), F.var_pop(x).alias("_vx"), F.var_pop(y).alias("_vy")]
+
+
+def _pearson_of():
+    """r from the moments; NaN on zero variance or a NaN value (ANSI-safe)."""
+    den = F.sqrt(F.col("_vx") * F.col("_vy"))
+    return F.when(F.isnan("_vx") | F.isnan("_vy") | F.isnan("_c"), nan()) \
+            .when((F.col("_vx") > 0) & (F.col("_vy") > 0), F.col("_c") / den).otherwise(nan())
+
+
 def fold_metrics(df: DataFrame, group_cols: Sequence[str] = ("fold",), score: str = "pred",
-                 truth: str = "truth", digits: int = 6) -> DataFrame:
-    """``(group, auroc, auprc, pearson)`` per fold."""
-    return combine_metrics(df, [lambda d, g: auc_scores(d, g, score, truth, digits),
+                 truth: str = "truth", digits: int = 6, on_invalid: str = "raise") -> DataFrame:
+    """``(group, auroc, auprc, pearson)`` per fold, in report mode also ``n_invalid``."""
+    return combine_metrics(df, [lambda d, g: auc_scores(d, g, score, truth, digits, on_invalid),
                                 lambda d, g: pearson(d, g, score, truth)], group_cols)
 
 
+def scaled_fold_metrics(df: DataFrame, group_cols: Sequence[str] = ("fold",), score: str = "score",
+                        truth: str = "truth", digits: int = 6, on_invalid: str = "raise") -> DataFrame:
+    """``fold_metrics`` of the min-max scaled score in two scans of ``df``.
+
+    Pearson r does not change under scaling, so it comes from the aggregate that finds the minimum
+    and maximum; the second scan scales and counts bins, and carries r as a constant of the group."""
+    g = list(group_cols)
+    stats = df.groupBy(*g).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"), *_moments(F.col(score), F.col(truth)))
+    stats = stats.select(*g, "_lo", "_hi", _pearson_of().alias("pearson"))
+    scaled = df.join(stats, g).withColumn("pred", minmax_expr(F.col(score), F.col("_lo"), F.col("_hi")))
+    hist = score_histogram(scaled, [*g, "pearson"], "pred", truth, digits, invalid_bin=True)
+    out = _settled(auc_from_histogram(hist, [*g, "pearson"]), on_invalid)
+    return out.select(*g, "auroc", "auprc", "pearson", *(["n_invalid"] if on_invalid == "nan" else []))
+
+
 def _nan_aware(fn, c: str):
     return F.when(F.max(F.isnan(c).cast("int")) == 1, nan()).otherwise(fn(c))
 
 
 def fold_report(metrics: DataFrame, fold_col: str = "fold",
                 cols: Sequence[str] = ("auroc", "auprc", "pearson")) -> DataFrame:
-    """Rows ``fold0..foldK`` plus ``avg`` and ``median`` (exact, interpolated; NaN propagates).
+    """Rows ``fold0..foldK`` plus ``avg`` and ``median`` (exact, interpolated; NaN and null propagate).
+    Metrics of report mode keep ``n_invalid``, with the total in the summary rows.
 
     The metrics (one row per fold) are read by three branches, so they are written once first.
     """
     from textcohort.sources.io import materialize
 
-    metrics = materialize(metrics, "fold-metrics")
-    per_fold = metrics.select(F.concat(F.lit("fold"), F.col(fold_col).cast("string")).alias("fold"),
-                              *[F.col(c).cast("double").alias(c) for c in cols])
-    avg = metrics.agg(*[F.avg(c).alias(c) for c in cols]).select(F.lit("avg").alias("fold"), *cols)
-    med = metrics.agg(*[_nan_aware(F.median, c).alias(c) for c in cols]) \
-                 .select(F.lit("median").alias("fold"), *cols)
+    carries = "n_invalid" in metrics.columns
+    if not carries:
+        metrics = metrics.withColumn("n_invalid", F.lit(0).cast("long"))
+    # a missing value is an undefined metric, never one that the summary may skip
+    clean = [F.coalesce(F.col(c).cast("double"), nan()).alias(c) for c in cols]
+    metrics = materialize(metrics.select(F.col(fold_col).cast("string").alias("_fold"), *clean, "n_invalid"), "fold-metrics")
+    extra = ["n_invalid"] if carries else []
+    per_fold = metrics.select(F.concat(F.lit("fold"), "_fold").alias("fold"), *cols, *extra)
+    total = [F.sum("n_invalid").alias("n_invalid")] if carries else []
+    avg = metrics.agg(*[F.avg(c).alias(c) for c in cols], *total).select(F.lit("avg").alias("fold"), *cols, *extra)
+    med = metrics.agg(*[_nan_aware(F.median, c).alias(c) for c in cols], *total).select(F.lit("median").alias("fold"), *cols, *extra)
     return per_fold.unionByName(avg).unionByName(med)
 
 

@@ -88,7 +88,8 @@ def _oversample_parts(split: DataFrame, seed: int, fold_col: str):
     # draws: chunk numbers first (few rows), spread them, then explode each chunk
     d = cnt.filter(F.col("_diff") > 0).select(fold_col, "_diff", "_nmin")
     d = d.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_diff") - 1) / DRAW_CHUNK).cast("long"))))
-    d = d.repartition(fold_col, "_chunk")
+    # an explicit count: AQE would merge the few tiny chunk rows into one task
+    d = d.repartition(int(split.sparkSession.conf.get("spark.sql.shuffle.partitions")), fold_col, "_chunk")
     lo = F.col("_chunk") * DRAW_CHUNK
     hi = F.least((F.col("_chunk") + 1) * DRAW_CHUNK, F.col("_diff")) - 1
     d = d.withColumn("_j", F.explode(F.sequence(lo, hi)))

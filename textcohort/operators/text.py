@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textcohort.functions.text import normalise_word, tokenise, word_count
+from textcohort.functions.text import tokenise, word_count
 
 
 def doc_tokens(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -22,26 +22,17 @@ def token_counts(tokens: DataFrame) -> DataFrame:
     """``(id, token, tf, n_tok, positions)``: term counts per text, the text's token count, and
     the token's positions in the text (so occurrences never need the token arrays again).
 
-    The explode is narrow, so the partial aggregate already combines each text's tokens before
-    the shuffle; a frequent word costs one row per text, not one per occurrence, and its
-    position list is bounded by the length of that one text.
+    On rows that are already dealt by ``id`` the grouping needs no shuffle of its own.  Otherwise the
+    explode is narrow, so the partial aggregate combines each text's tokens before the shuffle; a
+    frequent word costs one row per text, and its position list is bounded by that text's length.
     """
     occ = tokens.select("id", F.size("tokens").alias("n_tok"), F.posexplode("tokens").alias("pos", "token"))
     return occ.groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("n_tok").alias("n_tok"),
                                           F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
-def doc_lengths(tokens: DataFrame) -> DataFrame:
-    """``(id, n_tok)``."""
-    return tokens.select("id", F.size("tokens").alias("n_tok"))
-
-
 def word_token_check(docs: DataFrame, tokens_col: str = "tokens", text_col: str = "text") -> DataFrame:
     """Words (single-space split of the text) against tokens, per row."""
     return docs.withColumn("n_words", word_count(F.col(text_col))) \
                .withColumn("n_tokens", F.size(tokens_col)) \
                .withColumn("consistent", F.col("n_words") == F.col("n_tokens"))
-
-
-def normalised_words(df: DataFrame, token_col: str = "token", out: str = "word") -> DataFrame:
-    return df.withColumn(out, normalise_word(F.col(token_col)))

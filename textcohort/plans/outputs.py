@@ -23,14 +23,22 @@ from textcohort.operators import consensus as CS
 from textcohort.operators import report as RP
 from textcohort.operators import scoring as S
 from textcohort.plans import workflow as WF
-from textcohort.plans.examples import EXAMPLE_FOLD, EXAMPLE_PICKS
+from textcohort.plans.examples import EXAMPLES
 from textcohort.sources import io as IO
 
 
 def run_workflow(cohort: DataFrame, out_dir: str, *, neg_code: int = 6, folds: int = 10, seed: int = 0,
-                 digits: int = 6, consensus_class: int = 0, example_fold: int = EXAMPLE_FOLD,
-                 picks=EXAMPLE_PICKS) -> dict[str, str]:
-    """``cohort``: ``(id, code, label, text)`` (see ``operators.cohort.build_cohort``)."""
+                 digits: int = 6, consensus_class: int = 0, example_fold: int | None = None,
+                 picks=None, on_invalid: str = "raise") -> dict[str, str]:
+    """``cohort``: ``(id, code, label, text)`` (see ``operators.cohort.build_cohort``).  The example table's
+    fold and picks are those of the study with this ``neg_code``; for another code they must be given.
+    The catalog entries of the run's bucketed tables are dropped at the end."""
+    if (example_fold is None or picks is None) and neg_code not in EXAMPLES:
+        raise ValueError(f"no example picks for negative code {neg_code}: give example_fold and picks")
+    if example_fold is None:
+        example_fold = EXAMPLES[neg_code][0]
+    if picks is None:
+        picks = EXAMPLES[neg_code][1]
     out = out_dir.rstrip("/")
     paths = {}
     paths["cohort"] = IO.write_delimited(
@@ -41,27 +49,30 @@ def run_workflow(cohort: DataFrame, out_dir: str, *, neg_code: int = 6, folds: i
     preds = WF.scaled_predictions(m)
     paths["pred"] = IO.write_predictions(preds.select("fold", F.lit(seed).alias("seed"), "id", "pred"),
                                          f"{out}/pred")
-    metrics = S.fold_metrics(preds.withColumnRenamed("label", "truth"), ["fold"], "pred", "truth", digits)
+    metrics = S.fold_metrics(preds.withColumnRenamed("label", "truth"), ["fold"], "pred", "truth", digits, on_invalid)
     report = S.format_report(S.fold_report(metrics))
     paths["score"] = IO.write_report(report.select("fold", F.col("auroc").alias("auc"),
                                                    F.col("auprc").alias("auprc"),
                                                    F.col("pearson").alias("pear")), f"{out}/score.tsv")
+    ranked = S.rank_normalise(preds, ["fold"], "pred", "id", out="rank")
+    paths["rank_score"] = IO.write_report(S.format_report(S.fold_report(WF.rank_report(ranked, digits))), f"{out}/rank_score.tsv")
 
-    rows = m.split.filter(F.col("split") == "test").select("fold", "id", "label")
-    attr1 = AT.linear_attribution(rows, None, m.counts, m.weights, m.priors, target_class=1)
+    rows = m.rows("test")
+    attr1 = AT.linear_attribution(rows, m.counts, m.weights, m.priors, target_class=1)
     paths["attribution"] = IO.write_attributions(attr1, f"{out}/attribution")
     attr1 = IO.read_attributions(cohort.sparkSession, paths["attribution"])
     attr_c = attr1 if consensus_class == 1 else attr1.withColumn("phi", -F.col("phi"))
 
-    cons = CS.consensus(attr_c)
+    cons = IO.materialize(CS.model_consensus(rows, m.counts, m.weights, m.priors, consensus_class), "consensus")
     paths["consensus"] = IO.write_delimited(cons, f"{out}/consensus")
     paths["consensus_raw"] = IO.write_delimited(CS.consensus_raw(attr_c), f"{out}/consensus_raw")
-    n_examples = attr_c.select("fold", "id").distinct().count()
+    n_examples = rows.count()
     top = CS.consensus_top(cons, -(-n_examples // 10))
     paths["consensus_top"] = IO.write_delimited(top, f"{out}/consensus_top")
     paths["tbl_consensus"] = IO.write_delimited(CS.consensus_abs(top), f"{out}/tbl_consensus.csv", sep=",")
 
-    ranked = S.rank_normalise(preds, ["fold"], "pred", "id", out="rank").select("fold", "id", "label", "rank")
-    example = RP.example_report(ranked, cohort.select("id", "text"), attr1, example_fold, picks)
+    picked = IO.materialize(RP.example_picks(ranked, example_fold, picks), "picks")
+    example = RP.example_report(picked, cohort.select("id", "text"), attr1, picks)
     paths["example"] = IO.write_delimited(example.drop("pick"), f"{out}/example.tsv")
+    IO.drop_bucketed(cohort.sparkSession)
     return paths

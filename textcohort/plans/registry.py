@@ -183,10 +183,36 @@ report AS (
 m AS (SELECT fold, auroc, auprc, pearson FROM auc JOIN pear USING (fold)), {sql_report('m')}
 SELECT fold, round(auroc, 6) AS auroc, round(auprc, 6) AS auprc, round(pearson, 6) AS pearson FROM report""")
 def q_scored_report(spark, sf_dir):
-    m = S.fold_metrics(scaled_scores(spark, sf_dir), ["fold"], "pred", "truth", digits=6)
+    m = S.scaled_fold_metrics(T.scored_table(spark, sf_dir), ["fold"], "score", "truth", digits=6)
     return S.fold_report(m).select("fold", r6("auroc"), r6("auprc"), r6("pearson"))
 
 
+SQL_BROKEN = SQL_SCORED.replace(" AS score, CAST(", " AS raw, CAST(").replace("mm AS", """broken AS (
+  SELECT fold, id, truth, CASE WHEN fold = 1 THEN 1.0 WHEN fold = 2 AND id = (SELECT min(id) FROM scored WHERE fold = 2)
+    THEN CAST('NaN' AS DOUBLE) ELSE raw END AS score FROM scored),
+mm AS""", 1).replace("max(score) AS hi FROM scored", "max(score) AS hi FROM broken").replace("FROM scored s JOIN mm", "FROM broken s JOIN mm")
+
+
+@register("score_report_invalid", f"""WITH {SQL_BROKEN}, {sql_hist('scaled', 5)}, {sql_pearson('scaled')},
+bad AS (SELECT fold, count(*) FILTER (WHERE pred IS NULL OR isnan(pred) OR floor(pred * 100000.0 + 0.5) NOT BETWEEN 0 AND 100000) AS n_invalid
+        FROM scaled GROUP BY fold),
+m AS (SELECT b.fold, n_invalid, CASE WHEN n_invalid = 0 THEN auroc ELSE CAST('NaN' AS DOUBLE) END AS auroc,
+        CASE WHEN n_invalid = 0 THEN auprc ELSE CAST('NaN' AS DOUBLE) END AS auprc, pearson
+      FROM bad b LEFT JOIN auc ON auc.fold = b.fold JOIN pear ON pear.fold = b.fold), {sql_report('m')}
+SELECT r.fold, round(auroc, 6) AS auroc, round(auprc, 6) AS auprc, round(pearson, 6) AS pearson,
+       CAST(coalesce(b.n_invalid, (SELECT sum(n_invalid) FROM bad)) AS BIGINT) AS n_invalid
+FROM report r LEFT JOIN bad b ON r.fold = 'fold' || CAST(b.fold AS VARCHAR)""")
+def q_report_invalid(spark, sf_dir):
+    """The report over a table with a constant fold (1) and a NaN score in fold 2: both folds are NaN and
+    counted, and so are the summary rows."""
+    scored = T.scored_table(spark, sf_dir)
+    first = scored.filter("fold = 2").agg(F.min("id").alias("_first"))
+    broken = scored.join(first, (F.col("fold") == 2) & (F.col("id") == F.col("_first")), "left")
+    broken = broken.withColumn("score", F.when(F.col("fold") == 1, 1.0).when(F.col("_first").isNotNull(), float("nan")).otherwise(F.col("score")))
+    m = S.scaled_fold_metrics(broken.drop("_first"), ["fold"], "score", "truth", digits=5, on_invalid="nan")
+    return S.fold_report(m).select("fold", r6("auroc"), r6("auprc"), r6("pearson"), "n_invalid")
+
+
 # ----------------------------------------------------------------------------------------------
 # Cohort (documents + labels stand-in for the survey): English rows, codes 2/3 vs 6
 # ----------------------------------------------------------------------------------------------
@@ -237,7 +263,7 @@ mino AS (SELECT tr.fold, tr.id, tr.label,
              md5('0:' || CAST(tr.fold AS VARCHAR) || ':' || CAST(tr.id AS VARCHAR)), tr.id) - 1 AS idx
          FROM tr JOIN c2 ON tr.fold = c2.fold WHERE tr.label = c2.minlab),
 dj AS (SELECT fold, nmin, unnest(range(diff)) AS j FROM c2 WHERE diff > 0),
-draws AS (SELECT fold, j, CAST(('0x' || substr(md5('0:' || CAST(fold AS VARCHAR) || ':' || CAST(j AS VARCHAR)), 1, 8)) AS BIGINT) % nmin AS idx
+draws AS (SELECT fold, j, CAST(('0x' || substr(md5('0:' || CAST(fold AS VARCHAR) || ':' || CAST(j AS VARCHAR)), 1, 15)) AS BIGINT) % nmin AS idx
           FROM dj),
 balanced AS (
   SELECT fold, id, label, CAST(0 AS BIGINT) AS copy FROM tr
@@ -312,27 +338,32 @@ def q_filter_max_chars(spark, sf_dir):
 
 
 SQL_COMMENTS = """
+numbered AS (
+  SELECT conv_id AS id, turn // 4 AS block, turn % 4 AS place, text,
+         row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) - 1 AS nth FROM conversations),
+grid AS (SELECT c.id, CAST(b.range AS INTEGER) AS block FROM (SELECT DISTINCT conv_id AS id FROM conversations) c
+         CROSS JOIN range((SELECT max(turn) // 4 + 1 FROM conversations)) b),
 comments AS (
-  SELECT conv_id AS id, max(CASE WHEN turn = 4 THEN text END) AS comment1,
-         max(CASE WHEN turn = 5 THEN text END) AS comment2, max(CASE WHEN turn = 6 THEN text END) AS comment3,
-         max(CASE WHEN turn = 7 THEN text END) AS comment4
-  FROM conversations GROUP BY conv_id),
+  SELECT g.id, g.block, coalesce(n.nth, 0) AS nth, max(CASE WHEN place = 0 THEN text END) AS comment1,
+         max(CASE WHEN place = 1 THEN text END) AS comment2, max(CASE WHEN place = 2 THEN text END) AS comment3,
+         max(CASE WHEN place = 3 THEN text END) AS comment4
+  FROM grid g LEFT JOIN numbered n ON n.id = g.id AND n.block = g.block GROUP BY g.id, g.block, n.nth),
 merged AS (
-  SELECT id, coalesce(comment1, 'nan') || '|' || coalesce(comment2, 'nan') || '|' ||
+  SELECT id, block, CAST(nth AS INTEGER) AS nth, coalesce(comment1, 'nan') || '|' || coalesce(comment2, 'nan') || '|' ||
              coalesce(comment3, 'nan') || '|' || coalesce(comment4, 'nan') AS comment FROM comments)"""
 
 COMMENT_COLS = ["comment1", "comment2", "comment3", "comment4"]
 
 
-@register("merge_comments", f"WITH {SQL_COMMENTS} SELECT id, comment FROM merged")
+@register("merge_comments", f"WITH {SQL_COMMENTS} SELECT id, block, nth, comment FROM merged")
 def q_merge_comments(spark, sf_dir):
-    return C.merge_comments(T.comments_table(spark, sf_dir), COMMENT_COLS).select("id", "comment")
+    return C.merge_comments(T.comments_table(spark, sf_dir), COMMENT_COLS).select("id", "block", "nth", "comment")
 
 
-@register("drop_empty_comment", f"WITH {SQL_COMMENTS} SELECT id, comment FROM merged WHERE comment <> 'nan|nan|nan|nan'")
+@register("drop_empty_comment", f"WITH {SQL_COMMENTS} SELECT id, block, nth, comment FROM merged WHERE comment <> 'nan|nan|nan|nan'")
 def q_drop_empty(spark, sf_dir):
     m = C.merge_comments(T.comments_table(spark, sf_dir), COMMENT_COLS)
-    return C.drop_empty_comment(m, "comment").select("id", "comment")
+    return C.drop_empty_comment(m, "comment").select("id", "block", "nth", "comment")
 
 
 @register("split_assign", f"WITH {SQL_SPLIT} SELECT fold, id, label, split FROM split")
@@ -436,6 +467,10 @@ def fitted(spark, sf_dir) -> WF.FittedFolds:
     return WF.fit_folds(cohort_df(spark, sf_dir), folds=FOLDS, seed=SEED)
 
 
+def prepared(spark, sf_dir) -> WF.PreparedFolds:
+    return WF.prepare_folds(cohort_df(spark, sf_dir), folds=FOLDS, seed=SEED)
+
+
 @register("tokenise", f"""WITH {SQL_COHORT.replace("cohort AS (", "cohort_unused AS (")},
 cohort AS (SELECT doc_id AS id, text FROM documents), {SQL_TOKENS}
 SELECT id, unnest(range(len(t))) AS pos, unnest(t) AS token FROM toks""")
@@ -520,30 +555,23 @@ top1 AS (SELECT *, row_number() OVER (ORDER BY word) AS rn, count(*) OVER () AS
 top AS (SELECT word, count, shap_avg FROM top1 WHERE rn > 10 AND rn <= n - 3)"""
 
 
-class Attributed:
-    def __init__(self, spark, sf_dir):
-        from textcohort.sources.io import materialize
-        self.m = fitted(spark, sf_dir)
-        rows = self.m.split.filter(F.col("split") == "test").select("fold", "id", "label")
-        self.rows = rows
-        self.attr1 = materialize(AT.linear_attribution(rows, self.m.tokens, self.m.counts, self.m.weights,
-                                                       self.m.priors, target_class=1), "attr1")
-        self.attr0 = self.attr1.withColumn("phi", -F.col("phi"))
+def attributions(m: WF.FittedFolds, target_class: int = 1) -> DataFrame:
+    return AT.linear_attribution(m.rows("test"), m.counts, m.weights, m.priors, target_class)
 
 
-def attributed(spark, sf_dir) -> Attributed:
-    return Attributed(spark, sf_dir)
+def min_count_of(m: WF.PreparedFolds) -> int:
+    """10 % of the attributed examples (rounded up), i.e. ``count * 10 >= examples``, from the narrow split."""
+    return -(-m.rows("test").count() // 10)
 
 
-def min_count_of(attr) -> int:
-    """10 % of the attributed examples (rounded up), i.e. ``count * 10 >= examples``."""
-    n = attr.select("fold", "id").distinct().count()
-    return -(-n // 10)
+def consensus_of(spark, sf_dir) -> tuple[DataFrame, int]:
+    m = fitted(spark, sf_dir)
+    return CS.model_consensus(m.rows("test"), m.counts, m.weights, m.priors, target_class=0), min_count_of(m)
 
 
 @register("token_attribution", f"WITH {SQL_ATTR} SELECT fold, id, pos, token, round(phi, 6) AS phi FROM attr")
 def q_token_attribution(spark, sf_dir):
-    a = attributed(spark, sf_dir).attr1
+    a = attributions(fitted(spark, sf_dir))
     return a.select("fold", "id", F.col("pos").cast("long").alias("pos"), "token", r6("phi"))
 
 
@@ -552,10 +580,10 @@ SELECT a.fold, a.id, round(sum(a.phi) - (s.logit - p.prior - p.mean_shift), 6) A
 FROM attr a JOIN scored_test s ON a.fold = s.fold AND a.id = s.id JOIN prio p ON p.fold = a.fold
 GROUP BY a.fold, a.id, s.logit, p.prior, p.mean_shift""")
 def q_attr_sum(spark, sf_dir):
-    at = attributed(spark, sf_dir)
-    scored = M.nb_score(at.rows, at.m.counts, at.m.lengths, at.m.weights, at.m.priors)
-    tot = at.attr1.groupBy("fold", "id").agg(F.sum("phi").alias("_s"))
-    j = tot.join(scored.select("fold", "id", "logit"), ["fold", "id"]).join(at.m.priors, "fold")
+    m = fitted(spark, sf_dir)
+    scored = M.nb_score(m.rows("test"), m.counts, m.weights, m.priors)
+    tot = attributions(m).groupBy("fold", "id").agg(F.sum("phi").alias("_s"))
+    j = tot.join(scored.select("fold", "id", "logit"), ["fold", "id"]).join(m.priors, "fold")
     return j.select("fold", "id", F.round(F.col("_s") - (F.col("logit") - F.col("prior") - F.col("mean_shift")), 6)
                     .alias("residual"))
 
@@ -567,9 +595,9 @@ SELECT fold, id, pos, token, round(1.0 / (1.0 + exp(-logit)) - 1.0 / (1.0 + exp(
   prior + (n * (logit - prior) - w) / (n - 1) ELSE prior END))), 6) AS phi FROM occl""")
 def q_occlusion(spark, sf_dir):
     m = fitted(spark, sf_dir)
-    rows = m.split.filter(F.col("split") == "test").select("fold", "id", "label")
-    scored = M.nb_score(rows, m.counts, m.lengths, m.weights, m.priors)
-    a = AT.occlusion_attribution(rows, m.tokens, m.counts, m.weights, scored, m.priors)
+    rows = m.rows("test")
+    scored = M.nb_score(rows, m.counts, m.weights, m.priors)
+    a = AT.occlusion_attribution(rows, m.counts, m.weights, scored, m.priors)
     return a.select("fold", "id", F.col("pos").cast("long").alias("pos"), "token", r6("phi"))
 
 
@@ -577,7 +605,7 @@ def q_occlusion(spark, sf_dir):
 def q_attr_store(spark, sf_dir):
     from textcohort.session import scratch_path
     from textcohort.sources.io import read_attributions, write_attributions
-    a = attributed(spark, sf_dir).attr1
+    a = attributions(fitted(spark, sf_dir))
     path = write_attributions(a, scratch_path(spark, "attribution-store"))
     back = read_attributions(spark, path)
     return back.select(F.col("fold").cast("int").alias("fold"), "id", F.col("pos").cast("long").alias("pos"),
@@ -586,42 +614,46 @@ def q_attr_store(spark, sf_dir):
 
 @register("normalise_word", f"WITH {SQL_ATTR} SELECT DISTINCT token, word FROM words")
 def q_normalise_word(spark, sf_dir):
-    return CS.with_words(attributed(spark, sf_dir).attr0).select("token", "word").distinct()
+    m = prepared(spark, sf_dir)
+    seen = m.rows("test").select("id").distinct().join(m.counts.select("id", "token"), "id").select("token")
+    # every attributed text also has its base entry, the empty token
+    return CS.with_words(seen.unionByName(m.rows("test").select(F.lit("").alias("token"))).distinct()).select("token", "word")
 
 
 @register("word_count", f"WITH {SQL_ATTR} SELECT word, count(*) AS count FROM words GROUP BY word")
 def q_word_count(spark, sf_dir):
-    return CS.word_count(attributed(spark, sf_dir).attr0)
+    m = prepared(spark, sf_dir)
+    return CS.token_word_count(m.rows("test"), m.counts)
 
 
 @register("consensus", f"WITH {SQL_ATTR} SELECT word, count, round(shap_avg, 6) AS shap_avg FROM cons")
 def q_consensus(spark, sf_dir):
-    return CS.consensus(attributed(spark, sf_dir).attr0).select("word", "count", r6("shap_avg"))
+    return consensus_of(spark, sf_dir)[0].select("word", "count", r6("shap_avg"))
 
 
 @register("consensus_raw", f"""WITH {SQL_ATTR}
 SELECT word, fold, id, string_agg(printf('%.2f', phi), '_' ORDER BY pos) AS raw FROM words GROUP BY word, fold, id""")
 def q_consensus_raw(spark, sf_dir):
-    return CS.consensus_raw(attributed(spark, sf_dir).attr0)
+    return CS.consensus_raw(attributions(fitted(spark, sf_dir), target_class=0))
 
 
 @register("consensus_top", f"WITH {SQL_ATTR} SELECT word, count, round(shap_avg, 6) AS shap_avg FROM top")
 def q_consensus_top(spark, sf_dir):
-    a = attributed(spark, sf_dir).attr0
-    return CS.consensus_top(CS.consensus(a), min_count_of(a)).select("word", "count", r6("shap_avg"))
+    cons, least = consensus_of(spark, sf_dir)
+    return CS.consensus_top(cons, least).select("word", "count", r6("shap_avg"))
 
 
 @register("consensus_abs", f"WITH {SQL_ATTR} SELECT word, count, round(abs(shap_avg), 6) AS shap_avg FROM top")
 def q_consensus_abs(spark, sf_dir):
-    a = attributed(spark, sf_dir).attr0
-    return CS.consensus_abs(CS.consensus_top(CS.consensus(a), min_count_of(a))).select("word", "count", r6("shap_avg"))
+    cons, least = consensus_of(spark, sf_dir)
+    return CS.consensus_abs(CS.consensus_top(cons, least)).select("word", "count", r6("shap_avg"))
 
 
 @register("consensus_letters", f"""WITH {SQL_ATTR}
 SELECT word, count, round(shap_avg, 6) AS shap_avg FROM top0 WHERE regexp_full_match(word, '\\p{{L}}+')""")
 def q_consensus_letters(spark, sf_dir):
-    a = attributed(spark, sf_dir).attr0
-    return CS.consensus_letters(CS.consensus(a), min_count_of(a)).select("word", "count", r6("shap_avg"))
+    cons, least = consensus_of(spark, sf_dir)
+    return CS.consensus_letters(cons, least).select("word", "count", r6("shap_avg"))
 
 
 SQL_RANK_TEST = SQL_PREDS + """,
@@ -640,11 +672,12 @@ def ranked_test(spark, sf_dir, m=None):
 @register("ranked_listing", f"""WITH {SQL_RANK_TEST},
 o AS (SELECT *, row_number() OVER (PARTITION BY fold, label ORDER BY
         CASE WHEN label = 1 THEN -rank ELSE rank END, CASE WHEN label = 1 THEN -id ELSE id END) - 1 AS k FROM rk)
-SELECT fold, label, k, id, round(rank, 6) AS rank FROM o WHERE k < 5""")
+SELECT fold, label, k, id, round(rank, 6) AS rank FROM o""")
 def q_ranked_listing(spark, sf_dir):
-    r = ranked_test(spark, sf_dir)
-    pos = RP.ranked_listing(r, 1, 5, descending=True)
-    neg = RP.ranked_listing(r, 0, 5, descending=False)
+    from textcohort.sources.io import materialize
+    r = materialize(ranked_test(spark, sf_dir), "ranked")
+    pos = RP.ranked_listing(r, 1, descending=True)
+    neg = RP.ranked_listing(r, 0, descending=False)
     return pos.unionByName(neg).select("fold", "label", F.col("k").cast("long").alias("k"), "id", r6("rank"))
 
 
@@ -712,10 +745,19 @@ ko AS (SELECT *, row_number() OVER (PARTITION BY fold, label ORDER BY
 
 @register("example_report", f"WITH {SQL_EXAMPLE_BASE} {sql_example(EXAMPLE_FOLD, EXAMPLE_PICKS)}")
 def q_example_report(spark, sf_dir):
-    at = attributed(spark, sf_dir)
-    ranked = ranked_test(spark, sf_dir, at.m)
-    texts = at.m.cohort.select("id", "text")
-    return RP.example_report(ranked, texts, at.attr1, EXAMPLE_FOLD, EXAMPLE_PICKS)
+    return example_of(fitted(spark, sf_dir), EXAMPLE_FOLD, EXAMPLE_PICKS)
+
+
+def example_of(m: WF.FittedFolds, fold: int, picks) -> DataFrame:
+    """Rank, pick, then attribute the picked texts only."""
+    from textcohort.sources.io import materialize
+    p = WF.scaled_predictions(m)
+    ranked = S.rank_normalise(p, ["fold"], "pred", "id", out="rank").select("fold", "id", "label", "rank")
+    # at most one row per pick
+    picked = materialize(RP.example_picks(ranked, fold, picks), "picks")
+    rows = picked.select("fold", "id").distinct()
+    attr = AT.linear_attribution(rows, m.counts, m.weights, m.priors, target_class=1)
+    return RP.example_report(picked, m.cohort.select("id", "text"), attr, picks)
 
 
 @register("clean_text", f"WITH {SQL_COHORT} SELECT id, {sql_clean('text', FT.CLEAN_RULES_BASE)} AS text FROM cohort")
@@ -749,7 +791,8 @@ SELECT fold, id, CAST(count(*) FILTER (WHERE token NOT IN ({", ".join(_sql_str(s
        CAST(count(*) FILTER (WHERE token IN ({", ".join(_sql_str(s) for s in RP.STOP_BASE)})) AS INTEGER) AS n_dropped
 FROM attr GROUP BY fold, id""")
 def q_token_stoplist(spark, sf_dir):
-    return RP.stoplist_tokens(attributed(spark, sf_dir).attr1, RP.STOP_BASE)
+    m = prepared(spark, sf_dir)
+    return RP.stoplist_tokens(m.rows("test"), m.counts, RP.STOP_BASE)
 
 
 # ----------------------------------------------------------------------------------------------
@@ -763,10 +806,12 @@ from textcohort.session import scratch_path  # noqa: E402
 from textcohort.sources import io as IO  # noqa: E402
 
 
-@register("tsv_roundtrip", f"WITH {SQL_COHORT} SELECT CAST(code AS DOUBLE) AS label, text AS comment, id FROM cohort")
+@register("tsv_roundtrip", f"""WITH {SQL_COHORT}
+SELECT CAST(code AS DOUBLE) AS label, '  ' || text || chr(9) || ' tail' || chr(10) || ' ' AS comment, id FROM cohort""")
 def q_tsv_roundtrip(spark, sf_dir):
-    c = cohort_df(spark, sf_dir).select(F.col("code").cast("double").alias("label"),
-                                        F.col("text").alias("comment"), "id")
+    """Texts with blanks at both ends, a tab and a newline come back unchanged."""
+    text = F.concat(F.lit("  "), F.col("text"), F.lit("\t tail\n "))
+    c = cohort_df(spark, sf_dir).select(F.col("code").cast("double").alias("label"), text.alias("comment"), "id")
     path = IO.write_delimited(c, scratch_path(spark, "cohort-tsv"), sep="\t")
     back = IO.read_delimited(spark, path, sep="\t", columns=["label", "comment", "id"],
                              casts={"label": "double", "id": "long"})
@@ -775,8 +820,8 @@ def q_tsv_roundtrip(spark, sf_dir):
 
 @register("csv_roundtrip", f"WITH {SQL_ATTR} SELECT word, count, round(abs(shap_avg), 6) AS shap_avg FROM top")
 def q_csv_roundtrip(spark, sf_dir):
-    a = attributed(spark, sf_dir).attr0
-    tbl = CS.consensus_abs(CS.consensus_top(CS.consensus(a), min_count_of(a)))
+    cons, least = consensus_of(spark, sf_dir)
+    tbl = CS.consensus_abs(CS.consensus_top(cons, least))
     path = IO.write_delimited(tbl, scratch_path(spark, "consensus-csv"), sep=",")
     back = IO.read_delimited(spark, path, sep=",", columns=["word", "count", "shap_avg"],
                              casts={"count": "long", "shap_avg": "double"})
@@ -806,20 +851,14 @@ def q_model_roundtrip(spark, sf_dir):
     wp = IO.write_table(m.weights, scratch_path(spark, "nb-model-weights"))
     pp = IO.write_table(m.priors, scratch_path(spark, "nb-model-priors"))
     w, p = IO.read_table_at(spark, wp), IO.read_table_at(spark, pp)
-    rows = m.split.filter(F.col("split") == "test").select("fold", "id", "label")
-    return M.nb_score(rows, m.counts, m.lengths, w, p).select("fold", "id", "label", r6("prob"))
+    return M.nb_score(m.rows("test"), m.counts, w, p).select("fold", "id", "label", r6("prob"))
 
 
 @register("score_map_in_pandas", f"WITH {SQL_NB}, {sql_scored('test')} SELECT fold, id, label, round(prob, 6) AS prob FROM scored_test")
 def q_score_map_in_pandas(spark, sf_dir):
     m = fitted(spark, sf_dir)
-    wp = scratch_path(spark, "nb-model-weights")
-    m.weights.write.partitionBy("fold").parquet(wp)        # one directory per fold's model
-    pp = IO.write_table(m.priors, scratch_path(spark, "nb-model-priors"))
-    rows = m.split.filter(F.col("split") == "test").select("fold", "id", "label")
-    scored = SC.score_with(SC.texts_for(rows, m.cohort), SC.nb_scorer_factory(wp, pp),
-                           cluster_by=["fold", "id"])
-    return scored.select("fold", "id", "label", r6("prob"))
+    inputs = SC.nb_inputs(m.rows("test"), m.counts, m.weights, m.priors)
+    return SC.score_with(inputs, SC.nb_scorer_factory()).select("fold", "id", "label", r6("prob"))
 
 
 @register("row_index", f"WITH {SQL_COHORT} SELECT id, row_number() OVER (ORDER BY id) - 1 AS row_idx FROM cohort")
@@ -827,40 +866,57 @@ def q_row_index(spark, sf_dir):
     return IX.row_index(cohort_df(spark, sf_dir).select("id"), ["id"])
 
 
-def _lr_models(spark, sf_dir):
-    m = fitted(spark, sf_dir)
-    train = m.balanced.join(m.cohort.select("id", "text"), "id")
-    return m, ML.lr_fit(train, list(range(FOLDS)))
+class FittedLR:
+    """Features once per text, then one regression per fold over rows stored by fold."""
+
+    def __init__(self, spark, sf_dir):
+        self.m = fitted(spark, sf_dir)
+        features = ML.hashed_features(TX.doc_tokens(self.m.cohort))
+        self.train = ML.fold_rows(self.m.balanced, features, "lr-train")
+        self.test = ML.fold_rows(self.m.rows("test"), features, "lr-test")
+        self.models = ML.lr_fit(self.train, list(range(FOLDS)))
 
 
-@register("lr_score")
+@register("lr_fit", "SELECT CAST(range AS INTEGER) AS fold, true AS converged, true AS stationary FROM range(10)")
+def q_lr_fit(spark, sf_dir):
+    """Per fold: the optimiser ended before its bound, and the intercept's derivative is 0 at the fit."""
+    lr = FittedLR(spark, sf_dir)
+    done = [f for f, ended in ML.lr_summary(lr.models) if ended]
+    r = ML.lr_residual(lr.models, lr.train)
+    return r.select("fold", F.col("fold").isin(done).alias("converged"), (F.col("residual") < 1e-4).alias("stationary"))
+
+
+@register("lr_score", f"WITH {SQL_SPLIT} SELECT fold, id, label, true AS in_range FROM split WHERE split = 'test'")
 def q_lr_score(spark, sf_dir):
-    m, models = _lr_models(spark, sf_dir)
-    rows = SC.texts_for(m.split.filter(F.col("split") == "test").select("fold", "id", "label"), m.cohort)
-    return ML.lr_score(models, rows)
+    lr = FittedLR(spark, sf_dir)
+    return ML.lr_score(lr.models, lr.test).select("fold", "id", "label", F.col("prob").between(0.0, 1.0).alias("in_range"))
 
 
-@register("lr_fold_report")
+@register("lr_fold_report", f"WITH {SQL_SPLIT} SELECT DISTINCT fold, CAST(0 AS DOUBLE) AS auroc_less_rank_sum FROM split")
 def q_lr_report(spark, sf_dir):
-    m, models = _lr_models(spark, sf_dir)
-    rows = SC.texts_for(m.split.filter(F.col("split") == "test").select("fold", "id", "label"), m.cohort)
-    p = S.minmax_scale(ML.lr_score(models, rows), ["fold"], score="prob", out="pred")
-    met = S.fold_metrics(p.withColumnRenamed("label", "truth"), ["fold"], "pred", "truth", 6)
-    return S.fold_report(met)
+    """AUROC of the report less the rank-sum AUROC of the same scores."""
+    from textcohort.sources.io import materialize
+    lr = FittedLR(spark, sf_dir)
+    p = S.minmax_scale(ML.lr_score(lr.models, lr.test), ["fold"], score="prob", out="pred")
+    p = materialize(p.select("fold", F.col("label").alias("truth"), F.round("pred", 6).alias("pred")), "lr-pred")
+    met = S.fold_metrics(p, ["fold"], "pred", "truth", 6)
+    return met.join(S.rank_sum_auc(p, ["fold"], "pred", "truth"), "fold").select(
+        "fold", (F.round(F.col("auroc") - F.col("rank_sum"), 6) + 0.0).alias("auroc_less_rank_sum"))
 
 
-@register("model_roundtrip_lr")
+@register("model_roundtrip_lr", f"WITH {SQL_SPLIT} SELECT fold, id, CAST(0 AS DOUBLE) AS difference FROM split WHERE split = 'test'")
 def q_lr_roundtrip(spark, sf_dir):
-    m, models = _lr_models(spark, sf_dir)
-    paths = ML.save_models(models, scratch_path(spark, "lr-models"))
-    loaded = ML.load_models(paths)
-    rows = SC.texts_for(m.split.filter(F.col("split") == "test").select("fold", "id", "label"), m.cohort)
-    return ML.lr_score(loaded, rows)
+    """Probability under the reloaded models less that under the fitted ones."""
+    lr = FittedLR(spark, sf_dir)
+    loaded = ML.load_models(ML.save_models(lr.models, scratch_path(spark, "lr-models")))
+    again = ML.lr_score(loaded, lr.test).select("fold", "id", F.col("prob").alias("again"))
+    return ML.lr_score(lr.models, lr.test).join(again, ["fold", "id"]).select(
+        "fold", "id", (F.col("again") - F.col("prob")).alias("difference"))
 
 
-@register("train_shuffle")
+@register("train_shuffle", f"WITH {SQL_OVERSAMPLE} SELECT fold, id, label, copy FROM balanced")
 def q_train_shuffle(spark, sf_dir):
-    """Oversampled train rows in random order (order only: checked by rows)."""
+    """Oversampled train rows in random order (the content is what is compared)."""
     return SP.shuffle_rows(balanced_df(spark, sf_dir))
 
 
@@ -874,7 +930,7 @@ SELECT fold, count(*) AS n_tokens, count(DISTINCT id) AS n_texts, round(sum(phi)
 def q_attr_union(spark, sf_dir):
     """Every fold's attributions written as its own store, then read back as one table."""
     from textcohort.sources.io import read_attributions, write_attributions
-    a = attributed(spark, sf_dir).attr1
+    a = attributions(fitted(spark, sf_dir))
     base = scratch_path(spark, "attribution-folds")
     write_attributions(a, base)          # one directory per fold (fold=0 .. fold=9)
     u = read_attributions(spark, base)   # one scan over all fold directories = the union
@@ -883,23 +939,60 @@ def q_attr_union(spark, sf_dir):
         F.round(F.sum("phi"), 6).alias("phi_sum"))
 
 
-@register("lr_fit")
-def q_lr_fit(spark, sf_dir):
-    """Per fold: intercept and number of non-zero weights of the fitted logistic regression."""
-    _, models = _lr_models(spark, sf_dir)
-    return spark.createDataFrame(ML.lr_summary(models), "fold int, intercept double, n_nonzero int")
+# ----------------------------------------------------------------------------------------------
+# The study whose negatives have code 5, rank-normalised metrics, the survey scan
+# ----------------------------------------------------------------------------------------------
+
+from textcohort.plans.examples import EXAMPLES  # noqa: E402
+
+SQL_COHORT_5 = SQL_COHORT.replace("diagnosis = 6", "diagnosis = 5").replace("IN (2, 3, 6)", "IN (2, 3, 5)")
+
 
+def class5(sql: str) -> str:
+    """The same SQL over the other cohort."""
+    return sql.replace(SQL_COHORT, SQL_COHORT_5)
 
-SQL_PREDS_SHORT = SQL_PREDS.replace(
-    "rows_test AS (SELECT fold, id, label FROM split WHERE split = 'test')",
-    "rows_test AS (SELECT s.fold, s.id, s.label FROM split s JOIN cohort c ON s.id = c.id "
-    "WHERE s.split = 'test' AND length(c.text) < 2000)")
 
+def cohort5_df(spark, sf_dir):
+    return C.build_cohort(survey(spark, sf_dir), lang_needle=LANG, pos_codes=POS_CODES, neg_code=5)
 
-@register("fold_report_max_chars", f"""WITH {SQL_PREDS_SHORT}, {sql_hist('preds', 6)}, {sql_pearson('preds')},
+
+@register("cohort_class5", f"WITH {SQL_COHORT_5} SELECT id, code, label, text FROM cohort")
+def q_cohort5(spark, sf_dir):
+    return cohort5_df(spark, sf_dir)
+
+
+@register("class_counts_class5", f"WITH {SQL_COHORT_5} SELECT code, count(*) AS n FROM cohort GROUP BY code")
+def q_class_counts5(spark, sf_dir):
+    return C.class_counts(cohort5_df(spark, sf_dir), "code")
+
+
+@register("example_report_class5", f"WITH {class5(SQL_EXAMPLE_BASE)} {sql_example(*EXAMPLES[5])}")
+def q_example5(spark, sf_dir):
+    return example_of(WF.fit_folds(cohort5_df(spark, sf_dir), folds=FOLDS, seed=SEED), *EXAMPLES[5])
+
+
+@register("rank_report", f"""WITH {SQL_RANK_TEST}, r2 AS (SELECT fold, id, label AS truth, rank AS pred FROM rk),
+{sql_hist('r2', 6)}, {sql_pearson('r2')},
 m AS (SELECT auc.fold, auroc, auprc, pearson FROM auc JOIN pear ON auc.fold = pear.fold), {sql_report('m')}
 SELECT fold, round(auroc, 6) AS auroc, round(auprc, 6) AS auprc, round(pearson, 6) AS pearson FROM report""")
-def q_fold_report_max_chars(spark, sf_dir):
-    """The score table over test texts shorter than 2000 characters (dropped before scaling)."""
-    rep = WF.fold_report(cohort_df(spark, sf_dir), folds=FOLDS, seed=SEED, digits=6, max_chars=2000)
+def q_rank_report(spark, sf_dir):
+    rep = S.fold_report(WF.rank_report(ranked_test(spark, sf_dir), digits=6))
     return rep.select("fold", r6("auroc"), r6("auprc"), r6("pearson"))
+
+
+@register("survey_scan", """
+SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE CAST(doc_id % 7 AS DOUBLE) END AS diagnosis,
+  CASE WHEN doc_id % 3 = 0 THEN 'nan' ELSE text END || '|nan|' || ' ' || lang || ' |nan' AS comment
+FROM documents""")
+def q_survey_scan(spark, sf_dir):
+    """A survey export with missing codes and comments in several spellings, scanned back."""
+    docs = T.read_table(spark, sf_dir, "documents")
+    spelled = F.element_at(F.array(*[F.lit(m) for m in ("NA", "n/a", "NULL", "NaN")]), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
+    code, c1, c2, c3, c4 = T.SURVEY_CODE, *T.SURVEY_COMMENTS
+    export = docs.select(
+        F.when(F.col("doc_id") % 5 == 0, spelled).otherwise((F.col("doc_id") % 7).cast("string")).alias(code),
+        F.when(F.col("doc_id") % 3 == 0, spelled).otherwise(F.col("text")).alias(c1), spelled.alias(c2),
+        F.concat(F.lit(" "), "lang", F.lit(" ")).alias(c3), F.lit(None).cast("string").alias(c4), F.col("doc_id").alias(T.SURVEY_ID))
+    path = IO.write_delimited(export, scratch_path(spark, "survey-csv"), sep=",")
+    return T.survey_from_csv(spark, path).select("id", "diagnosis", "comment")

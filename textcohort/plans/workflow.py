@@ -1,7 +1,8 @@
 """End-to-end compositions: cohort -> split -> oversample -> fit -> score -> report.
 
-Every stage is a lazy DataFrame; nothing is collected.  Texts are tokenised once and joined to
-the fold assignment late, so ten folds multiply only the narrow ``(fold, id)`` rows.
+``fit_folds`` runs jobs when it is called: it writes the tables that several stages read.  The other
+functions return lazy DataFrames.  No rows are collected.  Texts are tokenised once and joined
+to the fold assignment late, so ten folds multiply only the narrow ``(fold, id)`` rows.
 """
 
 from __future__ import annotations
@@ -19,14 +20,20 @@ from textcohort.sources.io import bucket_count, materialize
 
 
 @dataclass
-class FittedFolds:
+class PreparedFolds:
     cohort: DataFrame      # (id, code, label, text) — raw text, read again only for reports
     docs: DataFrame        # (id, code, label) — written once
-    split: DataFrame
-    balanced: DataFrame    # (fold, id, label, mult) — train rows with their oversampling copies
-    tokens: DataFrame      # (id, tokens) — lazy view (re-tokenises if read; the fit never reads it)
+    split: DataFrame       # (fold, id, label, split) — written once, id-bucketed
     counts: DataFrame      # (id, token, tf, n_tok, positions) — written once, id-bucketed
-    lengths: DataFrame     # (id, n_tok) — lazy view
+    buckets: int
+
+    def rows(self, which: str = "test") -> DataFrame:
+        return self.split.filter(F.col("split") == which).select("fold", "id", "label")
+
+
+@dataclass
+class FittedFolds(PreparedFolds):
+    balanced: DataFrame    # (fold, id, label, mult) — train rows with their oversampling copies
     weights: DataFrame
     priors: DataFrame
 
@@ -36,64 +43,66 @@ def cohort_keys(cohort: DataFrame) -> DataFrame:
     return materialize(cohort.select("id", "code", "label"), "cohort-keys")
 
 
-def fit_folds(cohort: DataFrame, folds: int = 10, seed: int = 0, alpha: float = 1.0) -> FittedFolds:
-    """Split, balance, tokenise and fit every fold.
+def prepare_folds(cohort: DataFrame, folds: int = 10, seed: int = 0) -> PreparedFolds:
+    """Split every fold and count every text's tokens; no model is fitted.
 
-    The raw text is read twice: once for the narrow cohort keys and once to tokenise it into
-    the token-count table (with positions), which is all the model and the attribution read.
-    No corpus-sized copy of the tokens is written.  Results that several later stages read
-    (keys, split assignment, balanced rows, token counts, model tables) are written once to the
-    shared checkpoint folder.
+    The raw text is read twice: once for the narrow cohort keys and once to count tokens (with
+    positions), which is all that models and attributions read.  The texts are dealt by id once; the
+    counting and the bucketed write use that partitioning, so tokens are never shuffled.
     """
     docs = cohort_keys(cohort)
-    # id-bucketed tables: the joins on id between them do not shuffle the large sides.  The
-    # bucket count follows the number of texts (a Parquet metadata count of the written keys).
-    nb = bucket_count(docs.sparkSession, docs.count())
-    tokens = TX.doc_tokens(cohort)
-    counts = materialize(TX.token_counts(tokens), "token-counts", bucket_by=["id"], buckets=nb)
-    split = materialize(SP.split_assign(docs.select("id", "label"), folds=folds, seed=seed), "split",
-                        bucket_by=["id"], buckets=nb)
+    # the bucket count follows the number of texts (a Parquet metadata count of the written keys)
+    nb = bucket_count(docs.count())
+    dealt = cohort.select("id", "text").repartition(nb, "id")
+    counts = materialize(TX.token_counts(TX.doc_tokens(dealt)), "token-counts", bucket_by=["id"], buckets=nb, dealt=True)
+    split = materialize(SP.split_assign(docs.select("id", "label"), folds=folds, seed=seed), "split", bucket_by=["id"], buckets=nb)
+    return PreparedFolds(cohort, docs, split, counts, nb)
+
+
+def fit_folds(cohort: DataFrame, folds: int = 10, seed: int = 0, alpha: float = 1.0) -> FittedFolds:
+    """``prepare_folds``, then balance and fit every fold.  Results that several later stages read are
+    written once to the shared checkpoint folder."""
+    m = prepare_folds(cohort, folds, seed)
     # train rows with their oversampling multiplicity (no materialised copies, no hot keys)
-    balanced = materialize(SP.oversample_multiplicity(split, seed=seed), "train-mult", bucket_by=["id"], buckets=nb)
-    lengths = TX.doc_lengths(tokens)
-    weights, _ = M.nb_fit(balanced, counts, alpha=alpha)
+    balanced = materialize(SP.oversample_multiplicity(m.split, seed=seed), "train-mult", bucket_by=["id"], buckets=m.buckets)
+    weights, _ = M.nb_fit(balanced, m.counts, alpha=alpha)
     weights = materialize(weights, "nb-weights")
-    priors = M.nb_priors(balanced, weights)    # one row per fold from two written tables
-    return FittedFolds(cohort, docs, split, balanced, tokens, counts, lengths, weights, priors)
+    priors = materialize(M.nb_priors(balanced, weights), "nb-priors")    # one row per fold
+    return FittedFolds(m.cohort, m.docs, m.split, m.counts, m.buckets, balanced, weights, priors)
 
 
-def score_split(m: FittedFolds, which: str = "test", max_chars: int | None = None) -> DataFrame:
-    """``(fold, id, label, logit, prob)`` for one split of every fold (optionally only texts
-    shorter than ``max_chars`` characters)."""
-    rows = m.split.filter(F.col("split") == which).select("fold", "id", "label")
-    if max_chars is not None:
-        short = m.cohort.filter(F.length("text") < max_chars).select("id")
-        rows = rows.join(short, "id", "left_semi")
-    return M.nb_score(rows, m.counts, m.lengths, m.weights, m.priors).select("fold", "id", "label", "logit", "prob")
+def score_split(m: FittedFolds, which: str = "test") -> DataFrame:
+    """``(fold, id, label, logit, prob)`` for one split of every fold."""
+    return M.nb_score(m.rows(which), m.counts, m.weights, m.priors).select("fold", "id", "label", "logit", "prob")
 
 
-def scaled_predictions(m: FittedFolds, which: str = "test", round_digits: int = 9,
-                       max_chars: int | None = None) -> DataFrame:
+def scaled_predictions(m: FittedFolds, which: str = "test", round_digits: int = 9) -> DataFrame:
     """Per-fold min-max scaled class-1 probability ``pred`` (rounded so ties are engine-independent).
 
     Written once (the prediction store): AUROC, AUPRC, Pearson, ranks and reports all read it.
     """
     # read twice by the scaling (per-fold min/max and the rows): written once, narrow
-    scored = materialize(score_split(m, which, max_chars), f"scored-{which}")
+    scored = materialize(score_split(m, which), f"scored-{which}")
     scaled = S.minmax_scale(scored, ["fold"], score="prob", out="pred")
     return materialize(scaled.withColumn("pred", F.round("pred", round_digits)), f"pred-{which}")
 
 
-def fold_report(cohort: DataFrame, folds: int = 10, seed: int = 0, digits: int = 6,
-                max_chars: int | None = None) -> DataFrame:
-    """The score table: ``fold0..`` rows plus ``avg`` and ``median`` of AUROC, AUPRC, Pearson."""
+def fold_report(cohort: DataFrame, folds: int = 10, seed: int = 0, digits: int = 6, on_invalid: str = "raise") -> DataFrame:
+    """The score table: ``fold0..`` rows plus ``avg`` and ``median`` of AUROC, AUPRC, Pearson.
+
+    A fold with a score outside the range stops the job, or with ``on_invalid="nan"`` gets NaN and
+    its number of such scores."""
     m = fit_folds(cohort, folds, seed)
-    # texts of max_chars or more are left out of scoring (before scaling), as in the original
-    preds = scaled_predictions(m, max_chars=max_chars)
-    metrics = S.fold_metrics(preds.withColumnRenamed("label", "truth"), ["fold"], "pred", "truth", digits)
+    preds = scaled_predictions(m)
+    metrics = S.fold_metrics(preds.withColumnRenamed("label", "truth"), ["fold"], "pred", "truth", digits, on_invalid)
     return S.fold_report(metrics)
 
 
+def rank_report(ranked: DataFrame, digits: int = 6) -> DataFrame:
+    """``(fold, auroc, auprc, pearson)`` of the rank-normalised predictions (``fold, label, rank``)."""
+    return S.fold_metrics(ranked.select("fold", F.col("label").alias("truth"), F.col("rank").alias("pred")), ["fold"], "pred", "truth", digits)
+
+
 def validation_pearson(m: FittedFolds) -> DataFrame:
     """Per fold: Pearson of the argmax class against the label on the validation split."""
     v = M.class_probabilities(score_split(m, "vali"))

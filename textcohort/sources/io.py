@@ -10,26 +10,40 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+# Spellings that a delimited file may use for a missing value.
+MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+           "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
 def _csv_options(sep: str) -> dict:
-    return {"sep": sep, "header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
+    # the writer would strip white space around a field unless told not to
+    return {"sep": sep, "header": "true", "quote": '"', "escape": '"', "multiLine": "true",
+            "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = "\t",
                    schema: StructType | None = None, columns: Sequence[str] | None = None,
-                   casts: dict[str, str] | None = None) -> DataFrame:
+                   casts: dict[str, str] | None = None, missing: Sequence[str] = ()) -> DataFrame:
     """Read a CSV/TSV with a header.  Without a schema every column is a string; pick columns
-    by name and cast them (a schema is applied by position, so it must list every column)."""
+    by name and cast them (a schema is applied by position, so it must list every column).
+
+    A string equal to one of ``missing`` (``MISSING`` has the usual spellings) becomes null; a value that
+    its cast does not accept becomes null too."""
     r = spark.read.options(**_csv_options(sep))
     if schema is not None:
         r = r.schema(schema)
     df = r.csv(path)
     if columns is not None:
         df = df.select(*columns)
+    if missing:
+        text = {c for c, t in df.dtypes if t == "string"}
+        df = df.select(*[F.when(~df[c].isin(list(missing)), df[c]).alias(c) if c in text else df[c] for c in df.columns])
     for c, t in (casts or {}).items():
-        df = df.withColumn(c, df[c].cast(t))
+        df = df.withColumn(c, df[c].try_cast(t))
     return df
 
 
@@ -41,8 +55,6 @@ def write_delimited(df: DataFrame, path: str, sep: str = "\t", mode: str = "over
 def write_report(report: DataFrame, path: str, mode: str = "overwrite") -> str:
     """Score report sink: one small TSV file with a header (the report has a row per fold),
     rows in the order fold0..foldK, avg, median."""
-    from pyspark.sql import functions as F
-
     kind = F.when(F.col("fold") == "avg", 1).when(F.col("fold") == "median", 2).otherwise(0)
     num = F.regexp_extract(F.col("fold"), r"(\d+)$", 1)
     ordered = report.orderBy(kind, F.when(num != "", num.cast("long")))
@@ -89,19 +101,29 @@ def read_table_at(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def bucket_count(spark: SparkSession, rows: int | None = None, rows_per_bucket: int = 256) -> int:
+def bucket_count(rows: int, rows_per_bucket: int = 256) -> int:
     """Buckets for id-bucketed tables: about ``rows_per_bucket`` texts per bucket (each text
-    contributes its distinct tokens with their positions to the count table), at most the
-    session's shuffle partition count (the cluster owner's sizing), at least one.  Every table
-    of one run uses the same count, so bucketed sides join without re-partitioning."""
-    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if rows is None:
-        return cap
-    return max(1, min(cap, -(-rows // rows_per_bucket)))
+    contributes its distinct tokens with their positions to the count table), so a bucket's size
+    does not grow with the corpus.  Every table of one run uses the same count, so bucketed
+    sides join without re-partitioning."""
+    return max(1, -(-rows // rows_per_bucket))
+
+
+#: Bucketed tables of each application, for ``drop_bucketed``.
+_BUCKETED: dict[str, list[str]] = {}
+
+
+def drop_bucketed(spark: SparkSession) -> int:
+    """Drop the catalog entries of the bucketed tables written so far; returns how many.  Call it when
+    no DataFrame that reads them is needed any more; the files go with the checkpoint folder."""
+    tables = _BUCKETED.pop(spark.sparkContext.applicationId, [])
+    for table in tables:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    return len(tables)
 
 
 def materialize(df: DataFrame, name: str, partition_by: Sequence[str] | None = None,
-                bucket_by: Sequence[str] | None = None, buckets: int | None = None) -> DataFrame:
+                bucket_by: Sequence[str] | None = None, buckets: int = 1, dealt: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet under the session's shared checkpoint folder and read it back.
 
     Used where a result is consumed by several later stages (split assignment, token counts,
@@ -109,7 +131,8 @@ def materialize(df: DataFrame, name: str, partition_by: Sequence[str] | None = N
     table, not from the raw text), keeps query plans small, and gives the optimizer real sizes.
 
     ``bucket_by`` writes an external bucketed table (same bucket count for every table), so
-    later joins on that key read the big side in place and shuffle only the other side.
+    later joins on that key read the big side in place and shuffle only the other side.  ``dealt`` says
+    that ``df`` is already hash-partitioned by that key into as many partitions.
     """
     import uuid
 
@@ -121,12 +144,13 @@ def materialize(df: DataFrame, name: str, partition_by: Sequence[str] | None = N
     if partition_by:
         w = w.partitionBy(*partition_by)
     if bucket_by:
-        n = buckets or bucket_count(spark)
+        n = buckets
         table = f"tc_{name.replace('-', '_')}_{uuid.uuid4().hex[:12]}"
         # hash-partition on the bucket key first (same hash as the buckets): one file per bucket
-        w = df.repartition(n, *bucket_by).write.mode("overwrite")
+        w = (df if dealt else df.repartition(n, *bucket_by)).write.mode("overwrite")
         w.bucketBy(n, *bucket_by).sortBy(*bucket_by) \
          .option("path", path).format("parquet").saveAsTable(table)
+        _BUCKETED.setdefault(spark.sparkContext.applicationId, []).append(table)
         return spark.table(table)
     w.parquet(path)
     return spark.read.parquet(path)

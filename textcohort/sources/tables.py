@@ -6,7 +6,7 @@ provided tables onto the same shapes (see FIXTURES.md):
 * ``survey_table``   – ``documents`` left-joined with ``labels``: ``id``, ``unique_id`` (the
   language tag plays the part of the id that names the language), ``diagnosis`` (double,
   null when unlabelled) and ``comment`` (the whole text).
-* ``comments_table`` – ``conversations`` turns 4..7 pivoted per ``conv_id`` into four
+* ``comments_table`` – ``conversations`` in blocks of four turns, each block's turns as four
   nullable comment columns.
 * ``scored_table``   – ``lineitem`` as a large scored table: ``fold`` = line number,
   ``id`` = order key, ``score`` = extended price, ``truth`` = discount >= 0.05.
@@ -14,14 +14,14 @@ provided tables onto the same shapes (see FIXTURES.md):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Diagnosis code assigned to each (quality, toxic) pair of the labels table.
 CLASS_CODE_OF = {(1, 0): 2, (1, 1): 3, (0, 1): 5, (0, 0): 6}
 
-# The conversation turns that stand in for the four comment columns.
-COMMENT_TURNS = (4, 5, 6, 7)
+#: Comment columns of a row, and so turns of a block.
+COMMENTS = 4
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,11 +43,23 @@ def survey_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def comments_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conv = read_table(spark, sf_dir, "conversations")
-    aggs = [F.max(F.when(F.col("turn") == t, F.col("text"))).alias(f"comment{i + 1}")
-            for i, t in enumerate(COMMENT_TURNS)]
+    """``(id, block, nth, comment1..comment4)`` over every turn of every conversation.
+
+    Block ``b`` holds turns ``4b .. 4b + 3``; every conversation has all blocks up to the table's last,
+    so rows without any comment stay.  Messages that share a conversation and a turn are numbered
+    in text order (``nth``) and stay in rows of their own."""
+    conv = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), "turn", "text")
+    same = Window.partitionBy("id", "turn").orderBy("text")
+    placed = (conv.withColumn("nth", F.row_number().over(same) - 1)
+                  .withColumn("block", F.floor(F.col("turn") / COMMENTS).cast("int"))
+                  .withColumn("place", (F.col("turn") % COMMENTS).cast("int")))
     # conditional aggregation = pivot with fixed values; partial aggregation before the shuffle
-    return conv.groupBy(F.col("conv_id").alias("id")).agg(*aggs)
+    rows = placed.groupBy("id", "block", "nth").agg(
+        *[F.max(F.when(F.col("place") == i, F.col("text"))).alias(f"comment{i + 1}") for i in range(COMMENTS)])
+    last = conv.agg(F.max(F.floor(F.col("turn") / COMMENTS)).cast("int").alias("last")).first()["last"] or 0
+    grid = (conv.select("id").distinct()
+                .select("id", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("block")))
+    return grid.join(rows, ["id", "block"], "left").withColumn("nth", F.coalesce("nth", F.lit(0)))
 
 
 def scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,13 +87,15 @@ def survey_from_csv(spark: SparkSession, path: str) -> DataFrame:
     """The original survey export (CSV, header, quoted multi-line fields) in the cohort schema.
 
     Reads every column as a string (no inference pass over the file), selects the six used
-    columns by name, casts the code, and merges the four comments (missing -> ``nan``).
+    columns by name, turns the spellings of ``io.MISSING`` into nulls, casts the code (anything that is
+    no number is missing), and merges the four comments (missing -> ``nan``).  A quoted multi-line file
+    is read by one task, so it is parsed once, into a Parquet table that everything else reads.
     Returns ``(id, unique_id, diagnosis, comment)``; ``id`` is the survey's own ``UniqueID``.
     """
     from textcohort.functions.text import merge_columns
-    from textcohort.sources.io import read_delimited
+    from textcohort.sources.io import MISSING, materialize, read_delimited
 
-    raw = read_delimited(spark, path, sep=",", columns=[SURVEY_CODE, *SURVEY_COMMENTS, SURVEY_ID])
-    return raw.select(F.col(SURVEY_ID).alias("id"), F.col(SURVEY_ID).alias("unique_id"),
-                      F.col(SURVEY_CODE).cast("double").alias("diagnosis"),
-                      merge_columns(SURVEY_COMMENTS).alias("comment"))
+    raw = read_delimited(spark, path, sep=",", columns=[SURVEY_CODE, *SURVEY_COMMENTS, SURVEY_ID], missing=MISSING)
+    return materialize(raw.select(F.col(SURVEY_ID).alias("id"), F.col(SURVEY_ID).alias("unique_id"),
+                                  F.col(SURVEY_CODE).try_cast("double").alias("diagnosis"),
+                                  merge_columns(SURVEY_COMMENTS).alias("comment")), "survey")
