@@ -91,6 +91,23 @@ def op2_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                                       "record_type", "refers_to")
 
 
+# base32 of the hex digest: four bits per hex digit, then one letter per five bits
+SQL_BITS = ("array_to_string(list_transform(range(40), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111', "
+            "CAST(4 * (instr('0123456789abcdef', substr(h, i + 1, 1)) - 1) + 1 AS BIGINT), 4)), '')")
+SQL_BASE32 = ("array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + list_sum(list_transform(range(5), "
+              "lambda j: CAST(substr(bits, 5 * i + j + 1, 1) AS INTEGER) * (16 >> j))) AS BIGINT), 1)), '')")
+
+ORACLE["op2_chunked_warc"] = f"""
+    WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+    d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS h,
+                 max(page_id) OVER (PARTITION BY payload) AS keep FROM p),
+    b AS (SELECT *, {SQL_BITS} AS bits FROM d)
+    SELECT page_id, payload_bytes, {SQL_BASE32} AS payload_digest,
+           CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id = keep THEN NULL ELSE keep END AS refers_to
+    FROM b"""
+
+
 @query
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textcohort.llm.order_minhash import compare_edited
