@@ -199,6 +199,18 @@ def test_redaction(spark):
         [("1", "mail [EMAIL] now, [IP]", 22), ("2", None, -1), ("3", "plain", -1), ("3", "plain", -1), ("None", "[PHONE] x", 9)], key=str)
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    from textcohort.llm.exact_dedup import drop_copies
+    from textcohort.llm.simhash import drop_near_copies
+    rows = [(1, "call +1 (555) 010-9999", "a", 5, "r"), (2, "other words here", None, None, None), (2, "other words here", None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string, _nth int, row string")
+    for stage, n in ((drop_copies, 2), (drop_near_copies, 2), (pii.redact, 3)):
+        out = stage(df)
+        assert out.columns == df.columns
+        got = out.collect()
+        assert len(got) == n and {(r["_id"], r["_nth"], r["row"]) for r in got} == {("a", 5, "r"), (None, None, None)}
+
+
 def test_personal_data_empty(spark):
     assert pii.personal_data(docs(spark, [])).collect() == []
 

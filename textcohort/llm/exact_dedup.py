@@ -138,9 +138,9 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     kept = (exact_dedup(docs).filter("kept")
             .select(F.coalesce("doc_id", lowest).alias("_id"), F.col("text_sha256").alias("_sha")))
     text = F.coalesce(F.col("text"), F.lit(""))
-    named = (docs.withColumn("_id", F.coalesce(F.col("doc_id"), lowest))
-             .withColumn("_sha", F.sha2(F.encode(ascii_lower(text), "UTF-8"), 256)))
-    same = Window.partitionBy("_id", "_sha").orderBy(F.col("text").asc_nulls_first())
+    # the row travels as one struct, whatever its columns are called
+    named = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), lowest).alias("_id"),
+                        F.sha2(F.encode(ascii_lower(text), "UTF-8"), 256).alias("_sha"))
+    same = Window.partitionBy("_id", "_sha").orderBy(F.col("_row.text").asc_nulls_first())
     return (named.join(kept, ["_id", "_sha"], "left_semi")
-            .withColumn("_nth", F.row_number().over(same)).filter("_nth = 1")
-            .drop("_id", "_sha", "_nth"))
+            .withColumn("_nth", F.row_number().over(same)).filter("_nth = 1").select("_row.*"))

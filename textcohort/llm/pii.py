@@ -246,11 +246,16 @@ def redacted(text: Column, spans: Column) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with their personal data replaced, ``n_chars`` being the new length.  Texts without a
     span are returned as they are (a null text stays null)."""
-    spans = personal_data(docs).filter(F.size("spans") > 0).select(F.coalesce("doc_id", F.lit(-(2 ** 63))).alias("_id"), F.col("text_hash").alias("_th"),
-                                                                   F.col("spans").alias("_spans")).dropDuplicates(["_id", "_th"])
-    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2 ** 63)))).withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("_spans")))
-    out = named.join(spans, ["_id", "_th"], "left").withColumn("text", clean)
+    lowest = F.lit(-(2 ** 63))
+    spans = (personal_data(docs).filter(F.size("spans") > 0)
+             .select(F.coalesce("doc_id", lowest).alias("_id"), F.col("text_hash").alias("_th"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_th"]))
+    # the row travels as one struct, whatever its columns are called
+    named = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), lowest).alias("_id"),
+                        F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"))
+    joined = named.join(spans, ["_id", "_th"], "left")
+    untouched = F.col("_spans").isNull()
+    row = F.col("_row").withField("text", F.when(untouched, F.col("_row.text")).otherwise(redacted(F.col("_row.text"), F.col("_spans"))))
+    out = joined.withColumn("_row", row)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return out.select(docs.columns)
+        out = out.withColumn("_row", F.col("_row").withField("n_chars", F.when(untouched, F.col("_row.n_chars")).otherwise(F.char_length("_row.text").cast("long"))))
+    return out.select("_row.*")

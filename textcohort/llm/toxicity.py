@@ -35,6 +35,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from textcohort.llm.common import doc_texts, materialize, text_array
 
@@ -160,8 +161,7 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON_SIZE) -> dict[str, float]
 
 def with_features(rows: DataFrame, lexicon: dict[str, float], keep: list[str]) -> DataFrame:
     """``keep`` columns and the array ``features`` of each row's ``text``."""
-    fields = [rows.schema[c] for c in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", features array<double>"
+    schema = StructType([*(rows.schema[c] for c in keep), StructField("features", ArrayType(DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,9 +219,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
     model = fit(docs, labels)
     if model.trees is None:
         return docs if model.prior < threshold else docs.limit(0)
-    keep = docs.columns
     # the row travels as one struct, whatever its columns are called
-    packed = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    packed = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     rows = with_features(packed, model.lexicon, ["row"]).withColumn("features", array_to_vector("features"))
     raw = model.trees.transform(rows).withColumn("margin", vector_to_array("rawPrediction")[1])
     scored = model.calibration.transform(raw.select("row", "margin"))
