@@ -2,9 +2,10 @@
 
 Fingerprints are 64-bit points; two documents are linked when their points differ in at most
 ``max_bits`` bits.  The anchors are the words of a covering code: the product of a Golay code on 23
-bits (covering radius 3) and of repetition codes on the remaining bits (five blocks of 9, 8, 8, 8
-and 8 bits), 2^17 anchors in all; every block of the larger code ``"golay2"`` (2^26 anchors) has its own
-covering radius too, so a product's radius is the sum.
+bits (covering radius 3) and of repetition codes on the remaining bits (blocks of 9, 9, 9, 7 and 7
+bits, covering radius 4 or 3), 2^17 anchors with covering radius 21 in all.  For very many points the
+code ``"golay2"`` (two Golay blocks and two of 9 bits) has 2^26 anchors with covering radius 14.  All
+blocks are perfect codes, so every point has one nearest anchor.
 
 Let m(x) be x's distance to its nearest anchor, its *home* (the covering radius bounds m).  Every
 fingerprint is replicated to all anchors within m(x) + max_bits.  For a linked pair with
@@ -28,24 +29,28 @@ table gives an empty result.  Only the id and text columns are read.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textcohort.llm.common import doc_texts, materialize, partitions_for, text_array
+from textcohort.llm.common import doc_texts, materialize, partitions_for, text_array, tidy
 
 WORDS, MAX_BITS, SEED = 3, 3, 42
 #: Block lengths of a code; 23 stands for the Golay code, any other length for the repetition code.
-CODES = {"golay1": (23, 9, 8, 8, 8, 8), "golay2": (23, 23, 9, 9)}
+CODES = {"golay1": (23, 9, 9, 9, 7, 7), "golay2": (23, 23, 9, 9)}
 #: Beyond so many distinct fingerprints, the code with more anchors is used.
 FINE_CODE_FROM = 40_000_000
 #: Points of one anchor that a task compares at once; an anchor with more is dealt out in parts.
 ANCHOR_POINTS = 20_000
+#: Most heavy anchors that are broadcast; more of them are joined by a shuffle.
+BROADCAST_ANCHORS = 1 << 17
+#: An anchor is dealt out in at most 2^20 parts.
+_PART_BITS = 20
 
 
 # --- fingerprints ------------------------------------------------------------------------------
@@ -81,16 +86,16 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, id_col:
             found = np.array([fingerprint(shingle_hashes(t.as_py(), words, seed)) for t in text_array(batch.column("text"))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return doc_texts(docs, id_col, text_col).mapInArrow(sign, "doc_id long, fp long")
+    return doc_texts(docs, id_col, text_col).mapInArrow(tidy(sign), "doc_id long, fp long")
 
 
 # --- anchors -----------------------------------------------------------------------------------
 
 @lru_cache(maxsize=1)
-def golay() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def golay() -> tuple[np.ndarray, np.ndarray, Callable]:
     """The perfect [23, 12] code, from its generator polynomial x^11+x^10+x^6+x^5+x^4+x^2+1: its words
-    by number, for each of 2^11 syndromes the error of weight at most 3, and the words by weight 0 to 12
-    (a point at distance e from a word meets other words at the distances of e from them)."""
+    by number (the upper 12 bits), for each of the 2^11 syndromes the error of weight at most 3, and the
+    function from points to syndromes."""
     poly = 0b110001110101
 
     def remainder(x: np.ndarray) -> np.ndarray:
@@ -197,7 +202,7 @@ class Forest:
         return i != j
 
 
-def linked(homes: np.ndarray, points: np.ndarray, max_bits: int, step: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def linked(homes: np.ndarray, points: np.ndarray, max_bits: int, step: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """A spanning forest of the links between home points and all points of an anchor, as pairs of
     fingerprints; compared in blocks of at most ``step`` differences."""
     values, where = np.unique(np.concatenate((homes, points)), return_inverse=True)
@@ -222,38 +227,37 @@ def replicated(points: DataFrame, code: str, max_bits: int) -> DataFrame:
                 row, anchor, home = anchors(part, blocks, max_bits)
                 yield pa.RecordBatch.from_arrays([pa.array(part[row].view(np.int64)), pa.array(anchor), pa.array(home)], ["fp", "anchor", "home"])
 
-    return points.mapInArrow(spread, "fp long, anchor long, home boolean")
+    return points.mapInArrow(tidy(spread), "fp long, anchor long, home boolean")
 
 
 def links(points: DataFrame, max_bits: int = MAX_BITS, code: str = "golay1", anchor_points: int = ANCHOR_POINTS) -> DataFrame:
     """Links ``(a, b)`` between distinct fingerprints that connect all points within ``max_bits``.
 
     An anchor with more than ``anchor_points`` points is cut into p parts by a hash of the
-    fingerprint; its home points go to their own part, all points to each of the p parts, so a task
-    holds one part of the homes and streams through the points."""
+    fingerprint; its home points go to their own part, all points to each of the p parts."""
     spark = points.sparkSession
     n = partitions_for(spark)
     rows = replicated(points.repartition(n), code, max_bits)
     sized = materialize(rows, "anchor-points")
     heavy = (sized.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > anchor_points)
              .select("anchor", F.ceil(F.col("n") / anchor_points).cast("int").alias("parts")))
-    # heavy anchors are at most (replicated points) / anchor_points; joined, not broadcast by hand
-    dealt = (sized.join(heavy, "anchor", "left")
+    # at most (replicated points) / anchor_points rows of two numbers: broadcast where that is few
+    few = heavy.count() <= BROADCAST_ANCHORS
+    dealt = (sized.join(F.broadcast(heavy) if few else heavy, "anchor", "left")
              .withColumn("parts", F.coalesce("parts", F.lit(1)))
              .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
              .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-             .select("anchor", "part", "fp", (F.col("home") & (F.col("own") == F.col("part"))).alias("home"))
-             .repartition(n, "anchor", "part")
-             .sortWithinPartitions("anchor", "part"))
+             .select((F.shiftleft("anchor", _PART_BITS) + F.col("part")).alias("place"), "fp",
+                     (F.col("home") & (F.col("own") == F.col("part"))).alias("home"))
+             .repartition(n, "place").sortWithinPartitions("place"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def found(anchor: np.ndarray, part: np.ndarray, fps: np.ndarray, home: np.ndarray) -> pa.RecordBatch:
+        def found(place: np.ndarray, fps: np.ndarray, home: np.ndarray) -> pa.RecordBatch:
             edges: list[tuple[int, int]] = []
-            cuts = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(part) != 0)) + 1
-            bounds = np.concatenate(([0], cuts, [len(anchor)]))
-            homes = np.add.reduceat(home, bounds[:-1]) if len(anchor) else home
+            bounds = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1, [len(place)]))
+            homes = np.add.reduceat(home, bounds[:-1])
             for k in np.flatnonzero((homes > 0) & (np.diff(bounds) > 1)).tolist():
                 s = slice(bounds[k], bounds[k + 1])
                 edges += linked(fps[s][home[s]], fps[s], max_bits)
@@ -263,19 +267,18 @@ def links(points: DataFrame, max_bits: int = MAX_BITS, code: str = "golay1", anc
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "part", "fp", "home")]
-            cols[2] = cols[2].view(np.uint64)
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("place", "fp", "home")]
+            cols[1] = cols[1].view(np.uint64)
             held.append(cols)
-            last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
-            if len(last):  # groups before the batch's last one are complete
-                cut = int(last[-1]) + 1
-                ready = [np.concatenate([h[i] for h in held[:-1]] + [cols[i][:cut]]) for i in range(4)]
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))
+            if cut:  # groups before the batch's last one are complete
+                ready = [np.concatenate([h[i] for h in held[:-1]] + [cols[i][:cut]]) for i in range(3)]
                 held = [[c[cut:] for c in cols]]
                 yield found(*ready)
         if held:
-            yield found(*[np.concatenate([h[i] for h in held]) for i in range(4)])
+            yield found(*[np.concatenate([h[i] for h in held]) for i in range(3)])
 
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(compare), "a long, b long").distinct()
 
 
 # --- components --------------------------------------------------------------------------------
@@ -326,12 +329,11 @@ def simhash_groups(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS
 def drop_near_copies(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """One document of each group, the one with the smallest doc_id, with all its columns.  Rows that
     repeat that doc_id within the group are told apart by nothing but their text; the first stays."""
-    from pyspark.sql import Window
-
     groups = simhash_groups(docs, words, max_bits)
     lowest = F.lit(-(2 ** 63))
     heads = (groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
              .select(F.coalesce("doc_id", lowest).alias("_id")).distinct())
-    nth = F.row_number().over(Window.partitionBy("_id").orderBy(F.col("text").asc_nulls_first()))
-    return (docs.withColumn("_id", F.coalesce(F.col("doc_id"), lowest)).join(heads, "_id", "left_semi")
-            .withColumn("_nth", nth).filter("_nth = 1").drop("_id", "_nth"))
+    nth = F.row_number().over(Window.partitionBy("_id").orderBy(F.col("_row.text").asc_nulls_first()))
+    # the row travels as one struct, whatever its columns are called
+    named = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), lowest).alias("_id"))
+    return named.join(heads, "_id", "left_semi").withColumn("_nth", nth).filter("_nth = 1").select("_row.*")
