@@ -50,6 +50,15 @@ def test_word_encoder_equals_the_library(library):
         assert ids[at[i]:at[i + 1]].tolist() == ids_of(library, t), repr(t)
 
 
+def test_generations_keep_frequent_entries():
+    cache = WB.Generations(3)
+    for i in range(20):
+        cache.put(i, str(i))
+        cache.get("hot") or cache.put("hot", "h")
+    assert cache.get("hot") == "h" and cache.get(5) is None
+    assert len(cache.young) <= 3 and len(cache.old) <= 3
+
+
 def test_long_texts_are_encoded_in_parts(library, monkeypatch):
     monkeypatch.setattr(WB, "LONG_TEXT", 500)
     t = " ".join(texts(200)[:150]) + "é" * 2000 + " tail"

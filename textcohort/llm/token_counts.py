@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from textcohort.llm.common import doc_texts, slices, split_long, text_array
-from textcohort.llm.word_bpe import CACHE_ENTRIES, LONG_TEXT, default_vocabulary, distinct_chunks, encoder
+from textcohort.llm.word_bpe import LONG_TEXT, Generations, default_vocabulary, distinct_chunks, encoder
 
 TABLE_SIZE = 32_768
 SAMPLE_ROWS = 2_000
@@ -56,7 +56,7 @@ class TwoTier:
     """The broadcast table and this worker's cache."""
 
     def __init__(self, table: dict[str, int], path: str):
-        self.table, self.cache, self.path = table, {}, path
+        self.table, self.cache, self.path = table, Generations(), path
 
     def length(self, chunk: str) -> int:
         n = self.table.get(chunk)
@@ -64,9 +64,7 @@ class TwoTier:
             n = self.cache.get(chunk)
             if n is None:
                 n = len(encoder(self.path).fresh(chunk)) // 4
-                if len(self.cache) >= CACHE_ENTRIES:
-                    self.cache.clear()
-                self.cache[chunk] = n
+                self.cache.put(chunk, n)
         return n
 
     def counts(self, texts: pa.Array) -> np.ndarray:

@@ -19,8 +19,8 @@ import regex
 from textcohort.llm.common import slices, split_long, text_array
 
 VOCABULARY = "word_bpe_49k.json"
-#: Distinct entries kept by a worker; a full cache starts anew, so its memory is bounded.
-CACHE_ENTRIES = 400_000
+#: Entries of one generation of a worker's cache.
+CACHE_ENTRIES = 100_000
 #: A longer text is encoded in parts cut at white space.
 LONG_TEXT = 4 << 20
 
@@ -28,6 +28,25 @@ LONG_TEXT = 4 << 20
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
+class Generations:
+    """A cache of at most two generations of ``size`` entries.  When the young one is full it becomes the
+    old one; what is found in the old one moves to the young one, so frequent entries stay."""
+
+    def __init__(self, size: int = CACHE_ENTRIES):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key):
+        value = self.young.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -57,21 +76,24 @@ class WordEncoder:
         self.symbols = _byte_symbols()
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.vocabulary_size = self.tokenizer.get_vocab_size()
-        self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.pieces, self.chunks = Generations(), Generations()
 
     def piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
             symbols = piece.encode().decode("latin-1").translate(self.symbols)
             ids = np.array([t.id for t in self.model.tokenize(symbols)], "<u4").tobytes()
-            if len(self.pieces) >= CACHE_ENTRIES:
-                self.pieces.clear()
-            self.pieces[piece] = ids
+            self.pieces.put(piece, ids)
         return ids
 
     def fresh(self, chunk: str) -> bytes:
-        """Encode a chunk that no cache has."""
+        """Encode a chunk that no cache has.  Most chunks are one run of letters, many with one mark after it:
+        the pattern would give these pieces too."""
+        if chunk and (chunk.isascii() or max(chunk) < "Ā"):
+            if chunk.isalpha():
+                return self.piece(chunk.lower())
+            if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+                return self.piece(chunk[:-1].lower()) + self.piece(chunk[-1])
         if chunk.isprintable() and (chunk.isascii() or max(chunk) < "Ā") and not any(s in chunk for s in self.special):
             return b"".join(map(self.piece, PIECES.findall(chunk.lower())))
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
@@ -80,9 +102,7 @@ class WordEncoder:
         ids = self.chunks.get(chunk)
         if ids is None:
             ids = self.fresh(chunk)
-            if len(self.chunks) >= CACHE_ENTRIES // 4:
-                self.chunks.clear()
-            self.chunks[chunk] = ids
+            self.chunks.put(chunk, ids)
         return ids
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +138,7 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def encoded(path: str, batch: pa.RecordBatch, max_bytes: int = 8 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def encoded(path: str, batch: pa.RecordBatch, max_bytes: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs ``(start, stop, ids, offsets)`` of a batch with a ``text`` column, each of bounded size;
     a text longer than ``LONG_TEXT`` is encoded in parts."""
     enc, texts = encoder(path), text_array(batch.column("text"))
