@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import re
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,7 +19,7 @@ from textcohort.sources.io import materialize
 from textcohort.sources.tables import read_table
 
 __all__ = ["ascii_lower", "doc_texts", "importable", "materialize", "read_table", "scratch_path",
-           "slices", "split_long", "text_array", "partitions_for"]
+           "slices", "split_long", "text_array", "tidy", "partitions_for"]
 
 def importable(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver did, besides what their own path has
@@ -59,6 +62,22 @@ def text_array(col) -> pa.Array:
     return pc.fill_null(col, "") if col.null_count else col
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``, giving memory that is free at its end back to the system: a Python worker
+    outlives its task and would hold it beside the next operator's."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                with contextlib.suppress(OSError, AttributeError):  # a C library without this call
+                    ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 def slices(texts: pa.Array, max_bytes: int = 8 << 20) -> Iterator[tuple[int, int]]:
     """Ranges ``(start, stop)`` of rows whose texts hold at most ``max_bytes`` together; a longer
     text stands alone."""

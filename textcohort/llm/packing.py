@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textcohort.llm.common import doc_texts, materialize
+from textcohort.llm.common import doc_texts, materialize, tidy
 from textcohort.llm.word_bpe import default_vocabulary, encoded
 
 WINDOW = 2048
@@ -128,7 +128,7 @@ def packed_partitions(docs: DataFrame, window: int, open_windows: int, end_id: i
         packer.close()
         yield packer.flush()
 
-    return doc_texts(docs, id_col, text_col).mapInArrow(pack, PIECE)
+    return doc_texts(docs, id_col, text_col).mapInArrow(tidy(pack), PIECE)
 
 
 def pack(docs: DataFrame, window: int = WINDOW, open_windows: int = OPEN_WINDOWS, end_id: int = 1,

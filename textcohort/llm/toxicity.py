@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from textcohort.llm.common import doc_texts, materialize, text_array
+from textcohort.llm.common import doc_texts, materialize, slices, text_array, tidy
 
 MAX_FIT_ROWS = 24_000
 LEXICON_SIZE = 256
@@ -153,23 +154,25 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON_SIZE) -> dict[str, float]
     gain = a * F.log(a / (rate * toxic)) + F.when(b > 0, b * F.log(b / (rate * clean))).otherwise(0.0)
     odds = F.log((a + 0.5) / (toxic - a + 0.5)) - F.log((b + 0.5) / (clean - b + 0.5))
     # words of toxic rows only; counts are partially aggregated before the shuffle
-    counted = (rows.mapInArrow(distinct, "word string, label double").groupBy("word")
+    counted = (rows.mapInArrow(tidy(distinct), "word string, label double").groupBy("word")
                .agg(F.sum("label").alias("a"), (F.count(F.lit(1)) - F.sum("label")).alias("b")).filter(a >= least))
     best = counted.withColumn("odds", odds).filter("odds > 1.5").withColumn("gain", gain).orderBy(F.desc("gain"), "word").limit(size)
     return {r.word: r.odds for r in best.collect()}
 
 
-def with_features(rows: DataFrame, lexicon: dict[str, float], keep: list[str]) -> DataFrame:
-    """``keep`` columns and the array ``features`` of each row's ``text``."""
+def with_features(rows: DataFrame, lexicon: dict[str, float], keep: list[str], struct: str | None = None) -> DataFrame:
+    """``keep`` columns and the array ``features`` of each row's ``text``, a column or a field of ``struct``."""
     schema = StructType([*(rows.schema[c] for c in keep), StructField("features", ArrayType(DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([features(t.as_py(), lexicon) for t in text_array(batch.column("text"))]).reshape(-1)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(found) + 1, len(FEATURES)), pa.int32()), pa.array(found, pa.float64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), lists], [*keep, "features"])
+        for whole in batches:
+            texts = text_array(pc.struct_field(whole.column(struct), "text") if struct else whole.column("text"))
+            for start, stop in slices(texts, 2 << 20):
+                found = np.array([features(t.as_py(), lexicon) for t in texts.slice(start, stop - start)]).reshape(-1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(found) + 1, len(FEATURES)), pa.int32()), pa.array(found, pa.float64()))
+                yield pa.RecordBatch.from_arrays([*(whole.column(c).slice(start, stop - start) for c in keep), lists], [*keep, "features"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 class ToxicityModel:
@@ -220,8 +223,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
     if model.trees is None:
         return docs if model.prior < threshold else docs.limit(0)
     # the row travels as one struct, whatever its columns are called
-    packed = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_features(packed, model.lexicon, ["row"]).withColumn("features", array_to_vector("features"))
+    packed = docs.select(F.struct("*").alias("row"))
+    rows = with_features(packed, model.lexicon, ["row"], struct="row").withColumn("features", array_to_vector("features"))
     raw = model.trees.transform(rows).withColumn("margin", vector_to_array("rawPrediction")[1])
     scored = model.calibration.transform(raw.select("row", "margin"))
     return scored.filter(F.col("score") < threshold).select("row.*")
