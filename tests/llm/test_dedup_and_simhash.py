@@ -162,3 +162,15 @@ def test_simhash_empty_repeated_null_ids(spark):
     left = SH.drop_near_copies(docs(spark, [(3, "a b c d"), (3, "a b c d"), (5, "A b c d"), (2, "q r s t u v")]))
     assert left.columns == ["doc_id", "text", "kept", "range", "fingerprint"]
     assert sorted(r.doc_id for r in left.collect()) == [2, 3]
+
+
+def test_near_copies_are_dropped_by_group_not_by_id(spark):
+    rng = random.Random(3)
+    one, two, three, four = (" ".join(rng.choices([f"v{i}" for i in range(500)], k=60)) for _ in range(4))
+    rows = [(None, one), (None, two), (None, two.upper()), (None, three), (None, three)]  # three groups without an id
+    rows += [(7, four), (7, "p q r s t"), (7, "P q r s t"), (8, four.upper()), (9, "p q r s t")]  # one id in two groups
+    rows += [(-2 ** 63, "z y x w"), (None, None)]
+    left = SH.drop_near_copies(docs(spark, rows).repartition(3)).collect()
+    assert sorted(((r.doc_id is None, r.doc_id or 0), r.text or "") for r in left) == sorted([
+        ((True, 0), one), ((True, 0), min(two, two.upper())), ((True, 0), three), ((True, 0), ""), ((False, 7), four), ((False, 7), "P q r s t"),
+        ((False, -2 ** 63), "z y x w")])

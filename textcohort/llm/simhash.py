@@ -35,7 +35,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textcohort.llm.common import doc_texts, materialize, partitions_for, text_array, tidy
@@ -78,15 +78,20 @@ def fingerprint(hashes: np.ndarray, step: int = 1 << 16) -> int:
     return int(sum(1 << int(i) for i in np.flatnonzero(2 * ones > len(hashes))))
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)``: each document's fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+    """``(doc_id, fp)``: each document's fingerprint as a signed 64-bit integer; with ``digests`` also the
+    ``digest`` (SHA-256) of its text."""
+    more = ["digest"] if digests else []
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(shingle_hashes(t.as_py(), words, seed)) for t in text_array(batch.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64)), *map(batch.column, more)], ["doc_id", "fp", *more])
 
-    return doc_texts(docs, id_col, text_col).mapInArrow(tidy(sign), "doc_id long, fp long")
+    texts = doc_texts(docs, id_col, text_col)
+    if digests:
+        texts = texts.withColumn("digest", _digest(F.col("text")))
+    return texts.mapInArrow(tidy(sign), "doc_id long, fp long" + ", digest binary" * digests)
 
 
 # --- anchors -----------------------------------------------------------------------------------
@@ -310,11 +315,9 @@ def components(edges: DataFrame) -> DataFrame:
     return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def simhash_groups(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS, seed: int = SEED, code: str | None = None,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, fingerprint`` (16 hex digits) and ``component_id`` (the smallest
-    doc_id reachable over links of at most ``max_bits`` differing bits)."""
-    signed = materialize(fingerprints(docs, words, seed, id_col, text_col), "fingerprints")
+def _grouped(signed: DataFrame, max_bits: int, code: str | None) -> DataFrame:
+    """The rows of ``signed`` (with ``doc_id`` and ``fp``) with their group: ``root``, a fingerprint that
+    only this group has, and ``component_id``."""
     points = signed.groupBy("fp").agg(F.min("doc_id").alias("first"))
     if code is None:
         code = "golay1" if points.count() < FINE_CODE_FROM else "golay2"
@@ -322,18 +325,32 @@ def simhash_groups(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS
     rooted = points.join(tree, points["fp"] == tree["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     # narrow rows; a fingerprint or a component with many documents is split by AQE's skew join
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return signed.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = rooted.join(least, "root").select("fp", "root", "component_id")
+    return signed.join(named, "fp")
+
+
+def simhash_groups(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS, seed: int = SEED, code: str | None = None,
+                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: ``doc_id, fingerprint`` (16 hex digits) and ``component_id`` (the smallest
+    doc_id reachable over links of at most ``max_bits`` differing bits)."""
+    signed = materialize(fingerprints(docs, words, seed, id_col, text_col), "fingerprints")
+    return _grouped(signed, max_bits, code).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.encode(text, "UTF-8"), 256))
 
 
 def drop_near_copies(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """One document of each group, the one with the smallest doc_id, with all its columns.  Rows that
-    repeat that doc_id within the group are told apart by nothing but their text; the first stays."""
-    groups = simhash_groups(docs, words, max_bits)
-    lowest = F.lit(-(2 ** 63))
-    heads = (groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-             .select(F.coalesce("doc_id", lowest).alias("_id")).distinct())
-    nth = F.row_number().over(Window.partitionBy("_id").orderBy(F.col("_row.text").asc_nulls_first()))
+    repeat that doc_id within the group (or all have none) are told apart by nothing but their text; the
+    first stays.  Rows meet their group by id and digest, so an id that several groups have is a head in
+    each of them."""
+    signed = materialize(fingerprints(docs, words, digests=True), "fingerprints")
+    heads = (_grouped(signed, max_bits, None).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+             .select("root", F.col("doc_id").alias("_head"), "digest").distinct())
     # the row travels as one struct, whatever its columns are called
-    named = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), lowest).alias("_id"))
-    return named.join(heads, "_id", "left_semi").withColumn("_nth", nth).filter("_nth = 1").select("_row.*")
+    named = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), _digest(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_sha"))
+    nth = F.row_number().over(Window.partitionBy("root").orderBy(F.col("_row.text").asc_nulls_first()))
+    met = named.join(heads, F.col("_id").eqNullSafe(F.col("_head")) & (F.col("_sha") == F.col("digest")))
+    return met.select("_row", "root").withColumn("_nth", nth).filter("_nth = 1").select("_row.*")
