@@ -190,6 +190,24 @@ def test_context_discovers_unseen_identifiers(spark):
             assert added[0].kind == (3 if i < 25 else 0)
 
 
+def added_texts(spark, rows):
+    got = {r.doc_id: r for r in pii.personal_data(docs(spark, list(enumerate(rows)))).collect()}
+    return [[(s.kind, t[s.start:s.end]) for s in got[i].spans if s not in got[i].base] for i, t in enumerate(rows)]
+
+
+def test_identifiers_with_blanks_are_one_instance(spark):
+    rng = random.Random(12)
+    seeds = [f"{words(rng, 2)} me on +1 (555) 010-{i:04d} {words(rng, 2)}" for i in range(20)]  # only the left context is shared
+    seeds += [f"{words(rng, 2)} write to user{chr(97 + i)}@mail.example.com {words(rng, 2)}" for i in range(20)]
+    seeds += [f"{words(rng, 2)} +44 20 7946 {i:04d} is his number" for i in range(20)]  # only the right one
+    unseen = {"call me on 555 010 1234 please": (3, "555 010 1234"), "or me on (555) 010-1234, then": (3, "(555) 010-1234"),
+              "so write to someone [at] mail.example now": (0, "someone [at] mail.example"), "and write to some1 (at) mail2.example,": (0, "some1 (at) mail2.example"),
+              "try me on 555-010-4321 2019 2020 2021 2022": (3, "555-010-4321 2019"), "from 2019 2020 2021 555-010-7777 is his number": (3, "2021 555-010-7777"),
+              "01 23 4567 8901 is his number": (3, "01 23 4567 8901")}
+    got = added_texts(spark, [*seeds, *unseen, "the 12 34 of 2019 5", "1 " * 9000])
+    assert got == [[] for _ in seeds] + [[x] for x in unseen.values()] + [[], []]
+
+
 def test_redaction(spark):
     rows = [(1, "mail a@b.c now, 1.2.3.4"), (2, None), (3, "plain"), (3, "plain"), (None, "+1 (555) 010-9999 x")]
     df = docs(spark, rows).withColumn("n_chars", F.lit(-1).cast("long"))

@@ -1,10 +1,13 @@
 """Personal data: base patterns and bootstrapped contextual extraction, in DataFrame operations only.
 
 1. **Seeds.**  Four base patterns (email, ip, card, phone) with their checks give spans in code points.
-2. **Mentions.**  A mention is a word with a digit or an at sign (also written ``[at]`` or ``(at)``).  The
-   words beside it induce lexical patterns: the two words before, the word before, the two after,
-   and the words on both sides.  A mention inside a base span is a seed instance of its kind; any
-   other is an unseen instance.
+2. **Mentions.**  A base span, whole, is a seed instance of its kind.  Elsewhere a mention is a run of words
+   with a digit or an at sign, joined by single blanks (``555 010 1234``), or words joined by ``[at]`` or
+   ``(at)`` with or without blanks.  As a run may hold more than the identifier, its first words and its last
+   words are candidates too, of at most ``RUN_DIGITS`` digits where there are several; a pattern counts a
+   run once, by its longest candidate, and of accepted candidates the longest become spans.  The words
+   beside a mention induce lexical patterns: the two words before, the word before, the two after, and the
+   words on both sides.
 3. **Graph.**  Patterns and instances (by value) are the two sides of a graph.  In each round a pattern's
    confidence for a kind is the score of its instances over their number (plus one), and an
    unseen instance's score is the noisy-or of its patterns' confidences.  Only patterns of at least
@@ -42,7 +45,12 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-MENTION = r"(?<!\S)(?:[^\s0-9@]*+[0-9@]\S*+|\S+?[\[(]at[\])]\S++)"
+_AT = r"[\[(]at[\])]"
+_SPELLED = rf"\S+\x20?{_AT}\x20?\S+"
+_MARKED = r"[^\s0-9@]*+[0-9@]\S*+"
+MENTION = rf"(?<!\S)(?:{_SPELLED}|{_MARKED}(?:\x20(?!{_SPELLED}){_MARKED})*+)"
+#: Several words are one candidate if they have at most so many digits (the most that a kind has) and words.
+RUN_DIGITS = 19
 _BYTE = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 #: Rounds of scoring, the confidence from which a pattern passes scores on, the score that accepts, the
 #: seed instances that a pattern needs at least.
@@ -104,11 +112,13 @@ def _matched(df: DataFrame, name: str, pattern: str, where: Column) -> DataFrame
 
 def _only_valid(kind: str, matches: Column) -> Column:
     valid = F.filter(matches, lambda x: _valid(kind, x["text"]))
-    return F.transform(valid, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    return F.transform(valid, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"),
+                                                 x["left"].alias("left"), x["right"].alias("right")))
 
 
 def base_spans(df: DataFrame) -> DataFrame:
-    """Add ``email``, ``ip``, ``card``, ``phone``: arrays of ``(start, end)`` of the valid base matches."""
+    """Add ``email``, ``ip``, ``card``, ``phone``: arrays of ``(start, end, text, left, right)`` of the valid base
+    matches."""
     digit = F.col("text").rlike("[0-9]")
     tests = {"email": F.contains("text", F.lit("@")), "ip": digit & F.contains("text", F.lit(".")), "card": digit, "phone": F.contains("text", F.lit("+"))}
     for kind in KINDS:
@@ -126,9 +136,11 @@ def _overlaps(spans: Column, mention: Column) -> Column:
     return (n > 0) & (at > 0) & (F.get(spans, at - 1)["end"] > mention["start"])
 
 
-def _kind_of(mention: Column) -> Column:
-    """The number of the first kind whose base spans overlap a mention."""
-    return F.coalesce(*[F.when(_overlaps(F.col(kind), mention), F.lit(number)) for number, kind in enumerate(KINDS)])
+def _overlaps_any(spans: list[str], mention: Column) -> Column:
+    found = F.lit(False)
+    for name in spans:
+        found = found | _overlaps(F.col(name), mention)
+    return found
 
 
 def _words(gap: Column) -> Column:
@@ -154,17 +166,19 @@ def _can_be(kind: Column, value: Column) -> Column:
 
 
 def _graph(mentions: DataFrame) -> DataFrame:
-    """Distinct edges ``(pattern, value, kind)``: a value's kind is null where it is unseen."""
-    return (mentions.select("value", "kind", F.explode("patterns").alias("pattern"))
-            .groupBy("pattern", "value").agg(F.min("kind").alias("kind")))
+    """Distinct edges ``(pattern, value, kind, main)``: a value's kind is null where it is unseen; ``main`` ones
+    count in the pattern's confidence."""
+    return (mentions.select("value", "kind", "main", F.explode("patterns").alias("pattern"))
+            .groupBy("pattern", "value").agg(F.min("kind").alias("kind"), F.max("main").alias("main")))
 
 
 def discovered(mentions: DataFrame, rounds: int = ROUNDS, floor: float = FLOOR, accept: float = ACCEPT, least_seeds: int = LEAST_SEEDS) -> DataFrame:
     """``(value, kind)`` of the unseen instances that confident patterns find."""
-    edges = materialize(_graph(mentions), "pattern-graph")
+    graph = materialize(_graph(mentions), "pattern-graph")
+    edges = graph.filter("main")
     names = [f"s{k}" for k in range(len(KINDS))]
     seed = [F.when(F.col("kind") == k, 1.0).otherwise(0.0) for k in range(len(KINDS))]
-    unseen = edges.filter(F.col("kind").isNull()).select("pattern", "value")
+    unseen = graph.filter(F.col("kind").isNull()).select("pattern", "value")
     scored = edges.select("pattern", "value", "kind", *[s.alias(n) for s, n in zip(seed, names, strict=True)])
     found = None
     for _ in range(rounds):
@@ -184,12 +198,69 @@ def discovered(mentions: DataFrame, rounds: int = ROUNDS, floor: float = FLOOR,
     return found.filter(best >= accept).select("value", kind.alias("kind")).filter(_can_be(F.col("kind"), F.col("value")))
 
 
-def _trim(mention: Column) -> Column:
-    """A mention without the punctuation around it."""
-    lead = F.char_length(F.regexp_extract(mention["text"], r"^[^\p{L}\p{N}+@]*+", 0))
-    core = F.regexp_replace(F.regexp_replace(mention["text"], r"^[^\p{L}\p{N}+@]++", ""), r"[^\p{L}\p{N}]++$", "")
+def _seeds() -> Column:
+    """The base spans as seed instances, each where no span of an earlier kind overlaps it.  Their context is
+    that of the words they stand in: from white space on, up to the next word with a digit or at sign."""
+    def seed(number: int, x: Column) -> Column:
+        left = F.regexp_replace(F.regexp_replace(x["left"], r"\S+$", ""), rf"(?s)^.*(?:[0-9@]|{_AT})\S*", "")
+        right = F.regexp_replace(F.regexp_replace(x["right"], r"^\S+", ""), rf"(?s)\S*?(?:[0-9@]|{_AT}).*$", "")
+        return F.struct(F.lower(x["text"]).alias("value"), x["start"].alias("start"), x["end"].alias("end"), F.lit(number).alias("kind"),
+                        _patterns(left, right).alias("patterns"), F.lit(True).alias("main"), x["start"].alias("run"))
+
+    kinds = []
+    for number, kind in enumerate(KINDS):
+        apart = F.filter(F.col(kind), lambda x: ~_overlaps_any(list(KINDS[:number]), x)) if number else F.col(kind)
+        kinds.append(F.transform(apart, lambda x: seed(number, x)))
+    return F.concat(*kinds)
+
+
+def _candidates(run: Column) -> Column:
+    """The candidates ``(text, start, end, patterns)`` of a run, the longest first: all its words, its first
+    ones and its last ones.  A side that is within the run gives no pattern."""
+    most = F.lit(RUN_DIGITS)
+
+    def short(words: Column) -> Column:
+        return (F.size(words) == 1) | (F.size(words) <= most) & (F.length(F.regexp_replace(F.array_join(words, ""), r"[^0-9]", "")) <= most)
+
+    def made(words: Column, side: str, at: Column) -> Column:
+        text = F.array_join(words, " ")
+        start = at["end"] - F.char_length(text) if side == ">" else at["start"]
+        patterns = F.filter(at["patterns"], lambda p: F.substring(p, 1, 1) == side) if side else at["patterns"]
+        return F.struct(text.alias("text"), start.alias("start"), (start + F.char_length(text)).alias("end"), patterns.alias("patterns"))
+
+    def of(r: Column) -> Column:
+        words = r["words"]
+        n = F.size(words)
+        # from the longest to the shortest part of the run
+        sizes = F.filter(F.sequence(F.least(n - 1, most), F.lit(0), F.lit(-1)), lambda i: i > 0)
+        whole = F.filter(F.array(words), short)
+        first = F.filter(F.transform(sizes, lambda i: F.slice(words, F.lit(1), i)), short)
+        last = F.filter(F.transform(sizes, lambda i: F.slice(words, n - i + 1, i)), short)
+        return F.concat(F.transform(whole, lambda w: made(w, "", r)), F.transform(first, lambda w: made(w, "<", r)), F.transform(last, lambda w: made(w, ">", r)))
+
+    words = F.when(run["text"].rlike(rf"^{_SPELLED}$"), F.array(run["text"])).otherwise(F.split(run["text"], " "))
+    bound = F.array(F.struct(words.alias("words"), run["start"].alias("start"), run["end"].alias("end"), _patterns(run["left"], run["right"]).alias("patterns")))
+    return F.flatten(F.transform(bound, of))
+
+
+def _unseen(run: Column) -> Column:
+    """The candidates of a run that no base span overlaps, trimmed; the longest of each side is ``main``."""
+    free = F.filter(_candidates(run), lambda c: ~_overlaps_any(list(KINDS), c))
+
+    def of(all_: Column) -> Column:
+        # candidates of a side follow each other
+        return F.transform(all_, lambda c, i: _trim(c, (i == 0) | ~F.exists(F.slice(all_, 1, i), lambda b: (b["start"] <= c["start"]) & (b["end"] >= c["end"])), run["start"]))
+
+    return F.flatten(F.transform(F.array(free), of))
+
+
+def _trim(mention: Column, main: Column, run: Column) -> Column:
+    """A mention without the punctuation around it (a parenthesis about its first digits is kept)."""
+    outer = r"^(?:(?!\([0-9]++\).*[\p{L}\p{N}])[^\p{L}\p{N}+@])*+"
+    lead = F.char_length(F.regexp_extract(mention["text"], outer, 0))
+    core = F.regexp_replace(F.regexp_replace(mention["text"], outer, ""), r"[^\p{L}\p{N}]++$", "")
     return F.struct(F.lower(core).alias("value"), (mention["start"] + lead).alias("start"), (mention["start"] + lead + F.char_length(core)).alias("end"),
-                    mention["kind"].alias("kind"), mention["patterns"].alias("patterns"))
+                    F.lit(None).cast("int").alias("kind"), mention["patterns"].alias("patterns"), main.alias("main"), run.alias("run"))
 
 
 def _numbered(kind: int, spans: Column) -> Column:
@@ -207,16 +278,18 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``KINDS``, by kind and start; ``spans`` holds the base spans and the discovered ones."""
     df = doc_texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     df = _matched(base_spans(df), "mention", MENTION, F.col("text").rlike(r"[0-9@]|[\[(]at[\])]"))
-    marked = F.transform("mention", lambda m: F.struct(m["text"].alias("text"), m["start"].alias("start"), _kind_of(m).alias("kind"),
-                                                       _patterns(m["left"], m["right"]).alias("patterns")))
     base = F.concat(*[_numbered(n, F.col(k)) for n, k in enumerate(KINDS)])
+    mentions = F.concat(_seeds(), F.flatten(F.transform("mention", _unseen)))
     # from here on no text: what each row found, written once
-    found = materialize(df.withColumn("marked", marked).select("doc_id", "text_hash", base.alias("base"), F.transform("marked", _trim).alias("mentions")), "mentions")
+    found = materialize(df.select("doc_id", "text_hash", base.alias("base"), mentions.alias("mentions")), "mentions")
     rows = found.filter(F.size("mentions") > 0).select("doc_id", "text_hash", F.inline("mentions")).filter("value <> ''")
-    new = discovered(rows.select("value", "kind", "patterns"), rounds, floor, accept, least_seeds)
-    added = (rows.filter(F.col("kind").isNull()).select("doc_id", "text_hash", "value", "start", "end").join(new, "value")
-             .groupBy(F.coalesce("doc_id", F.lit(-(2 ** 63))).alias("id"), "text_hash")
-             .agg(F.collect_set(F.struct("kind", "start", "end")).alias("added")))
+    new = discovered(rows.select("value", "kind", "patterns", "main"), rounds, floor, accept, least_seeds)
+    key = [F.coalesce("doc_id", F.lit(-(2 ** 63))).alias("id"), "text_hash"]
+    # a run has few candidates; those within a longer one that is accepted are part of it
+    longest = F.filter("all", lambda s: ~F.exists("all", lambda t: (t["start"] <= s["start"]) & (t["end"] >= s["end"]) & (t["end"] - t["start"] > s["end"] - s["start"])))
+    added = (rows.filter(F.col("kind").isNull()).select("doc_id", "text_hash", "run", "value", "start", "end").join(new, "value")
+             .groupBy(*key, "run").agg(F.collect_set(F.struct("kind", "start", "end")).alias("all"))
+             .groupBy("id", "text_hash").agg(F.flatten(F.collect_list(longest)).alias("added")))
     joined = found.withColumn("id", F.coalesce("doc_id", F.lit(-(2 ** 63)))).join(added, ["id", "text_hash"], "left")
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
     return joined.select("doc_id", "text_hash", "base", F.sort_array(F.concat("base", F.coalesce("added", none))).alias("spans"))
