@@ -208,6 +208,18 @@ def test_identifiers_with_blanks_are_one_instance(spark):
     assert got == [[] for _ in seeds] + [[x] for x in unseen.values()] + [[], []]
 
 
+def test_identifiers_of_the_second_generation(spark):
+    rng = random.Random(14)
+    base = [f"{words(rng, 2)} me on +1 (555) 010-{i:04d} {words(rng, 2)}" for i in range(20)]
+    first = [f"{words(rng, 2)} me on 555-020-{i:04d} {words(rng, 2)}" for i in range(8)]
+    bridge = [f"{words(rng, 2)} desk at 555-020-{i:04d} {words(rng, 2)}" for i in range(8)]
+    got = added_texts(spark, [*base, *first, *bridge, "the desk at 555-030-0001 is new", "a room at 555-040-0001 is new"])
+    number = [[(3, f"555-020-{i:04d}")] for i in range(8)]
+    assert got[20:-1] == [*number, *number, [(3, "555-030-0001")]]
+    # three instances are no pattern, whatever their scores
+    assert added_texts(spark, [*base, *first[:3], *bridge[:3], "the desk at 555-030-0001 is new"])[20:] == [*number[:3], *number[:3], []]
+
+
 def test_redaction(spark):
     rows = [(1, "mail a@b.c now, 1.2.3.4"), (2, None), (3, "plain"), (3, "plain"), (None, "+1 (555) 010-9999 x")]
     df = docs(spark, rows).withColumn("n_chars", F.lit(-1).cast("long"))

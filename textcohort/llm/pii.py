@@ -11,7 +11,8 @@
 3. **Graph.**  Patterns and instances (by value) are the two sides of a graph.  In each round a pattern's
    confidence for a kind is the score of its instances over their number (plus one), and an
    unseen instance's score is the noisy-or of its patterns' confidences.  Only patterns of at least
-   ``least_seeds`` seed instances and confidence ``floor`` pass scores on.
+   ``least_seeds`` seed instances and confidence ``floor`` pass scores on; an instance that the round before
+   accepts counts as a seed with its score, so each round can use a further generation of patterns.
 4. **Discovery.**  Unseen instances whose score reaches ``accept`` after the last round, and with a form
    that their kind can have, become additional spans.  Base spans stay as they are.
 
@@ -180,22 +181,24 @@ def discovered(mentions: DataFrame, rounds: int = ROUNDS, floor: float = FLOOR,
     seed = [F.when(F.col("kind") == k, 1.0).otherwise(0.0) for k in range(len(KINDS))]
     unseen = graph.filter(F.col("kind").isNull()).select("pattern", "value")
     scored = edges.select("pattern", "value", "kind", *[s.alias(n) for s, n in zip(seed, names, strict=True)])
+    best = F.greatest(*names)
+    kind = F.coalesce(*[F.when(F.col(n) == best, F.lit(k)) for k, n in enumerate(names)])
+    accepted = F.when((best >= accept) & _can_be(kind, F.col("value")), kind)
+    scored = scored.withColumn("seed", F.col("kind"))
     found = None
     for _ in range(rounds):
         if found is not None:
-            known = found.select("value", *[F.col(n).alias(f"u{n}") for n in names])
-            scored = edges.join(known, "value", "left").select("pattern", "value", "kind", *[
+            known = found.select("value", *[F.col(n).alias(f"u{n}") for n in names], accepted.alias("accepted"))
+            scored = edges.join(known, "value", "left").select("pattern", "value", F.coalesce("kind", "accepted").alias("seed"), *[
                 F.when(F.col("kind").isNull(), F.coalesce(f"u{n}", F.lit(0.0))).otherwise(s).alias(n) for s, n in zip(seed, names, strict=True)])
         confidence = scored.groupBy("pattern").agg(*[(F.sum(n) / (F.count(F.lit(1)) + 1)).alias(n) for n in names],
-                                                   *[F.sum((F.col("kind") == k).cast("int")).alias(f"n{k}") for k in range(len(KINDS))])
+                                                   *[F.sum(F.when(F.col("seed") == k, F.col(n)).otherwise(0.0)).alias(f"n{k}") for k, n in enumerate(names)])
         sure = confidence.filter(" OR ".join(f"({n} >= {floor} AND n{k} >= {least_seeds})" for k, n in enumerate(names)))
         miss = [F.when((F.col(n) >= floor) & (F.col(f"n{k}") >= least_seeds), F.log(1 - F.least(n, F.lit(0.999)))).otherwise(0.0) for k, n in enumerate(names)]
         # only the sure patterns meet the unseen instances
         found = unseen.join(sure.select("pattern", *[m.alias(n) for m, n in zip(miss, names, strict=True)]), "pattern").groupBy("value").agg(
             *[(1 - F.exp(F.sum(n))).alias(n) for n in names])
-    best = F.greatest(*names)
-    kind = F.coalesce(*[F.when(F.col(n) == best, F.lit(k)) for k, n in enumerate(names)])
-    return found.filter(best >= accept).select("value", kind.alias("kind")).filter(_can_be(F.col("kind"), F.col("value")))
+    return found.select("value", accepted.alias("kind")).filter("kind IS NOT NULL")
 
 
 def _seeds() -> Column:
