@@ -137,6 +137,30 @@ def test_order_minhash_empty_and_repeated(spark):
     assert len(two) == 3
 
 
+def test_order_minhash_of_short_and_unspaced_texts(spark):
+    rng = random.Random(21)
+    unspaced = ["".join(rng.choices("abcdefghé中😀", k=n)) for n in (30, 300)]
+    texts = [words(rng, 5), words(rng, 20), words(rng, 60), *unspaced]
+    rows = []
+    for t in texts:
+        w = t.split(" ")
+        swapped = " ".join(w[len(w) // 2:] + w[:len(w) // 2]) if len(w) > 1 else t[len(t) // 2:] + t[:len(t) // 2]
+        rows += [t, swapped, t[:-1] + "z"]
+    signed = {r.doc_id: r.fingerprint for r in OM.fingerprints(docs(spark, list(enumerate(rows)))).collect()}
+
+    def like(a, b):
+        return sum(signed[a][i:i + 10] == signed[b][i:i + 10] for i in range(0, 640, 10)) / 64
+    assert {len(x) for x in signed.values()} == {640}  # every slot is filled
+    for k in range(0, len(rows), 3):
+        assert like(k, k + 1) < 0.62, rows[k]  # the order counts
+        assert like(k, k + 2) > 0.6, rows[k]  # a small edit changes little
+    mixed = [(1, unspaced[1]), (2, words(rng, 100)), (3, unspaced[0]), (4, words(rng, 5)), (5, words(rng, 20))]
+    for r in OM.compare_edited(docs(spark, mixed)).collect():
+        assert r.near_next < 0.04 < r.near_edited < 0.5 or r.doc_id == 3, r.doc_id
+    assert [len(r.fingerprint) for r in OM.fingerprints(docs(spark, [(1, "one"), (2, "a b"), (3, None), (4, " "), (5, "q" * 200_000)])).orderBy("doc_id").collect()] \
+        == [640, 640, 0, 0, 640]
+
+
 # --- personal data -----------------------------------------------------------------------------
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
