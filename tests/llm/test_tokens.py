@@ -77,6 +77,19 @@ def test_token_counts(spark, library, table):
     assert all(r.over_limit == (r.n_tokens > 100) for r in got)
 
 
+def test_frequent_chunks_are_sampled_in_the_tasks_of_the_scan(spark):
+    def tag(batches):
+        from pyspark import TaskContext
+        word = "abcdefgh"[TaskContext.get().partitionId()] * 4
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f"{word} {word}"] * b.num_rows)], ["doc_id", "text"])
+
+    scan = spark.range(0, 400, 1, 8).mapInArrow(tag, "doc_id long, text string")
+    for rows in (1000, 200):  # the whole table, a sample
+        found = "".join(TC.frequent_chunks(scan, sample_rows=rows))
+        assert all(c * 4 in found for c in "abcdefgh"), found
+
+
 def test_token_counts_empty(spark):
     assert TC.token_counts(docs(spark, [])).collect() == []
 

@@ -30,8 +30,9 @@ SAMPLE_ROWS = 2_000
 
 
 def frequent_chunks(docs: DataFrame, table_size: int = TABLE_SIZE, sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """The most frequent chunks of a sample of at most about ``sample_rows`` texts.  Each task sends
-    its own ``table_size`` most frequent ones with their counts, summed here."""
+    """The most frequent chunks of a sample of at most about ``sample_rows`` texts.  The table is sampled in
+    the scan's own tasks; the sampled texts meet in one, which sends its ``table_size`` most frequent
+    chunks with their counts."""
     total = docs.count()
     sample = docs if total <= sample_rows else docs.sample(fraction=sample_rows / total, seed=5)
 
@@ -46,8 +47,8 @@ def frequent_chunks(docs: DataFrame, table_size: int = TABLE_SIZE, sample_rows:
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([c for _, c in top], pa.int64())], ["chunk", "n"])
 
     found: Counter = Counter()
-    # one task, as the sample is bounded by sample_rows texts
-    for row in doc_texts(sample).coalesce(1).mapInArrow(count, "chunk string, n long").collect():
+    # one task after an exchange, so that it reads about sample_rows texts and not the table
+    for row in doc_texts(sample).repartition(1).mapInArrow(count, "chunk string, n long").collect():
         found[row.chunk] += row.n
     return [w for w, c in found.most_common(table_size) if c > 1]
 
