@@ -23,7 +23,8 @@ from textcohort.llm.toxicity import drop_toxic
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator scores below one half; labels come from the ``labels`` table."""
+    """Documents that the toxicity operator scores below one half (all, if the labels lack a class); labels come
+    from the ``labels`` table."""
     return drop_toxic(docs, read_table(spark, sf_dir, "labels"))
 
 

@@ -311,6 +311,27 @@ def test_toxicity_without_labels(spark):
     assert TX.toxicity(docs(spark, []), none).collect() == []
 
 
+def test_toxicity_without_a_shared_word(spark):
+    rng = random.Random(6)
+    own = [" ".join("".join(rng.choices("abcdefgh", k=12)) for _ in range(30)) for _ in range(400)]  # no word twice
+    rows = [(i, t.upper() + "!!!" if i % 5 < 3 else t) for i, t in enumerate(own)]
+    labels = spark.createDataFrame([(i, int(i % 5 < 3)) for i in range(400)], "doc_id long, toxic int")
+    df = docs(spark, rows)
+    assert TX.learn_lexicon(TX.fitting_rows(df, labels)) == {}
+    assert sorted(r.doc_id for r in TX.drop_toxic(df, labels).collect()) == [i for i in range(400) if i % 5 >= 3]
+    # two toxic rows only: the trees are fitted, and no clean row is lost
+    few = spark.createDataFrame([(i, int(i in (50, 51))) for i in range(400) if i % 5 >= 3 or i in (50, 51)], "doc_id long, toxic int")
+    assert TX.fit(df, few).trees is not None
+    assert {i for i in range(400) if i % 5 >= 3} <= {r.doc_id for r in TX.drop_toxic(df, few).collect()}
+
+
+def test_toxicity_filter_keeps_rows_of_one_class(spark):
+    df = docs(spark, [(i, f"t{i}") for i in range(6)])
+    for label in (0, 1):
+        marks = spark.createDataFrame([(i, label) for i in range(6)], "doc_id long, toxic int")
+        assert TX.drop_toxic(df, marks).count() == 6 and {r.score for r in TX.toxicity(df, marks).collect()} == {float(label)}
+
+
 def test_toxicity_features_see_obfuscation():
     lexicon = {"idiot": 5.0, "moron": 4.0}
     at = {name: i for i, name in enumerate(TX.FEATURES)}

@@ -18,7 +18,9 @@ used for fitting.
 Results for odd inputs: a null or empty text has all features 0 and gets that point's score; a
 document labelled more than once is used with its largest label; labels of unknown documents or null
 labels are ignored; with no labelled rows, or only one class, every score is the share of toxic
-fitting rows (0 if there are none); repeated rows are scored each; an empty table gives an empty result.
+fitting rows (0 if there are none) and the filter keeps all rows; where toxic rows share no word, the
+lexicon is empty and the trees have the other features; a part of the fitting rows that lacks a class is
+replaced by all of them; repeated rows are scored each; an empty table gives an empty result.
 Only the id and text columns of documents and the id and label columns of labels are read.
 """
 
@@ -193,19 +195,21 @@ class ToxicityModel:
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS, lexicon_size: int = LEXICON_SIZE, label_col: str = "toxic") -> ToxicityModel:
     rows = materialize(fitting_rows(docs, labels, max_rows, label_col), "toxicity-rows")
+    low, high = F.min("label").alias("low"), F.max("label").alias("high")
+    totals = rows.agg(F.avg("label").alias("p"), low, high).first()
+    if totals.low == totals.high:
+        return ToxicityModel({}, None, None, totals.p or 0.0)
     # a quarter of the fitting rows calibrates; the lexicon and the trees see the rest
     part = F.pmod(F.xxhash64(F.lit("calibration"), F.col("doc_id")), F.lit(4)) == 0
-    for_trees = rows.filter(~part)
-    lexicon = learn_lexicon(for_trees, lexicon_size)
-    totals = rows.agg(F.avg("label").alias("p")).first()
-    if not lexicon:
-        return ToxicityModel({}, None, None, totals.p or 0.0)
+    # at most two rows
+    both = {r.calibrates for r in rows.groupBy(part.alias("calibrates")).agg(low, high).collect() if r.low != r.high}
+    lexicon = learn_lexicon(rows.filter(~part) if False in both else rows, lexicon_size)
     table = materialize(with_features(rows.withColumn("calibrates", part), lexicon, ["label", "calibrates"]), "toxicity-features")
     table = table.withColumn("features", array_to_vector("features"))
-    trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED, maxBins=32).fit(table.filter("NOT calibrates"))
-    margins = (trees.transform(table.filter("calibrates")).select("label", vector_to_array("rawPrediction")[1].alias("margin")))
-    if margins.limit(1).count() == 0:
-        margins = trees.transform(table).select("label", vector_to_array("rawPrediction")[1].alias("margin"))
+    for_trees = table.filter("NOT calibrates") if False in both else table
+    trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED, maxBins=32).fit(for_trees)
+    for_margins = table.filter("calibrates") if True in both else table
+    margins = trees.transform(for_margins).select("label", vector_to_array("rawPrediction")[1].alias("margin"))
     calibration = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="score").fit(margins)
     return ToxicityModel(lexicon, trees, calibration, totals.p)
 
@@ -218,10 +222,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents whose text scores below the threshold, with all their columns.  A row is decided by
-    its own text, so the features are computed beside the row and no join is needed."""
+    its own text, so the features are computed beside the row and no join is needed.  Without labels of both
+    classes nothing tells rows apart, and all stay."""
     model = fit(docs, labels)
     if model.trees is None:
-        return docs if model.prior < threshold else docs.limit(0)
+        return docs
     # the row travels as one struct, whatever its columns are called
     packed = docs.select(F.struct("*").alias("row"))
     rows = with_features(packed, model.lexicon, ["row"], struct="row").withColumn("features", array_to_vector("features"))
