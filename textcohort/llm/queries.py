@@ -132,3 +132,48 @@ def op4_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [count_of(k, F.col("base")).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(F.encode(spans_text(F.col("base")), "UTF-8"), 256).alias("base_sha256"),
                         spans_text(F.col("spans")).alias("spans"))
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textcohort.llm.resampling import resample
+
+    return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+# CRC-32 by its rule, one byte after the other, of the distinct features only
+SQL_CRC_TABLE = """
+    SELECT list(c ORDER BY i) AS t FROM (
+      SELECT i, list_reduce([CAST(i AS BIGINT)] || list_transform(range(8), lambda k: CAST(0 AS BIGINT)),
+                            lambda c, k: xor(c >> 1, CASE WHEN c % 2 = 1 THEN CAST(3988292384 AS BIGINT) ELSE CAST(0 AS BIGINT) END)) AS c
+      FROM (SELECT unnest(range(256)) AS i))"""
+
+
+def sql_features(table: str, key: str) -> str:
+    """``(key, feature)`` of every run of one or two words, repeats included, and ``(key, w)`` the words."""
+    return f"""
+    {table}_w AS (SELECT {key} AS k, regexp_extract_all({NORM_SQL}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {table}),
+    {table}_f AS (SELECT k, unnest(w || list_transform(range(len(w) - 1), lambda i: w[i + 1] || ' ' || w[i + 2])) AS f FROM {table}_w)"""
+
+
+ORACLE["op12_importance_resampling"] = f"""
+    WITH {sql_features('documents', 'doc_id')}, {sql_features('benchmark', 'item_id')},
+    crc AS ({SQL_CRC_TABLE}),
+    kinds AS (SELECT DISTINCT f FROM (SELECT f FROM documents_f UNION ALL SELECT f FROM benchmark_f)),
+    coded AS (SELECT f, list_transform(range(CAST(octet_length(encode(f)) AS BIGINT)), lambda i: CAST('0x' || substr(hex(encode(f)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)) AS b FROM kinds),
+    bucket AS (SELECT f, xor(list_reduce([CAST(4294967295 AS BIGINT)] || b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM coded CROSS JOIN crc),
+    s AS (SELECT bucket, count(*) AS s FROM documents_f JOIN bucket USING (f) GROUP BY bucket),
+    t AS (SELECT bucket, count(*) AS t FROM benchmark_f JOIN bucket USING (f) GROUP BY bucket),
+    sizes AS (SELECT (SELECT count(*) FROM documents_f) AS big_s, (SELECT count(*) FROM benchmark_f) AS big_t),
+    gain AS (SELECT s.bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (big_s + 10000) / ((s + 1.0::DOUBLE) * (big_t + 10000)))) AS BIGINT) AS g
+             FROM s LEFT JOIN t USING (bucket) CROSS JOIN sizes),
+    total AS (SELECT k, CAST(sum(g) AS BIGINT) AS total, count(*) AS n FROM documents_f JOIN bucket USING (f) JOIN gain USING (bucket) GROUP BY k),
+    weighed AS (SELECT w.k AS doc_id, coalesce(n, 0) AS n_features, len(w.w) >= 20 AS fit,
+                       coalesce((total - ((total % n) + n) % n) // n, 0) AS weight,
+                       CAST('0x' || substr(sha256('7:' || CAST(w.k AS VARCHAR)), 1, 8) AS BIGINT) AS h
+                FROM documents_w w LEFT JOIN total ON total.k = w.k),
+    scored AS (SELECT doc_id, n_features, fit, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM weighed),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY fit) AS n FROM scored)
+    SELECT doc_id, n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+           CASE WHEN fit AND place <= 25 * n // 100 THEN place END AS rank
+    FROM placed"""
