@@ -177,3 +177,10 @@ ORACLE["op12_importance_resampling"] = f"""
     SELECT doc_id, n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
            CASE WHEN fit AND place <= 25 * n // 100 THEN place END AS rank
     FROM placed"""
+
+
+@query
+def op11_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textcohort.llm.katz import score_texts
+
+    return score_texts(read_table(spark, sf_dir, "documents"))
