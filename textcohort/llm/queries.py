@@ -184,3 +184,31 @@ def op11_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textcohort.llm.katz import score_texts
 
     return score_texts(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textcohort.llm.phrases import collocations
+
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
+# every run of 1 to 4 words of a piece, with its count per language
+ORACLE["op13_phrase_collocations"] = f"""
+    WITH pieces AS (SELECT lang, unnest(regexp_split_to_array(norm, '[.,;:!?\\x0A-\\x0D]')) AS piece
+                    FROM (SELECT coalesce(lang, 'und') AS lang, {NORM_SQL} AS norm FROM documents)),
+    worded AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+    runs AS (SELECT lang, m, unnest(list_transform(range(CAST(greatest(len(w) - m + 1, 0) AS BIGINT)), lambda i: array_to_string(w[i + 1:i + m], ' '))) AS phrase
+             FROM worded CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS m)),
+    f AS (SELECT lang, m, phrase, count(*) AS f FROM runs GROUP BY lang, m, phrase HAVING count(*) >= 30),
+    sizes AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM worded GROUP BY lang),
+    cuts AS (SELECT c.lang, c.m, c.phrase, c.f AS a, k, array_to_string(w[1:k], ' ') AS lo, array_to_string(w[k + 1:], ' ') AS hi
+             FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM f WHERE m > 1) c),
+    scores AS (SELECT c.lang, c.phrase, c.m, a, k, l.f AS l, r.f AS r, CAST((CAST(a AS HUGEINT) * 2000000) // (l.f + r.f) AS BIGINT) AS score
+               FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = c.lo JOIN f r ON r.lang = c.lang AND r.phrase = c.hi),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM scores) WHERE nth = 1),
+    held AS (SELECT DISTINCT s.lang, s.phrase FROM best s JOIN f o ON o.lang = s.lang AND o.m > s.m AND contains(' ' || o.phrase || ' ', ' ' || s.phrase || ' ')
+             WHERE CAST(o.f AS HUGEINT) * 100 >= CAST(s.a AS HUGEINT) * 80),
+    placed AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank
+               FROM best b ANTI JOIN held h ON h.lang = b.lang AND h.phrase = b.phrase)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM placed JOIN sizes USING (lang) WHERE rank <= 2000"""
