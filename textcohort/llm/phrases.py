@@ -128,7 +128,7 @@ def frequent_phrases(texts: DataFrame, least: int = LEAST, longest: int = LONGES
     tokens = encoded.filter("kind = 'tokens'")
     for m in range(2, longest + 1):
         cells = written(_cells(tokens.unionByName(answers), m, parts, salts), f"phrase-cells{m}")
-        grams = _ranked_cells(cells, least, salts)
+        grams = _ranked_cells(cells, least, salts, together)
         if m < longest:
             answers = answers.unionByName(_cell_ranks(cells, grams, m, salts, parts))
         left = known[m - 1].select("grp", F.col("rank").alias("i"), F.col("phrase").alias("left"))
@@ -183,34 +183,42 @@ def _cells(rows: DataFrame, m: int, parts: int, salts: int) -> DataFrame:
     return by(rows, ["grp", "block"], send)
 
 
-def _ranked_cells(cells: DataFrame, least: int, salts: int) -> DataFrame:
-    """``(grp, part, code, i, j, f, rank)`` of the frequent cells."""
+def _ranked_cells(cells: DataFrame, least: int, salts: int, together: int) -> DataFrame:
+    """``(grp, part, code, i, j, f, rank)`` of the frequent cells.  A dense tile's sums are added up as a tree: each group has
+    the rows of about ``together`` blocks or sums."""
+    rows = cells.select("grp", "part", F.col("nums")[0].alias("salt"), "a", "b")
+    while salts > 1:
+        salts = -(-salts // together)
+        rows = (rows.groupBy("grp", "part", "salt").applyInArrow(_summed(least, False), "grp string, part int, salt long, a binary, b binary")
+                .withColumn("salt", F.when(F.col("part") < 0, F.pmod("salt", F.lit(salts))).otherwise(0)))
+    found = rows.groupBy("grp", "part", "salt").applyInArrow(_summed(least, True), "grp string, part int, code long, f long")
+    place = ordered_index(found.withColumn("less", -F.col("f")), ["grp"], ["less", "code"], out="rank")
+    return place.select("grp", "part", "code", F.shiftright("code", 32).alias("i"), F.col("code").bitwiseAND(F.lit(0xFFFFFFFF)).alias("j"), "f", "rank")
+
+
+def _summed(least: int, last: bool):
+    """Adds up the cells of one tile or part.  At the last step, one row per frequent cell; before, one row of sums (a sparse part
+    is complete after the first step, so its rare cells end there)."""
     def add(key: tuple, group: pa.Table) -> pa.Table:
-        rows = rows_of("cells", group)
-        part = rows[0]["part"]
+        grp, part, salt = (k.as_py() for k in key)
+        codes, counts = ([unpack(x, np.int64) for x in group[c].to_pylist()] for c in "ab")
         if part < 0:
             # one address per cell of the tile
             t, total = -1 - part, np.zeros(SIDE * SIDE, np.int64)
-            for r in rows:
-                codes = unpack(r["a"], np.int64)
-                total[((codes >> 32) % SIDE) * SIDE + (codes & 0xFFFFFFFF) % SIDE] += unpack(r["b"], np.int64)
+            for code, n in zip(codes, counts, strict=True):
+                total[((code >> 32) % SIDE) * SIDE + (code & 0xFFFFFFFF) % SIDE] += n
             seen = np.flatnonzero(total)
-            codes, f = (t // (DENSE // SIDE) * SIDE + seen // SIDE) << 32 | (t % (DENSE // SIDE) * SIDE + seen % SIDE), total[seen]
+            kinds, f = (t // (DENSE // SIDE) * SIDE + seen // SIDE) << 32 | (t % (DENSE // SIDE) * SIDE + seen % SIDE), total[seen]
         else:
-            codes, which = np.unique(np.concatenate([unpack(r["a"], np.int64) for r in rows]), return_inverse=True)
-            f = np.bincount(which, np.concatenate([unpack(r["b"], np.int64) for r in rows]), len(codes)).astype(np.int64)
-        whole = part >= 0 or salts == 1
-        keep = f >= (least if whole else 1)
-        n = int(keep.sum())
-        return pa.table({"grp": pa.array([rows[0]["grp"]] * n, pa.string()), "part": pa.array([part] * n, pa.int32()), "code": codes[keep], "f": f[keep]})
-
-    summed = cells.select("kind", "grp", "block", "part", F.col("nums")[0].alias("salt"), "a", "b").groupBy("grp", "part", "salt").applyInArrow(
-        add, "grp string, part int, code long, f long")
-    if salts > 1:
-        summed = summed.groupBy("grp", "part", "code").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
-    rows = summed.withColumn("less", -F.col("f"))
-    place = ordered_index(rows, ["grp"], ["less", "code"], out="rank")
-    return place.select("grp", "part", "code", F.shiftright("code", 32).alias("i"), F.col("code").bitwiseAND(F.lit(0xFFFFFFFF)).alias("j"), "f", "rank")
+            kinds, which = np.unique(np.concatenate(codes), return_inverse=True)
+            f = np.bincount(which, np.concatenate(counts), len(kinds)).astype(np.int64)
+        keep = f >= (least if last or part >= 0 else 1)
+        kinds, f = kinds[keep], f[keep]
+        if last:
+            return pa.table({"grp": pa.array([grp] * len(f), pa.string()), "part": pa.array([part] * len(f), pa.int32()), "code": kinds, "f": f})
+        return pa.table({"grp": [grp], "part": pa.array([part], pa.int32()), "salt": pa.array([salt], pa.int64()), "a": pa.array([pack(kinds)], pa.binary()), "b": pa.array([pack(f)], pa.binary())})
+
+    return add
 
 
 def _cell_ranks(cells: DataFrame, grams: DataFrame, m: int, salts: int, parts: int) -> DataFrame:
