@@ -53,19 +53,46 @@ def fitted_small(spark):
     return WF.fit_folds(R.cohort_df(spark, SF_SMALL), folds=3, seed=0)
 
 
-def test_nb_fit_joins_on_id_without_shuffle(spark, fitted_small):
+def test_nb_fit_reads_texts_without_a_join(spark, fitted_small):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    try:
+        p = plan_of(TX.unfold(M.text_vectors(fitted_small.counts, [0, 1, 2])).groupBy("token").agg(F.sum("tf"), F.sum("m1")))
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    # a text's folds stand beside its tokens: the only shuffle is the token aggregation
+    assert "Join" not in p
+    assert p.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(token" in p
+    # positions are not read
+    assert "terms:array<struct<token:string,tf:bigint>>" in p and "places" not in p
+
+
+def test_scoring_joins_nothing_by_text(spark, fitted_small):
+    m = fitted_small
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
-        vectors = M.fold_vectors(fitted_small.balanced, [0, 1, 2])
-        p = plan_of(vectors.join(fitted_small.counts, "id").groupBy("token").agg(F.sum("tf")))
+        p = plan_of(TX.unfold(m.texts("test")).join(m.weights, ["fold", "token"]).groupBy("fold", "id").agg(F.sum("tf")))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
-    # both sides are id-bucketed with the same count: the only shuffle is the token aggregation
-    assert "SortMergeJoin" in p
-    assert "Exchange hashpartitioning(id" not in p
-    assert p.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(token" in p
+    assert p.count("Join") == 1 and "hashpartitioning(id" not in p
+
+
+def test_parts_follow_bytes_and_have_no_limit(spark):
+    assert WF.text_parts(0, 8) == 1 and WF.text_parts(3 << 20, 8) == 3 and WF.text_parts(1 << 30, 8) == 8
+    assert WF.text_parts(2 * 10 ** 12, 8000) == 14902           # 10^9 texts of 2 KB
+    ids = spark.range(10 ** 9).select("id", F.lit(0).alias("label"))
+    texts = ids.select("id", F.lit("a b").alias("text")).repartition(WF.text_parts(2 * 10 ** 12, 8000), "id")
+    p = plan_of(TX.text_terms(TX.token_counts(TX.doc_tokens(texts))))
+    assert p.count("Exchange") == 1 and "hashpartitioning(id#" in p and "14902" in p
+
+
+def test_text_table_is_one_row_per_text(spark, fitted_small):
+    m = fitted_small
+    assert m.counts.count() == m.docs.count() == m.counts.select("id").distinct().count()
+    for which in ("train", "vali", "test"):
+        a = m.texts(which).select("fold", "id", "label").exceptAll(m.rows(which))
+        assert a.isEmpty() and m.texts(which).count() == m.rows(which).count()
+    mult = m.counts.select("id", F.explode("folds").alias("x")).select("x.fold", "id", "x.mult").filter("mult IS NOT NULL")
+    assert mult.exceptAll(m.balanced.select("fold", "id", "mult")).isEmpty() and mult.count() == m.balanced.count()
 
 
 def test_token_counts_shuffle_texts_once(spark):
@@ -76,9 +103,10 @@ def test_token_counts_shuffle_texts_once(spark):
 
 def test_consensus_needs_no_occurrences(spark, fitted_small):
     m = fitted_small
-    p = plan_of(AT.linear_token_values(m.rows("test"), m.counts, m.weights).groupBy("token").agg(F.sum("tf")))
-    assert "explode" not in p.lower()
-    got = {r["word"]: (r["count"], r["shap_avg"]) for r in CS.model_consensus(m.rows("test"), m.counts, m.weights, m.priors).collect()}
+    p = plan_of(AT.linear_token_values(m.texts("test"), m.counts, m.weights, positions=False).groupBy("token").agg(F.sum("tf")))
+    # distinct tokens are unfolded, their positions are not
+    assert "places" not in p and "explode(positions" not in p
+    got = {r["word"]: (r["count"], r["shap_avg"]) for r in CS.model_consensus(m.texts("test"), m.counts, m.weights, m.priors).collect()}
     want = {r["word"]: (r["count"], r["shap_avg"]) for r in CS.consensus(AT.linear_attribution(m.rows("test"), m.counts, m.weights, m.priors, 0)).collect()}
     assert set(got) == set(want)
     assert all(got[w][0] == want[w][0] and got[w][1] == pytest.approx(want[w][1], abs=1e-9) for w in want)

@@ -19,15 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textcohort.functions.numeric import sigmoid
+from textcohort.operators.model import keyed
+from textcohort.operators.text import unfold
 
 
-def _per_token(rows: DataFrame, counts: DataFrame, weights: DataFrame, fold_col: str) -> DataFrame:
+def _per_token(rows: DataFrame, counts: DataFrame, weights: DataFrame, fold_col: str, positions: bool = True) -> DataFrame:
     """``(fold, id, token, tf, n_tok, positions, w, mean_x)``: one row per distinct token of each text.
 
     Weights are attached at this level, so a frequent word is one row per text on the
     ``(fold, token)`` join, not one row per occurrence (AQE's skew split covers the rest).
     """
-    pt = rows.select(fold_col, "id").join(counts, "id")
+    pt = unfold(*keyed(rows, counts, fold_col), positions)
     return pt.join(weights.select(fold_col, "token", "w", "mean_x"), [fold_col, "token"], "left") \
              .withColumn("w", F.coalesce("w", F.lit(0.0))) \
              .withColumn("mean_x", F.coalesce("mean_x", F.lit(0.0)))
@@ -40,12 +42,12 @@ def _attach_to_occurrences(per_token: DataFrame, value: str, fold_col: str) -> D
                     .select(fold_col, "id", "pos", "token", "phi")
 
 
-def linear_token_values(rows: DataFrame, counts: DataFrame, weights: DataFrame, fold_col: str = "fold") -> DataFrame:
+def linear_token_values(rows: DataFrame, counts: DataFrame, weights: DataFrame, fold_col: str = "fold", positions: bool = True) -> DataFrame:
     """``(fold, id, token, tf, positions, phi, wm)``: the value of each occurrence of a token in a text, and
     the token's part of the text's base (``w * mean``).  One row per distinct token of a text."""
-    pt = _per_token(rows, counts, weights, fold_col)
+    pt = _per_token(rows, counts, weights, fold_col, positions)
     x = F.col("tf") / F.col("n_tok")
-    return pt.select(fold_col, "id", "token", "tf", "positions",
+    return pt.select(fold_col, "id", "token", "tf", *(["positions"] if positions else []),
                      (F.col("w") * (x - F.col("mean_x")) / F.col("tf")).alias("phi"),
                      (F.col("w") * F.col("mean_x")).alias("wm"))
 

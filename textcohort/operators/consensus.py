@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textcohort.functions.text import normalise_word
+from textcohort.operators.model import keyed
+from textcohort.operators.text import unfold
 
 
 def with_words(attr: DataFrame, token_col: str = "token") -> DataFrame:
@@ -32,7 +34,7 @@ def consensus(attr: DataFrame) -> DataFrame:
 def token_word_count(rows: DataFrame, counts: DataFrame) -> DataFrame:
     """``word_count`` of the given ``(fold, id)`` rows from token counts alone: no model, no occurrence.
     Every row also has its base entry, the empty word."""
-    words = rows.select("fold", "id").join(counts.select("id", "token", "tf"), "id")
+    words = unfold(*keyed(rows, counts))
     base = rows.select(F.lit("").alias("token"), F.lit(1).cast("long").alias("tf"))
     return with_words(words.select("token", "tf").unionByName(base)).groupBy("word").agg(F.sum("tf").alias("count"))
 
@@ -46,7 +48,7 @@ def model_consensus(rows: DataFrame, counts: DataFrame, weights: DataFrame, prio
     from textcohort.operators.attribution import linear_token_values
     from textcohort.sources.io import materialize
 
-    values = linear_token_values(rows, counts, weights)
+    values = linear_token_values(rows, counts, weights, positions=False)
     words = with_words(values).groupBy("word").agg(F.sum("tf").alias("n"), F.sum(F.col("tf") * F.col("phi")).alias("s"), F.sum("wm").alias("wm"))
     # one row per word: read for the words and for the sum of w * mean
     words = materialize(words, "word-sums")

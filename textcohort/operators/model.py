@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textcohort.functions.numeric import nan, sigmoid
+from textcohort.operators.text import unfold
 
 
 def train_multiplicity(balanced: DataFrame, fold_col: str = "fold") -> DataFrame:
@@ -37,15 +38,23 @@ def fold_numbers(balanced: DataFrame, fold_col: str = "fold") -> list[int]:
 
 
 def fold_vectors(balanced: DataFrame, folds: list[int], fold_col: str = "fold") -> DataFrame:
-    """``(id, label, m0..mK)``: one row per train text with its multiplicity in every fold.  On a table
-    bucketed by id the grouping needs no shuffle."""
+    """``(id, label, m0..mK)``: one row per train text with its multiplicity in every fold."""
     mult = train_multiplicity(balanced, fold_col)
     return mult.groupBy("id").agg(F.max("label").alias("label"), *[
         F.sum(F.when(F.col(fold_col) == f, F.col("mult")).otherwise(0)).alias(f"m{f}") for f in folds])
 
 
+def text_vectors(texts: DataFrame, folds: list[int]) -> DataFrame:
+    """``fold_vectors`` with ``n_tok, terms`` from the table of texts, whose ``folds`` hold the multiplicities: no join."""
+    def times(f: int):
+        return F.get(F.filter("folds", lambda x: (x["fold"] == f) & (x["split"] == "train")), 0)["mult"]
+
+    return texts.select("label", "n_tok", "terms", *[F.coalesce(times(f), F.lit(0)).alias(f"m{f}") for f in folds])
+
+
 def nb_fit(balanced: DataFrame, counts: DataFrame, alpha: float = 1.0, fold_col: str = "fold") -> tuple[DataFrame, DataFrame]:
-    """Fit one model per fold.  Returns ``(weights, priors)``.
+    """Fit one model per fold.  Returns ``(weights, priors)``.  ``counts`` is a token table, or the table of texts with
+    their folds (``workflow.prepare_folds``), which needs no join.
 
     ``weights``: ``(fold, token, c0, c1, w, mean_x)``;
     ``priors``:  ``(fold, n0, n1, prior, mean_shift)`` with ``mean_shift = sum_t w_t mean_x_t``.
@@ -57,8 +66,10 @@ def nb_fit(balanced: DataFrame, counts: DataFrame, alpha: float = 1.0, fold_col:
     from textcohort.sources.io import materialize
 
     folds = fold_numbers(balanced, fold_col)
-    vectors = fold_vectors(balanced, folds, fold_col)
-    joined = vectors.join(counts.select("id", "token", "tf", "n_tok"), "id")
+    if "folds" in counts.columns:
+        joined = unfold(text_vectors(counts, folds))
+    else:
+        joined = unfold(fold_vectors(balanced, folds, fold_col), counts)
     sums = []
     for f in folds:
         times = F.col(f"m{f}") * F.col("tf")
@@ -101,21 +112,25 @@ def nb_score(rows: DataFrame, counts: DataFrame, weights: DataFrame, priors: Dat
 
     A text without known tokens keeps the prior (left join).
     """
-    keys = rows.select(fold_col, "id")
-    contrib = (keys.join(counts, "id")
+    contrib = (unfold(*keyed(rows, counts, fold_col))
                    .join(weights.select(fold_col, "token", "w"), [fold_col, "token"])
                    .groupBy(fold_col, "id")
                    .agg(F.sum(F.col("w") * F.col("tf") / F.col("n_tok")).alias("_s")))
-    out = (rows.join(contrib, [fold_col, "id"], "left")
+    out = (rows.drop("n_tok", "terms", "places").join(contrib, [fold_col, "id"], "left")
                .join(priors.select(fold_col, "prior"), fold_col)
                .withColumn("logit", F.col("prior") + F.coalesce(F.col("_s"), F.lit(0.0)))
                .withColumn("prob", sigmoid(F.col("logit"))))
     return out.drop("_s", "prior")
 
 
+def keyed(rows: DataFrame, counts: DataFrame, fold_col: str = "fold") -> tuple[DataFrame, DataFrame]:
+    """The keys of ``rows``, with their tokens where the rows carry them, and the token table: what ``unfold`` takes."""
+    return rows.select(fold_col, "id", *[c for c in ("n_tok", "terms", "places") if c in rows.columns]), counts
+
+
 def class_probabilities(df: DataFrame, prob: str = "prob") -> DataFrame:
     """Two-class probability columns ``p0, p1`` from the class-1 probability."""
     return df.withColumn("p1", F.col(prob)).withColumn("p0", F.lit(1.0) - F.col(prob))
 
 
-__all__ = ["train_multiplicity", "nb_fit", "nb_priors", "nb_score", "class_probabilities"]
+__all__ = ["keyed", "train_multiplicity", "nb_fit", "nb_priors", "nb_score", "class_probabilities"]

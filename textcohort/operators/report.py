@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from textcohort.functions.text import CLEAN_RULES_BASE, clean_text, join_rounded, \
     trim_tail_chars, trim_tail_items
 from textcohort.operators.index import ordered_index
+from textcohort.operators.text import unfold
 
 
 def _order(descending: bool):
@@ -122,8 +123,9 @@ def stoplist_tokens(rows: DataFrame, counts: DataFrame, stop: Sequence[str], fol
     """Per ``(fold, id)`` row: token occurrences kept and dropped by a stop list, the row's base entry (the
     empty token) included.  Counted from the token counts; no model and no occurrence table."""
     listed = F.col("token").isin(list(stop))
-    per_text = counts.groupBy("id").agg(F.sum(F.when(listed, 0).otherwise(F.col("tf"))).alias("_kept"),
-                                        F.sum(F.when(listed, F.col("tf")).otherwise(0)).alias("_dropped"))
+    flat = unfold(counts.select("id", "n_tok", "terms")) if "terms" in counts.columns else counts
+    per_text = flat.groupBy("id").agg(F.sum(F.when(listed, 0).otherwise(F.col("tf"))).alias("_kept"),
+                                      F.sum(F.when(listed, F.col("tf")).otherwise(0)).alias("_dropped"))
     base = int("" in stop)
     return rows.select(fold_col, "id").join(per_text, "id", "left").select(
         fold_col, "id", (F.coalesce("_kept", F.lit(0)) + (1 - base)).cast("int").alias("n_kept"),

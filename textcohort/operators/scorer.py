@@ -45,12 +45,15 @@ def score_with(df: DataFrame, factory: ScorerFactory, out: str = "prob") -> Data
 def nb_inputs(rows: DataFrame, counts: DataFrame, weights: DataFrame, priors: DataFrame, fold_col: str = "fold") -> DataFrame:
     """``rows`` with what a linear scorer needs, joined by Spark: ``prior``, ``n_tok`` and the arrays ``tf`` and
     ``w`` of the text's tokens that the fold's model knows.  An array is bounded by one text."""
-    known = (rows.select(fold_col, "id").join(counts.select("id", "token", "tf", "n_tok"), "id")
+    from textcohort.operators.model import keyed
+    from textcohort.operators.text import unfold
+
+    known = (unfold(*keyed(rows, counts, fold_col)).select(fold_col, "id", "token", "tf", "n_tok")
                  .join(weights.select(fold_col, "token", "w"), [fold_col, "token"])
                  .groupBy(fold_col, "id")
                  .agg(F.first("n_tok").alias("n_tok"), F.collect_list(F.struct("tf", "w")).alias("_t")))
     known = known.select(fold_col, "id", "n_tok", F.col("_t.tf").alias("tf"), F.col("_t.w").alias("w"))
-    return rows.join(known, [fold_col, "id"], "left").join(priors.select(fold_col, "prior"), fold_col)
+    return rows.drop("n_tok", "terms", "places").join(known, [fold_col, "id"], "left").join(priors.select(fold_col, "prior"), fold_col)
 
 
 def nb_scorer_factory() -> ScorerFactory:

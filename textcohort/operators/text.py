@@ -1,4 +1,8 @@
-"""Token tables.  A text is tokenised once, whatever the number of folds that use it."""
+"""Token tables.  A text is tokenised once, whatever the number of folds that use it.
+
+The table that fits, scores and attributions read has one row per text (``text_terms``), with the text's folds beside its
+tokens: a stage unfolds the texts it needs and joins nothing by text.  It is ordinary Parquet in parts of a bounded number
+of bytes, so it has no limit on the number of texts."""
 
 from __future__ import annotations
 
@@ -31,6 +35,31 @@ def token_counts(tokens: DataFrame) -> DataFrame:
                                           F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
+def text_terms(counts: DataFrame) -> DataFrame:
+    """``(id, n_tok, terms, places)``: one row per text that has tokens; ``terms`` an array of ``(token, tf)``, ``places`` the
+    positions of each.  On counts that are dealt by ``id`` this needs no shuffle; an array is bounded by its text."""
+    whole = counts.groupBy("id").agg(F.first("n_tok").alias("n_tok"), F.collect_list(F.struct("token", "tf", "positions")).alias("_t"))
+    return whole.select("id", "n_tok", F.transform("_t", lambda t: F.struct(t["token"].alias("token"), t["tf"].alias("tf"))).alias("terms"),
+                        F.col("_t.positions").alias("places"))
+
+
+def unfold(rows: DataFrame, texts: DataFrame | None = None, positions: bool = False) -> DataFrame:
+    """``rows`` with one row per distinct token of their text: ``n_tok, token, tf`` and, if wanted, ``positions``.
+
+    Rows that carry ``terms`` are unfolded as they are.  Others first meet the texts (one row per text) by ``id``, so the tokens
+    themselves are never joined or shuffled; a flat token table is joined as it is.  Positions are a column of their own,
+    which is read only where they are wanted."""
+    if "terms" not in rows.columns:
+        if "terms" not in texts.columns:
+            return rows.join(texts, "id")
+        rows = rows.join(texts.select("id", "n_tok", "terms", "places"), "id")
+    others = [c for c in rows.columns if c not in ("terms", "places")]
+    if positions:
+        both = rows.select(*others, F.explode(F.arrays_zip("terms", "places")).alias("_both"))
+        return both.select(*others, "_both.terms.token", "_both.terms.tf", F.col("_both.places").alias("positions"))
+    return rows.select(*others, F.explode("terms").alias("_term")).select(*others, "_term.token", "_term.tf")
+
+
 def word_token_check(docs: DataFrame, tokens_col: str = "tokens", text_col: str = "text") -> DataFrame:
     """Words (single-space split of the text) against tokens, per row."""
     return docs.withColumn("n_words", word_count(F.col(text_col))) \

@@ -31,8 +31,7 @@ def run_workflow(cohort: DataFrame, out_dir: str, *, neg_code: int = 6, folds: i
                  digits: int = 6, consensus_class: int = 0, example_fold: int | None = None,
                  picks=None, on_invalid: str = "raise") -> dict[str, str]:
     """``cohort``: ``(id, code, label, text)`` (see ``operators.cohort.build_cohort``).  The example table's
-    fold and picks are those of the study with this ``neg_code``; for another code they must be given.
-    The catalog entries of the run's bucketed tables are dropped at the end."""
+    fold and picks are those of the study with this ``neg_code``; for another code they must be given."""
     if (example_fold is None or picks is None) and neg_code not in EXAMPLES:
         raise ValueError(f"no example picks for negative code {neg_code}: give example_fold and picks")
     if example_fold is None:
@@ -57,7 +56,7 @@ def run_workflow(cohort: DataFrame, out_dir: str, *, neg_code: int = 6, folds: i
     ranked = S.rank_normalise(preds, ["fold"], "pred", "id", out="rank")
     paths["rank_score"] = IO.write_report(S.format_report(S.fold_report(WF.rank_report(ranked, digits))), f"{out}/rank_score.tsv")
 
-    rows = m.rows("test")
+    rows = m.texts("test")
     attr1 = AT.linear_attribution(rows, m.counts, m.weights, m.priors, target_class=1)
     paths["attribution"] = IO.write_attributions(attr1, f"{out}/attribution")
     attr1 = IO.read_attributions(cohort.sparkSession, paths["attribution"])
@@ -66,7 +65,7 @@ def run_workflow(cohort: DataFrame, out_dir: str, *, neg_code: int = 6, folds: i
     cons = IO.materialize(CS.model_consensus(rows, m.counts, m.weights, m.priors, consensus_class), "consensus")
     paths["consensus"] = IO.write_delimited(cons, f"{out}/consensus")
     paths["consensus_raw"] = IO.write_delimited(CS.consensus_raw(attr_c), f"{out}/consensus_raw")
-    n_examples = rows.count()
+    n_examples = m.rows("test").count()
     top = CS.consensus_top(cons, -(-n_examples // 10))
     paths["consensus_top"] = IO.write_delimited(top, f"{out}/consensus_top")
     paths["tbl_consensus"] = IO.write_delimited(CS.consensus_abs(top), f"{out}/tbl_consensus.csv", sep=",")
@@ -74,5 +73,4 @@ def run_workflow(cohort: DataFrame, out_dir: str, *, neg_code: int = 6, folds: i
     picked = IO.materialize(RP.example_picks(ranked, example_fold, picks), "picks")
     example = RP.example_report(picked, cohort.select("id", "text"), attr1, picks)
     paths["example"] = IO.write_delimited(example.drop("pick"), f"{out}/example.tsv")
-    IO.drop_bucketed(cohort.sparkSession)
     return paths

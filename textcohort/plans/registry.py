@@ -556,7 +556,7 @@ top AS (SELECT word, count, shap_avg FROM top1 WHERE rn > 10 AND rn <= n - 3)"""
 
 
 def attributions(m: WF.FittedFolds, target_class: int = 1) -> DataFrame:
-    return AT.linear_attribution(m.rows("test"), m.counts, m.weights, m.priors, target_class)
+    return AT.linear_attribution(m.texts("test"), m.counts, m.weights, m.priors, target_class)
 
 
 def min_count_of(m: WF.PreparedFolds) -> int:
@@ -566,7 +566,7 @@ def min_count_of(m: WF.PreparedFolds) -> int:
 
 def consensus_of(spark, sf_dir) -> tuple[DataFrame, int]:
     m = fitted(spark, sf_dir)
-    return CS.model_consensus(m.rows("test"), m.counts, m.weights, m.priors, target_class=0), min_count_of(m)
+    return CS.model_consensus(m.texts("test"), m.counts, m.weights, m.priors, target_class=0), min_count_of(m)
 
 
 @register("token_attribution", f"WITH {SQL_ATTR} SELECT fold, id, pos, token, round(phi, 6) AS phi FROM attr")
@@ -581,7 +581,7 @@ FROM attr a JOIN scored_test s ON a.fold = s.fold AND a.id = s.id JOIN prio p ON
 GROUP BY a.fold, a.id, s.logit, p.prior, p.mean_shift""")
 def q_attr_sum(spark, sf_dir):
     m = fitted(spark, sf_dir)
-    scored = M.nb_score(m.rows("test"), m.counts, m.weights, m.priors)
+    scored = M.nb_score(m.texts("test"), m.counts, m.weights, m.priors)
     tot = attributions(m).groupBy("fold", "id").agg(F.sum("phi").alias("_s"))
     j = tot.join(scored.select("fold", "id", "logit"), ["fold", "id"]).join(m.priors, "fold")
     return j.select("fold", "id", F.round(F.col("_s") - (F.col("logit") - F.col("prior") - F.col("mean_shift")), 6)
@@ -595,7 +595,7 @@ SELECT fold, id, pos, token, round(1.0 / (1.0 + exp(-logit)) - 1.0 / (1.0 + exp(
   prior + (n * (logit - prior) - w) / (n - 1) ELSE prior END))), 6) AS phi FROM occl""")
 def q_occlusion(spark, sf_dir):
     m = fitted(spark, sf_dir)
-    rows = m.rows("test")
+    rows = m.texts("test")
     scored = M.nb_score(rows, m.counts, m.weights, m.priors)
     a = AT.occlusion_attribution(rows, m.counts, m.weights, scored, m.priors)
     return a.select("fold", "id", F.col("pos").cast("long").alias("pos"), "token", r6("phi"))
@@ -615,7 +615,7 @@ def q_attr_store(spark, sf_dir):
 @register("normalise_word", f"WITH {SQL_ATTR} SELECT DISTINCT token, word FROM words")
 def q_normalise_word(spark, sf_dir):
     m = prepared(spark, sf_dir)
-    seen = m.rows("test").select("id").distinct().join(m.counts.select("id", "token"), "id").select("token")
+    seen = TX.unfold(m.texts("test")).select("token")
     # every attributed text also has its base entry, the empty token
     return CS.with_words(seen.unionByName(m.rows("test").select(F.lit("").alias("token"))).distinct()).select("token", "word")
 
@@ -623,7 +623,7 @@ def q_normalise_word(spark, sf_dir):
 @register("word_count", f"WITH {SQL_ATTR} SELECT word, count(*) AS count FROM words GROUP BY word")
 def q_word_count(spark, sf_dir):
     m = prepared(spark, sf_dir)
-    return CS.token_word_count(m.rows("test"), m.counts)
+    return CS.token_word_count(m.texts("test"), m.counts)
 
 
 @register("consensus", f"WITH {SQL_ATTR} SELECT word, count, round(shap_avg, 6) AS shap_avg FROM cons")
@@ -851,13 +851,13 @@ def q_model_roundtrip(spark, sf_dir):
     wp = IO.write_table(m.weights, scratch_path(spark, "nb-model-weights"))
     pp = IO.write_table(m.priors, scratch_path(spark, "nb-model-priors"))
     w, p = IO.read_table_at(spark, wp), IO.read_table_at(spark, pp)
-    return M.nb_score(m.rows("test"), m.counts, w, p).select("fold", "id", "label", r6("prob"))
+    return M.nb_score(m.texts("test"), m.counts, w, p).select("fold", "id", "label", r6("prob"))
 
 
 @register("score_map_in_pandas", f"WITH {SQL_NB}, {sql_scored('test')} SELECT fold, id, label, round(prob, 6) AS prob FROM scored_test")
 def q_score_map_in_pandas(spark, sf_dir):
     m = fitted(spark, sf_dir)
-    inputs = SC.nb_inputs(m.rows("test"), m.counts, m.weights, m.priors)
+    inputs = SC.nb_inputs(m.texts("test"), m.counts, m.weights, m.priors)
     return SC.score_with(inputs, SC.nb_scorer_factory()).select("fold", "id", "label", r6("prob"))
 
 

@@ -16,20 +16,29 @@ from textcohort.operators import model as M
 from textcohort.operators import scoring as S
 from textcohort.operators import split as SP
 from textcohort.operators import text as TX
-from textcohort.sources.io import bucket_count, materialize
+from textcohort.sources.io import materialize
+
+#: Text bytes that one task tokenises, and below which a cohort is not cut further.
+PART_BYTES, LEAST_PART_BYTES = 128 << 20, 1 << 20
 
 
 @dataclass
 class PreparedFolds:
     cohort: DataFrame      # (id, code, label, text) — raw text, read again only for reports
-    docs: DataFrame        # (id, code, label) — written once
-    split: DataFrame       # (fold, id, label, split) — written once, id-bucketed
-    counts: DataFrame      # (id, token, tf, n_tok, positions) — written once, id-bucketed
-    buckets: int
+    docs: DataFrame        # (id, code, label, bytes) — written once
+    split: DataFrame       # (fold, id, label, split) — written once, narrow
+    counts: DataFrame      # (id, label, folds, n_tok, terms, places) — one row per text, written once
 
     def rows(self, which: str = "test") -> DataFrame:
+        """``(fold, id, label)`` of one split."""
         return self.split.filter(F.col("split") == which).select("fold", "id", "label")
 
+    def texts(self, which: str = "test") -> DataFrame:
+        """``(fold, id, label, n_tok, terms, places)``: the same rows with their tokens, without a join."""
+        own = F.filter("folds", lambda x: x["split"] == which)
+        return self.counts.select("id", "label", "n_tok", "terms", "places", F.explode(own).alias("_fold")).select(
+            "_fold.fold", "id", "label", "n_tok", "terms", "places")
+
 
 @dataclass
 class FittedFolds(PreparedFolds):
@@ -39,41 +48,62 @@ class FittedFolds(PreparedFolds):
 
 
 def cohort_keys(cohort: DataFrame) -> DataFrame:
-    """``(id, code, label)`` of the cohort, written once (the text filters are evaluated once)."""
-    return materialize(cohort.select("id", "code", "label"), "cohort-keys")
+    """``(id, code, label, bytes)`` of the cohort, written once (the text filters are evaluated once)."""
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes")
+    return materialize(cohort.select("id", "code", "label", size), "cohort-keys")
+
+
+def text_parts(total_bytes: int, cores: int) -> int:
+    """Into how many parts texts are dealt: parts of at most ``PART_BYTES``, and enough of them for all cores where the
+    texts are more than ``LEAST_PART_BYTES`` a core."""
+    by_bytes = -(-total_bytes // PART_BYTES)
+    return max(1, by_bytes, min(cores, -(-total_bytes // LEAST_PART_BYTES)))
+
+
+def text_table(cohort: DataFrame, docs: DataFrame, split: DataFrame, balanced: DataFrame | None = None) -> DataFrame:
+    """``(id, label, folds, n_tok, terms, places)``: one row per text of the cohort with its place in every fold (``fold, split, mult``, as many
+    as there are folds) and its tokens.  Texts are dealt by id once; counting, nesting and the join use that partitioning.
+    A text without tokens has null ``n_tok`` and ``terms``."""
+    total = docs.agg(F.sum("bytes").alias("n")).first().n or 0
+    dealt = cohort.select("id", "text").repartition(text_parts(total, cohort.sparkSession.sparkContext.defaultParallelism), "id")
+    terms = TX.text_terms(TX.token_counts(TX.doc_tokens(dealt)))
+    placed = split.withColumn("mult", F.lit(None).cast("long"))
+    if balanced is not None:
+        placed = split.join(balanced.select("fold", "id", "mult"), ["fold", "id"], "left")
+    folds = placed.groupBy("id").agg(F.max("label").alias("label"), F.collect_list(F.struct("fold", "split", "mult")).alias("folds"))
+    return materialize(terms.join(folds, "id", "right").select("id", "label", "folds", "n_tok", "terms", "places"), "texts")
 
 
 def prepare_folds(cohort: DataFrame, folds: int = 10, seed: int = 0) -> PreparedFolds:
     """Split every fold and count every text's tokens; no model is fitted.
 
     The raw text is read twice: once for the narrow cohort keys and once to count tokens (with
-    positions), which is all that models and attributions read.  The texts are dealt by id once; the
-    counting and the bucketed write use that partitioning, so tokens are never shuffled.
-    """
+    positions), which is all that models and attributions read."""
+    docs, split = _split(cohort, folds, seed)
+    return PreparedFolds(cohort, docs, split, text_table(cohort, docs, split))
+
+
+def _split(cohort: DataFrame, folds: int, seed: int) -> tuple[DataFrame, DataFrame]:
     docs = cohort_keys(cohort)
-    # the bucket count follows the number of texts (a Parquet metadata count of the written keys)
-    nb = bucket_count(docs.count())
-    dealt = cohort.select("id", "text").repartition(nb, "id")
-    counts = materialize(TX.token_counts(TX.doc_tokens(dealt)), "token-counts", bucket_by=["id"], buckets=nb, dealt=True)
-    split = materialize(SP.split_assign(docs.select("id", "label"), folds=folds, seed=seed), "split", bucket_by=["id"], buckets=nb)
-    return PreparedFolds(cohort, docs, split, counts, nb)
+    return docs, materialize(SP.split_assign(docs.select("id", "label"), folds=folds, seed=seed), "split")
 
 
 def fit_folds(cohort: DataFrame, folds: int = 10, seed: int = 0, alpha: float = 1.0) -> FittedFolds:
-    """``prepare_folds``, then balance and fit every fold.  Results that several later stages read are
+    """Split, balance and fit every fold.  Results that several later stages read are
     written once to the shared checkpoint folder."""
-    m = prepare_folds(cohort, folds, seed)
+    docs, split = _split(cohort, folds, seed)
     # train rows with their oversampling multiplicity (no materialised copies, no hot keys)
-    balanced = materialize(SP.oversample_multiplicity(m.split, seed=seed), "train-mult", bucket_by=["id"], buckets=m.buckets)
-    weights, _ = M.nb_fit(balanced, m.counts, alpha=alpha)
+    balanced = materialize(SP.oversample_multiplicity(split, seed=seed), "train-mult")
+    texts = text_table(cohort, docs, split, balanced)
+    weights, _ = M.nb_fit(balanced, texts, alpha=alpha)
     weights = materialize(weights, "nb-weights")
     priors = materialize(M.nb_priors(balanced, weights), "nb-priors")    # one row per fold
-    return FittedFolds(m.cohort, m.docs, m.split, m.counts, m.buckets, balanced, weights, priors)
+    return FittedFolds(cohort, docs, split, texts, balanced, weights, priors)
 
 
 def score_split(m: FittedFolds, which: str = "test") -> DataFrame:
     """``(fold, id, label, logit, prob)`` for one split of every fold."""
-    return M.nb_score(m.rows(which), m.counts, m.weights, m.priors).select("fold", "id", "label", "logit", "prob")
+    return M.nb_score(m.texts(which), m.counts, m.weights, m.priors).select("fold", "id", "label", "logit", "prob")
 
 
 def scaled_predictions(m: FittedFolds, which: str = "test", round_digits: int = 9) -> DataFrame:

@@ -101,56 +101,18 @@ def read_table_at(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def bucket_count(rows: int, rows_per_bucket: int = 256) -> int:
-    """Buckets for id-bucketed tables: about ``rows_per_bucket`` texts per bucket (each text
-    contributes its distinct tokens with their positions to the count table), so a bucket's size
-    does not grow with the corpus.  Every table of one run uses the same count, so bucketed
-    sides join without re-partitioning."""
-    return max(1, -(-rows // rows_per_bucket))
-
-
-#: Bucketed tables of each application, for ``drop_bucketed``.
-_BUCKETED: dict[str, list[str]] = {}
-
-
-def drop_bucketed(spark: SparkSession) -> int:
-    """Drop the catalog entries of the bucketed tables written so far; returns how many.  Call it when
-    no DataFrame that reads them is needed any more; the files go with the checkpoint folder."""
-    tables = _BUCKETED.pop(spark.sparkContext.applicationId, [])
-    for table in tables:
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
-    return len(tables)
-
-
-def materialize(df: DataFrame, name: str, partition_by: Sequence[str] | None = None,
-                bucket_by: Sequence[str] | None = None, buckets: int = 1, dealt: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by: Sequence[str] | None = None) -> DataFrame:
     """Write ``df`` once as Parquet under the session's shared checkpoint folder and read it back.
 
-    Used where a result is consumed by several later stages (split assignment, token counts,
+    Used where a result is consumed by several later stages (split assignment, token table,
     model tables): it cuts the lineage (recovery after a lost executor restarts from the written
     table, not from the raw text), keeps query plans small, and gives the optimizer real sizes.
-
-    ``bucket_by`` writes an external bucketed table (same bucket count for every table), so
-    later joins on that key read the big side in place and shuffle only the other side.  ``dealt`` says
-    that ``df`` is already hash-partitioned by that key into as many partitions.
     """
-    import uuid
-
     from textcohort.session import scratch_path
 
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = scratch_path(df.sparkSession, name)
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    if bucket_by:
-        n = buckets
-        table = f"tc_{name.replace('-', '_')}_{uuid.uuid4().hex[:12]}"
-        # hash-partition on the bucket key first (same hash as the buckets): one file per bucket
-        w = (df if dealt else df.repartition(n, *bucket_by)).write.mode("overwrite")
-        w.bucketBy(n, *bucket_by).sortBy(*bucket_by) \
-         .option("path", path).format("parquet").saveAsTable(table)
-        _BUCKETED.setdefault(spark.sparkContext.applicationId, []).append(table)
-        return spark.table(table)
     w.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
