@@ -1,9 +1,9 @@
 """Run the whole workflow and write every output table, like the original scripts did.
 
     cohort TSV (label, comment, id)            -> <out>/cohort_<neg>.tsv/
-    predictions, partitioned by fold and seed  -> <out>/pred/
+    predictions, by fold and seed              -> <out>/pred/ (other seeds' stay)
     score report (fold, auc, auprc, pear)      -> <out>/score.tsv/
-    attributions, partitioned by fold          -> <out>/attribution/
+    attributions, by fold and seed             -> <out>/attribution/ (other seeds' stay)
     word consensus (word, count, shap_avg)     -> <out>/consensus/ (+ raw chunks in consensus_raw/)
     top words, sliced                          -> <out>/consensus_top/
     absolute top-word table (CSV)              -> <out>/tbl_consensus.csv/
@@ -58,8 +58,8 @@ def run_workflow(cohort: DataFrame, out_dir: str, *, neg_code: int = 6, folds: i
 
     rows = m.texts("test")
     attr1 = AT.linear_attribution(rows, m.counts, m.weights, m.priors, target_class=1)
-    paths["attribution"] = IO.write_attributions(attr1, f"{out}/attribution")
-    attr1 = IO.read_attributions(cohort.sparkSession, paths["attribution"])
+    paths["attribution"] = IO.write_attributions(attr1.withColumn("seed", F.lit(seed)), f"{out}/attribution")
+    attr1 = IO.read_attributions(cohort.sparkSession, paths["attribution"], seed=seed, folds=range(folds)).drop("seed")
     attr_c = attr1 if consensus_class == 1 else attr1.withColumn("phi", -F.col("phi"))
 
     cons = IO.materialize(CS.model_consensus(rows, m.counts, m.weights, m.priors, consensus_class), "consensus")

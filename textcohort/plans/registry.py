@@ -845,6 +845,20 @@ def q_pred_store(spark, sf_dir):
     return back.select(F.col("fold").cast("int").alias("fold"), F.col("seed").cast("int").alias("seed"), "id", r6("pred"))
 
 
+@register("pred_store_grid", f"""WITH {SQL_PREDS}
+SELECT fold, CAST(seed AS INTEGER) AS seed, id,
+       round(CASE WHEN seed = 0 THEN pred WHEN fold = 0 THEN pred / 2 ELSE 1 - pred END, 6) AS pred
+FROM preds CROSS JOIN (SELECT unnest([0, 1]) AS seed) WHERE fold < 2""")
+def q_pred_store_grid(spark, sf_dir):
+    """Two folds and two seeds written by four launches, then one of them written again."""
+    p = WF.scaled_predictions(fitted(spark, sf_dir)).select("fold", "id", "pred")
+    path = scratch_path(spark, "pred-store-grid")
+    pred = F.col("pred")
+    for fold, seed, value in ((0, 0, pred), (1, 0, pred), (0, 1, 1 - pred), (1, 1, 1 - pred), (0, 1, pred / 2)):
+        IO.write_predictions(p.filter(F.col("fold") == fold).select("fold", F.lit(seed).alias("seed"), "id", value.alias("pred")), path)
+    return IO.read_predictions(spark, path).select("fold", "seed", "id", r6("pred"))
+
+
 @register("model_roundtrip", f"WITH {SQL_NB}, {sql_scored('test')} SELECT fold, id, label, round(prob, 6) AS prob FROM scored_test")
 def q_model_roundtrip(spark, sf_dir):
     m = fitted(spark, sf_dir)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from textcohort.sources.store import KEYS, read_store, write_store
 
 # Spellings that a delimited file may use for a missing value.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
@@ -62,34 +63,26 @@ def write_report(report: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
-def write_predictions(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """Prediction store: ``(fold, seed, id, pred)`` partitioned by fold and seed."""
-    df.write.mode(mode).partitionBy("fold", "seed").parquet(path)
-    return path
+def write_predictions(df: DataFrame, path: str) -> str:
+    """Prediction store: ``(fold, seed, id, pred)``.  Replaces the (fold, seed) pairs that ``df`` has, keeps all others."""
+    return write_store(df, path)
 
 
 def read_predictions(spark: SparkSession, path: str, fold: int | None = None,
                      seed: int | None = None) -> DataFrame:
-    """Load predictions; a fold / seed filter prunes partitions at the scan."""
-    df = spark.read.parquet(path)
-    if fold is not None:
-        df = df.filter(df["fold"] == fold)
-    if seed is not None:
-        df = df.filter(df["seed"] == seed)
-    return df
+    """Load predictions; only the folders of the wanted folds and seeds are read."""
+    return read_store(spark, path, fold=fold, seed=seed)
 
 
-def write_attributions(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """Attribution store: long table ``(fold, id, pos, token, phi)`` partitioned by fold."""
-    df.write.mode(mode).partitionBy("fold").parquet(path)
-    return path
+def write_attributions(df: DataFrame, path: str) -> str:
+    """Attribution store: long table ``(fold, id, pos, token, phi)``, with a ``seed`` or without.  Replaces the folds (or fold
+    and seed pairs) that ``df`` has, keeps all others."""
+    return write_store(df, path, [k for k in KEYS if k in df.columns])
 
 
-def read_attributions(spark: SparkSession, path: str, folds: Sequence[int] | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
-    if folds is not None:
-        df = df.filter(df["fold"].isin(list(folds)))
-    return df
+def read_attributions(spark: SparkSession, path: str, folds: Sequence[int] | None = None, seed: int | None = None) -> DataFrame:
+    only = {} if seed is None else {"seed": seed}
+    return read_store(spark, path, fold=folds, **only)
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> str:
