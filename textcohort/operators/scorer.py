@@ -17,19 +17,18 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 ScorerFactory = Callable[[], Callable[[pd.DataFrame], pd.Series]]
 
 
-def _ship_by_value() -> None:
-    """Pickle this module's functions by value, so Python workers need no copy of the package
-    (the only code of this package that runs inside Python workers lives here)."""
+def ship_by_value(module: str = __name__) -> None:
+    """Pickle a module's functions by value, so Python workers need no copy of the package."""
     import sys
 
     from pyspark import cloudpickle
 
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
 def score_with(df: DataFrame, factory: ScorerFactory, out: str = "prob") -> DataFrame:
     """Add column ``out`` computed by ``factory()(batch)`` for every Arrow batch of ``df``."""
-    _ship_by_value()
+    ship_by_value()
     schema = StructType(list(df.schema.fields) + [StructField(out, DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,4 +78,4 @@ def nb_scorer_factory() -> ScorerFactory:
     return factory
 
 
-__all__ = ["score_with", "nb_inputs", "nb_scorer_factory"]
+__all__ = ["ship_by_value", "score_with", "nb_inputs", "nb_scorer_factory"]

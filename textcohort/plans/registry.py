@@ -1010,3 +1010,116 @@ def q_survey_scan(spark, sf_dir):
         F.concat(F.lit(" "), "lang", F.lit(" ")).alias(c3), F.lit(None).cast("string").alias(c4), F.col("doc_id").alias(T.SURVEY_ID))
     path = IO.write_delimited(export, scratch_path(spark, "survey-csv"), sep=",")
     return T.survey_from_csv(spark, path).select("id", "diagnosis", "comment")
+
+
+# ----------------------------------------------------------------------------------------------
+# All folds' regressions in one pass per evaluation: a trace of epochs, and the optimum
+# ----------------------------------------------------------------------------------------------
+
+from textcohort.operators import optimise as OP  # noqa: E402
+
+EPOCHS, RATE = 3, 20.0
+
+
+def sql_epoch(e: int) -> str:
+    """One step of gradient descent from the weights of epoch ``e`` (0: all zero), and that epoch's probabilities."""
+    z = "0.0" if e == 0 else "coalesce(s.z, 0.0) + b.w"
+    joins = "" if e == 0 else f"""LEFT JOIN (SELECT o.fold, o.id, sum(x * w) AS z FROM own o JOIN feats USING (id) JOIN w{e} ON w{e}.fold = o.fold AND w{e}.slot = feats.slot
+                                 GROUP BY o.fold, o.id) s ON s.fold = o.fold AND s.id = o.id JOIN w{e} b ON b.fold = o.fold AND b.slot = -1"""
+    old = "0.0" if e == 0 else "coalesce(w, 0.0)"
+    last = "" if e == 0 else f"FULL JOIN w{e} USING (fold, slot)"
+    return f"""
+z{e} AS (SELECT o.*, 1.0 / (1.0 + exp(-CAST({z} AS DOUBLE))) AS p FROM own o {joins}),
+g{e} AS (SELECT fold, slot, sum(x * m * (p - label)) / max(mass) AS g FROM z{e} JOIN feats USING (id) JOIN masses USING (fold) WHERE m > 0 GROUP BY fold, slot
+         UNION ALL SELECT fold, -1, sum(m * (p - label)) / max(mass) FROM z{e} JOIN masses USING (fold) GROUP BY fold),
+w{e + 1} AS (SELECT fold, slot, {old} - {RATE} * (coalesce(g, 0.0) + CASE WHEN slot >= 0 THEN {OP.REG} * {old} ELSE 0.0 END) AS w FROM g{e} {last})"""
+
+
+SQL_EPOCHS = SQL_NB + f""",
+feats AS (SELECT id, CAST(CAST('0x' || substr(md5(token), 1, 15) AS BIGINT) % {OP.SLOTS} AS INTEGER) AS slot, tf / CAST(n_tok AS DOUBLE) AS x FROM tfs),
+own AS (SELECT s.fold, s.id, s.label, s.split = 'vali' AS held, CASE WHEN s.split = 'train' THEN m.mult ELSE 0 END AS m
+        FROM split s LEFT JOIN mult m ON m.fold = s.fold AND m.id = s.id WHERE s.split <> 'test'),
+masses AS (SELECT fold, CAST(sum(m) AS DOUBLE) AS mass FROM own GROUP BY fold),
+{",".join(sql_epoch(e) for e in range(EPOCHS + 1))},
+judged AS ({" UNION ALL ".join(f"SELECT {e} AS epoch, fold, p, label, m, held FROM z{e}" for e in range(1, EPOCHS + 1))}),
+losses AS (SELECT epoch, j.fold, sum(m * -CASE WHEN label = 1 THEN ln(p) ELSE ln(1 - p) END) / max(mass) AS loss FROM judged j JOIN masses USING (fold) GROUP BY epoch, j.fold),
+norms AS ({" UNION ALL ".join(f"SELECT {e} AS epoch, fold, sum(w * w) AS q FROM w{e} WHERE slot >= 0 GROUP BY fold" for e in range(1, EPOCHS + 1))}),
+scores AS (SELECT epoch, fold, CASE WHEN var_pop(p) > 1e-18 AND var_pop(label) > 0 THEN covar_pop(p, label) / sqrt(var_pop(p) * var_pop(label)) END AS pearson
+           FROM judged WHERE held GROUP BY epoch, fold),
+placed AS (SELECT epoch, fold, loss + {OP.REG} / 2 * q AS loss, pearson, row_number() OVER (PARTITION BY fold ORDER BY coalesce(pearson, -2) DESC, epoch) = 1 AS chosen,
+                  max(pearson) OVER (PARTITION BY fold ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS best
+           FROM losses JOIN norms USING (epoch, fold) LEFT JOIN scores USING (epoch, fold))"""
+
+
+def fold_features(m: WF.FittedFolds) -> DataFrame:
+    return OP.fold_features(m.counts, list(range(FOLDS)))
+
+
+@register("epoch_trace", f"""WITH {SQL_EPOCHS}
+SELECT CAST(epoch AS INTEGER) AS epoch, CAST(fold AS INTEGER) AS fold, round(loss, 6) AS loss, round(coalesce(pearson, CAST('NaN' AS DOUBLE)), 6) AS pearson,
+       round(coalesce(best, CAST('NaN' AS DOUBLE)), 6) AS best, chosen FROM placed""")
+def q_epoch_trace(spark, sf_dir):
+    """Three epochs of gradient descent for all folds: loss, validation Pearson, the best so far and the state chosen."""
+    trace = OP.descend(fold_features(fitted(spark, sf_dir)), list(range(FOLDS)), EPOCHS, RATE)
+    rows = spark.createDataFrame(trace.rows, "epoch int, fold int, loss double, pearson double, best double, chosen boolean")
+    return rows.select("epoch", "fold", r6("loss"), r6("pearson"), r6("best"), "chosen")
+
+
+@register("epoch_states", f"""WITH {SQL_EPOCHS}
+SELECT CAST(w.fold AS INTEGER) AS fold, CAST(slot AS INTEGER) AS slot, round(w, 6) AS w
+FROM ({" UNION ALL ".join(f"SELECT {e} AS epoch, fold, slot, w FROM w{e}" for e in range(1, EPOCHS + 1))}) w
+JOIN placed ON placed.fold = w.fold AND placed.epoch = w.epoch AND chosen WHERE w <> 0""")
+def q_epoch_states(spark, sf_dir):
+    """The chosen state's weights of every fold, read back from the tables that the epochs wrote."""
+    trace = OP.descend(fold_features(fitted(spark, sf_dir)), list(range(FOLDS)), EPOCHS, RATE)
+    states = trace.states[0]
+    for s in trace.states[1:]:
+        states = states.unionByName(s)
+    picked = spark.createDataFrame(list(trace.chosen.items()), "fold int, epoch int")
+    return states.join(F.broadcast(picked), ["fold", "epoch"]).select("fold", "slot", r6("w"))
+
+
+@register("lr_all_folds", f"WITH {SQL_OVERSAMPLE} SELECT CAST(fold AS INTEGER) AS fold, CAST(count(*) AS DOUBLE) AS mass, true AS stationary FROM balanced GROUP BY fold")
+def q_lr_all_folds(spark, sf_dir):
+    """All folds at their optimum: the gradient at the stored weights, recomputed by joins, is below 1e-5."""
+    data, folds = fold_features(fitted(spark, sf_dir)), list(range(FOLDS))
+    w, _ = OP.minimise(data, folds)
+    norms = OP.gradient_norms(data, OP.state_table(spark, w, folds, 0), folds)
+    return norms.select("fold", "mass", (F.col("norm") < 1e-5).alias("stationary"))
+
+
+from textcohort.operators import partition as PA  # noqa: E402
+
+MAX_EVALS = 180
+
+
+def sql_tree(depth: int) -> str:
+    """The node of the tree in which a position lies after ``depth`` halvings."""
+    steps = ["node0 AS (SELECT id, pos, token, n_tok, 0 AS lo, n_tok AS hi FROM placed_tokens)"]
+    for k in range(depth):
+        mid = "(lo + hi) // 2"
+        steps.append(f"""node{k + 1} AS (SELECT id, pos, token, n_tok, CASE WHEN hi - lo > 1 AND pos >= {mid} THEN {mid} ELSE lo END AS lo,
+                         CASE WHEN hi - lo > 1 AND pos < {mid} THEN {mid} ELSE hi END AS hi FROM node{k})""")
+    return ",\n".join(steps)
+
+
+@register("partition_attribution", f"""WITH {SQL_EPOCHS},
+placed_tokens AS (SELECT t.id, unnest(range(len(t.t))) AS pos, unnest(t.t) AS token, CAST(len(t.t) AS BIGINT) AS n_tok
+                  FROM toks t JOIN split s ON s.id = t.id AND s.fold = {EXAMPLE_FOLD} AND s.split = 'test'),
+{sql_tree(PA.levels(MAX_EVALS))},
+valued AS (SELECT n.*, coalesce(w, 0.0) / n_tok AS own FROM node{PA.levels(MAX_EVALS)} n
+           LEFT JOIN w{EPOCHS} w ON w.fold = {EXAMPLE_FOLD} AND w.slot = CAST('0x' || substr(md5(token), 1, 15) AS BIGINT) % {OP.SLOTS})
+SELECT CAST({EXAMPLE_FOLD} AS INTEGER) AS fold, id, pos, token, round(avg(own) OVER (PARTITION BY id, lo, hi), 6) AS phi FROM valued
+UNION ALL
+SELECT CAST({EXAMPLE_FOLD} AS INTEGER), s.id, -1, '', round(w.w, 6) FROM split s JOIN w{EPOCHS} w ON w.fold = {EXAMPLE_FOLD} AND w.slot = -1
+WHERE s.fold = {EXAMPLE_FOLD} AND s.split = 'test'""")
+def q_partition_attribution(spark, sf_dir):
+    """One fold's test texts under a scorer that is only a callable (the hashed model's logit, so the tree's values have a
+    closed form: a token's share, averaged over the tokens of its last node)."""
+    m = fitted(spark, sf_dir)
+    folds = list(range(FOLDS))
+    trace = OP.descend(OP.fold_features(m.counts, folds), folds, EPOCHS, RATE)
+    w = OP.weights_of(trace.states[-1], folds)
+    texts = TX.doc_tokens(m.cohort).join(m.rows("test").filter(F.col("fold") == EXAMPLE_FOLD).select("fold", "id"), "id")
+    a = PA.partition_attribution(texts, OP.slot_scorer(w, folds, probability=False), MAX_EVALS)
+    return a.select("fold", "id", F.col("pos").cast("long").alias("pos"), "token", r6("phi"))
