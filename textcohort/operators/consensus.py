@@ -16,6 +16,10 @@ from textcohort.operators.model import keyed
 from textcohort.operators.text import unfold
 
 
+#: Values in one piece of a word's list.
+LIST_VALUES = 1 << 16
+
+
 def with_words(attr: DataFrame, token_col: str = "token") -> DataFrame:
     return attr.withColumn("word", normalise_word(F.col(token_col)))
 
@@ -68,6 +72,23 @@ def consensus_raw(attr: DataFrame, fmt: str = "%.2f", sep: str = "_", fold_col:
                     F.array_join(F.transform("_v", lambda s: F.format_string(fmt, s["phi"])), sep).alias("raw"))
 
 
+def consensus_lists(attr: DataFrame, words: DataFrame, values: int = LIST_VALUES, fmt: str = "%.2f", sep: str = "_", fold_col: str = "fold") -> DataFrame:
+    """``(word, piece, n, raw)``: the whole value list of each of ``words``, in (fold, id, position) order, in pieces of ``values``
+    values.  Joining a word's pieces with ``sep`` gives the whole list; no group is larger than one piece.
+
+    Every occurrence gets its place from the distributed exact index over (word, fold, id, position), so a word may run over any
+    number of tasks; its first place is one aggregated row per word."""
+    from textcohort.operators.index import ordered_index
+
+    rows = with_words(attr).join(words.select("word"), "word", "left_semi").select("word", fold_col, "id", "pos", F.format_string(fmt, "phi").alias("_value"))
+    placed = ordered_index(rows, [], ["word", fold_col, "id", "pos"], out="_at")
+    first = placed.groupBy("word").agg(F.min("_at").alias("_first"))
+    nth = F.col("_at") - F.col("_first")
+    piece = placed.join(first, "word").select("word", F.floor(nth / values).cast("long").alias("piece"), nth.alias("_nth"), "_value")
+    listed = piece.groupBy("word", "piece").agg(F.array_sort(F.collect_list(F.struct("_nth", "_value"))).alias("_v"))
+    return listed.select("word", "piece", F.size("_v").cast("long").alias("n"), F.array_join(F.col("_v._value"), sep).alias("raw"))
+
+
 def consensus_top(cons: DataFrame, min_count, skip_head: int = 10, skip_tail: int = 3) -> DataFrame:
     """Words with ``count >= min_count``, then rows ``[skip_head : -skip_tail]`` in word order.
 

@@ -6,6 +6,7 @@
     attributions, by fold and seed             -> <out>/attribution/ (other seeds' stay)
     word consensus (word, count, shap_avg)     -> <out>/consensus/ (+ raw chunks in consensus_raw/)
     top words, sliced                          -> <out>/consensus_top/
+    whole value lists of the top words         -> <out>/shap_raw/ (in pieces)
     absolute top-word table (CSV)              -> <out>/tbl_consensus.csv/
     example table (gt, pred, text, shap)       -> <out>/example.tsv/
 
@@ -68,6 +69,7 @@ def run_workflow(cohort: DataFrame, out_dir: str, *, neg_code: int = 6, folds: i
     n_examples = m.rows("test").count()
     top = CS.consensus_top(cons, -(-n_examples // 10))
     paths["consensus_top"] = IO.write_delimited(top, f"{out}/consensus_top")
+    paths["shap_raw"] = IO.write_table(CS.consensus_lists(attr_c, top), f"{out}/shap_raw")
     paths["tbl_consensus"] = IO.write_delimited(CS.consensus_abs(top), f"{out}/tbl_consensus.csv", sep=",")
 
     picked = IO.materialize(RP.example_picks(ranked, example_fold, picks), "picks")

@@ -637,6 +637,18 @@ def q_consensus_raw(spark, sf_dir):
     return CS.consensus_raw(attributions(fitted(spark, sf_dir), target_class=0))
 
 
+@register("shap_raw", f"""WITH {SQL_ATTR},
+listed AS (SELECT word, printf('%.2f', phi) AS v, row_number() OVER (PARTITION BY word ORDER BY fold, id, pos) - 1 AS nth FROM words
+           WHERE word IN (SELECT word FROM top))
+SELECT word, nth // 500 AS piece, count(*) AS n, string_agg(v, '_' ORDER BY nth) AS raw FROM listed GROUP BY word, nth // 500""")
+def q_shap_raw(spark, sf_dir):
+    """The whole value lists of the words of the consensus table, in pieces of 500 values."""
+    m = fitted(spark, sf_dir)
+    attr = attributions(m, target_class=0)
+    cons = CS.model_consensus(m.texts("test"), m.counts, m.weights, m.priors, target_class=0)
+    return CS.consensus_lists(attr, CS.consensus_top(cons, min_count_of(m)), values=500)
+
+
 @register("consensus_top", f"WITH {SQL_ATTR} SELECT word, count, round(shap_avg, 6) AS shap_avg FROM top")
 def q_consensus_top(spark, sf_dir):
     cons, least = consensus_of(spark, sf_dir)
@@ -1123,3 +1135,37 @@ def q_partition_attribution(spark, sf_dir):
     texts = TX.doc_tokens(m.cohort).join(m.rows("test").filter(F.col("fold") == EXAMPLE_FOLD).select("fold", "id"), "id")
     a = PA.partition_attribution(texts, OP.slot_scorer(w, folds, probability=False), MAX_EVALS)
     return a.select("fold", "id", F.col("pos").cast("long").alias("pos"), "token", r6("phi"))
+
+
+# ----------------------------------------------------------------------------------------------
+# Matching by position: certified or refused
+# ----------------------------------------------------------------------------------------------
+
+from textcohort.operators import align as AL  # noqa: E402
+
+ALIGN_BLOCK = 16
+
+SQL_CERTIFICATE = """
+cert_{0} AS (SELECT fold, CAST(pos // 16 AS BIGINT) AS block, count(*) AS n, min(pos) AS first, max(pos) AS last,
+             CAST(sum(CAST('0x' || substr(md5(CAST(pos AS VARCHAR) || ':' || CAST(id AS VARCHAR)), 1, 9) AS BIGINT)) AS BIGINT) AS digest FROM {0} GROUP BY fold, pos // 16)"""
+
+
+@register("alignment_check", f"""WITH {SQL_SPLIT},
+whole AS (SELECT fold, id, row_number() OVER (PARTITION BY fold ORDER BY id) - 1 AS pos FROM split WHERE split = 'test'),
+sizes AS (SELECT fold, count(*) AS n FROM whole GROUP BY fold),
+less AS (SELECT fold, id, row_number() OVER (PARTITION BY fold ORDER BY id) - 1 AS pos FROM whole JOIN sizes USING (fold)
+         WHERE fold % 3 = 0 OR pos <> n // 2),
+{SQL_CERTIFICATE.format('whole')}, {SQL_CERTIFICATE.format('less')}
+SELECT CAST(coalesce(a.fold, b.fold) AS INTEGER) AS fold, coalesce(a.block, b.block) AS block, coalesce(a.n, 0) AS n_left, coalesce(b.n, 0) AS n_right,
+       (a.n = b.n AND a.first = b.first AND a.last = b.last AND a.digest = b.digest) IS TRUE AS same
+FROM cert_whole a FULL JOIN cert_less b ON a.fold = b.fold AND a.block = b.block""")
+def q_alignment_check(spark, sf_dir):
+    """Every fold's test rows against a copy that has lost its middle row in two folds of three: the blocks from that row
+    on differ."""
+    rows = split_df(spark, sf_dir).filter("split = 'test'").select("fold", "id")
+    whole = AL.positions(rows, ["id"], ["fold"])
+    sizes = whole.groupBy("fold").agg(F.count(F.lit(1)).alias("_n"))
+    kept = whole.join(sizes, "fold").filter((F.col("fold") % 3 == 0) | (F.col("pos") != F.floor(F.col("_n") / 2))).select("fold", "id")
+    less = AL.positions(kept, ["id"], ["fold"])
+    marks = [AL.certificate(t, block=ALIGN_BLOCK, keys=["fold"]) for t in (whole, less)]
+    return AL.compare(*marks, keys=["fold"])
