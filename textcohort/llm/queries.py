@@ -212,3 +212,48 @@ ORACLE["op13_phrase_collocations"] = f"""
     placed AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank
                FROM best b ANTI JOIN held h ON h.lang = b.lang AND h.phrase = b.phrase)
     SELECT lang, rank, phrase, a, l, r, n, score FROM placed JOIN sizes USING (lang) WHERE rank <= 2000"""
+
+
+@query
+def katz_backoff_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``op11`` with its two sums rounded, so that they can be compared with SQL value by value."""
+    rows = op11_katz_backoff(spark, sf_dir)
+    return rows.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
+def sql_discounts(order: str, counts: str) -> str:
+    """``<order>_d (r, d)`` from a table of counts ``c``: the Good-Turing discounts, as ``katz.discounts`` states them."""
+    n = [f"CAST((SELECT count(*) FROM {counts} WHERE c = {r}) AS DOUBLE)" for r in range(1, 7)]
+    return f"""
+    {order}_n AS (SELECT [{", ".join(n)}] AS n),
+    {order}_k AS (SELECT k, r, n, (k + 1) * n[k + 1] / n[1] AS top, ((r + 1) * n[r + 1] / (n[r] * r) - (k + 1) * n[k + 1] / n[1]) / (1 - (k + 1) * n[k + 1] / n[1]) AS d
+                  FROM {order}_n CROSS JOIN (SELECT unnest(range(1, 6)) AS k) CROSS JOIN (SELECT unnest(range(1, 6)) AS r)
+                  WHERE r <= k AND list_min(n[1:k + 1]) > 0 AND (k + 1) * n[k + 1] < n[1]),
+    {order}_best AS (SELECT coalesce(max(k), 0) AS k FROM (SELECT k FROM {order}_k GROUP BY k HAVING min(d) > 0 AND max(d) < 1)),
+    {order}_d AS (SELECT x.r, CASE WHEN b.k = 0 THEN (x.r - 0.5) / x.r WHEN x.r <= b.k THEN y.d ELSE 1.0 END AS d
+                  FROM (SELECT unnest(range(1, 6)) AS r) x CROSS JOIN {order}_best b LEFT JOIN {order}_k y ON y.k = b.k AND y.r = x.r)"""
+
+
+ORACLE["katz_backoff_rounded"] = f"""
+    WITH crc AS ({SQL_CRC_TABLE}),
+    docs AS (SELECT doc_id, regexp_extract_all({NORM_SQL}, '[^\\x20\\x09-\\x0D]+') || [chr(10)] AS w,
+                    list_transform(range(CAST(length(CAST(doc_id AS VARCHAR)) AS BIGINT)), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(i + 1 AS BIGINT), 1)) AS BIGINT)) AS b FROM documents),
+    marked AS (SELECT doc_id, w, xor(list_reduce([CAST(4294967295 AS BIGINT)] || b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10 = 0 AS held_out
+               FROM docs CROSS JOIN crc),
+    tok AS (SELECT doc_id, held_out, unnest([''] || w[:len(w) - 1]) AS h, unnest(w) AS w FROM marked),
+    one AS (SELECT w, count(*) AS c FROM tok WHERE NOT held_out GROUP BY w),
+    two AS (SELECT h, w, count(*) AS c FROM tok WHERE NOT held_out GROUP BY h, w),
+    {sql_discounts('o1', 'one')}, {sql_discounts('o2', 'two')},
+    kept1 AS (SELECT w, c, c * coalesce(d, 1.0) AS k FROM one LEFT JOIN o1_d ON r = c),
+    sums AS (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS n, count(*) AS v, coalesce(sum(CASE WHEN c <= 5 THEN c - k ELSE 0 END), 0) AS rest FROM kept1),
+    p1 AS (SELECT w, c, k / (n + CASE WHEN rest = 0 THEN 1 ELSE 0 END) AS p FROM kept1 CROSS JOIN sums),
+    kept2 AS (SELECT h, w, c, c * coalesce(d, 1.0) AS k FROM two LEFT JOIN o2_d ON r = c),
+    hist AS (SELECT h, CAST(sum(kept2.c) AS BIGINT) AS n, sum(CASE WHEN kept2.c <= 5 THEN kept2.c - k ELSE 0 END) AS rest, sum(p) AS lower FROM kept2 JOIN p1 USING (w) GROUP BY h),
+    back AS (SELECT h, n + CASE WHEN rest = 0 THEN 1 ELSE 0 END AS total, CASE WHEN rest = 0 THEN 1 ELSE rest END / (n + CASE WHEN rest = 0 THEN 1 ELSE 0 END) / (1 - lower) AS alpha FROM hist),
+    valued AS (SELECT t.doc_id, t.held_out, coalesce(p1.c, 0) AS c, n, v,
+                      CASE WHEN kept2.k IS NOT NULL THEN kept2.k / back.total
+                           ELSE coalesce(back.alpha, 1.0) * coalesce(p1.p, CASE WHEN rest = 0 THEN 1.0 ELSE rest END / (n + CASE WHEN rest = 0 THEN 1 ELSE 0 END)) END AS p
+               FROM tok t CROSS JOIN sums LEFT JOIN p1 ON p1.w = t.w LEFT JOIN back ON back.h = t.h LEFT JOIN kept2 ON kept2.h = t.h AND kept2.w = t.w)
+    SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE c > 0) AS n_known, max(n) AS train_tokens,
+           round(sum(log10((c + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))), 6) AS base_score, round(sum(log10(p)), 6) AS score
+    FROM valued GROUP BY doc_id, held_out"""
