@@ -118,5 +118,7 @@ def test_prediction_store_prunes_partitions(spark):
     path = IO.write_predictions(df, scratch_path(spark, "pred-prune"))
     one = IO.read_predictions(spark, path, fold=3, seed=0)
     assert sorted(r["id"] for r in one.collect()) == list(range(3, 100, 5))
-    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert one.inputFiles() and all("/fold=3/seed=0/" in f for f in one.inputFiles())
+    # a filter on the whole store prunes at the scan, too
+    plan = IO.read_predictions(spark, path).filter("fold = 3")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(fold" in plan and "(fold#" in plan
