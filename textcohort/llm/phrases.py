@@ -37,7 +37,7 @@ LEAST, LONGEST, TOP = 30, 4, 2_000
 SIDE, DENSE = 512, 2048
 #: Blocks whose rows of one dense tile meet in one group.
 TOGETHER = 64
-BLOCK = 10 << 20
+BLOCK = 16 << 20
 
 WORD = byte_class(rb"[^\x20\x09.,;:!?\x0A-\x0D]")
 BREAK = byte_class(rb"[.,;:!?\x0A-\x0D]")
