@@ -5,9 +5,12 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import zlib
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -90,31 +93,87 @@ def test_order_minhash_pairs_and_edited_texts(spark):
     assert sum(r.near_edited > r.near_next for r in long) >= 0.95 * len(long)
 
 
-def brute_signature(spark, text, k, bits, picks):
-    w = [x for x in re.split(r"\s+", text) if x]
-    grams = [tuple(w[i:i + k]) for i in range(max(len(w) - k + 1, min(1, len(w))))]
-
-    def xx(*cols):
-        return spark.range(1).select(F.xxhash64(*cols)).first()[0]
-    seen, slots = {}, {}
-    for p, g in enumerate(grams):
-        h = xx(*[F.lit(x) for x in g], *[F.lit(None).cast("string")] * (k - len(g)))
-        n = seen.get(g, 0)
-        seen[g] = n + 1
-        v = xx(F.lit(h), F.lit(n))
-        slots.setdefault((v % 2 ** 64) >> (64 - bits), []).append((v, p))
+def xx(*values):
+    """Spark's hash of columns: each value seeds the next, nulls are passed over; 64 bits signed."""
+    h = 42
+    for v in values:
+        if v is not None:
+            size = 4 if isinstance(v, np.int32) else 8
+            h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else int(v).to_bytes(size, "little", signed=True), h)
+    return h - 2 ** 64 if h >= 2 ** 63 else h
+
+
+def brute_signature(text, k, bits, picks, spelled):
+    w = [x for x in re.split(r"[ \t-\r]+", text) if x]
+
+    def numbered(grams):
+        seen, out = {}, []
+        for g, p in grams:
+            n = seen[g] = seen.get(g, -1) + 1
+            out.append((xx(xx(*g), np.int32(n)), p))
+        return sorted(out)
+    elements = numbered([(tuple(w[i:i + k]), (i, 0)) for i in range(max(len(w) - k + 1, min(1, len(w))))])
+    runs = []
+    for _, (i, _) in sorted(elements[:spelled], key=lambda x: x[1]):
+        letters = " ".join(w[i:i + k]) if i + k >= len(w) else w[i] + " " + w[i + 1][:3]
+        runs += [((np.int32(4), *letters[j:j + 4]), (i, j + 1)) for j in range(max(len(letters) - 3, 1))]
+    elements = sorted(elements + numbered(runs))
     out = []
-    for s, own in slots.items():
-        least = sorted(sorted(own)[:picks], key=lambda x: x[1])
-        t = xx(F.array(*[F.lit(v) for v, _ in least]))
-        out.append(s << 32 | (t % 2 ** 64) >> 32)
+    for s in range(2 ** bits if w else 0):
+        own = [x for x in elements if (x[0] % 2 ** 64) >> (64 - bits) == s][:picks]
+        if len(own) < picks:
+            own = sorted(elements, key=lambda x: xx(x[0], s))[:picks]
+        out.append(s << 32 | (xx(*[v for v, _ in sorted(own, key=lambda x: x[1])]) % 2 ** 64) >> 32)
     return sorted(out)
 
 
 def test_order_minhash_equals_brute_force(spark):
-    for text in ("a b a b a b a c", "one", "a a a a a a"):
-        df = OM.with_fingerprint(spark.createDataFrame([(text,)], "text string"), "text", "s", k=2, slot_bits=2)
-        assert df.first()["s"] == brute_signature(spark, text, 2, 2, 2), text
+    rng = random.Random(77)
+    texts = ["a b a b a b a c", "one", "a a a a a a", "é 中文字 😀😀😀😀😀 b", " \t", "", "z" * 90, words(rng, 33) + " " + "q" * 21, words(rng, 400),
+             " ".join(rng.choices("a bb ccc dddd".split(), k=200))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    for k, bits, picks, spelled in ((2, 2, 2, 4), (OM.K, OM.SLOT_BITS, OM.PICKS, OM.SPELLED)):
+        for r in OM.with_fingerprint(df, "text", "s", k, bits, picks, spelled).collect():
+            assert r["s"] == brute_signature(r["text"], k, bits, picks, spelled), r["text"]
+    # the registered path: as text, from compare_edited
+    for r in OM.compare_edited(docs(spark, list(enumerate(texts)))).collect():
+        for text, signed in ((r.text, r.fingerprint), (r.edited, r.edited_fingerprint)):
+            assert signed == "".join(f"{v:010x}" for v in brute_signature(text, OM.K, OM.SLOT_BITS, OM.PICKS, OM.SPELLED)), text
+
+
+def test_order_minhash_has_no_switch_of_length(spark):
+    """One letter more changes a fingerprint a little at every length of a text and of its words."""
+    rng = random.Random(13)
+    texts = [words(rng, 40)[:n].replace(" ", sep) for n in (19, 20, 21, 62, 63, 64, 65, 66, 127, 128, 129) for sep in (" ", "x")]
+    texts += [" ".join("".join(rng.choices("abcdefgh", k=n)) for _ in range(count)) for n in (19, 20, 21) for count in (10, 31, 32, 33, 100)]
+    pairs = [(t, t + "y") for t in texts if len(t) > 40]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for c in "ab":
+        df = OM.with_fingerprint(df, c, f"f{c}")
+    near = [(r.near, r.a) for r in df.select("a", OM.likeness(F.col("fa"), F.col("fb")).alias("near")).collect()]
+    # an edit of a long text may exchange one of the spelled words, about one in twenty of its elements
+    assert all(x > (0.8 if len(t) < 800 else 0.7) for x, t in near), min(near)
+
+
+def test_order_minhash_ranges_of_null_and_repeated_ids(spark):
+    rng = random.Random(5)
+    rows = [(None if i % 2 else i // 4, words(rng, 3) + f" {i}") for i in range(4000)]
+    dealt, _ = OM.with_next_row(OM.doc_texts(docs(spark, rows)), 16)
+    sizes = [r["count"] for r in dealt.groupBy("range").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * 4000 / 16
+    assert [len(x) for x in dealt.rdd.glom().map(lambda part: {r.range for r in part}).collect()] == [1] * 16
+    # each row is followed by one other, so every text is the next one of another once
+    small = rows[:300]
+    nexts = sorted(r.edited for r in OM.compare_edited(docs(spark, small)).collect())
+    order = sorted(((-1 if i is None else i), xx(t), t) for i, t in small)
+    assert nexts == sorted(t[:len(t) - len(t) // 2] + order[(k + 1) % 300][2][:len(t) // 2] for k, (_, _, t) in enumerate(order))
+
+
+def test_order_minhash_plans_many_ranges(spark):
+    started = time.monotonic()
+    dealt, _ = OM.with_next_row(spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")), 20_000)
+    dealt._jdf.queryExecution().executedPlan()
+    assert time.monotonic() - started < 60
 
 
 def test_order_minhash_sees_order(spark):
