@@ -285,12 +285,80 @@ def test_identifiers_with_blanks_are_one_instance(spark):
     seeds += [f"{words(rng, 2)} +44 20 7946 {i:04d} is his number" for i in range(20)]  # only the right one
     unseen = {"call me on 555 010 1234 please": (3, "555 010 1234"), "or me on (555) 010-1234, then": (3, "(555) 010-1234"),
               "so write to someone [at] mail.example now": (0, "someone [at] mail.example"), "and write to some1 (at) mail2.example,": (0, "some1 (at) mail2.example"),
-              "try me on 555-010-4321 2019 2020 2021 2022": (3, "555-010-4321 2019"), "from 2019 2020 2021 555-010-7777 is his number": (3, "2021 555-010-7777"),
-              "01 23 4567 8901 is his number": (3, "01 23 4567 8901")}
+              "try me on 555-010-4321 2019 2020 2021 2022": (3, "555-010-4321"), "from 2019 2020 2021 555-010-7777 is his number": (3, "555-010-7777"),
+              "01 23 4567 8901 is his number": (3, "01 23 4567 8901"),
+              "so me on 555 010 1235 12 13 14 15 16 17 18 19 20 please": (3, "555 010 1235"), "or me on 17 2019 555-010-8888 12 13 please": (3, "555-010-8888"),
+              "then 7 12 2020 555 010 9999 44 is his number": (3, "555 010 9999"), f"{'12 ' * 400}555-010-3333 is his number": (3, "555-010-3333")}
     got = added_texts(spark, [*seeds, *unseen, "the 12 34 of 2019 5", "1 " * 9000])
     assert got == [[] for _ in seeds] + [[x] for x in unseen.values()] + [[], []]
 
 
+def brute_discovered(edges, rounds, floor, accept, least):
+    """``edges``: distinct (pattern, value, kind, main); the rounds of the graph in plain loops."""
+    def can_be(kind, value):
+        digits = sum(c.isdigit() for c in value)
+        return [bool(re.search(r"(@|[\[(]at[\])]).*[a-z]", value)), digits >= 3 and len(re.findall("[.:]", value)) > 1, digits >= 12, 6 <= digits <= 15][kind]
+
+    scores, verdict = {}, {}
+    for _ in range(rounds):
+        sure = {}
+        for p in {e[0] for e in edges}:
+            mine = [(v, k) for q, v, k, main in edges if q == p and main]
+            for kind in range(4):
+                total = support = 0.0
+                for v, k in mine:
+                    score = float(k == kind) if k is not None else scores.get(v, [0.0] * 4)[kind]
+                    total += score
+                    support += score * ((k if k is not None else verdict.get(v)) == kind)
+                if total / (len(mine) + 1) >= floor and support >= least:
+                    sure[p, kind] = min(total / (len(mine) + 1), 0.999)
+        scores = {}
+        for p, v, k, _main in edges:
+            if k is None and any((p, kind) in sure for kind in range(4)):
+                old = scores.setdefault(v, [0.0] * 4)
+                scores[v] = [1 - (1 - o) * (1 - sure.get((p, kind), 0.0)) for kind, o in enumerate(old)]
+        verdict = {}
+        for v, s in scores.items():
+            kind = s.index(max(s))
+            if max(s) >= accept and can_be(kind, v):
+                verdict[v] = kind
+    return verdict
+
+
+def test_graph_scores_equal_brute_force(spark):
+    rng = random.Random(31)
+    values = [f"+1 555 010 {i:04d}" for i in range(30)] + [f"user{i}@mail.example" for i in range(20)] + [f"555-{i:03d}" for i in range(30)]
+    kind_of = {v: 3 if v[0] == "+" else 0 if "@" in v and int(v[4:v.index("@")]) < 14 else None for v in values}
+    patterns = [f"< p{i}" for i in range(14)]
+    rows = []
+    for _ in range(200):
+        v = rng.choice(values)
+        pool = patterns[:5] if v[0] in "+5" else patterns[4:9]
+        rows.append((v, kind_of[v], rng.sample(pool, 2) + rng.sample(patterns, int(rng.random() < 0.1)), rng.random() < 0.9))
+    edges = {}
+    for v, k, ps, main in rows:
+        for p in ps:
+            edges[p, v] = (k, edges.get((p, v), (k, False))[1] or main)
+    df = spark.createDataFrame(rows, "value string, kind int, patterns array<string>, main boolean")
+    seen = 0
+    for rounds, floor, accept in ((1, 0.6, 0.8), (3, 0.6, 0.8), (3, 0.4, 0.5), (2, 0.3, 0.4)):
+        got = {r.value: r.kind for r in pii.discovered(df, rounds, floor, accept, 4).collect()}
+        assert got == brute_discovered([(p, v, k, m) for (p, v), (k, m) in edges.items()], rounds, floor, accept, 4)
+        seen += len(got)
+    assert seen > 20
+
+
+def test_context_words_are_whole_and_counted(spark):
+    rng = random.Random(33)
+    long = "x" * 70  # longer than the end of a gap that is looked at first
+    seeds = [f"{words(rng, 2)} {long}{'y' * 5} {long} +1 (555) 010-{i:04d} {words(rng, 2)}" for i in range(20)]
+    got = added_texts(spark, [*seeds, f"{long}{'y' * 5} {long} 555-010-0001 or", f"{long} 555-010-0002 or", f"{long[1:]} 555-010-0003 or", "q" * 300_000 + " 555-010-0004"])
+    assert got[20:] == [[(3, "555-010-0001")], [(3, "555-010-0002")], [], []]
+    three = [f"{words(rng, 1)} the other {a} +1 (555) 010-{i:04d} {words(rng, 2)}" for i, a in enumerate(rng.choices(["one", "two", "six"], k=30))]
+    rows = docs(spark, list(enumerate([*three, "by the other one 555-010-0001 or"])))
+    assert [len(r.spans) for r in pii.personal_data(rows, context=3).orderBy("doc_id").collect()] == [1] * 31
+
+
 def test_identifiers_of_the_second_generation(spark):
     rng = random.Random(14)
     base = [f"{words(rng, 2)} me on +1 (555) 010-{i:04d} {words(rng, 2)}" for i in range(20)]

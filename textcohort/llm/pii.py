@@ -3,18 +3,22 @@
 1. **Seeds.**  Four base patterns (email, ip, card, phone) with their checks give spans in code points.
 2. **Mentions.**  A base span, whole, is a seed instance of its kind.  Elsewhere a mention is a run of words
    with a digit or an at sign, joined by single blanks (``555 010 1234``), or words joined by ``[at]`` or
-   ``(at)`` with or without blanks.  As a run may hold more than the identifier, its first words and its last
-   words are candidates too, of at most ``RUN_DIGITS`` digits where there are several; a pattern counts a
-   run once, by its longest candidate, and of accepted candidates the longest become spans.  The words
-   beside a mention induce lexical patterns: the two words before, the word before, the two after, and the
-   words on both sides.
+   ``(at)`` with or without blanks.  As a run may hold more than the identifier, every window of its words
+   that starts or ends within ``reach`` words of the run's context is a candidate, of at most ``RUN_DIGITS``
+   digits where it has several words; a pattern counts a run once, by its longest candidate.  The words
+   beside a mention induce lexical patterns: the ``context`` words before, fewer of them, those after, and
+   the words on both sides.  Seeds induce layouts too (the lengths of their groups of digits, a phone's also
+   without its country code; without a plus, a number of as many digits before may be one).  A window that has other numbers on both sides counts only with a layout that
+   ``least_seeds`` seeds have.
 3. **Graph.**  Patterns and instances (by value) are the two sides of a graph.  In each round a pattern's
    confidence for a kind is the score of its instances over their number (plus one), and an
    unseen instance's score is the noisy-or of its patterns' confidences.  Only patterns of at least
    ``least_seeds`` seed instances and confidence ``floor`` pass scores on; an instance that the round before
    accepts counts as a seed with its score, so each round can use a further generation of patterns.
 4. **Discovery.**  Unseen instances whose score reaches ``accept`` after the last round, and with a form
-   that their kind can have, become additional spans.  Base spans stay as they are.
+   that their kind can have, become additional spans.  Where accepted windows of a run overlap, one with a
+   layout of its kind is taken first (the longest) and explains the context on its side; else the whole run, else the
+   shortest window: numbers beside an identifier are no part of it.  Base spans stay as they are.
 
 Base patterns are written so that a search is linear in the text: a run is entered at its start
 only (or where the last match ended, ``\\G``), and groups are possessive, which changes no match because
@@ -56,8 +60,10 @@ _BYTE = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 #: Rounds of scoring, the confidence from which a pattern passes scores on, the score that accepts, the
 #: seed instances that a pattern needs at least.
 ROUNDS, FLOOR, ACCEPT, LEAST_SEEDS = 3, 0.6, 0.8, 4
-#: Code points of a gap in which the neighbouring words are looked for.
-CONTEXT = 64
+#: Words on a side that make a pattern, and words of a run between its context and a window that it may support.
+CONTEXT, REACH = 2, 8
+#: Code points of a gap that are enough in nearly all cases to see those words; else the gap is taken whole.
+_NEAR = 64
 _BLOCK = 128
 
 
@@ -91,7 +97,17 @@ def _before(lens: Column, sums: Column, i: Column) -> Column:
     return F.aggregate(F.slice(sums, 1, block), F.lit(0), add) + F.aggregate(F.slice(lens, block * _BLOCK + 1, i - block * _BLOCK), F.lit(0), add)
 
 
-def _matched(df: DataFrame, name: str, pattern: str, where: Column) -> DataFrame:
+def _beside(gap: Column, left: bool, context: int) -> Column:
+    """The end of a gap beside a match with at least ``context`` whole words, and without a part of a word;
+    the whole gap, where a short end does not show as many."""
+    end = F.right(gap, F.lit(_NEAR)) if left else F.left(gap, F.lit(_NEAR))
+    # a word that the cut may have gone through is dropped, with all that touches it
+    end = F.regexp_replace(end, r"^\S++" if left else r"(?<!\S)\S++$", "")
+    shown = F.size(_words(end)) >= context + 1
+    return F.when((F.char_length(gap) <= _NEAR) | ~shown, gap).otherwise(end)
+
+
+def _matched(df: DataFrame, name: str, pattern: str, where: Column, context: int = CONTEXT) -> DataFrame:
     """Add ``name``: an array of ``(text, start, end, left, right)`` of the matches, with the ends of the
     gaps beside each one.  A pattern is searched only where the cheap test ``where`` holds."""
     none = F.array().cast("array<string>")
@@ -106,7 +122,7 @@ def _matched(df: DataFrame, name: str, pattern: str, where: Column) -> DataFrame
     def span(x: Column, i: Column) -> Column:
         end = _before(F.col(lens), F.col(sums), i + 1)
         return F.struct(x.alias("text"), (end - F.char_length(x)).alias("start"), end.alias("end"),
-                        F.right(F.get(g, i), F.lit(CONTEXT)).alias("left"), F.left(F.get(g, i + 1), F.lit(CONTEXT)).alias("right"))
+                        _beside(F.get(g, i), True, context).alias("left"), _beside(F.get(g, i + 1), False, context).alias("right"))
 
     return df.withColumn(name, F.transform(m, span)).drop(m, g, lens, sums)
 
@@ -117,13 +133,13 @@ def _only_valid(kind: str, matches: Column) -> Column:
                                                  x["left"].alias("left"), x["right"].alias("right")))
 
 
-def base_spans(df: DataFrame) -> DataFrame:
+def base_spans(df: DataFrame, context: int = CONTEXT) -> DataFrame:
     """Add ``email``, ``ip``, ``card``, ``phone``: arrays of ``(start, end, text, left, right)`` of the valid base
     matches."""
     digit = F.col("text").rlike("[0-9]")
     tests = {"email": F.contains("text", F.lit("@")), "ip": digit & F.contains("text", F.lit(".")), "card": digit, "phone": F.contains("text", F.lit("+"))}
     for kind in KINDS:
-        df = _matched(df, f"all_{kind}", BASE[kind], tests[kind])
+        df = _matched(df, f"all_{kind}", BASE[kind], tests[kind], context)
         df = df.withColumn(kind, _only_valid(kind, F.col(f"all_{kind}"))).drop(f"all_{kind}")
     return df
 
@@ -148,15 +164,20 @@ def _words(gap: Column) -> Column:
     return F.filter(F.split(F.lower(gap), r"[^\p{L}']+"), lambda w: w != "")
 
 
-def _patterns(left: Column, right: Column) -> Column:
-    """The lexical patterns of a mention from the words beside it.  A gap's words touch the mention, so
-    a gap without a word gives no pattern on its side."""
+def _patterns(left: Column, right: Column, context: int = CONTEXT) -> Column:
+    """The lexical patterns of a mention from the words beside it: one to ``context`` words before, two (one, if
+    ``context`` is) to ``context`` after, and one on each side.  A gap's words touch the mention, so a gap without a word gives no
+    pattern on its side."""
     before, after = _words(left), _words(right)
-    b1, b2 = F.get(before, F.size(before) - 1), F.get(before, F.size(before) - 2)
-    a1, a2 = F.get(after, F.lit(0)), F.get(after, F.lit(1))
-    made = F.array(F.concat(F.lit("< "), b2, F.lit(" "), b1), F.concat(F.lit("< "), b1), F.concat(F.lit("> "), a1, F.lit(" "), a2),
-                   F.concat(F.lit("= "), b1, F.lit(" _ "), a1))
-    return F.filter(made, lambda x: x.isNotNull())
+    b = [F.get(before, F.size(before) - n) for n in range(1, context + 1)]
+    a = [F.get(after, F.lit(n)) for n in range(context)]
+
+    def joined(mark: str, words: list[Column]) -> Column:
+        return F.concat(F.lit(mark), *[x for w in words for x in (F.lit(" "), w)])
+
+    made = [joined("<", b[:n][::-1]) for n in range(context, 0, -1)] + [joined(">", a[:n]) for n in range(min(2, context), context + 1)]
+    made.append(F.concat(F.lit("= "), b[0], F.lit(" _ "), a[0]))
+    return F.filter(F.array(*made), lambda x: x.isNotNull())
 
 
 def _can_be(kind: Column, value: Column) -> Column:
@@ -166,6 +187,23 @@ def _can_be(kind: Column, value: Column) -> Column:
             .when(kind == 2, digits >= 12).otherwise(digits.between(6, 15)))
 
 
+def layout(value: Column) -> Column:
+    """The form of an identifier: an at sign, four dotted numbers, or the lengths of its groups of digits."""
+    groups = F.transform(F.regexp_extract_all(value, F.lit("[0-9]+"), F.lit(0)), lambda g: F.char_length(g).cast("string"))
+    return (F.when(value.rlike(rf"@|{_AT}"), "@").when(value.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), "....")
+            .otherwise(F.array_join(groups, "-")))
+
+
+def seed_layouts(mentions: DataFrame, least_seeds: int = LEAST_SEEDS) -> DataFrame:
+    """``(known, layout)``: the layouts that at least ``least_seeds`` seed instances of a kind have.  A phone's country
+    code (a group of one to three digits after the plus) can be missing."""
+    form = layout(F.col("value"))
+    without = F.when((F.col("kind") == KINDS.index("phone")) & F.col("value").startswith("+"), F.regexp_extract(form, "^[123]-(.+)$", 1)).otherwise("")
+    forms = mentions.filter("kind IS NOT NULL").select("value", F.col("kind").alias("known"), F.explode(F.array(form, without)).alias("layout"))
+    return (forms.filter("layout <> ''").distinct().groupBy("known", "layout").count()
+            .filter(F.col("count") >= least_seeds).drop("count"))
+
+
 def _graph(mentions: DataFrame) -> DataFrame:
     """Distinct edges ``(pattern, value, kind, main)``: a value's kind is null where it is unseen; ``main`` ones
     count in the pattern's confidence."""
@@ -201,14 +239,15 @@ def discovered(mentions: DataFrame, rounds: int = ROUNDS, floor: float = FLOOR,
     return found.select("value", accepted.alias("kind")).filter("kind IS NOT NULL")
 
 
-def _seeds() -> Column:
+def _seeds(context: int) -> Column:
     """The base spans as seed instances, each where no span of an earlier kind overlaps it.  Their context is
     that of the words they stand in: from white space on, up to the next word with a digit or at sign."""
     def seed(number: int, x: Column) -> Column:
-        left = F.regexp_replace(F.regexp_replace(x["left"], r"\S+$", ""), rf"(?s)^.*(?:[0-9@]|{_AT})\S*", "")
-        right = F.regexp_replace(F.regexp_replace(x["right"], r"^\S+", ""), rf"(?s)\S*?(?:[0-9@]|{_AT}).*$", "")
+        # entered at the start of a word only, so that each search is linear
+        left = F.regexp_replace(F.regexp_replace(x["left"], r"(?<!\S)\S++$", ""), rf"(?s)^.*(?:[0-9@]|{_AT})\S*", "")
+        right = F.regexp_replace(F.regexp_replace(x["right"], r"^\S+", ""), rf"(?s)(?<!\S)\S*?(?:[0-9@]|{_AT}).*$", "")
         return F.struct(F.lower(x["text"]).alias("value"), x["start"].alias("start"), x["end"].alias("end"), F.lit(number).alias("kind"),
-                        _patterns(left, right).alias("patterns"), F.lit(True).alias("main"), x["start"].alias("run"))
+                        _patterns(left, right, context).alias("patterns"), F.lit(True).alias("main"), F.lit("=").alias("side"), x["start"].alias("run"))
 
     kinds = []
     for number, kind in enumerate(KINDS):
@@ -217,42 +256,64 @@ def _seeds() -> Column:
     return F.concat(*kinds)
 
 
-def _candidates(run: Column) -> Column:
-    """The candidates ``(text, start, end, patterns)`` of a run, the longest first: all its words, its first
-    ones and its last ones.  A side that is within the run gives no pattern."""
-    most = F.lit(RUN_DIGITS)
-
-    def short(words: Column) -> Column:
-        return (F.size(words) == 1) | (F.size(words) <= most) & (F.length(F.regexp_replace(F.array_join(words, ""), r"[^0-9]", "")) <= most)
-
-    def made(words: Column, side: str, at: Column) -> Column:
-        text = F.array_join(words, " ")
-        start = at["end"] - F.char_length(text) if side == ">" else at["start"]
-        patterns = F.filter(at["patterns"], lambda p: F.substring(p, 1, 1) == side) if side else at["patterns"]
-        return F.struct(text.alias("text"), start.alias("start"), (start + F.char_length(text)).alias("end"), patterns.alias("patterns"))
+def _candidates(run: Column, context: int, reach: int) -> Column:
+    """The candidates ``(text, start, end, patterns, side)`` of a run: the windows of its words that start within
+    ``reach`` words of its start or end within as many of its end.  ``side`` is ``=`` for the whole run, ``<`` or ``>`` for a
+    window at its start or end, which has the patterns of that side, and empty for one between other words."""
+    most, near = F.lit(RUN_DIGITS), F.lit(reach)
+
+    def possible(text: Column, words: Column, touching: Column) -> Column:
+        digits = F.length(F.regexp_replace(text, r"[^0-9]", ""))
+        form = digits.between(6, RUN_DIGITS) | text.rlike(r"@|[\[(]at[\])]|[.:].*[.:]")
+        return (F.size(words) == 1) & (touching | form) | (F.size(words) > 1) & (digits <= RUN_DIGITS) & (touching | form)
+
+    def made(r: Column, i: Column, size: Column) -> Column:
+        words, n = r["words"], F.size(r["words"])
+        before, text = F.slice(words, F.lit(1), i), F.array_join(F.slice(words, i + 1, size), " ")
+        after = F.slice(words, i + size + 1, n - i - size)
+        # a window is near one end of the run; its place is counted from there
+        ahead = r["start"] + F.char_length(F.array_join(before, " ")) + F.when(i > 0, 1).otherwise(0)
+        behind = r["end"] - F.char_length(F.array_join(after, " ")) - F.when(n - i - size > 0, 1).otherwise(0) - F.char_length(text)
+        start = F.when(i <= near, ahead).otherwise(behind)
+        first, last = i == 0, i + size == n
+        side = F.when(first & last, "=").when(first, "<").when(last, ">").otherwise("")
+
+        def holds(p: Column) -> Column:
+            mark = F.substring(p, 1, 1)
+            inner = (mark == "<") & (i <= near) | (mark == ">") & (n - i - size <= near)
+            return F.when(side == "=", True).when(side == "", inner).otherwise(mark == side)
+
+        c = F.struct(text.alias("text"), start.alias("start"), (start + F.char_length(text)).alias("end"), F.filter(r["patterns"], holds).alias("patterns"),
+                     side.alias("side"))
+        return F.when(possible(text, F.slice(words, i + 1, size), side != ""), c)
 
     def of(r: Column) -> Column:
-        words = r["words"]
-        n = F.size(words)
-        # from the longest to the shortest part of the run
-        sizes = F.filter(F.sequence(F.least(n - 1, most), F.lit(0), F.lit(-1)), lambda i: i > 0)
-        whole = F.filter(F.array(words), short)
-        first = F.filter(F.transform(sizes, lambda i: F.slice(words, F.lit(1), i)), short)
-        last = F.filter(F.transform(sizes, lambda i: F.slice(words, n - i + 1, i)), short)
-        return F.concat(F.transform(whole, lambda w: made(w, "", r)), F.transform(first, lambda w: made(w, "<", r)), F.transform(last, lambda w: made(w, ">", r)))
+        n = F.size(r["words"])
+        ends = F.sequence(F.lit(0), F.least(near, n - 1))
+        first = F.transform(ends, lambda i: F.transform(F.sequence(F.lit(1), F.least(most, n - i)), lambda size: made(r, i, size)))
+        last = F.transform(ends, lambda e: F.transform(F.filter(F.sequence(F.lit(1), F.least(most, n - e)), lambda size: n - e - size > near),
+                                                       lambda size: made(r, n - e - size, size)))
+        several = F.filter(F.concat(F.flatten(first), F.flatten(last)), lambda c: c.isNotNull())
+        alone = F.struct(run["text"].alias("text"), r["start"].alias("start"), r["end"].alias("end"), r["patterns"].alias("patterns"), F.lit("=").alias("side"))
+        return F.when(n == 1, F.array(alone)).otherwise(several)
 
     words = F.when(run["text"].rlike(rf"^{_SPELLED}$"), F.array(run["text"])).otherwise(F.split(run["text"], " "))
-    bound = F.array(F.struct(words.alias("words"), run["start"].alias("start"), run["end"].alias("end"), _patterns(run["left"], run["right"]).alias("patterns")))
+    bound = F.array(F.struct(words.alias("words"), run["start"].alias("start"), run["end"].alias("end"),
+                             _patterns(run["left"], run["right"], context).alias("patterns")))
     return F.flatten(F.transform(bound, of))
 
 
-def _unseen(run: Column) -> Column:
-    """The candidates of a run that no base span overlaps, trimmed; the longest of each side is ``main``."""
-    free = F.filter(_candidates(run), lambda c: ~_overlaps_any(list(KINDS), c))
+def _unseen(run: Column, context: int, reach: int) -> Column:
+    """The candidates of a run that no base span overlaps, trimmed; the longest at each side is ``main``."""
+    free = F.filter(_candidates(run, context, reach), lambda c: ~_overlaps_any(list(KINDS), c))
 
     def of(all_: Column) -> Column:
-        # candidates of a side follow each other
-        return F.transform(all_, lambda c, i: _trim(c, (i == 0) | ~F.exists(F.slice(all_, 1, i), lambda b: (b["start"] <= c["start"]) & (b["end"] >= c["end"])), run["start"]))
+        def main(c: Column) -> Column:
+            longer = F.exists(all_, lambda b: (b["side"] != "") & (b["start"] <= c["start"]) & (b["end"] >= c["end"])
+                              & (b["end"] - b["start"] > c["end"] - c["start"]))
+            return F.when(c["side"] == "", False).otherwise(~longer)
+
+        return F.transform(all_, lambda c: _trim(c, main(c), run["start"]))
 
     return F.flatten(F.transform(F.array(free), of))
 
@@ -263,36 +324,62 @@ def _trim(mention: Column, main: Column, run: Column) -> Column:
     lead = F.char_length(F.regexp_extract(mention["text"], outer, 0))
     core = F.regexp_replace(F.regexp_replace(mention["text"], outer, ""), r"[^\p{L}\p{N}]++$", "")
     return F.struct(F.lower(core).alias("value"), (mention["start"] + lead).alias("start"), (mention["start"] + lead + F.char_length(core)).alias("end"),
-                    F.lit(None).cast("int").alias("kind"), mention["patterns"].alias("patterns"), main.alias("main"), run.alias("run"))
+                    F.lit(None).cast("int").alias("kind"), mention["patterns"].alias("patterns"), main.alias("main"), mention["side"].alias("side"), run.alias("run"))
 
 
 def _numbered(kind: int, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
 
+def _apart(found: Column) -> Column:
+    """The accepted windows ``(known, side, kind, start, end)`` of one run that become spans: none overlaps one
+    that comes before it in rank, and one without a known layout goes where a window with one explains its context."""
+    def ranked(s: Column) -> Column:
+        size = s["end"] - s["start"]
+        order = F.when(s["known"], -size).when(s["side"] == "=", 0).otherwise(size)
+        return F.struct((~s["known"]).alias("r"), order.alias("o"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
+
+    def take(taken: Column, s: Column) -> Column:
+        clash = F.exists(taken, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))
+        return F.when(clash, taken).otherwise(F.concat(taken, F.array(F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))))
+
+    def explained(s: Column) -> Column:
+        return F.exists(found, lambda t: t["known"] & (t["side"].isin("", "=") | (t["side"] == s["side"])))
+
+    able = F.filter(found, lambda s: s["known"] | ~explained(s))
+    return F.aggregate(F.sort_array(F.transform(able, ranked)), F.array().cast("array<struct<kind:int,start:int,end:int>>"), take)
+
+
 def count_of(kind: int, spans: Column) -> Column:
     """How many of the spans are of a kind."""
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, floor: float = FLOOR, accept: float = ACCEPT,
-                  least_seeds: int = LEAST_SEEDS) -> DataFrame:
+                  least_seeds: int = LEAST_SEEDS, context: int = CONTEXT, reach: int = REACH) -> DataFrame:
     """``doc_id, text_hash, base, spans``: arrays of ``(kind, start, end)`` with the kind as its number in
     ``KINDS``, by kind and start; ``spans`` holds the base spans and the discovered ones."""
     df = doc_texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-    df = _matched(base_spans(df), "mention", MENTION, F.col("text").rlike(r"[0-9@]|[\[(]at[\])]"))
+    df = _matched(base_spans(df, context), "mention", MENTION, F.col("text").rlike(r"[0-9@]|[\[(]at[\])]"), context)
     base = F.concat(*[_numbered(n, F.col(k)) for n, k in enumerate(KINDS)])
-    mentions = F.concat(_seeds(), F.flatten(F.transform("mention", _unseen)))
+    mentions = F.concat(_seeds(context), F.flatten(F.transform("mention", lambda run: _unseen(run, context, reach))))
     # from here on no text: what each row found, written once
     found = materialize(df.select("doc_id", "text_hash", base.alias("base"), mentions.alias("mentions")), "mentions")
     rows = found.filter(F.size("mentions") > 0).select("doc_id", "text_hash", F.inline("mentions")).filter("value <> ''")
+    layouts = materialize(seed_layouts(rows, least_seeds), "layouts")
+    # windows between other numbers count only with a layout of the seeds
+    inner = rows.filter("side = ''").withColumn("layout", layout(F.col("value"))).join(layouts, "layout", "left_semi").select(rows.columns)
+    rows = rows.filter("side <> ''").unionByName(inner)
     new = discovered(rows.select("value", "kind", "patterns", "main"), rounds, floor, accept, least_seeds)
     key = [F.coalesce("doc_id", F.lit(-(2 ** 63))).alias("id"), "text_hash"]
-    # a run has few candidates; those within a longer one that is accepted are part of it
-    longest = F.filter("all", lambda s: ~F.exists("all", lambda t: (t["start"] <= s["start"]) & (t["end"] >= s["end"]) & (t["end"] - t["start"] > s["end"] - s["start"])))
-    added = (rows.filter(F.col("kind").isNull()).select("doc_id", "text_hash", "run", "value", "start", "end").join(new, "value")
-             .groupBy(*key, "run").agg(F.collect_set(F.struct("kind", "start", "end")).alias("all"))
-             .groupBy("id", "text_hash").agg(F.flatten(F.collect_list(longest)).alias("added")))
+    window = F.struct("known", "side", "kind", "start", "end")
+    shapes = layouts.select(F.col("known").alias("kind"), "layout", F.lit(True).alias("known"))
+    # a run has a bounded number of candidates; those beside others that are taken go
+    added = (rows.filter(F.col("kind").isNull()).select("doc_id", "text_hash", "run", "value", "start", "end", "side").join(new, "value")
+             .withColumn("layout", layout(F.col("value"))).join(shapes, ["kind", "layout"], "left")
+             .withColumn("known", F.coalesce("known", F.lit(False))).filter("known OR side <> ''")
+             .groupBy(*key, "run").agg(F.collect_set(window).alias("all"))
+             .groupBy("id", "text_hash").agg(F.flatten(F.collect_list(_apart(F.col("all")))).alias("added")))
     joined = found.withColumn("id", F.coalesce("doc_id", F.lit(-(2 ** 63)))).join(added, ["id", "text_hash"], "left")
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
     return joined.select("doc_id", "text_hash", "base", F.sort_array(F.concat("base", F.coalesce("added", none))).alias("spans"))
