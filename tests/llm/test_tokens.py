@@ -50,6 +50,25 @@ def test_word_encoder_equals_the_library(library):
         assert ids[at[i]:at[i + 1]].tolist() == ids_of(library, t), repr(t)
 
 
+def test_caches_and_table_are_bounded_in_bytes(spark, library):
+    cache = WB.Generations(max_bytes=1 << 20)
+    for i in range(50_000):
+        cache.put(f"word{i}", bytes(100))
+    assert cache.held <= 1 << 20 and sum(len(v) for g in (cache.young, cache.old) for v in g.values()) < 2 << 20
+    cache.put("x" * 1_000_000, b"")
+    assert cache.get("x" * 1_000_000) is None
+    enc = WB.WordEncoder(WB.default_vocabulary())
+    rng = random.Random(4)
+    long = ["".join(rng.choices("abcdefgh0123", k=200_000)) for _ in range(20)]
+    for t in long:
+        assert len(enc.chunk(t)) // 4 == len(ids_of(library, t))
+    assert not any(len(k) > 400 for c in (enc.chunks, enc.pieces) for g in (c.young, c.old) for k in g)
+    rows = docs(spark, [(i, f"the {long[i % 2]} cat {long[i % 2]}") for i in range(6)])
+    assert sorted(TC.frequent_chunks(rows)) == ["cat", "the"]
+    for r in TC.token_counts(rows).collect():
+        assert r.n_tokens == len(ids_of(library, f"the {long[r.doc_id % 2]} cat {long[r.doc_id % 2]}"))
+
+
 def test_generations_keep_frequent_entries():
     cache = WB.Generations(3)
     for i in range(20):

@@ -1,8 +1,9 @@
 """Token counts by a map-side two-tier lookup; no pre-token is ever shuffled.
 
 Tier one is a compact table of the lengths (in tokens) of frequent chunks.  It is broadcast and
-holds at most ``table_size`` entries, whatever the corpus.  Tier two is each worker's own cache:
-a chunk that the table lacks is encoded once and its length kept, up to a fixed number of entries.
+holds at most ``table_size`` entries of at most ``KEY_BYTES`` each, whatever the corpus.  Tier two
+is each worker's own cache: a chunk that the table lacks is encoded once and its length kept, up to a fixed
+number of entries and bytes; a longer chunk is encoded wherever it occurs.
 The table only saves work: it is filled from a bounded sample (``sample_rows`` texts), and the
 counts are those of the tokenizer library for any table.
 
@@ -13,6 +14,7 @@ gives an empty result.  Only the id and text columns are read.
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -23,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from textcohort.llm.common import doc_texts, slices, split_long, text_array
-from textcohort.llm.word_bpe import LONG_TEXT, Generations, default_vocabulary, distinct_chunks, encoder
+from textcohort.llm.word_bpe import KEY_BYTES, LONG_TEXT, Generations, default_vocabulary, distinct_chunks, encoder
 
 TABLE_SIZE = 32_768
 SAMPLE_ROWS = 2_000
@@ -42,7 +44,8 @@ def frequent_chunks(docs: DataFrame, table_size: int = TABLE_SIZE, sample_rows:
             texts = text_array(batch.column("text"))
             for start, stop in slices(texts):
                 index, words, _ = distinct_chunks(texts.slice(start, stop - start))
-                seen.update(dict(zip(words, np.bincount(index, minlength=len(words)).tolist(), strict=True)))
+                n = np.bincount(index, minlength=len(words)).tolist()
+                seen.update({w: c for w, c in zip(words, n, strict=True) if sys.getsizeof(w) <= KEY_BYTES})
         top = seen.most_common(table_size)
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([c for _, c in top], pa.int64())], ["chunk", "n"])
 

@@ -8,6 +8,7 @@ the ids of all chunks are gathered with NumPy.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,8 +20,9 @@ import regex
 from textcohort.llm.common import slices, split_long, text_array
 
 VOCABULARY = "word_bpe_49k.json"
-#: Entries of one generation of a worker's cache.
-CACHE_ENTRIES = 100_000
+#: Entries and bytes of one generation of a worker's cache; bytes in memory of the longest chunk that it, or
+#: a broadcast table, keeps (about 60 code points of any kind).
+CACHE_ENTRIES, CACHE_BYTES, KEY_BYTES = 100_000, 32 << 20, 320
 #: A longer text is encoded in parts cut at white space.
 LONG_TEXT = 4 << 20
 
@@ -29,11 +31,12 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
 class Generations:
-    """A cache of at most two generations of ``size`` entries.  When the young one is full it becomes the
-    old one; what is found in the old one moves to the young one, so frequent entries stay."""
+    """A cache of at most two generations of ``size`` entries and ``max_bytes``.  When the young one is full it
+    becomes the old one; what is found in the old one moves to the young one, so frequent entries stay.  A key
+    of more than ``KEY_BYTES`` is not kept: its work is done again."""
 
-    def __init__(self, size: int = CACHE_ENTRIES):
-        self.size, self.young, self.old = size, {}, {}
+    def __init__(self, size: int = CACHE_ENTRIES, max_bytes: int = CACHE_BYTES):
+        self.size, self.max_bytes, self.held, self.young, self.old = size, max_bytes, 0, {}, {}
 
     def get(self, key):
         value = self.young.get(key)
@@ -42,9 +45,14 @@ class Generations:
         return value
 
     def put(self, key, value) -> None:
-        if len(self.young) >= self.size:
-            self.old, self.young = self.young, {}
+        long = sys.getsizeof(key)
+        if long > KEY_BYTES:
+            return
+        cost = long + sys.getsizeof(value)
+        if len(self.young) >= self.size or self.held + cost > self.max_bytes:
+            self.old, self.young, self.held = self.young, {}, 0
         self.young[key] = value
+        self.held += cost
 
 
 def default_vocabulary() -> str:
