@@ -103,7 +103,8 @@ def _beside(gap: Column, left: bool, context: int) -> Column:
     end = F.right(gap, F.lit(_NEAR)) if left else F.left(gap, F.lit(_NEAR))
     # a word that the cut may have gone through is dropped, with all that touches it
     end = F.regexp_replace(end, r"^\S++" if left else r"(?<!\S)\S++$", "")
-    shown = F.size(_words(end)) >= context + 1
+    # a search makes no list of words
+    shown = end.rlike(rf"(?:[\p{{L}}']++[^\p{{L}}']++){{{context}}}[\p{{L}}']")
     return F.when((F.char_length(gap) <= _NEAR) | ~shown, gap).otherwise(end)
 
 
