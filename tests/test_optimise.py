@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 
 import numpy as np
@@ -100,6 +101,17 @@ def test_the_optimum_and_its_independent_check(spark, case):
             assert got[f].norm == pytest.approx(want[i], abs=1e-9) and got[f].mass == case[3][:, i].sum()
 
 
+def test_the_driver_keeps_no_weights_of_past_passes(spark, case, monkeypatch):
+    kept, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: kept.append(broadcast(self, value)) or kept[-1])
+    monkeypatch.setattr(type(spark), "createDataFrame", None)      # weights reach a table through tasks
+    w, _ = OP.minimise(case[0], FOLDS, slots=SLOTS, passes=5)
+    states = OP.state_table(spark, w, FOLDS, 2)
+    assert len(kept) == 7 and not any(os.path.exists(b._path) for b in kept)
+    assert np.array_equal(OP.weights_of(states, FOLDS, SLOTS), w) and states.select("epoch").distinct().collect() == [(2,)]
+    assert OP.state_table(spark, np.zeros_like(w), FOLDS, 1).isEmpty()
+
+
 def test_levels():
     assert [PA.levels(n) for n in (2, 3, 4, 11, 12, 44, 171, 172, 500, 684)] == [0, 0, 1, 1, 2, 3, 3, 4, 4, 5]
 

@@ -109,10 +109,11 @@ def evaluate(data: DataFrame, w: np.ndarray, reg: float = REG) -> Pass:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *(pa.array(sums[:, f]) for f in range(k))], ["slot", *(f"g{f}" for f in range(k))])
 
     parts = data.select("y", "at", "x", "m", "v").mapInArrow(run, "slot int, " + ", ".join(f"g{f} double" for f in range(k)))
-    # one row per slot at most, a parameter
-    total = parts.groupBy("slot").agg(*[F.sum(f"g{f}").alias(f"g{f}") for f in range(k)]).toPandas()
-    shared.unpersist()
-    sums, names = total[[f"g{f}" for f in range(k)]].to_numpy(np.float64), total["slot"].to_numpy()
+    # one row per slot at most, a parameter; as Arrow columns, whatever the session's setting
+    total = parts.groupBy("slot").agg(*[F.sum(f"g{f}").alias(f"g{f}") for f in range(k)]).toArrow()
+    # unpersist() would leave the weights of every pass in the driver
+    shared.destroy()
+    sums, names = np.column_stack([total[f"g{f}"].to_numpy() for f in range(k)]), total["slot"].to_numpy()
     named = {n: row for n, row in zip(names.tolist(), sums, strict=True) if n < 0}
     zero = np.zeros(k)
     mass = np.maximum(named.get(MASS, zero), 1e-300)
@@ -166,18 +167,30 @@ def slot_scorer(w: np.ndarray, folds: list[int], probability: bool = True):
 
 
 def state_table(spark, w: np.ndarray, folds: list[int], epoch: int) -> DataFrame:
-    """``(epoch, fold, slot, w)`` of the weights that are not 0, written."""
-    slot, f = np.nonzero(w)
-    table = pd.DataFrame({"epoch": np.int32(epoch), "fold": np.array(folds, np.int32)[f], "slot": np.where(slot == len(w) - 1, -1, slot).astype(np.int32), "w": w[slot, f]})
-    return materialize(spark.createDataFrame(table, "epoch int, fold int, slot int, w double"), "fold-weights")
+    """``(epoch, fold, slot, w)`` of the weights that are not 0, written by tasks that each take a range of slots."""
+    shared, bias, numbers = spark.sparkContext.broadcast(w), len(w) - 1, list(folds)
+    ship_by_value(__name__)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = batch.column("id").to_numpy()
+            own = shared.value[slots]
+            at, f = np.nonzero(own)
+            slot = np.where(slots[at] == bias, -1, slots[at])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), epoch), pa.int32()), pa.array(np.array(numbers)[f], pa.int32()),
+                                              pa.array(slot, pa.int32()), pa.array(own[at, f])], ["epoch", "fold", "slot", "w"])
+
+    written = materialize(spark.range(len(w)).mapInArrow(run, "epoch int, fold int, slot int, w double"), "fold-weights")
+    shared.destroy()
+    return written
 
 
 def weights_of(states: DataFrame, folds: list[int], slots: int = SLOTS) -> np.ndarray:
     """The weights that ``state_table`` wrote: at most ``(slots + 1) * folds`` numbers, both parameters."""
-    rows = states.select("fold", "slot", "w").toPandas()
-    w = np.zeros((slots + 1, len(folds)))
+    rows = states.select("fold", "slot", "w").toArrow()
+    w, column = np.zeros((slots + 1, len(folds))), {f: i for i, f in enumerate(folds)}
     # slot -1, the intercept, is the last row
-    w[rows["slot"].to_numpy(), rows["fold"].map({f: i for i, f in enumerate(folds)}).to_numpy()] = rows["w"].to_numpy()
+    w[rows["slot"].to_numpy(), [column[f] for f in rows["fold"].to_numpy().tolist()]] = rows["w"].to_numpy()
     return w
 
 
@@ -211,56 +224,72 @@ def minimise(data: DataFrame, folds: list[int], reg: float = REG, slots: int = S
     now, pairs = evaluate(data, w, reg), []
     step, direction = np.ones(len(folds)), -now.grad
     for _ in range(passes):
-        norm = np.sqrt((now.grad ** 2).sum(0))
+        norm = np.sqrt(_dots(now.grad, now.grad))
         moves = norm > tol
         if not moves.any():
             break
         trial = w + step * direction * moves
         then = evaluate(data, trial, reg)
-        slope = (now.grad * direction).sum(0)
+        slope = _dots(now.grad, direction)
         good = moves & (then.loss <= now.loss + 1e-4 * step * slope + 1e-14 * np.abs(now.loss))
         # a fold whose step was too long tries a shorter one in the next pass; the others go on
-        s, y = (trial - w) * good, (then.grad - now.grad) * good
+        if good.any():
+            pairs = [*pairs[-(memory - 1):], ((trial - w) * good, (then.grad - now.grad) * good)] if memory > 1 else [((trial - w) * good, (then.grad - now.grad) * good)]
         w = np.where(good, trial, w)
         now = Pass(np.where(good, then.loss, now.loss), np.where(good, then.grad, now.grad), then.pearson)
-        pairs = [*pairs, (s, y)][-memory:] if good.any() else pairs
         fresh = _direction(now.grad, pairs)
         direction = np.where(good, fresh, direction)
         step = np.where(good, 1.0, step / 4)
-    return w, np.sqrt((now.grad ** 2).sum(0))
+    return w, np.sqrt(_dots(now.grad, now.grad))
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Column by column the sum of products, without a matrix of them."""
+    return np.einsum("ij,ij->j", a, b)
 
 
 def _direction(grad: np.ndarray, pairs: list) -> np.ndarray:
     """The two-loop recursion, column by column; pairs without curvature in a column are passed over there."""
     q, kept = grad.copy(), []
     for s, y in reversed(pairs):
-        sy = (s * y).sum(0)
+        sy = _dots(s, y)
         rho = np.where(sy > 0, 1 / np.where(sy > 0, sy, 1), 0)
-        a = rho * (s * q).sum(0)
+        a = rho * _dots(s, q)
         q -= a * y
         kept.append((s, y, rho, a, sy))
     scale = np.ones(grad.shape[1])
     for s, y, _, _, sy in reversed(kept):
-        scale = np.where(sy > 0, sy / np.maximum((y * y).sum(0), 1e-300), scale)
+        scale = np.where(sy > 0, sy / np.maximum(_dots(y, y), 1e-300), scale)
     q = q * scale
     for s, y, rho, a, _ in reversed(kept):
-        q += s * (a - rho * (y * q).sum(0))
+        q += s * (a - rho * _dots(y, q))
     return -q
 
 
 def gradient_norms(data: DataFrame, weights: DataFrame, folds: list[int], reg: float = REG) -> DataFrame:
-    """``(fold, mass, norm)``: the gradient's norm at stored weights, by joins and aggregations of the written features alone."""
-    long = data.select("id", "y", F.posexplode("m").alias("_f", "m"), "at", "x").filter("m > 0")
-    long = long.withColumn("fold", F.element_at(F.array(*[F.lit(f) for f in folds]), F.col("_f") + 1))
-    terms = long.select("fold", "id", F.explode(F.arrays_zip("at", "x")).alias("t")).select("fold", "id", F.col("t.at").alias("slot"), "t.x")
-    intercept = weights.filter("slot = -1").select("fold", F.col("w").alias("b"))
-    margin = terms.join(weights, ["fold", "slot"]).groupBy("fold", "id").agg(F.sum(F.col("x") * F.col("w")).alias("z"))
-    rest = (long.select("fold", "id", "y", "m").join(margin, ["fold", "id"], "left").join(intercept, "fold", "left")
-            .select("fold", "id", "m", (F.col("m") * (F.lit(1.0) / (1 + F.exp(-F.coalesce("z", F.lit(0.0)) - F.coalesce("b", F.lit(0.0)))) - F.col("y"))).alias("r")))
-    mass = rest.groupBy("fold").agg(F.sum("m").alias("mass"), F.sum("r").alias("g"))
-    by_slot = terms.join(rest, ["fold", "id"]).groupBy("fold", "slot").agg(F.sum(F.col("x") * F.col("r")).alias("g"))
-    # slots with a weight but no train row have the penalty alone
-    whole = by_slot.join(weights.filter("slot >= 0").select("fold", "slot", "w"), ["fold", "slot"], "full").join(mass.select("fold", "mass"), "fold")
-    part = (F.coalesce("g", F.lit(0.0)) / F.col("mass") + reg * F.coalesce("w", F.lit(0.0)))
-    squares = whole.select("fold", (part * part).alias("q")).unionByName(mass.select("fold", F.pow(F.col("g") / F.col("mass"), 2).alias("q")))
-    return squares.groupBy("fold").agg(F.sqrt(F.sum("q")).alias("norm")).join(mass.select("fold", "mass"), "fold").select("fold", "mass", "norm")
+    """``(fold, mass, norm)``: the gradient's norm at stored weights, by joins and aggregations of the written features alone.
+
+    The folds stand side by side in columns: a text's terms meet the weights of all folds once (one row per slot, at most ``slots`` rows
+    of ``folds`` numbers, which ``evaluate`` broadcasts too), and what is shuffled is one row per text and one per task and slot.
+    The intercept is a term of every text, in slot -1."""
+    k = range(len(folds))
+    wide = weights.groupBy("slot").agg(*[F.sum(F.when(F.col("fold") == f, F.col("w"))).alias(f"w{i}") for i, f in enumerate(folds)])
+    term = F.explode(F.concat(F.arrays_zip("at", "x"), F.array(F.struct(F.lit(-1).alias("at"), F.lit(1.0).alias("x"))))).alias("_t")
+    terms = data.select("id", term).select("id", F.col("_t.at").alias("slot"), "_t.x")
+    margin = terms.join(F.broadcast(wide), "slot", "left").groupBy(F.col("id").alias("_id")).agg(
+        *[F.sum(F.col("x") * F.coalesce(f"w{i}", F.lit(0.0))).alias(f"z{i}") for i in k])
+    rest = data.join(margin, F.col("id").eqNullSafe(F.col("_id"))).select(
+        "at", "x", *[(F.col("m")[i] * (F.lit(1.0) / (1 + F.exp(-F.col(f"z{i}"))) - F.col("y"))).alias(f"r{i}") for i in k])
+    by_slot = rest.select(*[f"r{i}" for i in k], term).groupBy(F.col("_t.at").alias("slot")).agg(
+        *[F.sum(F.col("_t.x") * F.col(f"r{i}")).alias(f"g{i}") for i in k])
+    mass = data.agg(*[F.sum(F.col("m")[i]).alias(f"mass{i}") for i in k])
+    # slots with a weight but no train row have the penalty alone; the intercept has none
+    whole = by_slot.join(wide, "slot", "full").crossJoin(F.broadcast(mass))
+
+    def part(i: int) -> Column:
+        penalty = F.when(F.col("slot") >= 0, reg * F.coalesce(f"w{i}", F.lit(0.0))).otherwise(0.0)
+        return F.when(F.col(f"mass{i}") > 0, F.coalesce(f"g{i}", F.lit(0.0)) / F.col(f"mass{i}")) + penalty
+
+    sums = whole.agg(*[F.sum(part(i) * part(i)).alias(f"q{i}") for i in k], *[F.max(f"mass{i}").alias(f"mass{i}") for i in k])
+    each = F.array(*[F.struct(F.lit(f).alias("fold"), F.col(f"mass{i}").alias("mass"), F.sqrt(f"q{i}").alias("norm")) for i, f in enumerate(folds)])
+    return sums.select(F.inline(each)).filter("mass > 0")
