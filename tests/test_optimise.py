@@ -195,3 +195,25 @@ def test_slot_scorer(spark):
     got = score(pd.DataFrame({"fold": [4, 6, 6], "tokens": [["a", "a", "b"], [], ["c"]], "n_tok": [3, 0, 5]}))
     z = [w[-1, 0] + (2 * w[slot("a"), 0] + w[slot("b"), 0]) / 3, w[-1, 1], w[-1, 1] + w[slot("c"), 1] / 5]
     assert got.tolist() == pytest.approx([1 / (1 + math.exp(-t)) for t in z])
+
+
+def test_calls_are_bounded_in_tokens_and_scores_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(PA, "TOKENS", 50)
+    masks = [(0, [(0, n)]) for n in (20, 30, 1, 0, 80, 3, 4)]
+    assert [[hi for _, ((_, hi),) in part] for part in PA.calls(masks)] == [[20, 30], [1, 0], [80], [3, 4]]
+    w = np.random.default_rng(5).normal(size=(SLOTS + 1, 2))
+    rng = random.Random(6)
+    lists = [rng.choices("abcdefgh", k=rng.choice([0, 1, 2, 40])) for _ in range(60)]
+    batch = pd.DataFrame({"fold": [4 + 2 * (i % 2) for i in range(60)], "tokens": lists, "n_tok": [50] * 60})
+    want = [w[-1, i % 2] + sum(w[slot(t), i % 2] for t in own) / 50 for i, own in enumerate(lists)]
+    for block in (1, 7, 1 << 16):
+        monkeypatch.setattr(OP, "BLOCK", block)
+        assert OP.slot_scorer(w, [4, 6], probability=False)()(batch).tolist() == pytest.approx(want, abs=1e-12)
+
+
+def test_only_the_folds_texts_are_tokenised(spark):
+    from textcohort.operators import text as TX
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (None, "c")], "id long, text string")
+    picked = docs.join(spark.createDataFrame([(7, 1), (7, 2), (7, 2)], "fold int, id long"), "id")
+    got = sorted((r.fold, r.id, r.tokens) for r in TX.doc_tokens(picked, keep=["fold"]).collect())
+    assert got == [(7, 1, ["a", "b"]), (7, 2, []), (7, 2, [])]

@@ -30,7 +30,7 @@ from textcohort.operators.scorer import ship_by_value
 from textcohort.sources.io import materialize
 
 SLOTS, REG = 1 << 16, 0.01
-#: Non-zero features that a task handles at a time.
+#: Non-zero features, or tokens of texts to be scored, that a task handles at a time.
 BLOCK = 1 << 16
 #: Rows of a pass that are not slots.
 BIAS, LOSS, MASS, N, SUM_P, SUM_PP, SUM_Y, SUM_PY = range(-1, -9, -1)
@@ -145,20 +145,37 @@ def slot_scorer(w: np.ndarray, folds: list[int], probability: bool = True):
 
     def factory():
         import hashlib
+        from itertools import chain
 
         slots, column = len(w) - 1, {f: i for i, f in enumerate(folds)}
         known: dict[str, int] = {}
+        by_fold = w.T.ravel()
 
         def slot(token: str) -> int:
-            if token not in known:
-                if len(known) >= 1 << 17:
-                    known.clear()
-                known[token] = int(hashlib.md5(token.encode()).hexdigest()[:15], 16) % slots
-            return known[token]
+            return int(hashlib.md5(token.encode()).hexdigest()[:15], 16) % slots
 
         def score(batch: pd.DataFrame) -> pd.Series:
-            z = np.array([w[-1, column[f]] + w[[slot(t) for t in tokens], column[f]].sum() / max(n, 1) if len(tokens) else w[-1, column[f]]
-                          for f, tokens, n in zip(batch["fold"], batch["tokens"], batch["n_tok"], strict=True)])
+            if len(known) >= 1 << 17:
+                known.clear()
+            lists = batch["tokens"].tolist()
+            size = np.fromiter(map(len, lists), np.int64, len(lists))
+            own = np.array([column[f] for f in batch["fold"].tolist()], np.int64)
+            z, n, ends = w[-1, own], np.maximum(batch["n_tok"].to_numpy(), 1), np.cumsum(size)
+            start = 0
+            while start < len(lists):
+                stop = max(start + 1, int(np.searchsorted(ends, ends[start] - size[start] + BLOCK, side="right")))
+                flat = list(chain.from_iterable(lists[start:stop]))
+                try:
+                    at = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+                except KeyError:
+                    known.update((token, slot(token)) for token in set(flat).difference(known))
+                    at = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+                long = size[start:stop]
+                full = np.flatnonzero(long)
+                if len(full):
+                    sums = np.add.reduceat(by_fold[np.repeat(own[start:stop] * len(w), long) + at], (np.cumsum(long) - long)[full])
+                    z[start + full] += sums / n[start + full]
+                start = stop
             return pd.Series(1 / (1 + np.exp(-z)) if probability else z)
 
         return score

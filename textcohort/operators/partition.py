@@ -15,6 +15,7 @@ Texts are dealt to tasks by their key; a batch holds a few texts, so memory is b
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from textcohort.operators.scorer import ScorerFactory, ship_by_value
 
 MAX_EVALS = 500
-#: Masks of one call to the scorer, and texts that go down their trees together.
-CALL, TOGETHER = 2048, 16
+#: Masks of one call to the scorer, tokens of a call (unless one mask has more), and texts that go down their trees together.
+CALL, TOKENS, TOGETHER = 2048, 1 << 20, 16
 
 
 def levels(max_evals: int) -> int:
@@ -57,6 +58,20 @@ def owen_values(sizes: list[int], value: Callable[[list[tuple[int, list]]], list
     return phi, ends[:n]
 
 
+def calls(masks: list[tuple[int, list]]) -> Iterator[list[tuple[int, list]]]:
+    """The masks in calls of at most ``CALL`` masks and ``TOKENS`` tokens."""
+    part, tokens = [], 0
+    for mask in masks:
+        kept = sum(hi - lo for lo, hi in mask[1])
+        if part and (len(part) == CALL or tokens + kept > TOKENS):
+            yield part
+            part, tokens = [], 0
+        part.append(mask)
+        tokens += kept
+    if part:
+        yield part
+
+
 def partition_attribution(texts: DataFrame, factory: ScorerFactory, max_evals: int = MAX_EVALS, parts: int | None = None) -> DataFrame:
     """``(fold, id, pos, token, phi)`` of texts ``(fold, id, tokens)`` under the scorer, which gets batches ``(fold, id, tokens, n_tok)``
     with the kept tokens and the number of all tokens of the text."""
@@ -73,9 +88,8 @@ def partition_attribution(texts: DataFrame, factory: ScorerFactory, max_evals: i
 
                 def value(masks: list[tuple[int, list]], fold=fold, ids=ids, tokens=tokens) -> list[float]:
                     out: list[float] = []
-                    for at in range(0, len(masks), CALL):
-                        part = masks[at:at + CALL]
-                        kept = [[t for lo, hi in sorted(on) for t in tokens[i][lo:hi]] for i, on in part]
+                    for part in calls(masks):
+                        kept = [list(chain.from_iterable(tokens[i][lo:hi] for lo, hi in sorted(on))) for i, on in part]
                         frame = pd.DataFrame({"fold": [fold[i] for i, _ in part], "id": [ids[i] for i, _ in part], "tokens": kept, "n_tok": [len(tokens[i]) for i, _ in part]})
                         out += scorer(frame).astype("float64").tolist()
                     return out
