@@ -112,6 +112,41 @@ def test_consensus_needs_no_occurrences(spark, fitted_small):
     assert all(got[w][0] == want[w][0] and got[w][1] == pytest.approx(want[w][1], abs=1e-9) for w in want)
 
 
+def test_attributions_move_a_token_once_per_text(spark, fitted_small):
+    """All folds of a text meet the weights together, positions stay with the text, and what follows per text needs no shuffle."""
+    m = fitted_small
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan_of(CS.consensus_raw(AT.linear_attribution(m.folded("test"), m.counts, m.weights, m.priors, 0)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert p.count("Exchange hashpartitioning(token") == 2 and p.count("Exchange hashpartitioning(id") == 2 and p.count("Exchange hashpartitioning") == 4
+    scored = M.nb_score(m.texts("test"), m.counts, m.weights, m.priors)
+    for old, new in ((AT.linear_attribution(m.texts("test"), m.counts, m.weights, m.priors), AT.linear_attribution(m.folded("test"), m.counts, m.weights, m.priors)),
+                     (AT.occlusion_attribution(m.texts("test"), m.counts, m.weights, scored, m.priors), AT.occlusion_attribution(m.folded("test"), m.counts, m.weights, scored, m.priors))):
+        a, b = (sorted((r.fold, r.id, r.pos, r.token, r.phi) for r in x.collect()) for x in (old, new))
+        assert a and [r[:4] for r in a] == [r[:4] for r in b] and [r[4] for r in a] == pytest.approx([r[4] for r in b], abs=1e-9)
+
+
+def test_consensus_sums_tokens_before_they_meet_weights(spark, fitted_small):
+    m = fitted_small
+    weights = m.weights.filter("token < 'm'")       # unknown tokens count with the value 0
+    want = {r["word"]: (r["count"], r["shap_avg"]) for r in CS.consensus(AT.linear_attribution(m.texts("test"), m.counts, weights, m.priors, 0)).collect()}
+    got = {r["word"]: (r["count"], r["shap_avg"]) for r in CS.model_consensus(m.texts("test"), m.counts, weights, m.priors).collect()}
+    assert set(got) == set(want) and all(got[w][0] == want[w][0] and got[w][1] == pytest.approx(want[w][1], abs=1e-9) for w in want)
+
+
+def test_word_lists_sort_texts_and_number_values(spark, monkeypatch):
+    from textcohort.operators import index as IX
+    dealt, ordered = [], IX.ordered_index
+    monkeypatch.setattr(IX, "ordered_index", lambda df, *a, **k: dealt.append(df.count()) or ordered(df, *a, **k))
+    rows = [(f, i, p, "a", f + i / 10 + p / 100) for f in (0, 1) for i in (1, 2, 3) for p in range(7)] + [(0, 1, 9, "b", 1.0)]
+    attr = spark.createDataFrame(rows, "fold int, id long, pos int, token string, phi double")
+    lists = CS.consensus_lists(attr, spark.createDataFrame([("a",)], "word string"), values=5).orderBy("piece").collect()
+    assert dealt == [6] and [r.n for r in lists] == [5] * 8 + [2]
+    assert "_".join(r.raw for r in lists) == "_".join("%.2f" % r[4] for r in rows[:-1])
+
+
 def test_scaled_report_scans_twice(spark):
     scored = T.scored_table(spark, SF_SMALL)
     assert plan_of(S.scaled_fold_metrics(scored, score="score")).count("FileScan") == 2
