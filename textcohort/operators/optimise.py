@@ -17,7 +17,7 @@ A fold without train rows keeps its weights at 0.  A text without tokens has onl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +32,8 @@ from textcohort.sources.io import materialize
 SLOTS, REG = 1 << 16, 0.01
 #: Non-zero features, or tokens of texts to be scored, that a task handles at a time.
 BLOCK = 1 << 16
+#: Passes over which a relative gain is judged.
+WAIT = 10
 #: Rows of a pass that are not slots.
 BIAS, LOSS, MASS, N, SUM_P, SUM_PP, SUM_Y, SUM_PY = range(-1, -9, -1)
 
@@ -237,16 +239,27 @@ def descend(data: DataFrame, folds: list[int], epochs: int = 3, rate: float = 1.
 def minimise(data: DataFrame, folds: list[int], reg: float = REG, slots: int = SLOTS, tol: float = 1e-6, passes: int = 200, memory: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Weights of all folds and the norm of each fold's gradient, by limited-memory BFGS.  The folds share every pass but have
     their own directions and step lengths; a fold that has converged stands still."""
-    w = np.zeros((slots + 1, len(folds)))
-    now, pairs = evaluate(data, w, reg), []
-    step, direction = np.ones(len(folds)), -now.grad
+    w, now, _ = lbfgs(lambda at: evaluate(data, at, reg), np.zeros((slots + 1, len(folds))), tol, passes, memory)
+    return w, np.sqrt(_dots(now.grad, now.grad))
+
+
+def lbfgs(run: Callable[[np.ndarray], Pass], w: np.ndarray, tol: float, passes: int, memory: int = 8, relative: bool = False) -> tuple[np.ndarray, Pass, np.ndarray]:
+    """Weights (a column per fold), what ``run`` gives there, and the number of passes in which each fold moved, from the start ``w``.  A fold has
+    converged when its gradient's norm is at most ``tol``; with ``relative``, when that or what ``WAIT`` passes took from its loss is at most
+    that part of its first loss."""
+    now, pairs = run(w), []
+    bound, losses = tol * np.abs(now.loss) if relative else tol, [now.loss]
+    step, direction, moved = np.ones(w.shape[1]), -now.grad, np.zeros(w.shape[1], int)
     for _ in range(passes):
         norm = np.sqrt(_dots(now.grad, now.grad))
-        moves = norm > tol
+        moves = norm > bound
+        if relative and len(losses) > WAIT:
+            moves &= losses[-WAIT - 1] - now.loss > bound
         if not moves.any():
             break
+        moved += moves
         trial = w + step * direction * moves
-        then = evaluate(data, trial, reg)
+        then = run(trial)
         slope = _dots(now.grad, direction)
         good = moves & (then.loss <= now.loss + 1e-4 * step * slope + 1e-14 * np.abs(now.loss))
         # a fold whose step was too long tries a shorter one in the next pass; the others go on
@@ -254,10 +267,11 @@ def minimise(data: DataFrame, folds: list[int], reg: float = REG, slots: int = S
             pairs = [*pairs[-(memory - 1):], ((trial - w) * good, (then.grad - now.grad) * good)] if memory > 1 else [((trial - w) * good, (then.grad - now.grad) * good)]
         w = np.where(good, trial, w)
         now = Pass(np.where(good, then.loss, now.loss), np.where(good, then.grad, now.grad), then.pearson)
+        losses = [*losses[-WAIT:], now.loss]
         fresh = _direction(now.grad, pairs)
         direction = np.where(good, fresh, direction)
         step = np.where(good, 1.0, step / 4)
-    return w, np.sqrt(_dots(now.grad, now.grad))
+    return w, now, moved
 
 
 def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
