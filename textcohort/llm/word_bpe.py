@@ -89,8 +89,10 @@ class WordEncoder:
     def piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            symbols = piece.encode().decode("latin-1").translate(self.symbols)
-            ids = np.array([t.id for t in self.model.tokenize(symbols)], "<u4").tobytes()
+            # visible ASCII characters are their own symbols
+            symbols = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.symbols)
+            tokens = self.model.tokenize(symbols)
+            ids = b"".join([t.id.to_bytes(4, "little") for t in tokens])
             self.pieces.put(piece, ids)
         return ids
 
@@ -107,6 +109,9 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def chunk(self, chunk: str) -> bytes:
+        # a run of ASCII letters is one piece: its cache is enough
+        if chunk.isascii() and chunk.isalpha():
+            return self.piece(chunk.lower())
         ids = self.chunks.get(chunk)
         if ids is None:
             ids = self.fresh(chunk)
