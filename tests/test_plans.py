@@ -128,6 +128,38 @@ def test_attributions_move_a_token_once_per_text(spark, fitted_small):
         assert a and [r[:4] for r in a] == [r[:4] for r in b] and [r[4] for r in a] == pytest.approx([r[4] for r in b], abs=1e-9)
 
 
+def odd_cohort(spark):
+    """An id that comes twice, a null id, an empty and a null text among texts of 5 to 44 tokens."""
+    rows = [(i, 2 if i % 3 else 6, int(i % 3 > 0), " ".join(f"w{i * j % 23}" for j in range(5 + i))) for i in range(40)]
+    rows += [(3, 2, 1, "w1 w2 w2"), (None, 6, 0, "w5"), (50, 2, 1, ""), (51, 6, 0, None), (52, 6, 0, "w1 w1 unseen")]
+    return spark.createDataFrame(rows, "id long, code int, label int, text string")
+
+
+def test_attributions_of_a_store_are_not_dealt_by_text(spark):
+    m = WF.fit_folds(odd_cohort(spark), folds=3, seed=0)
+    weights = m.weights.filter("token < 'w5'")
+    for c in (0, 1):
+        a, b = (sorted((r.fold, -1 if r.id is None else r.id, r.pos, r.token, round(r.phi, 9) + 0.0) for r in AT.linear_attribution(
+            m.folded("test"), m.counts, weights, m.priors, c, dealt=d).collect()) for d in (True, False))
+        assert a and a == b
+    p = plan_of(AT.linear_attribution(m.folded("test"), m.counts, m.weights, m.priors, dealt=False))
+    # the weights are joined where the texts are: only sums of a text are shuffled
+    assert "Exchange hashpartitioning(id" not in p and "Exchange hashpartitioning(token" not in p
+    scored = M.nb_score(m.texts("test"), m.counts, m.weights, m.priors)
+    p = plan_of(AT.occlusion_attribution(m.folded("test"), m.counts, m.weights, scored, m.priors))
+    assert "collect_list(struct(_i" not in p
+
+
+def test_text_table_deals_tokens_once(spark, monkeypatch):
+    plans, own = [], WF.materialize
+    monkeypatch.setattr(WF, "materialize", lambda df, name, *a: (plans.append((name, plan_of(df))), own(df, name, *a))[1])
+    m = WF.prepare_folds(odd_cohort(spark), folds=2)
+    p = dict(plans)["texts"]
+    # texts and their places in the folds, by id: the join deals neither again
+    assert p.count("Exchange hashpartitioning(id") == 2
+    assert m.counts.count() == m.split.select("id").distinct().count() > 40 and p.count("REPARTITION_BY_NUM") == 2
+
+
 def test_consensus_sums_tokens_before_they_meet_weights(spark, fitted_small):
     m = fitted_small
     weights = m.weights.filter("token < 'm'")       # unknown tokens count with the value 0

@@ -86,3 +86,15 @@ def test_two_seeds_of_the_workflow_live_side_by_side(spark, path):
     assert {(r.fold, r.seed) for r in both.select("fold", "seed").distinct().collect()} == {(f, s) for f in (0, 1) for s in (0, 1)}
     assert sorted(both.filter("seed = 0").select("fold", "id", "pred").collect()) == sorted(before)
     assert {r.seed for r in IO.read_attributions(spark, second["attribution"]).select("seed").distinct().collect()} == {0, 1}
+
+
+def test_rows_are_written_by_key_without_a_sort(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+    name, seen, own = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (seen.append(int(spark.conf.get(name))), own(self, *a, **k))[1])
+    before = spark.conf.get(name)
+    rows = spark.range(0, 4000, 1, 2).selectExpr("cast(id % 40 as int) fold", "id")      # more keys than files open at a time
+    IO.write_attributions(rows, str(tmp_path / "s"))
+    assert seen[0] >= 10 and spark.conf.get(name) == before
+    back = IO.read_attributions(spark, str(tmp_path / "s"))
+    assert sorted(tuple(r) for r in back.select("fold", "id").collect()) == sorted((i % 40, i) for i in range(4000))

@@ -15,6 +15,7 @@ not be null.  A key that a write has no row of stays as it was.
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Sequence
 
@@ -24,6 +25,9 @@ from pyspark.sql import functions as F
 
 KEYS = ("fold", "seed")
 DIGITS = 9
+#: Files that a task has open at a time, one per key, and the bytes that each gathers: a task with more keys sorts the rest of its rows.
+WRITERS, GROUP_BYTES = 32, 32 << 20
+_lock, _writing = threading.Lock(), {}
 
 
 class _Files:
@@ -63,11 +67,30 @@ def _manifest(spark: SparkSession, files: _Files, path: str) -> tuple[int, list[
     return int(names[-1]), [r.asDict() for r in spark.read.parquet(f"{path}/_manifest/{names[-1]}").collect()]
 
 
+def _write_unsorted(df: DataFrame, path: str, keys: list[str]) -> None:
+    """Parquet by ``keys``.  A task writes a file per key side by side, so its rows are not sorted by key first (and that sort not spilled)."""
+    conf, name, session = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters", df.sparkSession._jsparkSession.hashCode()
+    with _lock:
+        # the first of several writers in a session notes the owner's setting, the last one restores it
+        count, old = _writing.get(session, (0, conf.get(name)))
+        _writing[session] = count + 1, old
+        conf.set(name, max(int(old), WRITERS))
+    try:
+        df.write.option("parquet.block.size", GROUP_BYTES).partitionBy(*keys).parquet(path)
+    finally:
+        with _lock:
+            count, old = _writing.pop(session)
+            if count > 1:
+                _writing[session] = count - 1, old
+            else:
+                conf.set(name, old)
+
+
 def write_store(df: DataFrame, path: str, keys: Sequence[str] = KEYS) -> str:
     """Write ``df`` so that it replaces the keys that it has and leaves all others; returns ``path``."""
     spark, path, keys = df.sparkSession, path.rstrip("/"), list(keys)
     files, version = _Files(spark, path), uuid.uuid4().hex
-    df.write.partitionBy(*keys).parquet(f"{path}/v={version}")
+    _write_unsorted(df, f"{path}/v={version}", keys)
     types = {f.name: f.dataType for f in df.schema.fields}
     written = spark.read.parquet(f"{path}/v={version}").select(*[F.col(k).cast(types[k]).alias(k) for k in keys])
     # a handful of keys
