@@ -60,6 +60,27 @@ def test_driver_gets_a_row_per_slot_in_use(spark, monkeypatch):
     assert all(n <= 42 for n, _ in many[1:]) and sum(b for _, b in many) < 8 * SLOTS
 
 
+def test_passes_send_the_driver_a_row_per_fold(spark, monkeypatch):
+    """Each text has words of its own, so many slots are in use; a block holds one text."""
+    rows = [(i, i % 3 // 2, i % 2 + 1, f, [f"w{j}" for j in range(i * 10, i * 10 + 30)]) for i in range(40) for f in (0, 1)]
+    texts = spark.createDataFrame(rows, "id long, label int, mult int, fold int, tokens array<string>")
+    train = ML.HashingTF(inputCol="tokens", outputCol="features", numFeatures=SLOTS).transform(texts).drop("tokens").cache()
+    whole, seen, own = ML.lr_fit(train, [0, 1], max_iter=3), [], type(train).toArrow
+
+    def watched(df):
+        table = own(df)
+        seen.append((table.num_rows, table.nbytes))
+        return table
+
+    monkeypatch.setattr(type(train), "toArrow", watched)
+    monkeypatch.setattr(ML, "FEATURES", 1)
+    models = ML.lr_fit(train, [0, 1], max_iter=3)
+    assert len(seen) == 5 and all(n <= 2 and size < 1000 for n, size in seen)
+    for f in (0, 1):
+        assert np.count_nonzero(models[f].coefficients) > 300 and models[f].iterations == 3
+        assert np.allclose(models[f].coefficients, whole[f].coefficients, atol=1e-6)
+
+
 def test_equal_labels_and_folds_without_rows(spark):
     train = train_rows(spark).withColumn("label", F.when(F.col("fold") == 1, 1).otherwise(F.col("label")))
     models = ML.lr_fit(train, [0, 1])
