@@ -96,3 +96,40 @@ def test_stored_models_are_the_same(spark, tmp_path):
     for f, m in models.items():
         assert np.array_equal(again[f].coefficients, m.coefficients)
         assert (again[f].intercept, again[f].iterations) == (m.intercept, m.iterations)
+
+
+def test_texts_with_their_folds_are_the_same_rows(spark):
+    """Text 3 is twice in fold 0, fold 7 is not fitted, and ids repeat as in ``train_rows``: nested and flat rows give the same models and scores."""
+    rows = train_rows(spark)
+    features = rows.filter("fold = 0").select("id", "features")
+    placed = rows.select("fold", "id", "label", "mult").distinct()
+    placed = placed.unionByName(placed.filter("fold = 0 AND id = 3")).unionByName(placed.filter("fold = 1").withColumn("fold", F.lit(7)))
+    flat, nested = (ML.fold_rows(placed, features, "t-rows", nested=n).cache() for n in (False, True))
+    assert nested.count() == 62 and flat.count() == nested.select(F.inline("folds")).count()      # id 8: two labels, two texts
+    a, b = (ML.lr_fit(t, [1, 0], max_iter=4) for t in (flat, nested))
+    for f in (0, 1):
+        assert np.allclose(a[f].coefficients, b[f].coefficients, atol=1e-6) and a[f].intercept == pytest.approx(b[f].intercept, abs=1e-6)
+    one, two = (sorted((r.fold, r.id, r.label, round(r.prob, 5)) for r in ML.lr_score(a, t).collect()) for t in (flat, nested))
+    assert one == two and {r[0] for r in two} == {0, 1} and len(two) == flat.filter("fold < 2").count()
+    r, s = ({x.fold: x.residual for x in ML.lr_residual(a, t).collect()} for t in (flat, nested))
+    assert set(r) == {0, 1} and all(r[f] == pytest.approx(s[f], abs=1e-9) for f in r)
+
+
+def test_a_pass_is_one_job(spark):
+    """And one for the few numbers that the driver asks for; no row per slot is dealt."""
+    train, sc = train_rows(spark).cache(), spark.sparkContext
+    train.count()
+
+    def jobs(passes: int) -> int:
+        sc.setJobGroup(f"fit-{passes}", "")
+        ML.lr_fit(train, [0, 1], max_iter=passes)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        return len(sc.statusTracker().getJobIdsForGroup(f"fit-{passes}"))
+
+    assert jobs(5) - jobs(2) == 2 * 3
+
+
+def test_numbers_are_stored_as_they_are():
+    for numbers, kind in (([0, 255], "B"), ([1, 256], "H"), ([70000, 3], "i"), ([-1, 2], "i"), ([0.5, 2], "f"), ([0.1], "d"), ([np.nan], "d"), ([2.0 ** 40], "f"), ([], "B")):
+        stored = ML._least(np.array(numbers))
+        assert stored.dtype.char == kind and np.array_equal(stored, numbers, equal_nan=kind == "d")
